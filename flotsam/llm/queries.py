@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_join, packing
+from . import minhash_join, packing, suffix_dedup
 from .common import table
 
 
@@ -12,12 +12,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
 def queries() -> dict:
-    return {"op8_minhash_join": op8_minhash_join, "op6_best_fit_packing": op6_best_fit_packing}
+    return {"op7_suffix_dedup": op7_suffix_dedup, "op8_minhash_join": op8_minhash_join, "op6_best_fit_packing": op6_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
