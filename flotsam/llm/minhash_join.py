@@ -1,9 +1,9 @@
 """Near-duplicate documents by an inverted join over MinHash signature coordinates.
 
 A document is posted under (coordinate, value) of its signature.  Two sets of Jaccard similarity J agree in a coordinate
-with probability J, so a pair counts when it collides in at least ``matches`` of ``coordinates``.  With 48 and 20, a
-pair at 0.8 is missed with probability below 1e-9.  A pair with 20 collisions must collide within the 29 rarest
-coordinates of either document (prefix), and a document with fewer than 20 coordinates that anything else shares is
+with probability J, so a pair counts when it collides in at least ``matches`` of ``coordinates``.  With 32 and 10, a
+pair at 0.8 is missed with probability below 1e-9.  A pair with 10 collisions must collide within the 23 rarest
+coordinates of either document (prefix), and a document with fewer than 10 coordinates that anything else shares is
 skipped before any list is merged.  Pairs are confirmed on the full shingle sets.
 
 Copies do not multiply: documents with equal sets are one class, posting lists first tie their members to two hubs of
@@ -103,7 +103,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             items = [shingle_set(x.as_py(), width, hashes).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], names=["id", "items"])
 
-    # an id that stands twice with different texts is told apart by its set's name
     return doc_bytes(docs).join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "data").mapInArrow(run, "id long, items binary")
 
 
@@ -133,12 +132,13 @@ def _colliding(pairs: DataFrame, reps: DataFrame, matches: int, percent: int) ->
     return near.select("a", "b", hits.alias("hits")).where(F.col("hits") >= matches)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = 32, matches: int = 10) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Words are runs outside ASCII white space with A-Z lower-cased.  component_id is the least doc_id linked through
     pairs with Jaccard similarity of at least ``percent`` / 100; kept says that it is the document's own.  Null and
-    empty texts have no shingles and stand alone; repeated rows give repeated results; an empty table an empty one.
+    empty texts have no shingles and stand alone; repeated rows give repeated results; an empty table an empty one.  Rows
+    that share a doc_id but not their text count as linked.
     """
     signed = cut(signatures(docs, width, coordinates))
     reps = cut(signed.where("n_shingles > 0").groupBy("k1", "k2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
@@ -160,7 +160,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     hubs = hubs.select("token", F.explode(F.array_distinct(F.array("low", -F.col("top.id")))).alias("hub"))
     stars = lists.join(hubs, "token").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     stars = cut(_colliding(stars, reps, matches, percent))
-    sets = cut(_sets(docs.join(reps.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), lists.select("id").distinct(), width))
+    ends = lambda pairs: pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = cut(_sets(docs, ends(stars), width))
     best = stars.groupBy("a").agg(F.max(F.struct("hits", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
     links = cut(_confirm(best, sets, percent))
     found = components(links)
@@ -169,7 +170,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     found = cut(components(links))
     across = cut(_colliding(_across(lists, found), reps, matches, percent).select("a", "b"))
     across = across.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    found = components(cut(links.unionByName(_confirm(across, sets, percent))))
+    across = cut(across)
+    if not across.isEmpty():
+        found = components(cut(links.unionByName(_confirm(across, _sets(docs, ends(across), width), percent))))
     classes = reps.join(found, "id", "left").select("k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
     out = signed.drop("sig").join(classes, ["k1", "k2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")

@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 
 from .common import cut, doc_bytes, small_batches
 
-#: Chunks of text whose ids a task keeps at most, and the longest chunk that it keeps.
-CACHE_CHUNKS, CACHE_CHUNK_BYTES = 300_000, 64
+#: Chunks of text whose ids a worker keeps at most, the longest chunk that it keeps, and bytes of text taken at a time.
+CACHE_CHUNKS, CACHE_CHUNK_BYTES, BLOCK_BYTES = 900_000, 64, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ def default_tokenizer() -> str:
 
 
 class _ChunkIds(dict):
-    """Packed ids of a chunk without ASCII white space, by the tokenizer on first sight."""
+    """Packed ids of chunks without ASCII white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,14 +51,64 @@ class _ChunkIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        packed = np.array(ids, "<u4").tobytes()
-        if len(chunk) <= CACHE_CHUNK_BYTES:
-            if len(self) >= CACHE_CHUNKS:
-                self.clear()
-            self[chunk] = packed
-        return packed
+    def learn(self, chunks: set[bytes]) -> None:
+        """Adds the ids of chunks that are not known yet.
+
+        The tokenizer lower-cases, and parts letters from what follows them.  So an ASCII chunk has the ids of its
+        lower-case form, and letters before one full stop or comma have theirs, then the mark's.
+        """
+        forms = {}
+        for chunk in chunks:
+            base, mark = chunk, b""
+            if chunk.isascii() and b"<|" not in chunk:
+                base = chunk.lower()
+            if base[-1:] in (b".", b",") and base[-2:-1].isalpha():
+                base, mark = base[:-1], base[-1:]
+            forms[chunk] = base, mark
+        new = [x for x in {x for form in forms.values() for x in form if x} if x not in self]
+        texts = [x.decode("utf-8", "replace") for x in new]
+        known = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), strict=True))
+        self.update(known)
+        for chunk, (base, mark) in forms.items():
+            self[chunk] = self[base] + self[mark] if mark else self[base]
+
+    def forget(self) -> None:
+        """Keeps the table within bounds; long chunks are never kept."""
+        if len(self) > CACHE_CHUNKS:
+            self.clear()
+        for chunk in [c for c in self if len(c) > CACHE_CHUNK_BYTES]:
+            del self[chunk]
+
+
+#: One table for each tokenizer and worker process: a worker that is used again keeps what it has learnt.
+_KNOWN: dict[str, _ChunkIds] = {}
+
+
+def _chunk_ids(path: str) -> _ChunkIds:
+    if path not in _KNOWN:
+        _KNOWN[path] = _ChunkIds(path)
+    return _KNOWN[path]
+
+
+def packed_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
+    """The ids of each text, four bytes each."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
+    ids_of = _chunk_ids(path)
+    at = 0
+    while at < len(texts):
+        some, size = [], 0
+        while at < len(texts) and (not some or size + len(texts[at]) <= BLOCK_BYTES):
+            some.append(texts[at].split())
+            size += len(texts[at])
+            at += 1
+        new = {c for c in set().union(*some) if c not in ids_of}
+        ids_of.learn(new)
+        for chunks in some:
+            yield b"".join(map(ids_of.__getitem__, chunks))
+        if len(ids_of) > CACHE_CHUNKS or any(len(c) > CACHE_CHUNK_BYTES for c in new):
+            ids_of.forget()
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, piece_tokens: int = 4096) -> DataFrame:
@@ -72,11 +122,11 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, end_id:
     step = 4 * piece_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _ChunkIds(path)
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packed = b"".join(map(ids_of.__getitem__, (data.as_py() or b"").split())) + end
+            texts = [x or b"" for x in batch.column(1).to_pylist()]
+            for doc_id, packed in zip(batch.column(0).to_pylist(), packed_ids(texts, path), strict=True):
+                packed += end
                 for at in range(0, len(packed), step):
                     part = packed[at : at + step]
                     doc.append(doc_id)
