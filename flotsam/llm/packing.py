@@ -7,6 +7,7 @@ and then every piece looks up its own place from its length and its rank among t
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +22,8 @@ from .common import cut, doc_bytes, small_batches
 
 #: Chunks of text whose ids a worker keeps at most, the longest chunk that it keeps, and bytes of text taken at a time.
 CACHE_CHUNKS, CACHE_CHUNK_BYTES, BLOCK_BYTES = 900_000, 64, 2_000_000
+#: Letters below this are composed already and lower-case one by one (but for U+0130).
+PLAIN = "\u0180"
 
 
 @dataclass(frozen=True)
@@ -50,27 +53,45 @@ class _ChunkIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        # byte-level vocabularies write printable bytes as themselves and the others as characters from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.pack = [struct.Struct(f"<{n}I").pack for n in range(16)]
+        self.marks = {m: np.array(self.tokenizer.encode(m.decode(), add_special_tokens=False).ids, "<u4").tobytes() for m in (b"", b".", b",")}
+        self.letters = [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
     def learn(self, chunks: set[bytes]) -> None:
         """Adds the ids of chunks that are not known yet.
 
         The tokenizer lower-cases, and parts letters from what follows them.  So an ASCII chunk has the ids of its
-        lower-case form, and letters before one full stop or comma have theirs, then the mark's.
+        lower-case form, and letters before one full stop or comma have theirs, then the mark's.  Words of letters below
+        U+0180, which normalisation leaves alone, go to the merges directly.
         """
-        forms = {}
+        later = []
         for chunk in chunks:
             base, mark = chunk, b""
-            if chunk.isascii() and b"<|" not in chunk:
-                base = chunk.lower()
-            if base[-1:] in (b".", b",") and base[-2:-1].isalpha():
-                base, mark = base[:-1], base[-1:]
-            forms[chunk] = base, mark
-        new = [x for x in {x for form in forms.values() for x in form if x} if x not in self]
-        texts = [x.decode("utf-8", "replace") for x in new]
-        known = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), strict=True))
-        self.update(known)
-        for chunk, (base, mark) in forms.items():
-            self[chunk] = self[base] + self[mark] if mark else self[base]
+            if chunk.isascii():
+                if b"<|" not in chunk:
+                    base = chunk.lower()
+                if base[-1] in b".," and base[-2:-1].isalpha():
+                    base, mark = base[:-1], base[-1:]
+            packed = self.get(base)
+            if packed is None:
+                if base.isalpha():
+                    text = base.decode()
+                else:
+                    text = base.decode("utf-8", "replace")
+                    if not text.isalpha() or max(text) >= PLAIN or "\u0130" in text:
+                        later.append((chunk, text, base, mark))
+                        continue
+                    text = "".join([self.letters[b] for b in text.lower().encode()])
+                ids = [t.id for t in self.merge(text)]
+                packed = self[base] = self.pack[len(ids)](*ids) if len(ids) < 16 else np.array(ids, "<u4").tobytes()
+            self[chunk] = packed + self.marks[mark] if mark else packed
+        for (chunk, _, base, mark), e in zip(later, self.tokenizer.encode_batch_fast([x[1] for x in later], add_special_tokens=False), strict=True):
+            self[base] = np.array(e.ids, "<u4").tobytes()
+            self[chunk] = self[base] + self.marks[mark]
 
     def forget(self) -> None:
         """Keeps the table within bounds; long chunks are never kept."""
