@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_join, packing, suffix_dedup
+from . import langid_cnn, line_dedup, minhash_join, packing, quality_em, suffix_dedup
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
+def op5_langid_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid_cnn.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -20,9 +28,13 @@ def op8_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op10_quality_em(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_em.judge(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op7_suffix_dedup": op7_suffix_dedup, "op8_minhash_join": op8_minhash_join, "op6_best_fit_packing": op6_best_fit_packing}
+    return {"op10_quality_em": op10_quality_em, "op1_line_dedup": op1_line_dedup, "op5_langid_cnn": op5_langid_cnn, "op7_suffix_dedup": op7_suffix_dedup, "op8_minhash_join": op8_minhash_join, "op6_best_fit_packing": op6_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_quality_em": op10_quality_em, "op1_line_dedup": line_dedup.line_sql()}
