@@ -37,4 +37,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_em": op10_quality_em, "op1_line_dedup": line_dedup.line_sql()}
+    return {"op10_quality_em": quality_em.judge_sql(), "op1_line_dedup": line_dedup.line_sql()}
