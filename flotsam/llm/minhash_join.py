@@ -1,13 +1,14 @@
 """Near-duplicate documents by an inverted join over MinHash signature coordinates.
 
-A document is posted under (coordinate, value) of its signature.  Two sets of Jaccard similarity J agree in a coordinate
-with probability J, so a pair counts when it collides in at least ``matches`` of ``coordinates``.  With 32 and 10, a
-pair at 0.8 is missed with probability below 1e-9.  A pair with 10 collisions must collide within the 23 rarest
-coordinates of either document (prefix), and a document with fewer than 10 coordinates that anything else shares is
-skipped before any list is merged.  Pairs are confirmed on the full shingle sets.
-
-Copies do not multiply: documents with equal sets are one class, posting lists first tie their members to two hubs of
-the list, and only members of different components are compared pair by pair after that.
+A coordinate is a pair of min-hashes, so two sets of Jaccard similarity J agree in it with probability J * J, and a
+document is posted under each (coordinate, value).  A pair counts when it collides in at least ``matches`` of
+``coordinates``; with 10 of 48 a pair at 0.8 is missed with probability below 1e-9.  A pair with 10 collisions must
+collide within the 39 rarest coordinates of either document (prefix), and a document with fewer than 10 coordinates that
+anything else shares is skipped before any list is merged.  Pairs are confirmed on the full shingle sets.
+
+Copies do not multiply: documents with equal sets are one class; posting lists first tie their members to two hubs of
+the list; after that only members outside a list's largest component are compared with the others, block against block
+within tasks, so that pairs which are no links never become rows.
 """
 
 from __future__ import annotations
@@ -65,11 +66,12 @@ def _factors(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each coordinate the least value of its hash over the shingles, as int32."""
+    """For each coordinate (two hash functions each) the least values over the shingles, mixed into an int32."""
     out = np.full(len(a), ~np.uint64(0), np.uint64)
     for at in range(0, len(shingles), 2048):
         np.minimum(out, (shingles[at : at + 2048, None] * a + b).min(axis=0), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    pairs = _mix(out[0::2] ^ (out[1::2] * np.uint64(0x9E3779B97F4A7C15)))
+    return (pairs >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def signatures(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
@@ -78,7 +80,7 @@ def signatures(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashes, (a, b) = _WordHashes(), _factors(coordinates)
+        hashes, (a, b) = _WordHashes(), _factors(2 * coordinates)
         for batch in batches:
             n, k1, k2, sigs = [], [], [], []
             for data in batch.column(1):
@@ -94,6 +96,10 @@ def signatures(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
     return doc_bytes(docs).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>")
 
 
+#: Ids that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(id, items) for the documents whose id is wanted: the full shingle set as bytes."""
 
@@ -103,6 +109,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             items = [shingle_set(x.as_py(), width, hashes).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], names=["id", "items"])
 
+    wanted = cut(wanted)
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     return doc_bytes(docs).join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "data").mapInArrow(run, "id long, items binary")
 
 
@@ -132,7 +141,7 @@ def _colliding(pairs: DataFrame, reps: DataFrame, matches: int, percent: int) ->
     return near.select("a", "b", hits.alias("hits")).where(F.col("hits") >= matches)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = 32, matches: int = 10) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 10) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Words are runs outside ASCII white space with A-Z lower-cased.  component_id is the least doc_id linked through
@@ -157,6 +166,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     )
     lists = cut(ranked.select("token", "id", "centre"))
     hubs = lists.groupBy("token").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max(F.struct("centre", (-F.col("id")).alias("id"))).alias("top")).where("n > 1")
+    hubs = cut(hubs)
+    hubs_of = hubs.select("token", (-F.col("top.id")).alias("hub"))
     hubs = hubs.select("token", F.explode(F.array_distinct(F.array("low", -F.col("top.id")))).alias("hub"))
     stars = lists.join(hubs, "token").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     stars = cut(_colliding(stars, reps, matches, percent))
@@ -168,11 +179,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     tried = stars.select("a", "b").join(best, ["a", "b"], "left_anti")
     links = cut(links.unionByName(_confirm(_apart(tried, found), sets, percent)))
     found = cut(components(links))
-    across = cut(_colliding(_across(lists, found), reps, matches, percent).select("a", "b"))
-    across = across.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    across = cut(across)
-    if not across.isEmpty():
-        found = components(cut(links.unionByName(_confirm(across, _sets(docs, ends(across), width), percent))))
+    groups = cut(_mixed(lists.join(hubs_of, "token").select("hub", "id").distinct(), found))
+    if not groups.isEmpty():
+        near = _block_links(groups.join(reps.select("id", "n", "sig"), "id"), matches, percent, exact=False)
+        groups = cut(groups.join(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"))
+        full = _sets(docs, groups.select("id").distinct(), width)
+        packed = groups.join(reps.select("id", "n", "sig"), "id").join(full, "id")
+        found = components(cut(links.unionByName(_block_links(packed, matches, percent, exact=True))))
     classes = reps.join(found, "id", "left").select("k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
     out = signed.drop("sig").join(classes, ["k1", "k2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
@@ -185,12 +198,74 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
 
-def _across(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """All pairs of a posting list whose ends are in different components."""
-    placed = lists.select("token", "id").join(found, "id", "left").select("token", "id", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    placed = cut(placed.join(mixed, "token"))
-    parts = placed.select("token", "c").distinct()
-    apart = parts.select("token", F.col("c").alias("c1")).join(parts.select("token", F.col("c").alias("c2")), "token").where("c1 < c2")
-    one, two = placed.select("token", F.col("c").alias("c1"), F.col("id").alias("a")), placed.select("token", F.col("c").alias("c2"), F.col("id").alias("b"))
-    return apart.join(one, ["token", "c1"]).join(two, ["token", "c2"]).select("a", "b").distinct()
+#: Members of a hub's group in one block.
+BLOCK = 256
+
+
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(hub, id, c, apart): the groups of more than one component; apart says that c is not the group's largest."""
+    placed = cut(members.join(found, "id", "left").select("hub", "id", F.coalesce("component", "id").alias("c")))
+    counts = placed.groupBy("hub", "c").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("hub").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("top")).where("parts > 1")
+    largest = largest.select("hub", F.col("top.c").alias("most"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+    return placed.join(largest, "hub").select("hub", "id", "c", (F.col("c") != F.col("most")).alias("apart"), "blocks")
+
+
+def _block_links(members: DataFrame, matches: int, percent: int, exact: bool) -> DataFrame:
+    """(a, b) for members of a group in different components that collide often enough; ``exact``: that are linked.
+
+    Members are dealt over blocks by a hash.  Each block meets every block of those that stand apart, in a row of block
+    numbers; without ``exact`` one pair for each member says that it has a partner.
+    """
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    items = F.col("items") if exact else F.lit(None).cast("binary").alias("items")
+    rows = members.select("hub", "id", "c", "n", "sig", items, "apart", "blocks", block.alias("own"))
+    left = rows.where("apart").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", F.col("own").alias("x"), F.col("other").alias("y"), F.lit(True).alias("left"), "id", "c", "n", "sig", "items")
+    theirs = rows.where("apart").select("hub", F.col("own").alias("x")).distinct()
+    right = rows.join(theirs, "hub").select("hub", "x", F.col("own").alias("y"), F.lit(False).alias("left"), "id", "c", "n", "sig", "items")
+
+    def meet(own: list, other: list) -> tuple[list, list]:
+        if not own or not other:
+            return [], []
+        (i, c, n, s, t), (j, d, m, u, v) = zip(*own, strict=True), zip(*other, strict=True)
+        i, c, n, j, d, m = (np.array(k, np.int64) for k in (i, c, n, j, d, m))
+        s, u = np.array(s, np.int32), np.array(u, np.int32)
+        hits = np.zeros((len(i), len(j)), np.int16)
+        for k in range(s.shape[1]):
+            hits += s[:, k, None] == u[None, :, k]
+        ok = (hits >= matches) & (c[:, None] != d) & (100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m))
+        if not exact:
+            rows_, columns = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+            return [*i[rows_], *i[ok[:, columns].argmax(axis=0)]], [*j[ok[rows_].argmax(axis=1)], *j[columns]]
+        sets = [np.frombuffer(x, np.uint64) for x in v]
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        known, at = np.unique(np.concatenate(sets), return_inverse=True)
+        out_a, out_b = [], []
+        for k in np.flatnonzero(ok.any(axis=1)):
+            x = np.frombuffer(t[k], np.uint64)
+            where = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            has = np.zeros(len(known), bool)
+            has[where[known[where] == x]] = True
+            common = np.bincount(owner[has[at]], minlength=len(sets))
+            linked = np.flatnonzero(ok[k] & (100 * common >= percent * (n[k] + m - common)))
+            out_a += [i[k]] * len(linked)
+            out_b += list(j[linked])
+        return out_a, out_b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own, other = None, [], []
+
+        def done() -> pa.RecordBatch:
+            a, b = meet(own, other)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for hub, x, y, is_left, *row in zip(*(k.to_pylist() for k in batch.columns), strict=True):
+                if (hub, x, y) != key:
+                    yield done()
+                    key, own, other = (hub, x, y), [], []
+                (own if is_left else other).append(row)
+        yield done()
+
+    dealt = left.unionByName(right).repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y")
+    return dealt.select("hub", "x", "y", "left", "id", "c", "n", "sig", "items").mapInArrow(run, "a long, b long")
