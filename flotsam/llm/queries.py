@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid_cnn, line_dedup, minhash_join, packing, quality_em, suffix_dedup
+from . import langid_cnn, line_dedup, minhash_join, packing, piece_codec, quality_em, suffix_dedup, url_graph
 from .common import table
 
 
@@ -12,6 +12,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.codec_digests(table(spark, sf_dir, "documents"))
+
+
+def op3_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op5_langid_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_cnn.identify(table(spark, sf_dir, "documents"))
 
@@ -33,8 +41,8 @@ def op10_quality_em(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op10_quality_em": op10_quality_em, "op1_line_dedup": op1_line_dedup, "op5_langid_cnn": op5_langid_cnn, "op7_suffix_dedup": op7_suffix_dedup, "op8_minhash_join": op8_minhash_join, "op6_best_fit_packing": op6_best_fit_packing}
+    return {"op2_piece_codec": op2_piece_codec, "op3_url_graph": op3_url_graph, "op10_quality_em": op10_quality_em, "op1_line_dedup": op1_line_dedup, "op5_langid_cnn": op5_langid_cnn, "op7_suffix_dedup": op7_suffix_dedup, "op8_minhash_join": op8_minhash_join, "op6_best_fit_packing": op6_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_em": quality_em.judge_sql(), "op1_line_dedup": line_dedup.line_sql()}
+    return {"op3_url_graph": url_graph.filter_sql(), "op10_quality_em": quality_em.judge_sql(), "op1_line_dedup": line_dedup.line_sql()}
