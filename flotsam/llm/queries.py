@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid_cnn, line_dedup, minhash_join, packing, piece_codec, quality_em, suffix_dedup, url_graph
+from . import langid_cnn, line_dedup, media_avi, minhash_join, packing, piece_codec, quality_em, suffix_dedup, url_graph
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_graph.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_avi.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_langid_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_cnn.identify(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_quality_em(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_piece_codec": op2_piece_codec, "op3_url_graph": op3_url_graph, "op10_quality_em": op10_quality_em, "op1_line_dedup": op1_line_dedup, "op5_langid_cnn": op5_langid_cnn, "op7_suffix_dedup": op7_suffix_dedup, "op8_minhash_join": op8_minhash_join, "op6_best_fit_packing": op6_best_fit_packing}
+    return {"op2_piece_codec": op2_piece_codec, "op4_media_avi": op4_media_avi, "op3_url_graph": op3_url_graph, "op10_quality_em": op10_quality_em, "op1_line_dedup": op1_line_dedup, "op5_langid_cnn": op5_langid_cnn, "op7_suffix_dedup": op7_suffix_dedup, "op8_minhash_join": op8_minhash_join, "op6_best_fit_packing": op6_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
