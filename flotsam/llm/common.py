@@ -35,3 +35,11 @@ def cut(df: DataFrame) -> DataFrame:
 def doc_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, data): the text as UTF-8 bytes; a null text has null data."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("data"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores where a column of df has it already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import fresh, small_batches
 
 #: Bytes in a window, filter widths, filters of each width, size of a byte's vector.
 WINDOW, WIDTHS, FILTERS, VECTOR = 256, (2, 3, 4), 16, 8
@@ -116,9 +116,9 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: i
     return Model(languages, params[0], [f.reshape(w, VECTOR, FILTERS) for f, w in zip(params[1:4], WIDTHS, strict=True)], list(params[4:7]), params[7], params[8])
 
 
-def held_out(doc_id: Column | str = "doc_id") -> Column:
-    """Rows that are never learnt from."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1 if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+def held_out() -> Column:
+    """Rows that are never learnt from, by their doc_id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
 def train(docs: DataFrame, max_documents: int = 2400, windows_each: int = 4) -> Model | None:
@@ -140,15 +140,15 @@ def train(docs: DataFrame, max_documents: int = 2400, windows_each: int = 4) ->
     return fit(x, y, languages)
 
 
-def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:
-    """``columns`` of docs, lang_pred and score: the mean of the windows' logits over the whole text, as a softmax.
+def predict(docs: DataFrame, model: Model | None, columns: list[str], pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``columns`` of docs, and columns named ``pred`` and ``score``: the language and the mean of the windows' logits over the whole text, as a softmax.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything without a model.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kept = docs.select(*columns, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"), F.col("text").cast("binary").alias("_data"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes) + ", lang_pred string, score double"
+    schema = docs.select(*columns).schema.add(pred, "string").add(score, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables() if model else None
@@ -183,9 +183,9 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFra
             p = np.exp(mean - mean.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             best = p.argmax(axis=1)
-            pred = [model.languages[b] if ok and model else "und" for ok, b in zip(letters, best, strict=True)]
-            score = np.where(np.array(letters, bool) & (model is not None), p.max(axis=1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(pred, pa.string()), pa.array(score)], names=[*columns, "lang_pred", "score"])
+            said = [model.languages[b] if ok and model else "und" for ok, b in zip(letters, best, strict=True)]
+            sure = np.where(np.array(letters, bool) & (model is not None), p.max(axis=1), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(said, pa.string()), pa.array(sure)], names=[*columns, pred, score])
 
     return kept.mapInArrow(run, schema)
 
@@ -193,11 +193,12 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFra
 def identify(docs: DataFrame, max_documents: int = 2400) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs, by a model learnt from the rows not held out."""
     model = train(docs, max_documents)
-    return predict(docs.withColumn("held_out", F.coalesce(held_out(), F.lit(False))), model, ["doc_id", "held_out"])
+    return predict(docs.select("doc_id", "text", F.coalesce(held_out(), F.lit(False)).alias("held_out")), model, ["doc_id", "held_out"])
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5, max_documents: int = 2400) -> DataFrame:
     """The rows of docs whose language is told with at least ``least_score``; columns as in docs."""
     model = train(docs, max_documents)
-    found = predict(docs.select("*", F.col("text").alias("_text")).drop("lang_pred", "score"), model, [c for c in docs.columns if c not in ("lang_pred", "score")])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*[c for c in docs.columns if c in found.columns])
+    pred, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    found = predict(docs, model, docs.columns, pred, score)
+    return found.where((F.col(pred) != "und") & (F.col(score) >= least_score)).select(*docs.columns)

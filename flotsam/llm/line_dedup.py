@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, doc_bytes, small_batches
+from .common import cut, fresh, small_batches
 
 
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,9 +65,11 @@ def kept_lines(text: str, starts: list[int] | None, min_lines: int) -> tuple[str
 
 
 def _with_starts(docs: DataFrame, min_lines: int) -> DataFrame:
-    starts = later_copies(docs, min_lines).groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+    """docs with one more column: the starts of each document's later copies, null where it has none."""
+    name = fresh(docs, "starts")
+    starts = later_copies(docs, min_lines).groupBy("doc_id").agg(F.collect_set("at").alias(name))
     small_batches(docs.sparkSession)
-    return docs.join(starts, "doc_id", "left")
+    return docs.join(starts, "doc_id", "left").select(*docs.columns, name)
 
 
 def line_digests(docs: DataFrame, min_lines: int = 2) -> DataFrame:
@@ -85,7 +87,7 @@ def line_digests(docs: DataFrame, min_lines: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)), pa.array(sha, pa.string())], names=["doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256"])
 
     docs = docs.select("doc_id", "text")
-    return _with_starts(docs, min_lines).select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_lines long, n_removed long, n_runs long, kept_sha256 string")
+    return _with_starts(docs, min_lines).mapInArrow(run, "doc_id long, n_lines long, n_removed long, n_runs long, kept_sha256 string")
 
 
 def remove_runs(docs: DataFrame, min_lines: int = 2) -> DataFrame:
@@ -103,8 +105,7 @@ def remove_runs(docs: DataFrame, min_lines: int = 2) -> DataFrame:
             out = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(columns))]
             yield pa.RecordBatch.from_arrays(out, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    with_starts = _with_starts(docs, min_lines)
-    return with_starts.select(*columns, "starts").mapInArrow(run, docs.schema)
+    return _with_starts(docs, min_lines).mapInArrow(run, docs.schema)
 
 
 def line_sql(min_lines: int = 2) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid_cnn, line_dedup, media_avi, minhash_join, packing, piece_codec, quality_em, suffix_dedup, url_graph
+from . import html_layout, langid_cnn, line_dedup, media_avi, minhash_join, packing, piece_codec, quality_em, suffix_dedup, url_graph
 from .common import table
 
 
@@ -40,12 +40,16 @@ def op8_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op9_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_em(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_em.judge(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op2_piece_codec": op2_piece_codec, "op4_media_avi": op4_media_avi, "op3_url_graph": op3_url_graph, "op10_quality_em": op10_quality_em, "op1_line_dedup": op1_line_dedup, "op5_langid_cnn": op5_langid_cnn, "op7_suffix_dedup": op7_suffix_dedup, "op8_minhash_join": op8_minhash_join, "op6_best_fit_packing": op6_best_fit_packing}
+    return {"op2_piece_codec": op2_piece_codec, "op4_media_avi": op4_media_avi, "op9_html_layout": op9_html_layout, "op3_url_graph": op3_url_graph, "op10_quality_em": op10_quality_em, "op1_line_dedup": op1_line_dedup, "op5_langid_cnn": op5_langid_cnn, "op7_suffix_dedup": op7_suffix_dedup, "op8_minhash_join": op8_minhash_join, "op6_best_fit_packing": op6_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:

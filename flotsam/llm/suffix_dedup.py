@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_bytes, small_batches
+from .common import cut, doc_bytes, fresh, small_batches
 from .suffix_array import permuted_lcp, suffix_array
 
 #: Bytes whose windows are hashed at a time, at most 2^20: a position takes the low 20 bits of an order key.
@@ -253,10 +254,11 @@ def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 200) -> Data
     return out
 
 
-def _merged(docs: DataFrame, ranges: DataFrame, columns: list[Column]) -> DataFrame:
-    """docs with ``ranges``: each document's ranges as one array; null where it has none."""
-    lists = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("start", "total")).alias("ranges"))
-    return docs.join(lists, "doc_id", "left").select(*columns, F.col("ranges"))
+def _merged(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """docs with one more column: each document's ranges as one array, null where it has none."""
+    name = fresh(docs, "ranges")
+    lists = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("start", "total")).alias(name))
+    return docs.join(lists, "doc_id", "left").select(*docs.columns, name)
 
 
 def kept_bytes(data: bytes, ranges: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
@@ -297,7 +299,7 @@ def repeat_digests(docs: DataFrame, length: int = 400, gram: int = 200) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     ranges = repeated_ranges(docs, length, gram)
-    merged = _merged(doc_bytes(docs), ranges, [F.col("doc_id"), F.col("data")])
+    merged = _merged(doc_bytes(docs), ranges)
     return merged.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -320,8 +322,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200) -> DataF
             gone = pa.array([bool(r) and not t for r, t in zip(batch.column(len(columns)).to_pylist(), texts, strict=True)], pa.bool_())
             yield out.filter(pa.compute.invert(gone))
 
-    import pyarrow.compute  # noqa: F401
-
     ranges = repeated_ranges(docs, length, gram)
-    merged = _merged(docs.withColumn("text", F.col("text").cast("binary")), ranges, [F.col(c) for c in columns])
+    merged = _merged(docs.withColumn("text", F.col("text").cast("binary")), ranges)
     return merged.mapInArrow(run, docs.schema)
