@@ -27,7 +27,7 @@ from .suffix_array import permuted_lcp, suffix_array
 #: Bytes whose windows are hashed at a time, at most 2^20: a position takes the low 20 bits of an order key.
 BLOCK = 1 << 19
 #: Bytes that a shard is given before it is sorted.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 2_000_000
 #: Contents under one key that go to a shard as they are.
 KEY_CONTENTS = 500
 _BASE = 0x9E3779B97F4A7C15
