@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..constants import BANDS, DELIVERED, MAX_AREA, MIN_AREA, N_CLASSES, OVERLAP, PATCH
@@ -116,7 +117,7 @@ def score_tiles(tile_rows: DataFrame, predict: Callable[[np.ndarray], np.ndarray
 
     Rows go to the callable in Arrow batches; boost and softmax stay in Spark.
     """
-    schema = tile_rows.select(*keys).schema.add("logits", "array<double>")
+    schema = tile_rows.select(*keys).schema.add("logits", T.ArrayType(T.DoubleType()))
 
     def run(frames):
         for frame in frames:
@@ -171,7 +172,7 @@ def label_components(mask: DataFrame, block: int = 256) -> DataFrame:
         label = grid[gy, gx]
         return pd.DataFrame({"scene_id": frame["scene_id"], "y": y, "x": x, "label_y": (label >> 32).astype("int32"), "label_x": (label & 0xFFFFFFFF).astype("int32")})
 
-    schema = here.schema.add("label_y", "int").add("label_x", "int")
+    schema = here.schema.add("label_y", "integer").add("label_x", "integer")
     blocks = here.withColumns({"by": F.floor(F.col("y") / block), "bx": F.floor(F.col("x") / block)})
     local = blocks.groupBy("scene_id", "by", "bx").applyInPandas(lambda key, frame: within(frame[["scene_id", "y", "x"]]), schema)
     label = F.struct("scene_id", F.col("label_y").alias("y"), F.col("label_x").alias("x")).alias("label")

@@ -155,4 +155,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     from ..operators.signatures import fit_and_score
 
-    return fit_and_score(S.spectra(spark, sf_dir))
+    kinds = (R.ORGANIC, R.PE_PP, R.PET, R.MIXED, R.UNIDENTIFIED, R.UNCLASSIFIED)
+    number = F.lit(0)
+    for k, kind in enumerate(kinds):
+        number = F.when(F.col("polymer_type") == kind, k).otherwise(number)
+    return fit_and_score(ruled(spark, sf_dir).select("vec_id", "bands", number.alias("label")))
