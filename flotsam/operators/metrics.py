@@ -94,8 +94,8 @@ def class_weights(truth: DataFrame, boost: float = 1.0, cap: float | None = 10.0
     counts = labelled_pixels(truth).groupBy(F.col("gt").cast("int").alias("cls")).agg(F.count("*").alias("n"))
     every = spark.range(N_CLASSES).select(F.col("id").cast("int").alias("cls")).join(counts, "cls", "left")
     all_ = Window.partitionBy(F.lit(1))
-    raw = F.sum("n").over(all_) / (N_CLASSES * F.coalesce("n", F.lit(1) if cap else None))
-    out = every.withColumn("w", raw if cap else F.coalesce(F.sum("n").over(all_) / (N_CLASSES * F.col("n")), F.lit(1.0)))
+    share = lambda n: F.sum("n").over(all_) / (N_CLASSES * n)
+    out = every.withColumn("w", share(F.coalesce("n", F.lit(1))) if cap else F.coalesce(share(F.col("n")), F.lit(1.0)))
     if cap:
         out = out.withColumn("w", F.least("w", cap * F.median("w").over(all_)))
     out = out.withColumn("w", F.when(F.col("cls") == 0, F.col("w") * boost).otherwise(F.col("w")))
