@@ -179,13 +179,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     tried = stars.select("a", "b").join(best, ["a", "b"], "left_anti")
     links = cut(links.unionByName(_confirm(_apart(tried, found), sets, percent)))
     found = cut(components(links))
-    groups = cut(_mixed(lists.join(hubs_of, "token").select("hub", "id").distinct(), found))
+    signed_reps = reps.select("id", "n", "sig")
+    groups = cut(_mixed(lists.join(hubs_of, "token").select("hub", "id").distinct(), found, reps))
     if not groups.isEmpty():
-        near = _block_links(groups.join(reps.select("id", "n", "sig"), "id"), matches, percent, exact=False)
-        groups = cut(groups.join(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"))
+        near = _block_links(groups.join(signed_reps, "id"), matches, percent, exact=False)
+        # only members with a partner in a group go on to the full sets there
+        groups = cut(_mixed(near.select("hub", F.explode(F.array("a", "b")).alias("id")).distinct(), found, reps))
         full = _sets(docs, groups.select("id").distinct(), width)
-        packed = groups.join(reps.select("id", "n", "sig"), "id").join(full, "id")
-        found = components(cut(links.unionByName(_block_links(packed, matches, percent, exact=True))))
+        packed = groups.join(signed_reps, "id").join(full, "id")
+        found = components(cut(links.unionByName(_block_links(packed, matches, percent, exact=True).select("a", "b"))))
     classes = reps.join(found, "id", "left").select("k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
     out = signed.drop("sig").join(classes, ["k1", "k2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
@@ -198,21 +200,23 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
 
-#: Members of a hub's group in one block.
-BLOCK = 256
+#: Members of a hub's group in one block, and shingles of theirs.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 
 
-def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(hub, id, c, apart): the groups of more than one component; apart says that c is not the group's largest."""
-    placed = cut(members.join(found, "id", "left").select("hub", "id", F.coalesce("component", "id").alias("c")))
-    counts = placed.groupBy("hub", "c").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("hub").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("top")).where("parts > 1")
-    largest = largest.select("hub", F.col("top.c").alias("most"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+def _mixed(members: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
+    """(hub, id, c, apart, blocks): the groups of more than one component; apart says that c is not the group's largest."""
+    placed = members.join(reps.select("id", "n"), "id").join(found, "id", "left")
+    placed = cut(placed.select("hub", "id", F.coalesce("component", "id").alias("c"), "n"))
+    counts = placed.groupBy("hub", "c").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    largest = counts.groupBy("hub").agg(F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.max(F.struct("k", "c")).alias("top")).where("parts > 1")
+    blocks = F.ceil(F.greatest(F.col("k") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int")
+    largest = largest.select("hub", F.col("top.c").alias("most"), blocks.alias("blocks"))
     return placed.join(largest, "hub").select("hub", "id", "c", (F.col("c") != F.col("most")).alias("apart"), "blocks")
 
 
 def _block_links(members: DataFrame, matches: int, percent: int, exact: bool) -> DataFrame:
-    """(a, b) for members of a group in different components that collide often enough; ``exact``: that are linked.
+    """(hub, a, b) for members of a group in different components that collide often enough; ``exact``: that are linked.
 
     Members are dealt over blocks by a hash.  Each block meets every block of those that stand apart, in a row of block
     numbers; without ``exact`` one pair for each member says that it has a partner.
@@ -257,7 +261,8 @@ def _block_links(members: DataFrame, matches: int, percent: int, exact: bool) ->
 
         def done() -> pa.RecordBatch:
             a, b = meet(own, other)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            hub = [key[0]] * len(a) if key else []
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hub, a, b)], names=["hub", "a", "b"])
 
         for batch in batches:
             for hub, x, y, is_left, *row in zip(*(k.to_pylist() for k in batch.columns), strict=True):
@@ -268,4 +273,4 @@ def _block_links(members: DataFrame, matches: int, percent: int, exact: bool) ->
         yield done()
 
     dealt = left.unionByName(right).repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y")
-    return dealt.select("hub", "x", "y", "left", "id", "c", "n", "sig", "items").mapInArrow(run, "a long, b long")
+    return dealt.select("hub", "x", "y", "left", "id", "c", "n", "sig", "items").mapInArrow(run, "hub long, a long, b long")
