@@ -40,3 +40,15 @@ def components(edges: DataFrame) -> DataFrame:
         state = (now["n"], now["h"])
         edges = cut(_star(_star(edges, large=True), large=False))
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+
+
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``found`` (id, component) joined further by links (a, b): only their roots are worked on."""
+    root = lambda end: found.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
+    links = cut(links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b"))
+    if links.isEmpty():
+        return found
+    upper = components(links)
+    alone = upper.join(found.select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
+    moved = upper.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return cut(found.unionByName(alone).join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, doc_bytes, small_batches
-from .components import components
+from .components import components, extended
 
 #: Words whose hashes a task keeps at most.
 CACHE_WORDS = 400_000
@@ -174,11 +174,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     ends = lambda pairs: pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = cut(_sets(docs, ends(stars), width))
     best = stars.groupBy("a").agg(F.max(F.struct("hits", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
-    links = cut(_confirm(best, sets, percent))
-    found = components(links)
+    found = cut(components(_confirm(best, sets, percent)))
     tried = stars.select("a", "b").join(best, ["a", "b"], "left_anti")
-    links = cut(links.unionByName(_confirm(_apart(tried, found), sets, percent)))
-    found = cut(components(links))
+    found = extended(found, _confirm(_apart(tried, found), sets, percent))
     signed_reps = reps.select("id", "n", "sig")
     groups = cut(_mixed(lists.join(hubs_of, "token").select("hub", "id").distinct(), found, reps))
     if not groups.isEmpty():
@@ -187,7 +185,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
         groups = cut(_mixed(near.select("hub", F.explode(F.array("a", "b")).alias("id")).distinct(), found, reps))
         full = _sets(docs, groups.select("id").distinct(), width)
         packed = groups.join(signed_reps, "id").join(full, "id")
-        found = components(cut(links.unionByName(_block_links(packed, matches, percent, exact=True).select("a", "b"))))
+        found = extended(found, _block_links(packed, matches, percent, exact=True).select("a", "b"))
     classes = reps.join(found, "id", "left").select("k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
     out = signed.drop("sig").join(classes, ["k1", "k2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
