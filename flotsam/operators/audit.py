@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..constants import CLASSES
 from ..functions.rules import class_name
+from ..sources.session import cut
 
 
 def class_distribution(truth: DataFrame, by: str = "split") -> DataFrame:
@@ -103,15 +104,26 @@ def patches_with_class(truth: DataFrame, raw: int = 1, without: bool = False) ->
     return patches.join(has, "patch", "left_anti" if without else "left_semi")
 
 
+def numbered(rows: DataFrame, column: str, name: str = "k") -> DataFrame:
+    """rows with their place from 0 in the order of a column of distinct values.
+
+    Ranges of the column are numbered side by side; only the ranges' counts, a row each, are added up in one place.
+    """
+    ranged = cut(rows.repartitionByRange(column).withColumn("_range", F.spark_partition_id()))
+    before = ranged.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_first", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(column)) - 1
+    return ranged.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_own") + F.col("_first")).drop("_range", "_own", "_n", "_first")
+
+
 def oversample(patches: DataFrame, ratio: float = 0.35) -> DataFrame:
     """patches (patch, has_debris) and cyclic copies of those with debris up to ``ratio`` of the original count.
 
     Copies are named ``<patch>_aug<i>``; the i-th copy is of the debris patch at i modulo their number.
     """
     n = patches.agg(F.count("*").alias("n"), F.sum(F.col("has_debris").cast("long")).alias("d")).select("d", F.greatest(F.lit(0).cast("long"), F.floor(F.col("n") * ratio) - F.col("d")).alias("extra"))
-    numbered = patches.where("has_debris").withColumn("k", F.row_number().over(Window.orderBy("patch")) - 1)
+    with_debris = numbered(patches.where("has_debris"), "patch")
     # copies of the patch at k are k, k + d, k + 2d ... below the number of extra ones
-    copies = numbered.join(F.broadcast(n), on=F.lit(True)).where("k < extra").select("patch", F.explode(F.sequence(F.col("k").cast("long"), F.col("extra") - 1, F.col("d"))).alias("i"))
+    copies = with_debris.join(F.broadcast(n), on=F.lit(True)).where("k < extra").select("patch", F.explode(F.sequence(F.col("k").cast("long"), F.col("extra") - 1, F.col("d"))).alias("i"))
     return patches.select(F.col("patch").cast("string").alias("name"), "has_debris").unionByName(copies.select(F.concat(F.col("patch").cast("string"), F.lit("_aug"), F.col("i").cast("string")).alias("name"), F.lit(True).alias("has_debris")))
 
 

@@ -104,3 +104,24 @@ def executive_summary(detections: DataFrame) -> DataFrame:
     top = detections.groupBy("polymer_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "polymer_type").limit(1).select(F.col("polymer_type").alias("dominant_polymer"))
     one = detections.agg(F.count("*").alias("clusters"), F.sum(F.coalesce("is_false_positive", F.lit(False)).cast("long")).alias("false_positives"), (F.sum("area_m2") / 1e6).alias("area_km2"), F.avg("mean_confidence").alias("mean_confidence"), F.min("detection_date").alias("detection_date"))
     return one.join(F.broadcast(top), on=F.lit(True), how="left")
+
+
+def date_window(caller: Column, first_row: Column, days: int) -> tuple[Column, Column]:
+    """(start, end) of the days up to the caller's date, else the first row's, else now; ISO texts with Z are read."""
+    end = F.coalesce(F.try_to_timestamp(caller), F.try_to_timestamp(first_row), F.current_timestamp())
+    return end - F.expr(f"interval {days} days"), end
+
+
+def with_dates(detections: DataFrame, scenes: DataFrame) -> DataFrame:
+    """detections (scene_id) with the scene's date as text; empty where the catalogue lacks the scene."""
+    dates = scenes.groupBy("scene_id").agg(F.date_format(F.min("acquired"), "yyyy-MM-dd").alias("detection_date"))
+    return detections.join(dates, "scene_id", "left").withColumn("detection_date", F.coalesce("detection_date", F.lit("")))
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)
+
+
+def write_pixels(pixels: DataFrame, path: str) -> None:
+    """Per-pixel results, a folder for each scene."""
+    pixels.write.mode("overwrite").partitionBy("scene_id").parquet(path)
