@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +25,19 @@ def cut(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one where none is named."""
     return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flotsam-shared-")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of a session whose search path lacks it, once a session."""
+    root = Path(__file__).resolve().parent.parent.parent
+    context = spark.sparkContext
+    reach = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if any(p and Path(p).resolve() == root for p in reach) or context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    folder = tempfile.mkdtemp(prefix="flotsam-package-")
+    context.addPyFile(shutil.make_archive(f"{folder}/flotsam", "zip", root, "flotsam"))
+
+
+#: Applications that have the package.
+_SHIPPED: set[str] = set()
