@@ -34,9 +34,28 @@ def _(spark, sf_dir):
     return regions(spark, sf_dir).select("source_id", G.expand_box(F.struct("lon_min", "lat_min", "lon_max", "lat_max"), GROW).alias("b")).select("source_id", "b.*")
 
 
-@register("b19_utm_to_lonlat", "scene_id:i near:b lon:d lat:d", None)
+def _utm_sql() -> str:
+    """The inverse series of the transverse Mercator projection with its constants worked out for WGS 84."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    e2 = f * (2 - f)
+    e1, ep2 = (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5), e2 / (1 - e2)
+    d = lambda v: f"{v!r}::DOUBLE"
+    series = [(2, 3 * e1 / 2 - 27 * e1**3 / 32), (4, 21 * e1**2 / 16 - 55 * e1**4 / 32), (6, 151 * e1**3 / 96), (8, 1097 * e1**4 / 512)]
+    steps = [
+        "u0 AS (SELECT o_orderkey AS scene_id, floor((o_custkey % 360) / 6.0) + 1 AS zone, (500000 + o_orderkey % 1000 * 200 - 100000)::DOUBLE AS x, abs(o_orderkey % 140 - 70) * 110000::DOUBLE AS y FROM orders)",
+        f"u1 AS (SELECT *, y / {d(k0)} / {d(a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))} AS mu FROM u0)",
+        "u2 AS (SELECT *, mu + " + " + ".join(f"{d(w)} * sin({n} * mu)" for n, w in series) + " AS phi FROM u1)",
+        f"u3 AS (SELECT *, {d(ep2)} * cos(phi) ** 2 AS c, tan(phi) ** 2 AS t, {d(a)} / sqrt(1 - {d(e2)} * sin(phi) ** 2) AS n, {d(a * (1 - e2))} / (1 - {d(e2)} * sin(phi) ** 2) ** 1.5 AS r FROM u2)",
+        f"u4 AS (SELECT *, (x - 500000) / (n * {d(k0)}) AS d FROM u3)",
+    ]
+    lat = f"phi - n * tan(phi) / r * (d ** 2 / 2 - (5 + 3 * t + 10 * c - 4 * c ** 2 - {d(9 * ep2)}) * d ** 4 / 24 + (61 + 90 * t + 298 * c + 45 * t ** 2 - {d(252 * ep2)} - 3 * c ** 2) * d ** 6 / 720)"
+    lon = f"(d - (1 + 2 * t + c) * d ** 3 / 6 + (5 - 2 * c + 28 * t - 3 * c ** 2 + {d(8 * ep2)} + 24 * t ** 2) * d ** 5 / 120) / cos(phi)"
+    return ", ".join([*steps, f"u5 AS (SELECT scene_id, zone, degrees({lon}) AS dlon, degrees({lat}) AS lat FROM u4)"])
+
+
+@register("b19_utm_to_lonlat", "scene_id:i near:b lon:d lat:d", "SELECT scene_id, abs(dlon) < 8 AS near, dlon + zone * 6 - 183 AS lon, lat FROM u5", _utm_sql())
 def _(spark, sf_dir):
-    """Points of the catalogue within a zone, as UTM by the forward series in SQL and back; ``near`` says they return."""
+    """Places within zones of the catalogue's longitudes as longitude and latitude; ``near`` says that they lie by the zone."""
     c = S.catalogue(spark, sf_dir)
     zone = F.floor((F.col("lon") + 180) / 6) + 1
     x, y = F.lit(500000.0) + F.col("scene_id") % 1000 * 200 - 100000, F.abs("lat") * 110000
