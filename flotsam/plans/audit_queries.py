@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import attribution as A  # noqa: F401
 from ..operators import audit as U
 from ..operators import catalogue as C
 from ..operators import metrics as M
 from ..sources import supplied as S
-from ..sources.session import table
+from ..sources.session import shared_folder, table
 from ..streaming import runs as live
 from .band_queries import INDICES, ruled
 from .drift_queries import ATTRIBUTED, attributed
@@ -376,8 +375,6 @@ def _(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
     name = f"live_{uuid.uuid4().hex}"
     counted = live.daily_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), late="400 days")
-    from ..sources.session import shared_folder
-
     q = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select(F.to_date("day_start").cast("string").alias("day"), "event_type", "runs")

@@ -164,7 +164,7 @@ def _(spark, sf_dir):
     return D.source_regions(D.dbscan(points(spark, sf_dir)))
 
 
-SITES = "st AS (SELECT p_partkey AS site_id, p_name AS name, p_type AS tag, (p_partkey * 11 % 360 - 180)::DOUBLE AS slon, (p_partkey * 29 % 170 - 85)::DOUBLE AS slat FROM part), tags AS (SELECT DISTINCT tag FROM st WHERE hash(tag) IS NOT NULL)"
+SITES = "st AS (SELECT p_partkey AS site_id, p_name AS name, p_type AS tag, (p_partkey * 11 % 360 - 180)::DOUBLE AS slon, (p_partkey * 29 % 170 - 85)::DOUBLE AS slat FROM part)"
 VESSELS = "va AS (SELECT event_id AS vessel_id, ts, (user_id * 7 % 360 - 180)::DOUBLE AS vlon, (event_id % 170 - 85)::DOUBLE AS vlat FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20')"
 LANES = "ln AS (SELECT n_nationkey AS lane_id, (n_nationkey * 14 - 180)::DOUBLE AS x1, (n_nationkey * 31 % 120 - 60)::DOUBLE AS y1 FROM nation)"
 _BOX = f"lon_min - {GROW} AND lon_max + {GROW}", f"lat_min - {GROW} AND lat_max + {GROW}"

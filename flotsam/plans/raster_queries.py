@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
 from ..functions import geo as G
 from ..operators import rasters as O
 from ..sources import supplied as S
