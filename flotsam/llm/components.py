@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges that a partition takes between rounds.
+PARTITION_EDGES = 100_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Every neighbour of a vertex (larger ones for a large star, smaller ones for a small star) is tied to its least.
@@ -23,7 +26,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = tied.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,12 +36,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
-    while True:
+    while True:  # a round leaves the partitions of the join before it, however few edges there are
         now = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if (now["n"], now["h"]) == state or not now["n"]:
             break
         state = (now["n"], now["h"])
-        edges = cut(_star(_star(edges, large=True), large=False))
+        edges = edges.coalesce(1 + now["n"] // PARTITION_EDGES)
+        edges = cut(_star(_star(edges, large=True), large=False).distinct())
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
 
 
