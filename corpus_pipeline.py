@@ -28,8 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without bytes of repeated 400-byte strings; a document of which nothing is left goes."""
-    return suffix_dedup.remove_repeats(docs)
+    """Texts without repeated passages of over 50 words, or 400 bytes of fewer; a document of which no word is left goes."""
+    return suffix_dedup.remove_passages(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

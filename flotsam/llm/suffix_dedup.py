@@ -6,12 +6,16 @@ windows with one anchor form a segment.  Segments are counted by key and content
 throughout, keys with one content are done, and what is left - the rims of repeated passages - is dealt by key to
 shards, each of which is sorted by induced sorting; permuted common prefixes of at least ``length`` mark the windows.
 
+``remove_passages`` looks for passages of many words, however short the words: it runs the same over texts in which every
+word is four bytes of its hash, where a passage of n words is a string of 4 n bytes.
+
 A key under which very many contents meet is split: its windows reach either far to the left or far to the right of what
 they are known to share, so they are keyed again by that longer shared part, until contents are few or all the same.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -31,6 +35,8 @@ SHARD_BYTES = 2_000_000
 #: Contents under one key that go to a shard as they are.
 KEY_CONTENTS = 500
 _BASE = 0x9E3779B97F4A7C15
+#: Bytes that stand for a word, and those of a gram of words.
+SYMBOL, WORD_GRAM = 4, 32
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +76,45 @@ def _segments(block: np.ndarray, starts: np.ndarray, length: int, gram: int, pow
     return starts[new], starts[last], anchor[new], key[anchor[new]]
 
 
-def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, content, doc_id, start, span, total, copies): the segments of every text.
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of every run outside ASCII white space, and the byte after its last."""
+    solid = _solid(np.frombuffer(data, np.uint8))
+    edges = np.diff(np.concatenate((np.zeros(1, np.int8), solid.view(np.int8), np.zeros(1, np.int8))))
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def _solid(data: np.ndarray) -> np.ndarray:
+    return (data != 32) & ((data < 9) | (data > 13))
+
+
+def word_symbols(data: bytes) -> bytes:
+    """SYMBOL bytes of hash for each word."""
+    first, last = word_bounds(data)
+    symbols, n = np.empty(len(first), np.uint64), 0
+    while n < len(first):
+        at = first[n]
+        to = int(np.searchsorted(last, at + BLOCK - 1, "right"))
+        if to <= n:  # a word longer than a block
+            symbols[n] = int.from_bytes(hashlib.sha256(data[at : last[n]]).digest()[:8], "little")
+            n += 1
+            continue
+        up, down = _word_powers()
+        part = np.frombuffer(data, np.uint8)[at : last[to - 1]].astype(np.uint64) + np.uint64(1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part * up[: len(part)], dtype=np.uint64)))
+        symbols[n:to] = _mix((sums[last[n:to] - at] - sums[first[n:to] - at]) * down[first[n:to] - at])
+        n = to
+    return (symbols >> np.uint64(32)).astype("<u4").tobytes()
+
+
+@functools.cache
+def _word_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(BLOCK)
+
+
+def _scan(docs: DataFrame, length: int, gram: int, below_words: int | None = None, by_words: bool = False) -> DataFrame:
+    """(key, content, doc_id, start, span, total, copies): the segments of every text, or of its word symbols.
+
+    ``below_words`` leaves out windows with at least so many whole words.
 
     span packs the segment's bytes and its anchor's place; where a text repeats a segment over and over with one step,
     as in runs of one character, one row stands for all ``copies`` and ``total`` covers them.
@@ -97,12 +140,21 @@ def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
         powers = _powers(BLOCK)
         for batch in batches:
             texts = [x.as_py() or b"" for x in batch.column(1)]
+            if by_words:
+                texts = [word_symbols(x) for x in texts]
             for parts in blocks(batch.column(0).to_pylist(), texts):
                 whole = b"".join(p[2] for p in parts)
                 sizes = np.array([len(p[2]) for p in parts])
                 begin = np.cumsum(sizes) - sizes
                 windows = sizes - length + 1
                 starts = np.arange(int(windows.sum())) + np.repeat(begin - (np.cumsum(windows) - windows), windows)
+                if below_words is not None:
+                    solid = _solid(np.frombuffer(whole, np.uint8))
+                    # a word begins where white space ends; all but the last of those in a window end there too
+                    begun = np.concatenate((np.zeros(2, np.int64), np.cumsum(solid[1:] & ~solid[:-1])))
+                    starts = starts[begun[starts + length] - begun[starts + 1] <= below_words]
+                    if not len(starts):
+                        continue
                 first, last, anchor, key = _segments(np.frombuffer(whole, np.uint8), starts, length, gram, powers)
                 view, digest = memoryview(whole), xxhash.xxh3_64_intdigest
                 content = np.fromiter((digest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first))
@@ -128,13 +180,14 @@ def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     small_batches(docs.sparkSession)
     schema = "key long, content long, doc_id long, start long, span long, total long, copies long"
-    return doc_bytes(docs).where(F.octet_length("data") >= length).mapInArrow(run, schema)
+    least = 2 * (length // SYMBOL) - 1 if by_words else length
+    return doc_bytes(docs).where(F.octet_length("data") >= least).mapInArrow(run, schema)
 
 
 _ROW = "key long, content long, doc_id long, start long, shared_from int, shared_to int, data binary"
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
+def _fetch(docs: DataFrame, wanted: DataFrame, gram: int, by_words: bool = False) -> DataFrame:
     """The bytes of wanted segments (key, content, doc_id, start, span), one row each."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "content", "start", "span")).alias("parts"))
 
@@ -143,6 +196,8 @@ def _fetch(docs: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
             rows: list[list] = [[] for _ in range(7)]
             for doc_id, data, parts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = data.as_py() or b""
+                if by_words:
+                    data = word_symbols(data)
                 for p in parts:
                     size, at = divmod(p["span"], 4096)
                     part = data[p["start"] : p["start"] + size]
@@ -225,14 +280,17 @@ def _shards(rows: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, start long, total long")
 
 
-def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 200) -> DataFrame:
-    """(doc_id, start, total): byte ranges whose union is every byte covered by a repeated string of ``length`` bytes."""
-    found = cut(_scan(docs, length, gram))
+def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 200, below_words: int | None = None, by_words: bool = False) -> DataFrame:
+    """(doc_id, start, total): byte ranges whose union is every byte covered by a repeated string of ``length`` bytes.
+
+    ``below_words`` counts only strings with fewer whole words; ``by_words`` takes the texts' word symbols for their bytes.
+    """
+    found = cut(_scan(docs, length, gram, below_words, by_words))
     contents = found.groupBy("key", "content").agg(F.sum("copies").alias("n"), F.min(F.struct("doc_id", "start", "span")).alias("at"))
     keys = contents.groupBy("key").agg(F.count("*").alias("contents"), F.sum("n").alias("all")).where("all > 1")
     contents = cut(contents.join(keys, "key").select("key", "content", "n", "contents", "at.*"))
     covered = found.join(contents.where("n > 1").select("key", "content"), ["key", "content"]).select("doc_id", "start", "total")
-    rows = cut(_fetch(docs, contents.where("contents > 1").select("key", "content", "doc_id", "start", "span"), gram))
+    rows = cut(_fetch(docs, contents.where("contents > 1").select("key", "content", "doc_id", "start", "span"), gram, by_words))
     hot = contents.where(F.col("contents") > KEY_CONTENTS).select("key").distinct()
     ranges = [covered, _shards(rows.join(hot, "key", "left_anti"), length)]
     rows = rows.join(hot, "key", "left_semi")
@@ -325,3 +383,42 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200) -> DataF
     ranges = repeated_ranges(docs, length, gram)
     merged = _merged(docs.withColumn("text", F.col("text").cast("binary")), ranges)
     return merged.mapInArrow(run, docs.schema)
+
+
+def _word_spans(data: bytes, ranges: list[dict] | None, words: int) -> list[dict]:
+    """The bytes from the first to the last of the whole words in each merged range of symbols, if there are ``words``."""
+    if not ranges:
+        return []
+    first, last = word_bounds(data)
+    spans = []
+    for a, b in kept_bytes(bytes(SYMBOL * len(first)), ranges)[1]:
+        a, b = -(-a // SYMBOL), b // SYMBOL
+        if b - a >= words:
+            spans.append({"start": int(first[a]), "total": int(last[b - 1] - first[a])})
+    return spans
+
+
+def remove_passages(docs: DataFrame, words: int = 51, length: int = 400, gram: int = 200) -> DataFrame:
+    """``docs`` without passages of at least ``words`` words, or ``length`` bytes of fewer words, that stand elsewhere too.
+
+    Words are runs outside ASCII white space; passages are the same words, whatever white space parts them, so of a
+    repeated string of bytes parts of words may stay at its ends where it holds ``words`` whole ones.  All copies go, as
+    in ``remove_repeats``, and so do documents of which no word is left; null and empty texts stay as they are.
+    """
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts, keep = [], []
+            for data, ranges, symbols in zip(batch.column(at), *(batch.column(len(columns) + k).to_pylist() for k in (0, 1)), strict=True):
+                data = data.as_py()
+                spans = [*(ranges or []), *_word_spans(data or b"", symbols, words)]
+                texts.append(None if data is None else kept_bytes(data, spans)[0].decode("utf-8", "ignore") if spans else data.decode("utf-8", "replace"))
+                keep.append(not spans or bool(texts[-1].strip(" \t\n\v\f\r")))
+            arrays = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(columns))]
+            yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep, pa.bool_()))
+
+    by_words = repeated_ranges(docs, SYMBOL * words, WORD_GRAM, by_words=True)
+    merged = _merged(docs.withColumn("text", F.col("text").cast("binary")), repeated_ranges(docs, length, gram, below_words=words))
+    return _merged(merged, by_words).mapInArrow(run, docs.schema)

@@ -119,6 +119,38 @@ def test_repeated_strings_like_brute_force(spark, monkeypatch, contents):
     assert got == dict(enumerate(brute_repeats(texts, 40)))
 
 
+def brute_passages(texts, words, length):
+    """Texts without passages, by all windows of words and then those of bytes with fewer whole words."""
+    spans = [[m.span() for m in re.finditer(rb"[^ \t\n\v\f\r]+", (t or "").encode())] for t in texts]
+    data, seen = [(t or "").encode() for t in texts], {}
+    for k, (t, w) in enumerate(zip(data, spans, strict=True)):
+        for i in range(len(w) - words + 1):
+            seen.setdefault(tuple(t[a:b] for a, b in w[i : i + words]), []).append((k, w[i][0], w[i + words - 1][1]))
+        for a in range(len(t) - length + 1):
+            part = t[a : a + length]
+            if len(re.findall(rb"(?<=[ \t\n\v\f\r])[^ \t\n\v\f\r]", part)) <= words:
+                seen.setdefault(part, []).append((k, a, a + length))
+    gone = [bytearray(len(t)) for t in data]
+    for places in seen.values():
+        for k, a, b in places if len(places) > 1 else ():
+            gone[k][a:b] = b"\1" * (b - a)
+    kept = [bytes(x for x, g in zip(t, g, strict=True) if not g).decode("utf-8", "ignore") for t, g in zip(data, gone, strict=True)]
+    return {k: t if t is None else kept[k] for k, t in enumerate(texts) if not any(gone[k]) or kept[k].strip(" \t\n\v\f\r")}
+
+
+def test_passages_of_over_50_words_go_however_short(spark):
+    texts = list(ODD)
+    for n, letters in ((50, 2), (51, 1), (51, 3), (54, 5), (62, 5), (30, 20)):  # one line, in otherwise different documents
+        rng = random.Random(n * letters)
+        passage = " ".join("".join(rng.choices("abcdefghij", k=letters)) for _ in range(n))
+        texts += [" ".join((*words(90, f"{n} {letters} {side}"), passage, *words(80, f"{n} {letters} {side} end"))) for side in range(2)]
+    texts += ["x " + "y" * 450, "z" + "y" * 420 + " z"]
+    got = {r.doc_id: r.text for r in suffix_dedup.remove_passages(table(spark, texts)).collect()}
+    assert got == brute_passages(texts, 51, 400)
+    left = [len(got[k].split()) for k in range(len(ODD), len(ODD) + 12, 2)]
+    assert left == [220, 170, 170, 170, 170, left[-1]] and left[-1] < 180
+
+
 def test_line_runs_like_sql(spark, documents):
     import duckdb
 
