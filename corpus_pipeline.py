@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flotsam.llm import langid_cnn, line_dedup, minhash_join, packing, suffix_dedup
 from flotsam.llm.common import cut, table
@@ -21,8 +22,23 @@ def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.remove_runs(docs)
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each (doc_id, text); only rows whose doc_id stands more than once are compared."""
+    again = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return docs
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    least = docs.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0), *others)).alias("least"))
+    once = least.select(*(c if c in ("doc_id", "text") else F.col("least")[c].alias(c) for c in docs.columns))
+    return docs.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near copies (five-word shingles, similarity 0.8)."""
+    """The document with the least doc_id of each group of near copies (five-word shingles, similarity 0.8).
+
+    Of rows that repeat both doc_id and text one stays; rows that share a doc_id alone are parts of one document.
+    """
+    docs = one_of_each(docs)
     found = minhash_join.near_duplicates(docs)
     return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 

@@ -327,3 +327,42 @@ def test_pipeline_stages(spark, documents):
             docs = out.cache()
             assert 0 < docs.count()
     assert out.columns[:3] == ["doc_id", "piece", "start"]
+
+
+def brute_lines(docs):
+    """Texts by doc_id without lines of runs of two that stand earlier; null where nothing is left."""
+    seen, out = set(), {}
+    for doc_id in sorted(docs):
+        lines = docs[doc_id].split("\n")
+        solid = [k for k, line in enumerate(lines) if line.strip(" \t\r\f\x0b")]
+        gone = set()
+        for a, b in zip(solid, solid[1:], strict=False):
+            pair = (lines[a], lines[b])
+            gone |= {a, b} if pair in seen else set()
+            seen.add(pair)
+        if not gone or len(gone) < len(solid):
+            out[doc_id] = "\n".join(line for k, line in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_pipeline_with_repeated_rows_like_brute_force(spark, documents, tmp_path):
+    import corpus_pipeline
+
+    docs = documents.where(F.length("text") < 3000).orderBy("doc_id").limit(60)
+    twice = docs.where(F.octet_length("text") > 500)
+    assert twice.count() > 5
+    docs.unionByName(twice).unionByName(twice).write.parquet(f"{tmp_path}/documents.parquet")
+    known = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    texts = brute_lines({r.doc_id: r.text for r in langid_cnn.keep_identified(known).collect()})
+    ids = sorted(texts)
+    near = brute_links([texts[k] for k in ids], 5, 80)
+    ids = [k for at, k in enumerate(ids) if near[at][2]]
+    left = {ids[k]: t for k, t in brute_passages([texts[k] for k in ids], 51, 400).items()}
+    assert sum(r.doc_id in left for r in twice.collect()) > 3
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    want = []
+    for doc_id, text in left.items():
+        tokens = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        want += [(doc_id, a // 4096, len(tokens[a : a + 4096]), zlib.crc32(tokens[a : a + 4096].tobytes())) for a in range(0, len(tokens), 4096)]
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "length", "ids_crc32").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
