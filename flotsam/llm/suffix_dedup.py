@@ -37,6 +37,8 @@ KEY_CONTENTS = 500
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes that stand for a word, and those of a gram of words.
 SYMBOL, WORD_GRAM = 4, 32
+#: As SHARD_BYTES, for passages, where two kinds of shards are sorted.
+PASSAGE_SHARD_BYTES = 750_000
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +241,7 @@ def _split(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, _ROW)
 
 
-def _shards(rows: DataFrame, length: int) -> DataFrame:
+def _shards(rows: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     """(doc_id, start, total): the repeated ranges within the rows of each key, by suffix arrays of whole keys."""
 
     def mark(ids: list, starts: list, parts: list[bytes]) -> pa.RecordBatch:
@@ -265,7 +267,7 @@ def _shards(rows: DataFrame, length: int) -> DataFrame:
         ids, starts, parts, size, last = [], [], [], 0, None
         for batch in batches:
             for key, doc_id, start, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != last and size >= SHARD_BYTES:
+                if key != last and size >= shard_bytes:
                     yield mark(ids, starts, parts)
                     ids, starts, parts, size = [], [], [], 0
                 last = key
@@ -280,7 +282,7 @@ def _shards(rows: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, start long, total long")
 
 
-def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 200, below_words: int | None = None, by_words: bool = False) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 200, below_words: int | None = None, by_words: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, start, total): byte ranges whose union is every byte covered by a repeated string of ``length`` bytes.
 
     ``below_words`` counts only strings with fewer whole words; ``by_words`` takes the texts' word symbols for their bytes.
@@ -292,7 +294,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 200, below_w
     covered = found.join(contents.where("n > 1").select("key", "content"), ["key", "content"]).select("doc_id", "start", "total")
     rows = cut(_fetch(docs, contents.where("contents > 1").select("key", "content", "doc_id", "start", "span"), gram, by_words))
     hot = contents.where(F.col("contents") > KEY_CONTENTS).select("key").distinct()
-    ranges = [covered, _shards(rows.join(hot, "key", "left_anti"), length)]
+    ranges = [covered, _shards(rows.join(hot, "key", "left_anti"), length, shard_bytes)]
     rows = rows.join(hot, "key", "left_semi")
     while True:
         rows = cut(_split(rows, length))
@@ -304,7 +306,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 200, below_w
         whole = F.octet_length("data").cast("long").alias("total")
         ranges.append(rows.join(groups.where("n > 1").select("key", "content"), ["key", "content"]).select("doc_id", "start", whole))
         one_each = rows.join(groups.where("contents > 1").select("key", "content", "doc_id", "start", "contents"), ["key", "content", "doc_id", "start"])
-        ranges.append(_shards(one_each.where(F.col("contents") <= KEY_CONTENTS).select(*rows.columns), length))
+        ranges.append(_shards(one_each.where(F.col("contents") <= KEY_CONTENTS).select(*rows.columns), length, shard_bytes))
         rows = one_each.where((F.col("contents") > KEY_CONTENTS) & (F.col("shared_to") - F.col("shared_from") < length)).select(*rows.columns)
     out = ranges[0]
     for more in ranges[1:]:
@@ -419,6 +421,7 @@ def remove_passages(docs: DataFrame, words: int = 51, length: int = 400, gram: i
             arrays = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    by_words = repeated_ranges(docs, SYMBOL * words, WORD_GRAM, by_words=True)
-    merged = _merged(docs.withColumn("text", F.col("text").cast("binary")), repeated_ranges(docs, length, gram, below_words=words))
+    by_words = cut(repeated_ranges(docs, SYMBOL * words, WORD_GRAM, by_words=True, shard_bytes=PASSAGE_SHARD_BYTES))
+    by_bytes = cut(repeated_ranges(docs, length, gram, below_words=words, shard_bytes=PASSAGE_SHARD_BYTES))
+    merged = _merged(docs.withColumn("text", F.col("text").cast("binary")), by_bytes)
     return _merged(merged, by_words).mapInArrow(run, docs.schema)
