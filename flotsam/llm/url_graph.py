@@ -2,7 +2,7 @@
 
 Trust starts at hosts with pages that rules allow and follows the edges; distrust starts at hosts with pages that rules
 block and follows them backwards.  Edges are the absolute links between hosts and, in both directions, the steps between
-a host and the domain that it belongs to.  Both are personalised PageRanks, run together for a fixed number of rounds.
+a host and the domain that it belongs to.  Both are personalised PageRanks, run together until they stand still.
 """
 
 from __future__ import annotations
@@ -14,12 +14,18 @@ from .common import cut
 
 #: (verdict, host and path prefix)
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Rounds of propagation, the share that moves on in each, the distrust share from which a host is blocked, and the
+#: Rounds of propagation between looks at the scores (and in the SQL, which writes out so many), the share that moves on in each, the distrust share from which a host is blocked, and the
 #: labels of a domain below which no parent is taken.
 ROUNDS, DAMPING, THRESHOLD, LEAST_LABELS = 8, 0.85, 0.5, 2
+#: Scores stand still when a look finds no new host, their summed change under the first, and none changed by more than
+#: the second of itself.  A host's distrust must exceed its limit by LEAST_LEAD of the host's scores.
+TOLERANCE, OWN_TOLERANCE, LEAST_LEAD = 1e-9, 1e-6, 1e-9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"(?i)(?:href|src)\s*=\s*[\"']?[a-z][a-z0-9+.-]*://([^/?#\"'\s>]+)"
 
+#: As _LINK, and links without a scheme.
+_ANY_LINK = _LINK.replace("[a-z][a-z0-9+.-]*://", "(?:[a-z][a-z0-9+.-]*:)?//")
+
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host with A-Z lower-cased, and path; both empty for null and for a url without ``://``."""
@@ -48,7 +54,7 @@ def judged_by_rules(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def host_edges(judged: DataFrame) -> DataFrame:
     """Distinct edges (src, dst) between different hosts: links, and host to parent domain and back."""
-    links = judged.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), 1)).alias("to"))
+    links = judged.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_ANY_LINK), 1)).alias("to"))
     links = links.select("src", F.translate("to", _UPPER, _LOWER).alias("dst")).distinct()
     hosts = judged.select(F.col("host").alias("h")).unionByName(links.select(F.col("dst").alias("h"))).where("h <> ''").distinct()
     labels = F.split("h", r"\.", -1)
@@ -72,12 +78,17 @@ def host_scores(judged: DataFrame) -> DataFrame:
     back = edges.join(into, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(False).alias("trusts"), (DAMPING / F.col("n")).alias("share"))
     flow = cut(forward.unionByName(back))
     teleport = seeds.select("host", "trusts", (F.col("start") * (1 - DAMPING)).alias("score"))
-    state = teleport
-    for k in range(ROUNDS):
-        sent = flow.join(state, ["host", "trusts"]).select(F.col("to").alias("host"), "trusts", (F.col("score") * F.col("share")).alias("score"))
-        state = sent.unionByName(teleport).groupBy("host", "trusts").agg(F.sum("score").alias("score"))
-        if k % 4 == 3:
-            state = cut(state)
+    state, still = cut(teleport), False
+    while not still:
+        before = state
+        for _ in range(ROUNDS):
+            sent = flow.join(state, ["host", "trusts"]).select(F.col("to").alias("host"), "trusts", (F.col("score") * F.col("share")).alias("score"))
+            state = sent.unionByName(teleport).groupBy("host", "trusts").agg(F.sum("score").alias("score"))
+        state = cut(state)
+        change = F.abs(F.col("score") - F.coalesce("old", F.lit(0.0)))
+        looked = state.join(before.withColumnRenamed("score", "old"), ["host", "trusts"], "left")
+        total, own, new = looked.agg(F.sum(change), F.max(change / F.col("score")), F.count_if(F.col("old").isNull())).first()
+        still = not new and (total or 0) < TOLERANCE and (own or 0) < OWN_TOLERANCE
     both = state.groupBy("host").agg(F.sum(F.when(F.col("trusts"), F.col("score"))).alias("trust"), F.sum(F.when(~F.col("trusts"), F.col("score"))).alias("distrust"))
     return both.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
@@ -91,7 +102,8 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) ->
     """
     judged = judged_by_rules(pages, rules)
     scores = host_scores(judged)
-    worse = F.round(F.col("distrust") - threshold * (F.col("trust") + F.col("distrust")), 12) > 0
+    total = F.col("trust") + F.col("distrust")
+    worse = F.col("distrust") - threshold * total > LEAST_LEAD * total
     verdicts = scores.select("host", F.when(worse, "block").otherwise("allow").alias("method"))
     out = judged.drop("html").join(verdicts, "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", "method", F.lit("allow")).alias("verdict"))

@@ -293,6 +293,18 @@ def test_urls(spark):
     assert url_graph.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_url_scores_stand_still_on_a_long_chain(spark):
+    names = [f"c{k}.org" for k in range(30)] + ["y.net"]
+    rows = [(k, f"http://{a}/q", f'<a href="{"" if k % 2 else "http:"}//{b}/">x</a>') for k, (a, b) in enumerate(zip(names, names[1:], strict=False))]
+    pages = spark.createDataFrame([*rows, (99, "http://y.net/es/1", "")], "page_id long, url string, html string")
+    assert {r.verdict for r in url_graph.filter_urls(pages).collect()} == {"block"}
+    scores = {r.host: r.distrust for r in url_graph.host_scores(url_graph.judged_by_rules(pages)).collect()}
+    assert [scores[h] for h in reversed(names)] == pytest.approx([0.15 * 0.85**k for k in range(31)], rel=1e-9)
+    loop = spark.createDataFrame([(0, "http://y.net/es/1", '<a href="http://a.org/">'), (1, "http://a.org/", '<a href="//y.net/">')], "page_id long, url string, html string")
+    scores = {r.host: r.distrust for r in url_graph.host_scores(url_graph.judged_by_rules(loop)).collect()}
+    assert scores == pytest.approx({"y.net": 0.15 / (1 - 0.85**2), "a.org": 0.15 * 0.85 / (1 - 0.85**2)}, rel=1e-6)
+
+
 def test_pages():
     assert html_layout.render("<ul><li>a<li>b<ol><li>x</ol></ul><table><tr><td>1<td>22<tr><th>333<td>4</table>") == "- a\n- b\n  1. x\n\n1    22\n333  4"
     assert html_layout.render("<style>.h{display:none}</style><p class=h>no<p hidden>no<p style='visibility:hidden'>no<p>yes<br>l2") == "yes\nl2"
