@@ -1,9 +1,10 @@
-"""Removal of repeated line runs by prefix doubling over the corpus' line sequences.
+"""Removal of repeated line runs by shingles of lines.
 
-The suffix order of line sequences is built distributed: at depth d every position carries the name of the class of
-positions whose next d lines are the same, the name being the class's first position.  Doubling joins a position's name
-with the name d lines on and names the pairs.  A class of two or more positions is an interval of the suffix array with a
-common prefix of at least d lines.  Positions alone in their class leave, so each round works on what is still repeated.
+Every position carries the name of the class of positions whose next d lines are the same, the name being the class's
+first position.  A position's name is joined with the name some lines on and the pairs are named, until d is the least
+length of a run: with runs of two lines that is one step, a match of two-line shingles.  No suffix order, common prefixes
+or intervals of maximal runs are built; a longer run is the union of its shingles, so the same lines go.  Positions alone
+in their class leave.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import cut, fresh, small_batches
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(doc_id, at, name_doc, name_at) of the positions that share their keys with another one.
 
-    Counts are summed before the shuffle and joined back, so a very frequent line never meets in a task.
+    Counts are summed before the shuffle; in the join back the positions of one very frequent line meet in a task.
     """
     classes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where("n > 1")
     classes = classes.select(*keys, F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"))
