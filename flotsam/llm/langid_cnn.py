@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import fresh, small_batches
+from .common import cut, fresh, small_batches
 
 #: Bytes in a window, filter widths, filters of each width, size of a byte's vector.
 WINDOW, WIDTHS, FILTERS, VECTOR = 256, (2, 3, 4), 16, 8
@@ -122,19 +123,24 @@ def held_out() -> Column:
 
 
 def train(docs: DataFrame, max_documents: int = 2400, windows_each: int = 4) -> Model | None:
-    """A model from at most ``max_documents`` labelled rows that are not held out; None without any.
+    """A model from labelled rows that are not held out; None without any.
 
-    Of each sampled text ``windows_each`` windows at hashed places are taken, so the driver gets a bounded number of
-    bytes.  Only text and lang are used.
+    Every language of such rows is learnt, from an equal part of ``max_documents`` rows, at least one: distinct texts, the
+    lowest hashes first.  Of each text ``windows_each`` windows at hashed places are taken, so the driver gets a bounded
+    number of bytes.  Only text and lang are used.
     """
     data = F.col("text").cast("binary")
     room = F.greatest(F.octet_length(data) - WINDOW, F.lit(0)) + 1
     windows = F.array(*(F.substring(data, F.pmod(F.xxhash64("doc_id", F.lit(k)), room).cast("int") + 1, F.lit(WINDOW)) for k in range(windows_each)))
-    known = docs.where(F.col("lang").isNotNull() & ~held_out()).withColumn("h", F.xxhash64("doc_id"))
-    # hashes below a bound that lets half as many again pass, so that partitions send few rows however many there are
-    share = min(1.0, 1.5 * max_documents / max(1, known.count()))
-    known = known.where((F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))) & F.col("text").rlike(r"\p{L}"))
-    rows = known.select("h", "doc_id", "lang", windows.alias("windows")).orderBy("h", "doc_id", "lang").limit(max_documents).collect()
+    known = docs.where(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    texts = cut(known.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id")))
+    counts = texts.groupBy("lang").agg(F.count("*").alias("n"))
+    each = max(1, max_documents // max(1, counts.count()))
+    # hashes below a bound that lets half as many again pass, so that a language's task gets few rows
+    low = F.pmod("h", F.lit(1 << 30))
+    few = texts.join(F.broadcast(counts), "lang").where(low < (1.5 * each + 50) / F.col("n") * (1 << 30))
+    chosen = few.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(low, "h"))).where(F.col("at") <= each).select("lang", "h", "doc_id")
+    rows = known.join(F.broadcast(chosen), ["lang", "h", "doc_id"]).select("h", "doc_id", "lang", windows.alias("windows")).distinct().orderBy("h", "doc_id", "lang").collect()
     if not rows:
         return None
     languages = sorted({r["lang"] for r in rows})

@@ -281,6 +281,15 @@ def test_language_on_held_out_rows(documents):
     assert right >= 0.9 * n
 
 
+def test_rare_languages_are_learnt(spark, monkeypatch):
+    rows = [(k, "same text" if k % 3 else " ".join(words(9, k)), "en") for k in range(900)] + [(1000 + k, f"zzz yyy {k}", "rare") for k in range(9)]
+    taken = {}
+    monkeypatch.setattr(langid_cnn, "fit", lambda x, y, languages: taken.update(x=x, n=np.bincount(y).tolist(), languages=languages))
+    langid_cnn.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_documents=40, windows_each=1)
+    assert taken["languages"] == ["en", "rare"] and taken["n"][0] == 20 and 0 < taken["n"][1] <= 9
+    assert len(np.unique(taken["x"], axis=0)) == sum(taken["n"])
+
+
 def test_urls(spark):
     urls = [None, "nothing", "HTTP://WWW.Example.com/en/1?x#y", "https://a.example.com/en/", "http://x.com", "http://x.com/", "http://y.net/es/1", "http://y.net/de/1", "http://z.org/q"]
     html = [None] * 7 + ['<a href="http://q.org/">q</a>', "<a href='https://X.com/1'>x</a>"]
