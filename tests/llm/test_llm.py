@@ -387,3 +387,23 @@ def test_pipeline_with_repeated_rows_like_brute_force(spark, documents, tmp_path
         want += [(doc_id, a // 4096, len(tokens[a : a + 4096]), zlib.crc32(tokens[a : a + 4096].tobytes())) for a in range(0, len(tokens), 4096)]
     got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "length", "ids_crc32").collect()
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_accuracies_of_planted_votes(spark):
+    rng = np.random.default_rng(3)
+    right = np.array([0.95, 0.9, 0.85, 0.8, 0.9, 0.75, 0.95, 0.7, 0.85])
+    good = rng.random(20000) < 0.8
+    votes = np.where(rng.random((20000, 9)) < right, good[:, None], ~good[:, None]).astype(float)
+    votes[rng.random(votes.shape) < 0.3] = np.nan
+    rows = [[None if np.isnan(v) else int(v) for v in r] for r in votes]
+    voted = spark.createDataFrame(rows, ", ".join(f"v_{name} int" for name, _, _ in quality_em.RULES))
+    share, rates = quality_em.estimate(voted)
+    assert share == pytest.approx(0.8, abs=0.02) and rates == pytest.approx(right.tolist(), abs=0.02)
+
+
+def test_posterior_rejects_what_the_base_keeps(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    found = quality_em.judge(docs).join(labels, "doc_id").where("not base_failed")
+    n = {(r.quality, r.kept): r.n for r in found.groupBy("quality", "kept").agg(F.count("*").alias("n")).collect()}
+    assert n[0, False] >= 20 * n.get((0, True), 0) and n[0, False] > 10 and n.get((1, False), 0) <= 0.01 * n[1, True]
