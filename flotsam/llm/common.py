@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,20 +18,85 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts cross to Python in batches of BATCH_ROWS rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Whole texts cross to Python in batches of BATCH_ROWS rows at most; the session keeps that bound, or a smaller one of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one in local mode."""
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if known is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        known = tempfile.mkdtemp(prefix="flotsam-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(known)
+    return known
+
+
+#: Rows that a partition of a small table takes, and the counts from which a key is hot: over LEAST_HOT rows, and over one
+#: in HOT_KEYS of all, so that there are never more than HOT_KEYS such keys.
+PARTITION_ROWS, LEAST_HOT, HOT_KEYS = 200_000, 1000, 1000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows read back from the shared checkpoint folder, so that a lost executor costs no recomputation.
+    """The same rows read back from the shared checkpoint folder, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut`` for tables of narrow rows, and their number: few rows come back in few partitions."""
+    df = cut(df)
+    n = df.count()
+    return df.coalesce(1 + n // PARTITION_ROWS), n
+
 
-    The folder is the session's spark.checkpoint.dir; where that is unset (local tests) a new temporary folder is used.
+class Rounds:
+    """The state of an iteration as tables in the shared folder: each is written, then the one before it deleted."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.k = spark, f"{shared_folder(spark).rstrip('/')}/flotsam-rounds-{uuid.uuid4().hex}", 0
+
+    def next(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.k}"
+        df.write.parquet(path)
+        if self.k:
+            self._delete(f"{self.folder}/{self.k - 1}")
+        self.k += 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """``cut`` of the outcome; the state goes."""
+        df = cut(df)
+        self._delete(self.folder)
+        return df
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spread_join(rows: DataFrame, one_each: DataFrame, keys: list[str], by: list[str], total: int, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
+    """``rows`` (``total`` of them) joined with ``one_each``, which has one row a key, without a task for a hot key.
+
+    The rows of a hot key are dealt over tasks by a hash of their columns ``by``, and its row in ``one_each`` is repeated
+    for each.  The list of hot keys, at most HOT_KEYS rows, is broadcast.  ``sizes`` has the keys and their counts n, if
+    these are known.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="flotsam-checkpoint-"))
-    return df.checkpoint()
+    least = max(LEAST_HOT, total // HOT_KEYS)
+    if total <= least:
+        return rows.join(one_each, keys, how)
+    hot = (rows.groupBy(*keys).agg(F.count("*").alias("n")) if sizes is None else sizes).where(F.col("n") > least)
+    hot = F.broadcast(hot.select(*keys, F.ceil(F.col("n") / least).cast("long").alias("salts")))
+    salt = F.pmod(F.xxhash64(*by), F.coalesce("salts", F.lit(1)))
+    dealt = rows.join(hot, keys, "left").withColumn("salt", salt).drop("salts")
+    salts = F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)
+    repeated = one_each.join(hot, keys, "left").withColumn("salt", F.explode(salts)).drop("salts")
+    return dealt.join(repeated, [*keys, "salt"], how).drop("salt")
 
 
 def doc_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

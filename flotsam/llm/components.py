@@ -5,28 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import PARTITION_ROWS, Rounds, counted, spread_join
 
-#: Edges that a partition takes between rounds.
-PARTITION_EDGES = 100_000
 
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     """Every neighbour of a vertex (larger ones for a large star, smaller ones for a small star) is tied to its least.
 
-    The least is found by a group with partial sums and joined back, so the neighbours of a hub never meet in a task.
+    The least is found by a group with partial sums and joined back; the neighbours of a hub are dealt over tasks there.
     """
     if large:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    tied = near.join(least, "a")
+    tied = spread_join(near, least, ["a"], ["b"], 2 * n if large else n)
     if large:
         out = tied.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b")
+    return out.where("a <> b").coalesce(1 + 2 * n // PARTITION_ROWS)  # few edges leave few partitions
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,25 +31,25 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops and repeated edges have no effect; null ends are ignored; no edges give an empty table.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:  # a round leaves the partitions of the join before it, however few edges there are
+    rounds, state = Rounds(edges.sparkSession), None
+    edges = rounds.next(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while True:
         now = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if (now["n"], now["h"]) == state or not now["n"]:
             break
         state = (now["n"], now["h"])
-        edges = edges.coalesce(1 + now["n"] // PARTITION_EDGES)
-        edges = cut(_star(_star(edges, large=True), large=False).distinct())
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+        edges = rounds.next(_star(_star(edges, True, now["n"]), False, now["n"]).distinct())
+    roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component"))
+    return rounds.last(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots).distinct()).coalesce(1 + 2 * now["n"] // PARTITION_ROWS)
 
 
 def extended(found: DataFrame, links: DataFrame) -> DataFrame:
     """The components ``found`` (id, component) joined further by links (a, b): only their roots are worked on."""
     root = lambda end: found.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
-    links = cut(links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b"))
-    if links.isEmpty():
+    links, n = counted(links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b"))
+    if not n:
         return found
     upper = components(links)
     alone = upper.join(found.select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
     moved = upper.select(F.col("id").alias("component"), F.col("component").alias("to"))
-    return cut(found.unionByName(alone).join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+    return counted(found.unionByName(alone).join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")))[0]

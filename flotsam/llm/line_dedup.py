@@ -1,10 +1,11 @@
-"""Removal of repeated line runs by shingles of lines.
-
-Every position carries the name of the class of positions whose next d lines are the same, the name being the class's
-first position.  A position's name is joined with the name some lines on and the pairs are named, until d is the least
-length of a run: with runs of two lines that is one step, a match of two-line shingles.  No suffix order, common prefixes
-or intervals of maximal runs are built; a longer run is the union of its shingles, so the same lines go.  Positions alone
-in their class leave.
+"""Removal of repeated line runs with suffix order by prefix doubling.
+
+Lines become ids, and ``rank_tables`` ranks the runs of 1, 2, 4, ... lines at every place where they stand twice: the pair
+of a place's rank and of the rank as many lines on is the key of a class, and classes in the order of their keys get rising
+ranks.  A class of a table is an interval of the suffix array in which so many lines are common.  Doubling ends when no
+class has two places.  ``earlier_copies`` takes for each place the first place of its last class and walks back through
+the tables, from long runs to short ones, for the exact common prefix of the two: the longest run there that goes on
+being the same.  Later copies of such runs are removed.
 """
 
 from __future__ import annotations
@@ -17,60 +18,110 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, fresh, small_batches
+from .common import counted, fresh, small_batches, spread_join
+
+PLACE = ["doc_id", "at"]
 
 
-def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(doc_id, at, name_doc, name_at) of the positions that share their keys with another one.
+def _ranked(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """(doc_id, at, rank, first_doc, first_at) of the places that share their keys with another one, and their number.
 
-    Counts are summed before the shuffle; in the join back the positions of one very frequent line meet in a task.
+    Ranks rise with the keys: they are the row ids of the sorted classes.  first is the class's least place.  Counts are
+    summed before the shuffle, and the places of one very frequent line are dealt over tasks in the join back.
     """
-    classes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where("n > 1")
-    classes = classes.select(*keys, F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"))
-    return rows.join(classes, keys).select("doc_id", "at", F.col("first_doc").alias("name_doc"), F.col("first_at").alias("name_at"))
+    classes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).where("n > 1").orderBy(*keys)
+    classes, _ = counted(classes.select(*keys, "n", F.monotonically_increasing_id().alias("rank"), F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at")))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    found = spread_join(rows, classes.drop("n"), keys, PLACE, total, sizes=classes.select(*keys, "n"))
+    return counted(found.select(*PLACE, "rank", "first_doc", "first_at"))
+
+
+def _ahead(table: DataFrame, lines: int) -> DataFrame:
+    """(doc_id, at, own, next): a place's rank and that of the place ``lines`` lines on, where both have one."""
+    place = Window.partitionBy("doc_id").orderBy("at").rangeBetween(lines, lines)
+    return table.select(*PLACE, F.col("rank").alias("own"), F.max("rank").over(place).alias("next")).where("next is not null")
 
 
-def later_copies(docs: DataFrame, min_lines: int = 2) -> DataFrame:
-    """(doc_id, at, name_doc, name_at): starts of runs of ``min_lines`` lines that stand earlier at (name_doc, name_at).
+def rank_tables(docs: DataFrame) -> list[DataFrame]:
+    """For runs of 1, 2, 4, ... non-blank lines: (doc_id, at, rank, first_doc, first_at) where a run stands that stands elsewhere too.
 
-    Lines are numbered from 0 without blank ones.  Earlier means a smaller doc_id, or a smaller line in one document.
+    Lines are numbered from 0 without blank ones.  Doubling ends when no run is left.
     """
     lines = F.filter(F.split("text", "\n", -1), lambda line: F.trim(line, F.lit(" \t\r\f\x0b")) != "")
-    rows = docs.select("doc_id", F.posexplode(lines).alias("at", "line")).select("doc_id", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.reverse("line")).alias("h2"))
-    rows = _named(rows, ["h1", "h2"])
-    depth = 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        ahead = Window.partitionBy("doc_id").orderBy("at").rangeBetween(step, step)
-        rows = cut(rows)
-        joined = rows.select("*", F.max(F.struct("name_doc", "name_at")).over(ahead).alias("next")).where("next is not null")
-        rows = _named(joined.select("doc_id", "at", "name_doc", "name_at", F.col("next.name_doc").alias("next_doc"), F.col("next.name_at").alias("next_at")), ["name_doc", "name_at", "next_doc", "next_at"])
-        depth += step
-    return rows.where((F.col("doc_id") != F.col("name_doc")) | (F.col("at") != F.col("name_at")))
-
-
-def kept_lines(text: str, starts: list[int] | None, min_lines: int) -> tuple[str, int, int, int]:
+    rows = docs.select("doc_id", F.posexplode(lines).alias("at", "line")).select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.reverse("line")).alias("h2"))
+    table, n = _ranked(rows, ["h1", "h2"])
+    table = table.groupBy(*PLACE).agg(F.max(F.struct("rank", "first_doc", "first_at")).alias("of")).select(*PLACE, "of.*")  # rows may repeat a doc_id
+    tables, depth = [], 1
+    while n:
+        tables.append(table)
+        table, n = _ranked(_ahead(table, depth), ["own", "next"])
+        depth *= 2
+    return tables
+
+
+def earlier_copies(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+    """(doc_id, at, lines, from_doc, from_at): places where a run of at least ``min_lines`` lines starts that stands earlier.
+
+    lines is all that the place and the earlier one have in common.  Earlier means a smaller doc_id, or a smaller line in
+    one document.  The first place of the longest class is the earlier one; the tables of shorter runs then add to the
+    length, each at most once, as with twice as many lines in common the place would be in a class of longer runs.
+    """
+    tables, top = rank_tables(docs), min_lines.bit_length() - 1
+    schema = "doc_id long, at int, lines int, from_doc long, from_at int"
+    if len(tables) <= top:
+        return docs.sparkSession.createDataFrame([], schema)
+    if min_lines > 1 << top:  # a class of min_lines lines has the same ranks at its start and before its end
+        least, n = _ranked(_ahead(tables[top], min_lines - (1 << top)), ["own", "next"])
+    else:
+        least = tables[top]
+    found, n = docs.sparkSession.createDataFrame([], schema), 0
+    for level in range(len(tables) - 1, -1, -1):
+        table = tables[level]
+        if n:
+            ends = table.select("doc_id", F.col("at").alias("end"), F.col("rank").alias("own"))
+            theirs = table.select(F.col("doc_id").alias("from_doc"), F.col("at").alias("from_end"), F.col("rank").alias("theirs"))
+            found = found.withColumns({"end": F.col("at") + F.col("lines"), "from_end": F.col("from_at") + F.col("lines")}).join(ends, ["doc_id", "end"], "left")
+            found = spread_join(found, theirs, ["from_doc", "from_end"], PLACE, n, "left")
+            more = F.when(F.col("own") == F.col("theirs"), 1 << level).otherwise(0)
+            found = found.select(*PLACE, (F.col("lines") + more).alias("lines"), "from_doc", "from_at")
+        if level >= top:
+            seeds = (least if level == top else table).where((F.col("doc_id") != F.col("first_doc")) | (F.col("at") != F.col("first_at")))
+            seeds = seeds.select(*PLACE, F.lit(min_lines if level == top else 1 << level).alias("lines"), F.col("first_doc").alias("from_doc"), F.col("first_at").alias("from_at"))
+            found = found.unionByName(seeds.join(found.select(*PLACE), PLACE, "left_anti") if n else seeds)
+        found, n = counted(found)
+    return found
+
+
+def maximal_runs(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+    """The rows of ``earlier_copies`` that reach further than all that start before them in their document."""
+    before = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("at") + F.col("lines")
+    found = earlier_copies(docs, min_lines)
+    return found.select("*", F.coalesce(F.max(end).over(before), F.lit(0)).alias("reach")).where(end > F.col("reach")).drop("reach")
+
+
+def kept_lines(text: str, runs: list[dict] | None) -> tuple[str, int, int, int]:
     """What is left of a text, and its non-blank lines, removed lines and maximal removed runs."""
-    gone = {s + k for s in starts or () for k in range(min_lines)}
-    left, n, runs, before = [], 0, 0, False
+    gone = {r["at"] + k for r in runs or () for k in range(r["lines"])}
+    left, n, spans, before = [], 0, 0, False
     for line in text.split("\n"):
         if line.strip(" \t\r\f\x0b"):
-            runs += n in gone and not before
+            spans += n in gone and not before
             before = n in gone
             if not before:
                 left.append(line)
             n += 1
         else:
             left.append(line)
-    return "\n".join(left), n, len(gone), runs
+    return "\n".join(left), n, len(gone), spans
 
 
-def _with_starts(docs: DataFrame, min_lines: int) -> DataFrame:
-    """docs with one more column: the starts of each document's later copies, null where it has none."""
-    name = fresh(docs, "starts")
-    starts = later_copies(docs, min_lines).groupBy("doc_id").agg(F.collect_set("at").alias(name))
+def _with_runs(docs: DataFrame, min_lines: int) -> DataFrame:
+    """docs with one more column: each document's maximal runs that stand earlier, null where it has none."""
+    name = fresh(docs, "runs")
+    runs = maximal_runs(docs, min_lines).groupBy("doc_id").agg(F.collect_list(F.struct("at", "lines")).alias(name))
     small_batches(docs.sparkSession)
-    return docs.join(starts, "doc_id", "left").select(*docs.columns, name)
+    return docs.join(runs, "doc_id", "left").select(*docs.columns, name)
 
 
 def line_digests(docs: DataFrame, min_lines: int = 2) -> DataFrame:
@@ -83,30 +134,34 @@ def line_digests(docs: DataFrame, min_lines: int = 2) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [kept_lines(t or "", s, min_lines) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            rows = [kept_lines(t or "", r) for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             sha = [hashlib.sha256(r[0].encode()).hexdigest() for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)), pa.array(sha, pa.string())], names=["doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256"])
 
     docs = docs.select("doc_id", "text")
-    return _with_starts(docs, min_lines).mapInArrow(run, "doc_id long, n_lines long, n_removed long, n_runs long, kept_sha256 string")
+    return _with_runs(docs, min_lines).mapInArrow(run, "doc_id long, n_lines long, n_removed long, n_runs long, kept_sha256 string")
 
 
 def remove_runs(docs: DataFrame, min_lines: int = 2) -> DataFrame:
-    """docs without the later copies of line runs in ``text``; documents of which no line is left go."""
+    """docs without the later copies of line runs in ``text``; documents of which no line is left go.
+
+    Texts without such runs stay as they are, null and empty ones with them; rows that repeat a doc_id count as one
+    document and lose the same lines.
+    """
     columns = docs.columns
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = [], []
-            for text, starts in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
-                left, n, gone, _ = kept_lines(text or "", starts, min_lines)
-                texts.append(left if starts else text)
-                keep.append(not starts or gone < n)
+            for text, runs in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
+                left, n, gone, _ = kept_lines(text or "", runs)
+                texts.append(left if runs else text)
+                keep.append(not runs or gone < n)
             out = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(columns))]
             yield pa.RecordBatch.from_arrays(out, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    return _with_starts(docs, min_lines).mapInArrow(run, docs.schema)
+    return _with_runs(docs, min_lines).mapInArrow(run, docs.schema)
 
 
 def line_sql(min_lines: int = 2) -> str:

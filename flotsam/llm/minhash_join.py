@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, doc_bytes, small_batches
+from .common import counted, cut, doc_bytes, small_batches, spread_join
 from .components import components, extended
 
 #: Words whose hashes a task keeps at most.
@@ -109,14 +109,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             items = [shingle_set(x.as_py(), width, hashes).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], names=["id", "items"])
 
-    wanted = cut(wanted)
-    if wanted.count() <= BROADCAST_IDS:
+    wanted, n = counted(wanted)
+    if n <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     return doc_bytes(docs).join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "data").mapInArrow(run, "id long, items binary")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
+def _confirm(pairs: DataFrame, n: int, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), n of them, with 100 * intersection >= percent * union on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,13 +130,13 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return spread_join(pairs, right, ["b"], ["a"], n).join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _colliding(pairs: DataFrame, reps: DataFrame, matches: int, percent: int) -> DataFrame:
-    """(a, b, hits) of the pairs that collide often enough and whose set sizes allow the similarity."""
+def _colliding(pairs: DataFrame, n: int, reps: DataFrame, matches: int, percent: int) -> DataFrame:
+    """(a, b, hits) of the n pairs that collide often enough and whose set sizes allow the similarity."""
     one = lambda end: reps.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"s_{end}"))
-    near = pairs.join(one("a"), "a").join(one("b"), "b").where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
+    near = spread_join(pairs, one("b"), ["b"], ["a"], n).join(one("a"), "a").where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
     hits = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda same: same))
     return near.select("a", "b", hits.alias("hits")).where(F.col("hits") >= matches)
 
@@ -151,12 +151,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     """
     signed = cut(signatures(docs, width, coordinates))
     reps = cut(signed.where("n_shingles > 0").groupBy("k1", "k2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
+    n_reps = reps.count()
     token = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     posted = reps.select("id", F.posexplode("sig").alias("at", "value")).select("id", token.alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     by_doc = Window.partitionBy("id")
     ranked = (
-        posted.join(shared, "token")
+        spread_join(posted, shared, ["token"], ["id"], coordinates * n_reps)
         .withColumn("found", F.count("*").over(by_doc))
         .where(F.col("found") >= matches)
         .withColumn("rank", F.row_number().over(by_doc.orderBy("df", "token")))
@@ -164,28 +165,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
         # coordinates that nothing shares are the rarest and take their places in the prefix first
         .where(F.col("rank") <= F.lit(coordinates - matches + 1) - (F.lit(coordinates) - F.col("found")))
     )
-    lists = cut(ranked.select("token", "id", "centre"))
+    lists, n_lists = counted(ranked.select("token", "id", "centre"))
     hubs = lists.groupBy("token").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max(F.struct("centre", (-F.col("id")).alias("id"))).alias("top")).where("n > 1")
-    hubs = cut(hubs)
+    hubs = counted(hubs)[0]
     hubs_of = hubs.select("token", (-F.col("top.id")).alias("hub"))
     hubs = hubs.select("token", F.explode(F.array_distinct(F.array("low", -F.col("top.id")))).alias("hub"))
-    stars = lists.join(hubs, "token").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = cut(_colliding(stars, reps, matches, percent))
+    stars = spread_join(lists, hubs, ["token"], ["id"], n_lists).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    stars = counted(_colliding(*counted(stars.distinct()), reps, matches, percent))[0]
     ends = lambda pairs: pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = cut(_sets(docs, ends(stars), width))
     best = stars.groupBy("a").agg(F.max(F.struct("hits", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
-    found = cut(components(_confirm(best, sets, percent)))
+    best, n_best = counted(best)
+    found = components(_confirm(best, n_best, sets, percent))
     tried = stars.select("a", "b").join(best, ["a", "b"], "left_anti")
-    found = extended(found, _confirm(_apart(tried, found), sets, percent))
+    found = extended(found, _confirm(*counted(_apart(tried, found)), sets, percent))
     signed_reps = reps.select("id", "n", "sig")
-    groups = cut(_mixed(lists.join(hubs_of, "token").select("hub", "id").distinct(), found, reps))
-    if not groups.isEmpty():
-        near = _block_links(groups.join(signed_reps, "id"), matches, percent, exact=False)
+    groups, n_groups = counted(_mixed(spread_join(lists, hubs_of, ["token"], ["id"], n_lists).select("hub", "id").distinct(), found, reps))
+    if n_groups:
+        near = _block_links(groups.join(signed_reps, "id"), n_groups, matches, percent, exact=False)
         # only members with a partner in a group go on to the full sets there
-        groups = cut(_mixed(near.select("hub", F.explode(F.array("a", "b")).alias("id")).distinct(), found, reps))
+        groups, n_groups = counted(_mixed(near.select("hub", F.explode(F.array("a", "b")).alias("id")).distinct(), found, reps))
         full = _sets(docs, groups.select("id").distinct(), width)
         packed = groups.join(signed_reps, "id").join(full, "id")
-        found = extended(found, _block_links(packed, matches, percent, exact=True).select("a", "b"))
+        found = extended(found, _block_links(packed, n_groups, matches, percent, exact=True).select("a", "b"))
     classes = reps.join(found, "id", "left").select("k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
     out = signed.drop("sig").join(classes, ["k1", "k2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
@@ -205,16 +207,16 @@ BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 def _mixed(members: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
     """(hub, id, c, apart, blocks): the groups of more than one component; apart says that c is not the group's largest."""
     placed = members.join(reps.select("id", "n"), "id").join(found, "id", "left")
-    placed = cut(placed.select("hub", "id", F.coalesce("component", "id").alias("c"), "n"))
+    placed, n = counted(placed.select("hub", "id", F.coalesce("component", "id").alias("c"), "n"))
     counts = placed.groupBy("hub", "c").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
     largest = counts.groupBy("hub").agg(F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.max(F.struct("k", "c")).alias("top")).where("parts > 1")
     blocks = F.ceil(F.greatest(F.col("k") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int")
     largest = largest.select("hub", F.col("top.c").alias("most"), blocks.alias("blocks"))
-    return placed.join(largest, "hub").select("hub", "id", "c", (F.col("c") != F.col("most")).alias("apart"), "blocks")
+    return spread_join(placed, largest, ["hub"], ["id"], n).select("hub", "id", "c", (F.col("c") != F.col("most")).alias("apart"), "blocks")
 
 
-def _block_links(members: DataFrame, matches: int, percent: int, exact: bool) -> DataFrame:
-    """(hub, a, b) for members of a group in different components that collide often enough; ``exact``: that are linked.
+def _block_links(members: DataFrame, n_members: int, matches: int, percent: int, exact: bool) -> DataFrame:
+    """(hub, a, b) for the ``n_members`` members of groups in different components that collide often enough; ``exact``: that are linked.
 
     Members are dealt over blocks by a hash.  Each block meets every block of those that stand apart, in a row of block
     numbers; without ``exact`` one pair for each member says that it has a partner.
@@ -224,7 +226,7 @@ def _block_links(members: DataFrame, matches: int, percent: int, exact: bool) ->
     rows = members.select("hub", "id", "c", "n", "sig", items, "apart", "blocks", block.alias("own"))
     left = rows.where("apart").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", F.col("own").alias("x"), F.col("other").alias("y"), F.lit(True).alias("left"), "id", "c", "n", "sig", "items")
     theirs = rows.where("apart").select("hub", F.col("own").alias("x")).distinct()
-    right = rows.join(theirs, "hub").select("hub", "x", F.col("own").alias("y"), F.lit(False).alias("left"), "id", "c", "n", "sig", "items")
+    right = spread_join(rows, theirs, ["hub"], ["id"], n_members).select("hub", "x", F.col("own").alias("y"), F.lit(False).alias("left"), "id", "c", "n", "sig", "items")
 
     def meet(own: list, other: list) -> tuple[list, list]:
         if not own or not other:

@@ -11,6 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from flotsam.llm import common
 from flotsam.llm import components as parts
 from flotsam.llm import html_layout, langid_cnn, line_dedup, media_avi, minhash_join, packing, piece_codec, quality_em, suffix_dedup, url_graph
 from flotsam.llm import queries as llm
@@ -161,6 +162,40 @@ def test_line_runs_like_sql(spark, documents):
         assert sorted(tuple(r) for r in line_dedup.line_digests(documents, n).collect()) == want
 
 
+def brute_copies(texts, least):
+    """(doc, at) to the longest run there that stands earlier."""
+    docs = [[x for x in (t or "").split("\n") if x.strip(" \t\r\f\x0b")] for t in texts]
+    places = [(d, a) for d, lines in enumerate(docs) for a in range(len(lines))]
+    out = {}
+    for k, (d, a) in enumerate(places):
+        for e, b in places[:k]:
+            n = 0
+            while a + n < len(docs[d]) and b + n < len(docs[e]) and docs[d][a + n] == docs[e][b + n]:
+                n += 1
+            if n >= max(least, out.get((d, a), 0)):
+                out[d, a] = n
+    return docs, out
+
+
+@pytest.mark.parametrize("least", [1, 2, 3, 5])
+def test_line_runs_like_brute_force(spark, monkeypatch, least):
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    rng = random.Random(least)
+    long_run = [f"line {k}" for k in range(100)]
+    texts = [*ODD, "\n".join(["header", "header", *long_run]), "\n".join(["x", *long_run[3:], "y"])]
+    texts += ["\n".join(rng.choices("abcd", k=rng.randrange(25))) for _ in range(8)] + ["\n".join(["hot", f"one {k}"]) for k in range(12)] + ["q\n" * 40]
+    docs, want = brute_copies(texts, least)
+    found = {(r.doc_id, r["at"]): r for r in line_dedup.earlier_copies(table(spark, texts), least).collect()}
+    assert set(found) == set(want)
+    for (d, a), r in found.items():  # the two places agree in just so many lines, over half of the longest copy
+        e, b, n = r.from_doc, r.from_at, r.lines
+        assert (e, b) < (d, a) and docs[d][a : a + n] == docs[e][b : b + n] and want[d, a] / 2 < n <= want[d, a]
+        assert docs[d][a + n : a + n + 1] != docs[e][b + n : b + n + 1] or not docs[d][a + n : a + n + 1]
+    gone = {(d, a + k) for (d, a), n in want.items() for k in range(n)}
+    assert gone == {(r.doc_id, r["at"] + k) for r in line_dedup.maximal_runs(table(spark, texts), least).collect() for k in range(r.lines)}
+    assert max(want.values()) >= 97
+
+
 def brute_links(texts, width, percent):
     sets = []
     for t in texts:
