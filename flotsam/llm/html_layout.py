@@ -15,7 +15,7 @@ from .common import small_batches
 # Fixed values of the HTML standard: elements by how they are parsed or shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript noembed noframes iframe object audio video canvas svg math datalist title param source track area select".split())
+HIDDEN = frozenset("head script style template noscript noembed noframes iframe object audio video canvas datalist title param source track area desc metadata defs symbol annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption tbody thead tfoot tr ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl blockquote pre table figure fieldset".split())
 #: An opening tag on the left ends an open element on the right, up to the elements that hold it in.
@@ -27,10 +27,13 @@ CLOSES = {
 HOLDS = {"li": ("ul", "ol", "menu", "table"), "dt": ("dl", "table"), "dd": ("dl", "table"), "a": ("td", "th", "table"), "button": ("form", "table")}
 #: Opening tags that end an open paragraph.
 ENDS_P = BLOCK - {"body", "html", "li", "dd", "dt", "option", "optgroup", "legend", "caption", "tbody", "thead", "tfoot", "tr"} | {"li", "dd", "dt"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</\s*([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Elements that may stand in each other before deeper ones are taken as inline; columns up to which cells are padded, and
+#: the width from which a cell's line is not padded against.
+DEPTH, PAD, WIDE = 512, 400, 120
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_VALUE = re.compile(r"\s*([\"']?)")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?")
-_UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_NONE, _SEEN = re.compile(r"(?<![\w-])display\s*:\s*none", re.I), re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -40,6 +43,65 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+def _tag_end(html: str, at: int) -> int:
+    """The place after the ``>`` of the tag whose name ends at ``at``; quotes count after ``=`` alone.  Without one, -1."""
+    while True:
+        end = html.find(">", at)
+        equals = html.find("=", at, end)
+        if end < 0 or equals < 0:
+            return end + 1 if end >= 0 else -1
+        value = _VALUE.match(html, equals + 1)
+        at = value.end()
+        if value[1]:
+            at = html.find(value[1], at) + 1
+            if not at:
+                return -1
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("open", tag, attributes) and ("close", tag, "") as they stand, in one pass.
+
+    Comments, declarations and ``<![CDATA[`` sections are left out; a tag or comment that never ends takes the rest.
+    """
+    at, text, n = 0, 0, len(html)
+    while (at := html.find("<", at)) >= 0:
+        tag = None
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4) + 3
+            end = end if end > 2 else n
+        elif html.startswith("<![CDATA[", at):
+            end = html.find("]]>", at + 9) + 3
+            end = end if end > 2 else n
+        elif html.startswith(("<!", "<?"), at):
+            end = html.find(">", at) + 1 or n
+        else:
+            tag = _TAG.match(html, at)
+            if not tag:
+                at += 1
+                continue
+            end = _tag_end(html, tag.end())
+            if end < 0:
+                tag, end = None, n
+        if text < at:
+            yield "text", html[text:at], ""
+        if tag:
+            name = tag[1].lower()
+            if html[at + 1] == "/":
+                yield "close", name, ""
+            else:
+                yield "open", name, html[tag.end() : end - 1]
+                if name in RAW:
+                    close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, end)
+                    stop = close.start() if close else n
+                    if stop > end:
+                        yield "text", html[end:stop], ""
+                    yield "close", name, ""
+                    end = close.end() if close else n
+        at = text = end
+    if text < n:
+        yield "text", html[text:], ""
+
+
 def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     """("open", tag, attributes), ("close", tag, {}) and ("text", text, {}), balanced: implied tags are put in.
 
@@ -47,75 +109,85 @@ def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     paragraph and ``</br>`` a break.  Elements that are open at the end are closed.
     """
     stack: list[str] = []
-    at, n = 0, len(html)
+    places: dict[str, list[int]] = {}  # where each tag is open in the stack
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def close_one() -> tuple[str, str, dict[str, str]]:
+        tag = stack.pop()
+        places[tag].pop()
+        return "close", tag, {}
 
     def pop_to(tags, holds=()) -> Iterator[tuple[str, str, dict[str, str]]]:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k] in holds:
-                return
-            if stack[k] in tags:
-                while len(stack) > k:
-                    yield "close", stack.pop(), {}
-                return
+        k = last(tags)
+        if k > last(holds):
+            while len(stack) > k:
+                yield close_one()
+
+    def push(tag: str, attributes: dict[str, str]) -> tuple[str, str, dict[str, str]]:
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(tag)
+        return "open", tag, attributes
 
     def opened(tag: str, attributes: dict[str, str]) -> Iterator[tuple[str, str, dict[str, str]]]:
-        if tag in ENDS_P and "p" in stack:
+        if tag in ENDS_P:
             yield from pop_to(("p",), ("table", "td", "th", "button"))
         if tag in CLOSES:
             holds = HOLDS.get(tag, ("table",))
-            while any(t in CLOSES[tag] for t in stack[_last(stack, holds) + 1 :]):
+            while last(CLOSES[tag]) > last(holds):
                 yield from pop_to(CLOSES[tag], holds)
-        if tag in ("td", "th") and "table" in stack and "tr" not in stack[_last(stack, ("table",)) + 1 :]:
-            stack.append("tr")
-            yield "open", "tr", {}
-        yield "open", tag, attributes
+        if tag in ("td", "th") and places.get("table") and last(("tr",)) < last(("table",)):
+            yield push("tr", {})
+        yield push(tag, attributes)
         if tag in VOID:
-            yield "close", tag, {}
-        else:
-            stack.append(tag)
+            yield close_one()
 
-    for m in _TOKEN.finditer(html):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            yield "text", html[at : m.start()], {}
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
-            if tag in stack:
-                holds = ("table",) if tag not in ("table", "body", "html") else ()
-                yield from pop_to((tag,), holds)
-            elif tag in ("p", "br"):
-                yield from opened(tag, {})
-                if tag == "p":
-                    yield "close", stack.pop(), {}
-        elif m[2]:
-            tag = m[2].lower()
-            yield from opened(tag, _attributes(m[3]) if m[3].strip(" /\n\t\r") else {})
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                stop = end.start() if end else n
-                if stop > at:
-                    yield "text", html[at:stop], {}
-                at = end.end() if end else n
-                yield "close", stack.pop(), {}
-    if at < n:
-        yield "text", html[at:], {}
+    for kind, value, attributes in tokens(html):
+        if kind == "text":
+            yield "text", value, {}
+        elif kind == "open":
+            yield from opened(value, _attributes(attributes) if attributes.strip(" /\n\t\r") else {})
+        elif places.get(value):
+            yield from pop_to((value,), ("table",) if value not in ("table", "body", "html") else ())
+        elif value in ("p", "br"):
+            yield from opened(value, {})
+            if value == "p":
+                yield close_one()
     while stack:
-        yield "close", stack.pop(), {}
+        yield close_one()
+
+
+def _shown(css: str) -> tuple[bool, bool | None]:
+    """Whether declarations take an element out, and whether they make its text seen (None: as outside)."""
+    seen = _SEEN.findall(css)
+    return bool(_NONE.search(css)), seen[-1].lower() == "visible" if seen else None
+
+
+def _sheet(css: str) -> dict[str, tuple[bool, bool | None]]:
+    """What rules of one simple selector (tag, .class or #id) of a style sheet say of being shown."""
+    out = {}
+    for rule in re.sub(r"/\*.*?(?:\*/|\Z)", "", css, flags=re.S).split("}"):
+        selectors, _, body = rule.rpartition("{")
+        gone, seen = _shown(body)
+        if gone or seen is not None:
+            for s in selectors.split(","):
+                if re.fullmatch(r"[.#]?[\w-]+", s.strip()):
+                    before = out.get(s.strip(), (False, None))
+                    out[s.strip()] = (gone or before[0], before[1] if seen is None else seen)
+    return out
 
 
-def _last(stack: list[str], tags) -> int:
-    return max((k for k in range(len(stack) - 1, -1, -1) if stack[k] in tags), default=-1)
+def _style_texts(html: str) -> str:
+    return " ".join(value for kind, value, _ in _in_style(html))
 
 
-def _unseen_names(css: str) -> set[str]:
-    """Tags, .classes and #ids that a style sheet hides by a rule of one simple selector."""
-    out = set()
-    for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
-        if _UNSEEN.search(body):
-            out |= {s.strip() for s in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip())}
-    return out
+def _in_style(html: str) -> Iterator[tuple[str, str, str]]:
+    inside = False
+    for token in tokens(html):
+        if token[0] == "text" and inside:
+            yield token
+        inside = token[:2] == ("open", "style")
 
 
 class _Flow:
@@ -159,56 +231,106 @@ class _Flow:
             self.lines += lines
 
 
-def _aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Table rows of cells (lists of lines) as lines with columns two spaces apart."""
-    count = max(map(len, rows), default=0)
-    widths = [max((len(line) for row in rows if k < len(row) for line in row[k]), default=0) for k in range(count)]
-    out = []
+def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Table rows of cells (lines, columns and rows spanned) as lines; columns stand two spaces apart.
+
+    A cell stands in the first column that no cell from above reaches into.  Columns are as wide as their widest line of
+    under WIDE characters in a cell of one column; a line that reaches beyond the next column, or a column that would
+    begin after PAD characters, is followed by two spaces alone, so padding stays in proportion to the cells.
+    """
+    placed: list[list[tuple[int, list[str]]]] = []
+    below: list[list[int]] = []  # [first column, column after the last, rows left] of cells that reach down
+    widths: dict[int, int] = {}
     for row in rows:
-        for k in range(max((len(cell) for cell in row), default=0)):
-            cells = [(cell[k] if k < len(cell) else "").ljust(widths[c]) for c, cell in enumerate(row)]
-            out.append("  ".join(cells).rstrip())
-    return out
+        column, k, out, spans = 0, 0, [], []
+        for lines, across, down in row:
+            while k < len(below) and below[k][0] <= column:
+                column = max(column, below[k][1])
+                k += 1
+            out.append((column, lines))
+            width = max((len(line) for line in lines if len(line) < WIDE), default=0) if across == 1 else 0
+            widths[column] = max(widths.get(column, 0), width)
+            if down > 1:
+                spans.append([column, column + across, down])
+            column += across
+        below, all_below = [], sorted([[a, b, n - 1] for a, b, n in below if n > 1] + [[a, b, n - 1] for a, b, n in spans])
+        for s in all_below:  # neighbours that end together are one
+            if below and below[-1][1] >= s[0] and below[-1][2] == s[2]:
+                below[-1][1] = max(s[1], below[-1][1])
+            else:
+                below.append(s)
+        placed.append(out)
+    starts, at = {}, 0
+    for column in sorted(widths):
+        starts[column] = min(at, PAD)
+        at += widths[column] + 2
+    text = []
+    for row in placed:
+        for k in range(max((len(lines) for _, lines in row), default=0)):
+            line = ""
+            for column, lines in row:
+                if column and (line or k < len(lines)):
+                    line = line.ljust(starts[column]) if len(line) + 2 <= starts[column] else line + "  "
+                line += lines[k] if k < len(lines) else ""
+            text.append(line.rstrip())
+    return text
+
+
+def _span(attributes: dict[str, str], name: str, most: int) -> int:
+    value = attributes.get(name, "1").strip()
+    return min(int(value), most) if re.fullmatch(r"\d{1,9}", value) and int(value) else 1
 
 
 def render(html: str | None) -> str:
     """The visible text of a page.
 
-    Hidden are what browsers do not show as text, elements with ``hidden`` or a style of display none or visibility
-    hidden, and what simple rules of the page's own style sheets hide.  Blocks start lines, paragraphs, headings, lists,
+    Hidden are what browsers do not show as text, elements with ``hidden`` or a style of display none, text with a
+    visibility of hidden (an element inside can be visible again), what simple rules of the page's own style sheets hide,
+    and options that are not selected where a list shows one.  Blocks start lines, paragraphs, headings, lists,
     tables and preformatted text stand a blank line apart; list items carry ``-`` or their number and are indented;
-    cells are padded to their columns; ``pre`` keeps its white space; ``hr`` is a line of dashes.
+    cells are padded to their columns, spans included; ``pre`` keeps its white space; ``hr`` is a line of dashes.
+    Elements more than DEPTH deep are taken as inline.  The work grows with the page's length.
     """
     if not html:
         return ""
-    unseen = _unseen_names(" ".join(re.findall(r"(?is)<style[^>]*>(.*?)</style", html))) if "<style" in html.lower() else set()
-    flows, lists, tables = [_Flow()], [], []
+    sheet = _sheet(_style_texts(html)) if "<style" in html.lower() else {}
+    flows, lists, tables, selects = [_Flow()], [], [], []
     hidden, pre = 0, 0
-    open_hidden: list[bool] = []
+    state: list[tuple[bool, bool]] = []  # of open elements: out of the page; visible
     for kind, value, attributes in events(html):
         if kind == "text":
-            if not hidden and not (tables and tables[-1]["flow"] is flows[-1] and not value.strip()):
+            if not hidden and (not state or state[-1][1]) and not (tables and tables[-1]["flow"] is flows[-1] and not value.strip()):
                 flows[-1].text(unescape(value), pre > 0)
             continue
         tag = value
         if kind == "open":
-            gone = tag in HIDDEN or "hidden" in attributes or bool(attributes.get("style") and _UNSEEN.search(attributes["style"]))
-            if not gone and unseen:
-                names = {tag, f"#{attributes.get('id')}", *(f".{c}" for c in attributes.get("class", "").split())}
-                gone = bool(names & unseen)
-            open_hidden.append(gone)
+            seen = state[-1][1] if state else True
+            gone = tag in HIDDEN or "hidden" in attributes
+            styles = [sheet[k] for k in (tag, *(f".{c}" for c in attributes.get("class", "").split()), f"#{attributes.get('id')}") if k in sheet] if sheet else []
+            if attributes.get("style"):
+                styles.append(_shown(attributes["style"]))
+            for out, own in styles:
+                gone, seen = gone or out, seen if own is None else own
+            state.append((gone, seen))
             hidden += gone
-            if hidden:
+            if hidden or len(state) > DEPTH:
                 continue
             flow = flows[-1]
             if tag == "br":
                 flow.end_line(force=True)
             elif tag == "hr":
-                flow.block(["---"])
+                flow.block(["---"] if seen else [])
             elif tag in ("td", "th") and tables:
                 flows.append(_Flow())
+                flows[-1].span = (_span(attributes, "colspan", 1000), _span(attributes, "rowspan", 65534))
             elif tag == "tr" and tables:
                 tables[-1]["rows"].append([])
+            elif tag == "select":
+                flows.append(_Flow())
+                selects.append({"all": "multiple" in attributes or _span(attributes, "size", 999) > 1, "options": []})
+            elif tag == "option" and selects:
+                flows.append(_Flow())
+                flows[-1].selected = "selected" in attributes
             elif tag == "li":
                 flow.apart(False)
                 number = lists[-1] if lists else None
@@ -216,7 +338,7 @@ def render(html: str | None) -> str:
                 if number is not None:
                     lists[-1] += 1
                 flows.append(_Flow())
-                flows[-1].mark = mark
+                flows[-1].mark, flows[-1].seen = mark, seen
             elif tag in ("dd", "blockquote"):
                 flow.apart(tag in SPACED)
                 flows.append(_Flow())
@@ -232,9 +354,12 @@ def render(html: str | None) -> str:
                 elif tag == "pre":
                     pre += 1
         else:
-            was = open_hidden.pop()
+            deep = len(state) > DEPTH
+            gone, _ = state.pop()
             if hidden:
-                hidden -= was
+                hidden -= gone
+                continue
+            if deep:
                 continue
             flow = flows[-1]
             if tag in ("td", "th") and tables:
@@ -242,11 +367,20 @@ def render(html: str | None) -> str:
                 cell.end_line()
                 if not tables[-1]["rows"]:
                     tables[-1]["rows"].append([])
-                tables[-1]["rows"][-1].append(cell.lines)
+                tables[-1]["rows"][-1].append((cell.lines, *cell.span))
+            elif tag == "option" and selects:
+                option = flows.pop()
+                option.end_line()
+                selects[-1]["options"].append((option.selected, option.lines))
+            elif tag == "select" and selects:
+                flows.pop()
+                box = selects.pop()
+                shown = box["options"] if box["all"] else ([o for o in box["options"] if o[0]][-1:] or box["options"][:1])
+                flows[-1].text(" ".join(line for _, lines in shown for line in lines), False)
             elif tag == "li":
                 item = flows.pop()
                 item.end_line()
-                lines = item.lines or [""]
+                lines = item.lines or ([""] if item.seen else [])
                 flows[-1].block([(item.mark if k == 0 else " " * len(item.mark)) * bool(line or k == 0) + line for k, line in enumerate(lines)])
             elif tag in ("dd", "blockquote"):
                 inner = flows.pop()
@@ -265,7 +399,7 @@ def render(html: str | None) -> str:
                 flow.apart(tag in SPACED and not (tag in ("ul", "ol", "menu") and lists))
     flow = flows[0]
     flow.end_line()
-    return "\n".join(flow.lines).replace(" ", " ")
+    return "\n".join(flow.lines).replace("\u00a0", " ")
 
 
 def extract(pages: DataFrame) -> DataFrame:
