@@ -48,32 +48,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``cut`` for tables of narrow rows, and their number: few rows come back in few partitions."""
-    df = cut(df)
-    n = df.count()
-    return df.coalesce(1 + n // PARTITION_ROWS), n
+class Scratch:
+    """Tables of an operator's steps in the shared folder; their true sizes let Spark plan the joins that follow.
 
-
-class Rounds:
-    """The state of an iteration as tables in the shared folder: each is written, then the one before it deleted."""
+    A table that is written again under its name replaces the one before, which is then deleted.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder, self.k = spark, f"{shared_folder(spark).rstrip('/')}/flotsam-rounds-{uuid.uuid4().hex}", 0
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark).rstrip('/')}/flotsam-steps-{uuid.uuid4().hex}", {}
 
-    def next(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{self.k}"
+    def table(self, name: str, df: DataFrame) -> DataFrame:
+        path, old = f"{self.folder}/{name}-{uuid.uuid4().hex}", self.paths.get(name)
         df.write.parquet(path)
-        if self.k:
-            self._delete(f"{self.folder}/{self.k - 1}")
-        self.k += 1
+        self.paths[name] = path
+        if old:
+            self._delete(old)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def last(self, df: DataFrame) -> DataFrame:
-        """``cut`` of the outcome; the state goes."""
+    def counted(self, name: str, df: DataFrame) -> tuple[DataFrame, int]:
+        df = self.table(name, df)
+        return df, df.count()
+
+    def last(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """``cut`` of the outcome, in few partitions if it has few ``rows``; the tables of the steps go."""
         df = cut(df)
         self._delete(self.folder)
-        return df
+        return df if rows is None else df.coalesce(1 + rows // PARTITION_ROWS)
 
     def _delete(self, path: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PARTITION_ROWS, Rounds, counted, spread_join
+from .common import PARTITION_ROWS, Scratch, spread_join
 
 
 def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
@@ -31,25 +31,27 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops and repeated edges have no effect; null ends are ignored; no edges give an empty table.
     """
-    rounds, state = Rounds(edges.sparkSession), None
-    edges = rounds.next(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    scratch, state = Scratch(edges.sparkSession), None
+    edges = scratch.table("edges", edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         now = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if (now["n"], now["h"]) == state or not now["n"]:
             break
         state = (now["n"], now["h"])
-        edges = rounds.next(_star(_star(edges, True, now["n"]), False, now["n"]).distinct())
+        edges = scratch.table("edges", _star(_star(edges, True, now["n"]), False, now["n"]).distinct())
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component"))
-    return rounds.last(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots).distinct()).coalesce(1 + 2 * now["n"] // PARTITION_ROWS)
+    return scratch.last(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots).distinct(), 2 * now["n"])
 
 
-def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+def extended(found: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """The components ``found`` (id, component) joined further by links (a, b): only their roots are worked on."""
     root = lambda end: found.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
-    links, n = counted(links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b"))
+    ends = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    links, n = scratch.counted("links", ends.where("a <> b"))
     if not n:
         return found
     upper = components(links)
     alone = upper.join(found.select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
     moved = upper.select(F.col("id").alias("component"), F.col("component").alias("to"))
-    return counted(found.unionByName(alone).join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")))[0]
+    moved = found.unionByName(alone).join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return scratch.table("found", moved)

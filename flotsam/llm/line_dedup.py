@@ -18,22 +18,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import counted, fresh, small_batches, spread_join
+from .common import HOT_KEYS, LEAST_HOT, Scratch, fresh, small_batches, spread_join
 
 PLACE = ["doc_id", "at"]
+#: Tables that are looked through between two written ones.
+LEVELS = 4
 
 
-def _ranked(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+def _ranked(rows: DataFrame, keys: list[str], n: int | None, scratch: Scratch, name: str) -> tuple[DataFrame, int]:
     """(doc_id, at, rank, first_doc, first_at) of the places that share their keys with another one, and their number.
 
     Ranks rise with the keys: they are the row ids of the sorted classes.  first is the class's least place.  Counts are
-    summed before the shuffle, and the places of one very frequent line are dealt over tasks in the join back.
+    summed before the shuffle, and the places of one very frequent line are dealt over tasks in the join back.  ``n`` is
+    the number of rows; where it is not known, rows are many: their classes are written out and count them.
     """
     classes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).where("n > 1").orderBy(*keys)
-    classes, _ = counted(classes.select(*keys, "n", F.monotonically_increasing_id().alias("rank"), F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at")))
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    found = spread_join(rows, classes.drop("n"), keys, PLACE, total, sizes=classes.select(*keys, "n"))
-    return counted(found.select(*PLACE, "rank", "first_doc", "first_at"))
+    classes = classes.select(*keys, "n", F.monotonically_increasing_id().alias("rank"), F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"))
+    sizes = None
+    if n is None:
+        classes = scratch.table("classes", classes)
+        n, sizes = classes.agg(F.sum("n")).first()[0] or 0, classes.select(*keys, "n")
+    found = spread_join(rows, classes.drop("n"), keys, PLACE, n, sizes=sizes).select(*PLACE, "rank", "first_doc", "first_at")
+    if sizes is not None:  # of lines, where rows may repeat a doc_id
+        found = found.groupBy(*PLACE).agg(F.max(F.struct("rank", "first_doc", "first_at")).alias("of")).select(*PLACE, "of.*")
+    return scratch.counted(name, found)
 
 
 def _ahead(table: DataFrame, lines: int) -> DataFrame:
@@ -42,19 +50,18 @@ def _ahead(table: DataFrame, lines: int) -> DataFrame:
     return table.select(*PLACE, F.col("rank").alias("own"), F.max("rank").over(place).alias("next")).where("next is not null")
 
 
-def rank_tables(docs: DataFrame) -> list[DataFrame]:
-    """For runs of 1, 2, 4, ... non-blank lines: (doc_id, at, rank, first_doc, first_at) where a run stands that stands elsewhere too.
+def rank_tables(docs: DataFrame, scratch: Scratch) -> list[tuple[DataFrame, int]]:
+    """For runs of 1, 2, 4, ... non-blank lines: (doc_id, at, rank, first_doc, first_at) where a run stands that stands elsewhere too; and their numbers.
 
     Lines are numbered from 0 without blank ones.  Doubling ends when no run is left.
     """
     lines = F.filter(F.split("text", "\n", -1), lambda line: F.trim(line, F.lit(" \t\r\f\x0b")) != "")
     rows = docs.select("doc_id", F.posexplode(lines).alias("at", "line")).select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.reverse("line")).alias("h2"))
-    table, n = _ranked(rows, ["h1", "h2"])
-    table = table.groupBy(*PLACE).agg(F.max(F.struct("rank", "first_doc", "first_at")).alias("of")).select(*PLACE, "of.*")  # rows may repeat a doc_id
+    table, n = _ranked(rows, ["h1", "h2"], None, scratch, "rank1")
     tables, depth = [], 1
     while n:
-        tables.append(table)
-        table, n = _ranked(_ahead(table, depth), ["own", "next"])
+        tables.append((table, n))
+        table, n = _ranked(_ahead(table, depth), ["own", "next"], n, scratch, f"rank{2 * depth}")
         depth *= 2
     return tables
 
@@ -66,30 +73,40 @@ def earlier_copies(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     one document.  The first place of the longest class is the earlier one; the tables of shorter runs then add to the
     length, each at most once, as with twice as many lines in common the place would be in a class of longer runs.
     """
-    tables, top = rank_tables(docs), min_lines.bit_length() - 1
-    schema = "doc_id long, at int, lines int, from_doc long, from_at int"
+    scratch = Scratch(docs.sparkSession)
+    tables, top = rank_tables(docs, scratch), min_lines.bit_length() - 1
     if len(tables) <= top:
-        return docs.sparkSession.createDataFrame([], schema)
+        return docs.sparkSession.createDataFrame([], "doc_id long, at int, lines int, from_doc long, from_at int")
+    rank_of_top = tables[top][0]
     if min_lines > 1 << top:  # a class of min_lines lines has the same ranks at its start and before its end
-        least, n = _ranked(_ahead(tables[top], min_lines - (1 << top)), ["own", "next"])
-    else:
-        least = tables[top]
-    found, n = docs.sparkSession.createDataFrame([], schema), 0
-    for level in range(len(tables) - 1, -1, -1):
-        table = tables[level]
-        if n:
-            ends = table.select("doc_id", F.col("at").alias("end"), F.col("rank").alias("own"))
-            theirs = table.select(F.col("doc_id").alias("from_doc"), F.col("at").alias("from_end"), F.col("rank").alias("theirs"))
-            found = found.withColumns({"end": F.col("at") + F.col("lines"), "from_end": F.col("from_at") + F.col("lines")}).join(ends, ["doc_id", "end"], "left")
-            found = spread_join(found, theirs, ["from_doc", "from_end"], PLACE, n, "left")
-            more = F.when(F.col("own") == F.col("theirs"), 1 << level).otherwise(0)
-            found = found.select(*PLACE, (F.col("lines") + more).alias("lines"), "from_doc", "from_at")
-        if level >= top:
-            seeds = (least if level == top else table).where((F.col("doc_id") != F.col("first_doc")) | (F.col("at") != F.col("first_at")))
-            seeds = seeds.select(*PLACE, F.lit(min_lines if level == top else 1 << level).alias("lines"), F.col("first_doc").alias("from_doc"), F.col("first_at").alias("from_at"))
-            found = found.unionByName(seeds.join(found.select(*PLACE), PLACE, "left_anti") if n else seeds)
-        found, n = counted(found)
-    return found
+        table, n = tables[top]
+        tables[top] = _ranked(_ahead(table, min_lines - (1 << top)), ["own", "next"], n, scratch, "least")
+    found = None
+    for level in range(top, len(tables)):
+        copies = tables[level][0].where((F.col("doc_id") != F.col("first_doc")) | (F.col("at") != F.col("first_at")))
+        copies = copies.select(*PLACE, F.lit(level).alias("level"), F.col("first_doc").alias("from_doc"), F.col("first_at").alias("from_at"))
+        found = copies if found is None else found.unionByName(copies)
+    found = found.groupBy(*PLACE).agg(F.max(F.struct("level", "from_doc", "from_at")).alias("of")).select(*PLACE, "of.*")
+    lines = F.when(F.col("level") == top, min_lines).otherwise(F.expr("shiftleft(1, level)"))
+    found, n = scratch.counted("found", found.select("*", lines.cast("int").alias("lines")))
+    # many copies of one document look up its ranks: these are repeated for as many tasks
+    least = max(LEAST_HOT, n // HOT_KEYS)
+    hot = found.groupBy("from_doc").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    hot = F.broadcast(scratch.table("hot", hot.select("from_doc", F.ceil(F.col("n") / least).cast("long").alias("salts"))))
+    salts = F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)
+    found = found.join(hot, "from_doc", "left").withColumn("salt", F.pmod(F.xxhash64(*PLACE), F.coalesce("salts", F.lit(1)))).drop("salts")
+    for level in range(len(tables) - 2, -1, -1):
+        table = tables[level][0] if level != top else rank_of_top
+        own = table.select("doc_id", F.col("at").alias("end"), F.col("rank").alias("own"))
+        theirs = table.select(F.col("doc_id").alias("from_doc"), F.col("at").alias("from_end"), F.col("rank").alias("theirs"))
+        theirs = theirs.join(hot, "from_doc", "left").withColumn("salt", F.explode(salts)).drop("salts")
+        found = found.withColumns({"end": F.col("at") + F.col("lines"), "from_end": F.col("from_at") + F.col("lines")})
+        found = found.join(own, ["doc_id", "end"], "left").join(theirs, ["from_doc", "from_end", "salt"], "left")
+        more = F.when((F.col("level") > level) & (F.col("own") == F.col("theirs")), 1 << level).otherwise(0)
+        found = found.select(*PLACE, "level", "from_doc", "from_at", "salt", (F.col("lines") + more).alias("lines"))
+        if level % LEVELS == 0:
+            found = scratch.table("found", found)
+    return scratch.last(found.select(*PLACE, "lines", "from_doc", "from_at"), n)
 
 
 def maximal_runs(docs: DataFrame, min_lines: int = 2) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import counted, cut, doc_bytes, small_batches, spread_join
+from .common import Scratch, cut, doc_bytes, small_batches, spread_join
 from .components import components, extended
 
 #: Words whose hashes a task keeps at most.
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """(id, items) for the documents whose id is wanted: the full shingle set as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             items = [shingle_set(x.as_py(), width, hashes).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], names=["id", "items"])
 
-    wanted, n = counted(wanted)
+    wanted, n = scratch.counted("wanted", wanted)
     if n <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     return doc_bytes(docs).join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "data").mapInArrow(run, "id long, items binary")
@@ -149,6 +149,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     empty texts have no shingles and stand alone; repeated rows give repeated results; an empty table an empty one.  Rows
     that share a doc_id but not their text count as linked.
     """
+    scratch = Scratch(docs.sparkSession)
     signed = cut(signatures(docs, width, coordinates))
     reps = cut(signed.where("n_shingles > 0").groupBy("k1", "k2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
     n_reps = reps.count()
@@ -165,29 +166,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
         # coordinates that nothing shares are the rarest and take their places in the prefix first
         .where(F.col("rank") <= F.lit(coordinates - matches + 1) - (F.lit(coordinates) - F.col("found")))
     )
-    lists, n_lists = counted(ranked.select("token", "id", "centre"))
+    lists, n_lists = scratch.counted("lists", ranked.select("token", "id", "centre"))
     hubs = lists.groupBy("token").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max(F.struct("centre", (-F.col("id")).alias("id"))).alias("top")).where("n > 1")
-    hubs = counted(hubs)[0]
+    hubs = scratch.table("hubs", hubs)
     hubs_of = hubs.select("token", (-F.col("top.id")).alias("hub"))
     hubs = hubs.select("token", F.explode(F.array_distinct(F.array("low", -F.col("top.id")))).alias("hub"))
     stars = spread_join(lists, hubs, ["token"], ["id"], n_lists).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    stars = counted(_colliding(*counted(stars.distinct()), reps, matches, percent))[0]
+    stars = scratch.table("stars", _colliding(*scratch.counted("pairs", stars.distinct()), reps, matches, percent))
     ends = lambda pairs: pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = cut(_sets(docs, ends(stars), width))
+    sets = scratch.table("sets", _sets(docs, ends(stars), width, scratch))
     best = stars.groupBy("a").agg(F.max(F.struct("hits", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
-    best, n_best = counted(best)
-    found = components(_confirm(best, n_best, sets, percent))
+    best, n_best = scratch.counted("best", best)
+    found = scratch.table("found", components(_confirm(best, n_best, sets, percent)))
     tried = stars.select("a", "b").join(best, ["a", "b"], "left_anti")
-    found = extended(found, _confirm(*counted(_apart(tried, found)), sets, percent))
+    found = extended(found, _confirm(*scratch.counted("tried", _apart(tried, found)), sets, percent), scratch)
     signed_reps = reps.select("id", "n", "sig")
-    groups, n_groups = counted(_mixed(spread_join(lists, hubs_of, ["token"], ["id"], n_lists).select("hub", "id").distinct(), found, reps))
+    members = spread_join(lists, hubs_of, ["token"], ["id"], n_lists).select("hub", "id").distinct()
+    groups, n_groups = scratch.counted("groups", _mixed(members, found, reps, scratch))
     if n_groups:
         near = _block_links(groups.join(signed_reps, "id"), n_groups, matches, percent, exact=False)
         # only members with a partner in a group go on to the full sets there
-        groups, n_groups = counted(_mixed(near.select("hub", F.explode(F.array("a", "b")).alias("id")).distinct(), found, reps))
-        full = _sets(docs, groups.select("id").distinct(), width)
+        members = near.select("hub", F.explode(F.array("a", "b")).alias("id")).distinct()
+        groups, n_groups = scratch.counted("partners", _mixed(members, found, reps, scratch))
+        full = _sets(docs, groups.select("id").distinct(), width, scratch)
         packed = groups.join(signed_reps, "id").join(full, "id")
-        found = extended(found, _block_links(packed, n_groups, matches, percent, exact=True).select("a", "b"))
+        found = extended(found, _block_links(packed, n_groups, matches, percent, exact=True).select("a", "b"), scratch)
+    found = scratch.last(found, n_reps)
     classes = reps.join(found, "id", "left").select("k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
     out = signed.drop("sig").join(classes, ["k1", "k2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
@@ -204,10 +208,10 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 
 
-def _mixed(members: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, found: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
     """(hub, id, c, apart, blocks): the groups of more than one component; apart says that c is not the group's largest."""
     placed = members.join(reps.select("id", "n"), "id").join(found, "id", "left")
-    placed, n = counted(placed.select("hub", "id", F.coalesce("component", "id").alias("c"), "n"))
+    placed, n = scratch.counted("placed", placed.select("hub", "id", F.coalesce("component", "id").alias("c"), "n"))
     counts = placed.groupBy("hub", "c").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
     largest = counts.groupBy("hub").agg(F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.max(F.struct("k", "c")).alias("top")).where("parts > 1")
     blocks = F.ceil(F.greatest(F.col("k") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int")
