@@ -45,9 +45,9 @@ def points_in_regions(regions: DataFrame, points: DataFrame, radius_km: float =
     return boxes.join(placed, ["cx", "cy"]).where(inside).drop("cx", "cy")
 
 
-def site_scores(regions: DataFrame, sites: DataFrame, tags: list[str], radius_km: float = RADIUS_KM) -> DataFrame:
-    """(source_id, site_count, site_names, industrial): sites of the tags near each region; 0.2 near the poles."""
-    hits = points_in_regions(regions, sites.where(F.col("tag").isin(tags)), radius_km)
+def site_scores(regions: DataFrame, sites: DataFrame, tags: list[str] | None = None, radius_km: float = RADIUS_KM) -> DataFrame:
+    """(source_id, site_count, site_names, industrial): sites of the tags (of any, without a list) near each region; 0.2 near the poles."""
+    hits = points_in_regions(regions, sites if tags is None else sites.where(F.col("tag").isin(tags)), radius_km)
     # the ten names are a part of the report; only ten rows of a region are kept before they are gathered
     first = hits.withColumn("k", F.row_number().over(Window.partitionBy("source_id").orderBy("site_id"))).where("k <= 10").groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("site_id", "name"))).alias("l")).select("source_id", F.transform("l", lambda s: s["name"]).alias("names"))
     counts = hits.groupBy("source_id").agg(F.count("*").alias("n"))
@@ -91,7 +91,7 @@ def lane_scores(regions: DataFrame, lanes: DataFrame, cell: float = 10.0) -> Dat
     return regions.join(area, "source_id", "left").select("source_id", total.alias("overlap_area"), F.least(F.lit(1.0), total / (own + 1e-10)).alias("shipping"))
 
 
-def attribute(regions: DataFrame, sites: DataFrame, tags: list[str], activity: DataFrame, lanes: DataFrame, start: str, end: str, weights=WEIGHTS) -> DataFrame:
+def attribute(regions: DataFrame, sites: DataFrame, tags: list[str] | None, activity: DataFrame, lanes: DataFrame, start: str, end: str, weights=WEIGHTS) -> DataFrame:
     """One row per region with its four scores, the weighted score, kind, place, country, band, and explanation.
 
     source_rank is the place of the region within its cluster by source_id, report_rank by falling score.

@@ -98,6 +98,13 @@ def resolve_pairs(split_names: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(image, "name").join(mask, "name")
 
 
+def pair_files(files: DataFrame) -> DataFrame:
+    """(name, image, mask): images and masks by their stems; a file without the other stands alone."""
+    kinds = file_kinds(files)
+    image, mask = (kinds.where(F.col("kind") == k).select(F.col("stem").alias("name"), F.col("file").alias(k)) for k in ("image", "mask"))
+    return image.join(mask, "name", "full")
+
+
 def patches_with_class(truth: DataFrame, raw: int = 1, without: bool = False) -> DataFrame:
     """The patches that have (or have not) a pixel of a file label."""
     patches, has = truth.select("patch").distinct(), truth.where(F.col("raw") == raw).select("patch").distinct()
@@ -128,19 +135,28 @@ def oversample(patches: DataFrame, ratio: float = 0.35) -> DataFrame:
 
 
 def weighted_sample(rows: DataFrame, key: str, weight: str, n: int, seed: int = 7) -> DataFrame:
-    """(draw, key): n draws with replacement, each row with probability by its weight.
+    """(draw, key): n draws with replacement, each row with probability by its weight; weights that are null or not over 0 give none.
 
-    Rows stand on a line by the running sum of weights within buckets; a draw finds its bucket among at most 256, then its
-    row by a range within the bucket.
+    Rows take stretches of a line in the order of their keys, draws fall on it, and both are sorted together: a draw's row
+    is the last one that begins before it.  Sorting goes by ranges; only a row for each range is added up in one place.
     """
-    spark = rows.sparkSession
-    salted = rows.select(key, F.col(weight).cast("double").alias("w"), F.pmod(F.xxhash64(key), F.lit(256)).alias("bucket"))
-    sums = salted.groupBy("bucket").agg(F.sum("w").alias("size"))
-    edges = sums.select("bucket", "size", (F.sum("size").over(Window.orderBy("bucket")) - F.col("size")).alias("from"), F.sum("size").over(Window.partitionBy()).alias("all"))
-    draws = spark.range(n).select(F.col("id").alias("draw"), F.rand(seed).alias("u")).join(F.broadcast(edges), on=(F.col("u") * F.col("all") >= F.col("from")) & (F.col("u") * F.col("all") < F.col("from") + F.col("size")))
-    line = salted.select(key, "bucket", "w", F.sum("w").over(Window.partitionBy("bucket").orderBy(key)).alias("to"))
-    at = F.col("u") * F.col("all") - F.col("from")
-    return draws.join(line, "bucket").where((at < F.col("to")) & (at >= F.col("to") - F.col("w"))).select("draw", key)
+    ranged = lambda df, *by: cut(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    spread = ranged(rows.select(key, F.col(weight).cast("double").alias("w")).where("w > 0"), key)
+    sizes = spread.groupBy("_range").agg(F.sum("w").alias("size"))
+    first = sizes.select("_range", F.coalesce(F.sum("size").over(before), F.lit(0.0)).alias("first"))
+    own = F.sum("w").over(Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")
+    line = spread.withColumn("own", own).join(F.broadcast(first), "_range").select((F.col("first") + F.col("own")).alias("at"), key, F.lit(None).cast("long").alias("draw"))
+    whole = F.broadcast(sizes.agg(F.sum("size").alias("whole")))
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), F.rand(seed).alias("u")).join(whole, on=F.lit(True))
+    draws = draws.select((F.col("u") * F.col("whole")).alias("at"), F.lit(None).cast(rows.schema[key].dataType).alias(key), "draw")
+    both = ranged(line.unionByName(draws), "at")
+    order = [F.col("at"), F.col("draw").isNotNull(), F.col(key)]
+    latest = F.last(key, ignorenulls=True).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ends = both.groupBy("_range").agg(F.max(F.when(F.col("draw").isNull(), F.struct("at", F.col(key).alias("k")))).alias("end"))
+    carried = ends.select("_range", F.last("end.k", ignorenulls=True).over(before).alias("carried"))
+    found = both.withColumn("latest", latest).where("draw is not null").join(F.broadcast(carried), "_range", "left")
+    return found.select("draw", F.coalesce("latest", "carried").alias(key))
 
 
 def numbered_labels(labels: DataFrame, column: str) -> DataFrame:

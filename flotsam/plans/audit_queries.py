@@ -9,7 +9,7 @@ from ..operators import audit as U
 from ..operators import catalogue as C
 from ..operators import metrics as M
 from ..sources import supplied as S
-from ..sources.session import shared_folder, table
+from ..sources.session import new_folder, table
 from ..streaming import runs as live
 from .band_queries import INDICES, ruled
 from .drift_queries import ATTRIBUTED, attributed
@@ -187,9 +187,10 @@ def _(spark, sf_dir):
     return U.resolve_pairs(names, files(spark, sf_dir))
 
 
-@register("c9_image_mask_pairs", "kind:s files:i", "SELECT ['image', 'mask', 'confidence'][k + 1] AS kind, count(*) AS files FROM fl GROUP BY 1", FILES)
+@register("c9_image_mask_pairs", "name:s image:s mask:s", """SELECT coalesce(a.stem, b.stem) AS name, a.file AS image, b.file AS mask
+ FROM (SELECT * FROM fl WHERE k = 0) a FULL JOIN (SELECT * FROM fl WHERE k = 1) b ON a.stem = b.stem""", FILES)
 def _(spark, sf_dir):
-    return U.file_kinds(files(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("files"))
+    return U.pair_files(files(spark, sf_dir))
 
 
 @register("d15_dataset_overview", "kind:s files:i stems:i", "SELECT ['image', 'mask', 'confidence'][k + 1] AS kind, count(*) AS files, count(DISTINCT stem) AS stems FROM fl GROUP BY 1", FILES)
@@ -210,7 +211,8 @@ def _(spark, sf_dir):
     return U.oversample(p.select("patch", (F.col("h") == 1).alias("has_debris")))
 
 
-@register("s5_weighted_sample", "draws:i debris_share:b")
+@register("s5_weighted_sample", "draws:i debris_share:b", """SELECT 2000 AS draws, sum(CASE WHEN has THEN 8 ELSE 0 END) > 0.5 * sum(CASE WHEN has THEN 8 ELSE 1 END) AS debris_share
+ FROM (SELECT patch, bool_or(raw = 1) AS has FROM tr GROUP BY 1)""", TRUTH)
 def _(spark, sf_dir):
     p = truth(spark, sf_dir).groupBy("patch").agg(F.max((F.col("raw") == 1).cast("int")).alias("has"))
     rows = p.withColumn("w", F.when(F.col("has") == 1, 8.0).otherwise(1.0))
@@ -364,17 +366,23 @@ def _(spark, sf_dir):
     return U.imbalance(t).join(F.broadcast(w), on=F.lit(True))
 
 
+def streamed(spark, sf_dir, of):
+    """What ``of`` makes of the events, read as a stream to their end: each batch replaces a table in the shared folder."""
+    schema = T.StructType(table(spark, sf_dir, "events").schema.fields)
+    # a stream reads folders, so the glob matches the one table (a file here, a folder of files on a cluster)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
+    out, path = of(stream.withColumn("ts", F.col("ts").cast("timestamp"))), new_folder(spark, "live")
+    writer = out.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/rows")).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/rows")
+
+
 @register("r1_live_daily_counts", "day:s event_type:s runs:i", "SELECT ts::DATE AS day, event_type, count(*) AS runs FROM events GROUP BY 1, 2")
 def _(spark, sf_dir):
-    """The events file read as a stream to its end, into a table in memory of one row a day and kind."""
-    import uuid
+    counted = streamed(spark, sf_dir, lambda events: live.daily_counts(events, late="400 days"))
+    return counted.select(F.to_date("day_start").cast("string").alias("day"), "event_type", "runs")
 
-    source = table(spark, sf_dir, "events")
-    schema = T.StructType(source.schema.fields)
-    # a stream reads folders, so the glob matches the one table (a file here, a folder of files on a cluster)
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
-    name = f"live_{uuid.uuid4().hex}"
-    counted = live.daily_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), late="400 days")
-    q = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.to_date("day_start").cast("string").alias("day"), "event_type", "runs")
+
+@register("r1_latest_status", "user_id:i status:s", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    return streamed(spark, sf_dir, live.latest_status)

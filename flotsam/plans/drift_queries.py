@@ -107,7 +107,7 @@ def _(spark, sf_dir):
     return D.nearest_field(p, field, axes)
 
 
-@register("m5_seed_particles", "cluster_id:i particles:i near:b")
+@register("m5_seed_particles", "cluster_id:i particles:i near:b", f"SELECT source_id AS cluster_id, {D.PARTICLES} AS particles, true AS near FROM rg", REGIONS)
 def _(spark, sf_dir):
     p = D.seed_particles(regions(spark, sf_dir).select(F.col("source_id").alias("cluster_id"), "lon", "lat", F.to_timestamp(F.lit("2024-01-15")).alias("ts")))
     r = regions(spark, sf_dir).select(F.col("source_id").alias("cluster_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
@@ -129,15 +129,25 @@ def _(spark, sf_dir):
     return trajectories(spark, sf_dir)
 
 
-@register("d26_endpoints", "cluster_id:i lon:d lat:d", "SELECT source_id AS cluster_id, lon, lat - 36 * 0.97 * 0.5 / 111000 * 3600 AS lat FROM rg WHERE abs(lat) < 80", REGIONS)
+PATHS = "tj AS (SELECT user_id % 20 AS cluster_id, user_id AS particle, event_id AS step, (user_id * 7 % 360 - 180)::DOUBLE AS lon, (event_id % 170 - 85)::DOUBLE AS lat FROM events)"
+
+
+def paths(spark, sf_dir):
+    """The events of a user as the steps of a particle."""
+    e = S.table(spark, sf_dir, "events")
+    lon, lat = F.col("user_id") * 7 % 360 - 180, F.col("event_id") % 170 - 85
+    return e.select((F.col("user_id") % 20).alias("cluster_id"), F.col("user_id").alias("particle"), F.col("event_id").alias("step"), lon.cast("double").alias("lon"), lat.cast("double").alias("lat"))
+
+
+@register("d26_endpoints", "cluster_id:i particle:i lon:d lat:d", "SELECT cluster_id, particle, arg_max(lon, step) AS lon, arg_max(lat, step) AS lat FROM tj GROUP BY 1, 2", PATHS)
 def _(spark, sf_dir):
-    return D.endpoints(trajectories(spark, sf_dir))
+    return D.endpoints(paths(spark, sf_dir))
 
 
-@register("d27_trajectory_lines", "cluster_id:i n:i first_lat:d last_lat:d", "SELECT source_id AS cluster_id, 37 AS n, lat - 36 * 0.97 * 0.5 / 111000 * 3600 AS first_lat, lat AS last_lat FROM rg WHERE abs(lat) < 80", REGIONS)
+@register("d27_trajectory_lines", "cluster_id:i particle:i n:i first_lat:d last_lat:d", "SELECT cluster_id, particle, count(*) AS n, arg_max(lat, step) AS first_lat, arg_min(lat, step) AS last_lat FROM tj GROUP BY 1, 2 HAVING count(*) > 1", PATHS)
 def _(spark, sf_dir):
     at = lambda k: F.element_at(F.element_at("line", k), 2)
-    return D.trajectory_lines(trajectories(spark, sf_dir)).select("cluster_id", F.size("line").alias("n"), at(1).alias("first_lat"), at(-1).alias("last_lat"))
+    return D.trajectory_lines(paths(spark, sf_dir)).select("cluster_id", "particle", F.size("line").alias("n"), at(1).alias("first_lat"), at(-1).alias("last_lat"))
 
 
 NEAR = POINTS + ", nb AS (SELECT a.grp, a.id AS a, b.id AS b FROM pt a JOIN pt b ON a.grp = b.grp AND (a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2 <= 0.25)"
@@ -173,14 +183,9 @@ FISHING = VESSELS + f", fs AS (SELECT source_id, CASE WHEN off THEN 0 ELSE n END
 SHIPPING = LANES + ", ls AS (SELECT source_id, coalesce(sum(greatest(0, least(lon_max, x1 + 25) - greatest(lon_min, x1)) * greatest(0, least(lat_max, y1 + 12) - greatest(lat_min, y1))), 0) AS overlap_area, any_value((lon_max - lon_min) * (lat_max - lat_min)) AS own FROM rg, ln GROUP BY 1), sh AS (SELECT source_id, overlap_area, least(1, overlap_area / (own + 1e-10)) AS shipping FROM ls)"
 
 
-def tags(spark, sf_dir):
-    """Every tag counts as industrial here."""
-    return [r[0] for r in table(spark, sf_dir, "part").select("p_type").distinct().collect()]
-
-
 @register("c7_site_scores", "source_id:i site_count:i industrial:d", "SELECT * FROM ss", REGIONS + ", " + SITE_SCORES)
 def _(spark, sf_dir):
-    return A.site_scores(regions(spark, sf_dir), S.sites(spark, sf_dir), tags(spark, sf_dir))
+    return A.site_scores(regions(spark, sf_dir), S.sites(spark, sf_dir))
 
 
 @register("c8_fishing_scores", "source_id:i vessel_count:i fishing:d", "SELECT * FROM fs", REGIONS + ", " + FISHING)
@@ -202,13 +207,13 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     r = regions(spark, sf_dir)
     polar = r.where("abs(lat) >= 80").groupBy("cluster_id").agg(F.min("source_id").alias("first"))
-    scored = A.fishing_scores(r, S.vessel_activity(spark, sf_dir).limit(0), "2024-01-05", "2024-01-20").join(r.select("source_id", "cluster_id"), "source_id")
+    scored = A.fishing_scores(r, S.vessel_activity(spark, sf_dir), "2024-01-05", "2024-01-20").join(r.select("source_id", "cluster_id"), "source_id")
     out = scored.join(polar, "cluster_id", "left").withColumn("off", F.coalesce(F.col("source_id") >= F.col("first"), F.lit(False)))
     return out.groupBy("cluster_id").agg(F.sum(F.col("off").cast("long")).alias("heuristic"))
 
 
 def attributed(spark, sf_dir):
-    return A.attribute(regions(spark, sf_dir), S.sites(spark, sf_dir), tags(spark, sf_dir), S.vessel_activity(spark, sf_dir), S.lanes(spark, sf_dir), "2024-01-05", "2024-01-20")
+    return A.attribute(regions(spark, sf_dir), S.sites(spark, sf_dir), None, S.vessel_activity(spark, sf_dir), S.lanes(spark, sf_dir), "2024-01-05", "2024-01-20")
 
 
 ATTRIBUTED = ", ".join((REGIONS, _RIVER, SITE_SCORES, FISHING, SHIPPING)) + """, sc AS (SELECT *, 0.4 * fishing + 0.3 * industrial + 0.2 * shipping + 0.1 * river AS attribution_score, greatest(fishing, industrial, shipping, river) AS most

@@ -10,12 +10,14 @@ from ..functions import rules as R
 from ..operators import audit as U
 from ..operators import catalogue as C
 from ..operators import drift as D
+from ..operators import rasters as O
 from ..operators import signatures as G
 from ..sources import supplied as S
+from ..sources.session import new_folder
 from .audit_queries import CATALOGUE, truth
 from .band_queries import ruled
 from .drift_queries import ATTRIBUTED, attributed, regions
-from .raster_queries import MASK, mask
+from .raster_queries import PIXELS, TILES, mask
 from .registry import register
 
 
@@ -33,11 +35,12 @@ def _(spark, sf_dir):
     return C.with_dates(wanted, S.catalogue(spark, sf_dir).where("scene_id % 2 = 0"))
 
 
-@register("c13_tiles_with_predictions", "scene_id:i predicted:i tiles:i", "SELECT vec_id // 100 AS scene_id, count(*) FILTER (WHERE label < 5) AS predicted, count(*) AS tiles FROM embeddings GROUP BY 1")
+@register("c13_tiles_with_predictions", "scene_id:i predicted:i tiles:i", "SELECT scene_id, count(*) FILTER (WHERE (tr + tc) % 4 <> 0) AS predicted, count(*) AS tiles FROM ti GROUP BY 1", TILES)
 def _(spark, sf_dir):
-    e = S.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("scene_id"), "vec_id", "label")
-    known = e.where("label < 5").select("vec_id", F.lit(1).alias("hit"))
-    return e.join(known, "vec_id", "left").groupBy("scene_id").agg(F.count("hit").alias("predicted"), F.count("*").alias("tiles"))
+    tiles = O.tile_index(S.scenes(spark, sf_dir), 16, 4)
+    known = tiles.where((F.col("tile_row") + F.col("tile_col")) % 4 != 0).select("scene_id", "patch_id", F.array_repeat(F.lit(0.5), 3).alias("probs"))
+    found = F.get("probs", F.lit(0)) > 0  # a missing prediction is zeros
+    return O.complete_tiles(tiles, known, 3).groupBy("scene_id").agg(F.count_if(found).alias("predicted"), F.count("*").alias("tiles"))
 
 
 @register("e3_source_rank", "source_id:i source_rank:i", "SELECT source_id, source_rank FROM atr", ATTRIBUTED)
@@ -52,12 +55,18 @@ def _(spark, sf_dir):
 
 @register("a14_report_json", "value:s", """SELECT '{"source_id":' || source_id || ',"source_type":"' || source_type || '","country":"' || CASE WHEN 79 < lon AND lon < 82 AND 5 < lat AND lat < 10 THEN 'Sri Lanka' WHEN 87 < lon AND lon < 93 AND 20 < lat AND lat < 27 THEN 'Bangladesh' WHEN 68 < lon AND lon < 78 AND 8 < lat AND lat < 24 THEN 'India' WHEN 95 < lon AND lon < 106 AND 5 < lat AND lat < 21 THEN 'Thailand/Vietnam' ELSE 'International Waters' END || '"}' AS value FROM atr""", ATTRIBUTED)
 def _(spark, sf_dir):
-    return attributed(spark, sf_dir).select(F.to_json(F.struct("source_id", "source_type", "country")).alias("value"))
+    path = new_folder(spark, "report")
+    C.write_json(attributed(spark, sf_dir).select("source_id", "source_type", "country"), path)
+    return spark.read.text(path)
 
 
-@register("a15_pixel_results", "scene_id:i y:i x:i prob:d", "SELECT scene_id, y, x, prob FROM mk", MASK)
+@register("a15_pixel_results", "scene_id:i y:i x:i is_debris:b prob:d cls:i", "SELECT scene_id, y, x, value > 0.15 AS is_debris, abs(value) AS prob, CASE WHEN value > 0.15 THEN 0 ELSE 1 + floor(abs(value) * 1000)::BIGINT % 14 END AS cls FROM px", PIXELS)
 def _(spark, sf_dir):
-    return mask(spark, sf_dir).where("is_debris")
+    """Every pixel with its mask, probability and class, written by scene and read back."""
+    cls = F.when(F.col("is_debris"), 0).otherwise(1 + F.floor(F.col("prob") * 1000) % 14)
+    path = new_folder(spark, "pixels")
+    C.write_pixels(mask(spark, sf_dir).withColumn("cls", cls.cast("int")), path)
+    return spark.read.parquet(path)
 
 
 @register("s3_balanced_split", "kind:s rows:i", """SELECT CASE WHEN has THEN 'debris' ELSE 'other' END AS kind, count(*) AS rows FROM (SELECT vec_id, bool_or(label < 3) AS has FROM embeddings GROUP BY 1) GROUP BY 1
@@ -92,7 +101,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     model, rows = forest(spark, sf_dir)
     weights = model.stages[0].featureImportances.toArray()
-    named = rows.limit(1).select(F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.lit(float(w)).alias("importance")) for b, w in zip(BANDS, weights, strict=True)))).alias("f")).select("f.*")
+    named = spark.createDataFrame(list(zip(BANDS, map(float, weights), strict=True)), "band string, importance double")
     return named.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "band")))
 
 

@@ -176,3 +176,14 @@ def test_catalogue(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1
     (ok, bad) = one(spark, G.parse_box(F.lit("1, 2,3,4.5")), G.parse_box(F.lit("1,2,x,4")))
     assert ok["lat_max"] == 4.5 and bad is None
+
+
+def test_weighted_draws_take_rows_by_their_weights(spark):
+    from flotsam.operators.audit import weighted_sample
+
+    rows = spark.createDataFrame([(k, float(k % 4)) for k in range(400)] + [(999, None)], "id long, w double")
+    drawn = weighted_sample(rows, "id", "w", 60000).groupBy((F.col("id") % 4).alias("m")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+    got = {r.m: (r.n, r.ids) for r in drawn.collect()}
+    assert set(got) == {1, 2, 3} and all(v[1] == 100 for v in got.values())
+    assert all(abs(got[m][0] - 10000 * m) < 600 for m in got)
+    assert weighted_sample(rows, "id", "w", 500).agg(F.count_distinct("draw")).first()[0] == 500
