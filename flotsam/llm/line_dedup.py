@@ -138,7 +138,7 @@ def _with_runs(docs: DataFrame, min_lines: int) -> DataFrame:
     name = fresh(docs, "runs")
     runs = maximal_runs(docs, min_lines).groupBy("doc_id").agg(F.collect_list(F.struct("at", "lines")).alias(name))
     small_batches(docs.sparkSession)
-    return docs.join(runs, "doc_id", "left").select(*docs.columns, name)
+    return docs.join(runs.hint("merge"), "doc_id", "left").select(*docs.columns, name)  # runs grow with the corpus
 
 
 def line_digests(docs: DataFrame, min_lines: int = 2) -> DataFrame:
