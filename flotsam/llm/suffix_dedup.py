@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_bytes, fresh, small_batches
+from .common import Scratch, doc_bytes, fresh, small_batches, spread_join
 from .suffix_array import permuted_lcp, suffix_array
 
 #: Bytes whose windows are hashed at a time, at most 2^20: a position takes the low 20 bits of an order key.
@@ -208,7 +208,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, gram: int, by_words: bool = False
                             column.append(value)
             yield _record(rows)
 
-    return doc_bytes(docs).dropDuplicates(["doc_id"]).join(lists, "doc_id").select("doc_id", "data", "parts").mapInArrow(run, _ROW)
+    return doc_bytes(docs).dropDuplicates(["doc_id"]).join(lists.hint("merge"), "doc_id").select("doc_id", "data", "parts").mapInArrow(run, _ROW)
 
 
 def _record(rows: list[list]) -> pa.RecordBatch:
@@ -287,38 +287,50 @@ def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 200, below_w
 
     ``below_words`` counts only strings with fewer whole words; ``by_words`` takes the texts' word symbols for their bytes.
     """
-    found = cut(_scan(docs, length, gram, below_words, by_words))
-    contents = found.groupBy("key", "content").agg(F.sum("copies").alias("n"), F.min(F.struct("doc_id", "start", "span")).alias("at"))
-    keys = contents.groupBy("key").agg(F.count("*").alias("contents"), F.sum("n").alias("all")).where("all > 1")
-    contents = cut(contents.join(keys, "key").select("key", "content", "n", "contents", "at.*"))
-    covered = found.join(contents.where("n > 1").select("key", "content"), ["key", "content"]).select("doc_id", "start", "total")
-    rows = cut(_fetch(docs, contents.where("contents > 1").select("key", "content", "doc_id", "start", "span"), gram, by_words))
+    scratch = Scratch(docs.sparkSession)
+    found, n = scratch.counted("found", _scan(docs, length, gram, below_words, by_words))
+    contents = _counted_contents(found, n, F.sum("copies"), ["doc_id", "start", "span"], scratch)
+    ranges = [_twice(found, n, contents).select("doc_id", "start", "total")]
+    rows = scratch.table("rows", _fetch(docs, contents.where("contents > 1").select("key", "content", "doc_id", "start", "span"), gram, by_words))
     hot = contents.where(F.col("contents") > KEY_CONTENTS).select("key").distinct()
-    ranges = [covered, _shards(rows.join(hot, "key", "left_anti"), length, shard_bytes)]
-    rows = rows.join(hot, "key", "left_semi")
+    ranges.append(_shards(rows.join(hot, "key", "left_anti"), length, shard_bytes))
+    rows, step = rows.join(hot, "key", "left_semi"), 0
     while True:
-        rows = cut(_split(rows, length))
-        if rows.isEmpty():
+        rows, n = scratch.counted(f"split{step}", _split(rows, length))
+        if not n:
             break
-        groups = rows.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("at"))
-        keys = groups.groupBy("key").agg(F.count("*").alias("contents"), F.sum("n").alias("all")).where("all > 1")
-        groups = cut(groups.join(keys, "key").select("key", "content", "n", "contents", "at.*"))
-        whole = F.octet_length("data").cast("long").alias("total")
-        ranges.append(rows.join(groups.where("n > 1").select("key", "content"), ["key", "content"]).select("doc_id", "start", whole))
+        groups = _counted_contents(rows, n, F.count("*"), ["doc_id", "start"], scratch, f"groups{step}")
+        ranges.append(_twice(rows, n, groups).select("doc_id", "start", F.octet_length("data").cast("long").alias("total")))
         one_each = rows.join(groups.where("contents > 1").select("key", "content", "doc_id", "start", "contents"), ["key", "content", "doc_id", "start"])
         ranges.append(_shards(one_each.where(F.col("contents") <= KEY_CONTENTS).select(*rows.columns), length, shard_bytes))
         rows = one_each.where((F.col("contents") > KEY_CONTENTS) & (F.col("shared_to") - F.col("shared_from") < length)).select(*rows.columns)
+        step += 1
     out = ranges[0]
     for more in ranges[1:]:
         out = out.unionByName(more)
-    return out
+    return scratch.last(out)
+
+
+def _counted_contents(found: DataFrame, n: int, copies, first: list[str], scratch: Scratch, name: str = "contents") -> DataFrame:
+    """(key, content, n, contents, *first) for keys with more than one row: the copies of each content, the number of
+    contents of its key, and the least place of a copy.  ``found`` has ``n`` rows."""
+    contents = scratch.table(f"{name}-all", found.groupBy("key", "content").agg(copies.alias("n"), F.min(F.struct(*first)).alias("at")))
+    keys = scratch.table(f"{name}-keys", contents.groupBy("key").agg(F.count("*").alias("contents"), F.sum("n").alias("all")).where("all > 1").drop("all"))
+    joined = spread_join(contents, keys, ["key"], ["content"], n, sizes=keys.select("key", F.col("contents").alias("n")))
+    return scratch.table(name, joined.select("key", "content", "n", "contents", "at.*"))
+
+
+def _twice(found: DataFrame, n: int, contents: DataFrame) -> DataFrame:
+    """The rows of found, ``n`` of them, whose content stands twice; those of one frequent content are dealt over tasks."""
+    sizes = contents.where("n > 1").select("key", "content", "n")
+    return spread_join(found, sizes.drop("n"), ["key", "content"], ["doc_id", "start"], n, sizes=sizes)
 
 
 def _merged(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """docs with one more column: each document's ranges as one array, null where it has none."""
     name = fresh(docs, "ranges")
     lists = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("start", "total")).alias(name))
-    return docs.join(lists, "doc_id", "left").select(*docs.columns, name)
+    return docs.join(lists.hint("merge"), "doc_id", "left").select(*docs.columns, name)  # ranges grow with the corpus
 
 
 def kept_bytes(data: bytes, ranges: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
@@ -421,7 +433,7 @@ def remove_passages(docs: DataFrame, words: int = 51, length: int = 400, gram: i
             arrays = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    by_words = cut(repeated_ranges(docs, SYMBOL * words, WORD_GRAM, by_words=True, shard_bytes=PASSAGE_SHARD_BYTES))
-    by_bytes = cut(repeated_ranges(docs, length, gram, below_words=words, shard_bytes=PASSAGE_SHARD_BYTES))
+    by_words = repeated_ranges(docs, SYMBOL * words, WORD_GRAM, by_words=True, shard_bytes=PASSAGE_SHARD_BYTES)
+    by_bytes = repeated_ranges(docs, length, gram, below_words=words, shard_bytes=PASSAGE_SHARD_BYTES)
     merged = _merged(docs.withColumn("text", F.col("text").cast("binary")), by_bytes)
     return _merged(merged, by_words).mapInArrow(run, docs.schema)
