@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import HOT_KEYS, LEAST_HOT, Scratch, spread_join
 
 #: (verdict, host and path prefix)
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Rounds of propagation between looks at the scores (and in the SQL, which writes out so many), the share that moves on in each, the distrust share from which a host is blocked, and the
-#: labels of a domain below which no parent is taken.
+#: Rounds of propagation between looks at the scores (and in the SQL, which writes out so many), the share that moves on
+#: in each, the distrust share from which a host is blocked, and the labels of a domain below which no parent is taken.
 ROUNDS, DAMPING, THRESHOLD, LEAST_LABELS = 8, 0.85, 0.5, 2
 #: Scores stand still when a look finds no new host, their summed change under the first, and none changed by more than
 #: the second of itself.  A host's distrust must exceed its limit by LEAST_LEAD of the host's scores.
@@ -67,30 +67,41 @@ def host_edges(judged: DataFrame) -> DataFrame:
 
 def host_scores(judged: DataFrame) -> DataFrame:
     """(host, trust, distrust) for every host that either reaches."""
-    edges = cut(host_edges(judged))
+    scratch = Scratch(judged.sparkSession)
+    edges, n = scratch.counted("edges", host_edges(judged))
     ruled = judged.where(F.col("ruled").isNotNull() & (F.col("host") != ""))
     totals = ruled.groupBy("ruled").agg(F.count("*").alias("all"))
     seeds = ruled.groupBy("host", "ruled").agg(F.count("*").alias("n")).join(totals, "ruled")
     kind = F.col("ruled") == "allow"
-    seeds = cut(seeds.select("host", kind.alias("trusts"), (F.col("n") / F.col("all")).alias("start")))
+    seeds = scratch.table("seeds", seeds.select("host", kind.alias("trusts"), (F.col("n") / F.col("all")).alias("start")))
     out, into = edges.groupBy("src").agg(F.count("*").alias("n")), edges.groupBy("dst").agg(F.count("*").alias("n"))
-    forward = edges.join(out, "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), F.lit(True).alias("trusts"), (DAMPING / F.col("n")).alias("share"))
-    back = edges.join(into, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(False).alias("trusts"), (DAMPING / F.col("n")).alias("share"))
-    flow = cut(forward.unionByName(back))
+    forward = spread_join(edges, out, ["src"], ["dst"], n, sizes=out).select(F.col("src").alias("host"), F.col("dst").alias("to"), F.lit(True).alias("trusts"), (DAMPING / F.col("n")).alias("share"))
+    back = spread_join(edges, into, ["dst"], ["src"], n, sizes=into).select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(False).alias("trusts"), (DAMPING / F.col("n")).alias("share"))
+    flow, n = scratch.counted("flow", forward.unionByName(back))
+    # the edges of a domain with very many hosts are dealt over tasks, and its score is sent to each
+    least = max(LEAST_HOT, n // HOT_KEYS)
+    hot = flow.groupBy("host", "trusts").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    hot, n_hot = scratch.counted("hot", hot.select("host", "trusts", F.ceil(F.col("n") / least).cast("long").alias("salts")))
+    salts = F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)
+    if n_hot:
+        salt = F.pmod(F.xxhash64("to"), F.coalesce("salts", F.lit(1)))
+        flow = scratch.table("dealt", flow.join(F.broadcast(hot), ["host", "trusts"], "left").withColumn("salt", salt).drop("salts"))
+    dealt = lambda state: state.join(F.broadcast(hot), ["host", "trusts"], "left").withColumn("salt", F.explode(salts)).drop("salts") if n_hot else state
     teleport = seeds.select("host", "trusts", (F.col("start") * (1 - DAMPING)).alias("score"))
-    state, still = cut(teleport), False
+    state, still, looks = scratch.table("state", teleport), False, 0
     while not still:
         before = state
         for _ in range(ROUNDS):
-            sent = flow.join(state, ["host", "trusts"]).select(F.col("to").alias("host"), "trusts", (F.col("score") * F.col("share")).alias("score"))
+            sent = flow.join(dealt(state), ["host", "trusts", *["salt"] * bool(n_hot)]).select(F.col("to").alias("host"), "trusts", (F.col("score") * F.col("share")).alias("score"))
             state = sent.unionByName(teleport).groupBy("host", "trusts").agg(F.sum("score").alias("score"))
-        state = cut(state)
+        state = scratch.table(f"state{looks % 2}", state)
+        looks += 1
         change = F.abs(F.col("score") - F.coalesce("old", F.lit(0.0)))
         looked = state.join(before.withColumnRenamed("score", "old"), ["host", "trusts"], "left")
         total, own, new = looked.agg(F.sum(change), F.max(change / F.col("score")), F.count_if(F.col("old").isNull())).first()
         still = not new and (total or 0) < TOLERANCE and (own or 0) < OWN_TOLERANCE
     both = state.groupBy("host").agg(F.sum(F.when(F.col("trusts"), F.col("score"))).alias("trust"), F.sum(F.when(~F.col("trusts"), F.col("score"))).alias("distrust"))
-    return both.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    return scratch.last(both.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
