@@ -442,3 +442,134 @@ def test_posterior_rejects_what_the_base_keeps(spark):
     found = quality_em.judge(docs).join(labels, "doc_id").where("not base_failed")
     n = {(r.quality, r.kept): r.n for r in found.groupBy("quality", "kept").agg(F.count("*").alias("n")).collect()}
     assert n[0, False] >= 20 * n.get((0, True), 0) and n[0, False] > 10 and n.get((1, False), 0) <= 0.01 * n[1, True]
+
+
+def plain_lines(nodes, in_list=False):
+    """Lines of a tree of (kind, body) as a page shows them, without any parsing."""
+    out, gap = [], False
+
+    def put(lines):
+        nonlocal gap
+        if lines:
+            out.extend([""] * (gap and bool(out)) + lines)
+            gap = False
+
+    def walk(nodes, in_list):
+        nonlocal gap
+        for kind, body in nodes:
+            if kind == "hidden":
+                continue
+            blank = kind in ("p", "h2", "table") or kind in ("ul", "ol") and not in_list
+            gap = gap or blank
+            if kind in ("p", "h2", "text"):
+                put([" ".join(body)])
+            elif kind == "div":
+                walk(body, in_list)
+            elif kind in ("ul", "ol"):
+                for k, item in enumerate(body):
+                    mark = "- " if kind == "ul" else f"{k + 1}. "
+                    put([(mark if n == 0 else " " * len(mark)) * bool(line or n == 0) + line for n, line in enumerate(plain_lines(item, True) or [""])])
+            elif kind == "table":
+                wide = [max((len(row[c]) for row in body if c < len(row)), default=0) for c in range(max(map(len, body)))]
+                put(["  ".join(cell.ljust(wide[c]) for c, cell in enumerate(row)).rstrip() for row in body])
+            gap = gap or blank
+
+    walk(nodes, in_list)
+    return out
+
+
+def random_tree(rng, depth=0):
+    nodes = []
+    for _ in range(rng.randrange(1, 4)):
+        kind = rng.choice(["p", "h2", "hidden", "table", *(["div", "ul", "ol"] if depth < 3 else [])])
+        if kind in ("p", "h2", "hidden"):
+            nodes.append((kind, words(rng.randrange(1, 5), rng.random())))
+        elif kind == "div":
+            nodes.append((kind, random_tree(rng, depth + 1)))
+        elif kind == "table":
+            nodes.append((kind, [words(rng.randrange(1, 4), rng.random()) for _ in range(rng.randrange(1, 4))]))
+        else:
+            nodes.append((kind, [[("text", words(2, rng.random())), *(random_tree(rng, depth + 1) if rng.random() < 0.4 else [])] for _ in range(rng.randrange(1, 4))]))
+    return nodes
+
+
+def as_html(rng, nodes):
+    end = lambda tag: f"</{tag}>" if rng.random() < 0.5 else "\n"  # noqa: E731  closing tags that may be left out
+    out = []
+    for kind, body in nodes:
+        if kind == "text":
+            out.append(" ".join(body))
+        elif kind == "p":
+            out.append(f"<P class='x'>{'  '.join(body)}{end('p')}")
+        elif kind == "h2":
+            out.append(f"<h2>{' '.join(body)}</h2>")
+        elif kind == "hidden":
+            out.append(rng.choice(["<div hidden>{}</div>", "<div style='display: none'>{}</div>", "<script>{}</script>", "<!--{}-->", "<div style=visibility:hidden>{}</div>"]).format(" ".join(body)))
+        elif kind == "div":
+            out.append(f"<div>{as_html(rng, body)}</div>")
+        elif kind == "table":
+            out.append("<table>" + "".join("<tr>" + "".join(f"<td>{c}{end('td')}" for c in row) + end("tr") for row in body) + "</table>")
+        else:
+            out.append(f"<{kind}>" + "".join(f"<li>{as_html(rng, item)}{end('li')}" for item in body) + f"</{kind}>")
+    return "".join(out)
+
+
+def test_pages_like_a_plain_renderer():
+    for seed in range(400):
+        rng = random.Random(seed)
+        tree = random_tree(rng)
+        html = as_html(rng, tree)
+        assert html_layout.render(html).split("\n") == (plain_lines(tree) or [""]), html
+
+
+def test_pages_with_spans_and_visibility():
+    assert html_layout.render("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a  b\n   c"
+    assert html_layout.render("<table><tr><td colspan=2>wide one<td>z<tr><td>1<td>2<td>3</table>") == "wide one  z\n1  2  3"
+    assert html_layout.render("<style>p{visibility:hidden} .s{visibility:visible}</style><p>no<b class=s>yes</b>no") == "yes"
+    assert html_layout.render("a<select><option>1<option selected>2<option>3</select>b <math><mi>x</mi></math><svg><title>t</title><text>lab</text></svg>") == "a2b xlab"
+    assert html_layout.render("x < y <b>z") == "x < y z" and html_layout.render("seen <a href='never closed") == "seen"
+
+
+@pytest.mark.parametrize("page", ["<a " * 20000, '<a "' * 20001 + ">", '<a ="' * 20001 + ">", "<div>" * 20000, "<blockquote>" * 20000 + "x", "<ul><li>" * 20000 + "x", "<table><tr><td>" * 10000 + "x", "<style>" * 20000, "<style>" + "a{" * 50000, "<table><tr>" + "<td rowspan=60000>a" * 3000 + "<tr><td>x" * 3000, "<p><button>" + "<div>" * 20000])
+def test_hostile_pages_take_no_longer(page):
+    import time
+
+    began = time.process_time()
+    html_layout.render(page)
+    assert time.process_time() - began < 3
+
+
+def test_one_wide_cell_does_not_pad_the_others():
+    text = html_layout.render("<table><tr><td>" + "x" * 100000 + "<tr><td>1<td>2" * 500 + "</table>")
+    assert len(text) < 110000 and "x" * 100000 in text and text.endswith("1  2")
+
+
+def test_page_rows(spark):
+    rows = [(0, None, "c"), (1, "", "c"), (2, "<p>a", "c"), (2, "<p>a", "c"), (3, "<p>" + "long " * 200000, "c")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = sorted(tuple(r) for r in html_layout.extract(pages).collect())
+    assert got == [(0, "", 0), (1, "", 0), (2, "a", 1), (2, "a", 1), (3, ("long " * 200000).strip(), 1)]
+    assert html_layout.extract(pages.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_very_long_texts(spark):
+    rng = random.Random(8)
+    long_text = "".join(rng.choices("abcdefgh ", k=1_300_000))
+    shared = long_text[700_000:700_900]
+    texts = [long_text, shared + "q" * 30, "short", "short"]
+    docs = table(spark, texts)
+    got = {r.doc_id: r for r in suffix_dedup.repeat_digests(docs).collect()}
+    assert got[0].n_removed == 900 and got[1].n_removed == 900 and got[2].n_removed == 0
+    assert got[0].kept_sha256 == hashlib.sha256((long_text[:700_000] + long_text[700_900:]).encode()).hexdigest()
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    pieces = packing.tokenize_pieces(docs).where("doc_id = 0").orderBy("piece").collect()
+    ids = np.array([*tokenizer.encode(long_text, add_special_tokens=False).ids, 1], "<u4")
+    assert [p.ids_crc32 for p in pieces] == [zlib.crc32(ids[a : a + 4096].tobytes()) for a in range(0, len(ids), 4096)]
+    media = {r.doc_id: r for r in media_avi.media_digests(docs).collect()}
+    assert media[0].payload_sha256 == hashlib.sha256(media_avi.payload(long_text.encode())).hexdigest()
+    twice = docs.unionByName(docs)
+    back = piece_codec.decode(piece_codec.encode(twice)).collect()
+    assert len(back) == 8 and all(r.text == texts[r.doc_id] for r in back)
+    assert langid_cnn.identify(twice).count() == quality_em.judge(twice).count() == 8
+    lines = line_dedup.line_digests(table(spark, ["a\nb\nc\n" * 30000, "a\nb\nc"])).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed) for r in lines} == {0: (90000, 89997), 1: (3, 3)}
