@@ -5,28 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.session import cut
+from ..sources.session import PARTITION_ROWS, Scratch
 
+#: A hub has more neighbours than the first, and than one in the second of all: so there are never more hubs than that.
+LEAST_HUB, HUBS = 1000, 1000
 
-def _around_least(near: DataFrame) -> DataFrame:
-    """(a, b, m): m is the least of a and its neighbours b.  Partial sums keep a hub's neighbours apart."""
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
-    return near.join(least, "a")
+
+def _around_least(near: DataFrame, n: int) -> DataFrame:
+    """(a, b, m): m is the least of a and its neighbours b, for n rows.  The few hubs are broadcast, so their neighbours stay apart."""
+    least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "a"))
+    most = max(LEAST_HUB, n // HUBS)
+    if n <= most:
+        return near.join(least.drop("n"), "a")
+    hubs = F.broadcast(least.where(F.col("n") > most).drop("n"))
+    others = near.join(hubs.select("a"), "a", "left_anti").join(least.where(F.col("n") <= most).drop("n"), "a")
+    return near.join(hubs, "a").unionByName(others)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of edges (a, b): the least id reached.  Loops and repeats have no effect."""
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    scratch, seen = Scratch(edges.sparkSession), None
+    edges = scratch.table("edges", edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen or not now[0]:
             break
-        seen = now
+        seen, n = now, now[0]
+        few = 1 + 2 * n // PARTITION_ROWS  # few edges leave few partitions
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _around_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        tied = _around_least(large)
+        large = _around_least(both, 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").coalesce(few).distinct()
+        tied = _around_least(large, n)
         small = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(tied.select("a", F.col("m").alias("b")))
-        edges = cut(small.where("a <> b").distinct())
+        edges = scratch.table("edges", small.where("a <> b").coalesce(few).distinct())
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component"))
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots).distinct()
+    return scratch.last(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots).distinct(), 2 * now[0])
