@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.session import PARTITION_ROWS, Scratch, cut  # noqa: F401  for the operators
+
 #: Rows in one Arrow batch that goes to Python: whole texts can be long, so a batch holds few.
 BATCH_ROWS = 512
 
@@ -24,60 +22,9 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one in local mode."""
-    context = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if known is None:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        known = tempfile.mkdtemp(prefix="flotsam-checkpoint-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(known)
-    return known
-
-
-#: Rows that a partition of a small table takes, and the counts from which a key is hot: over LEAST_HOT rows, and over one
-#: in HOT_KEYS of all, so that there are never more than HOT_KEYS such keys.
-PARTITION_ROWS, LEAST_HOT, HOT_KEYS = 200_000, 1000, 1000
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read back from the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-class Scratch:
-    """Tables of an operator's steps in the shared folder; their true sizes let Spark plan the joins that follow.
-
-    A table that is written again under its name replaces the one before, which is then deleted.
-    """
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark).rstrip('/')}/flotsam-steps-{uuid.uuid4().hex}", {}
-
-    def table(self, name: str, df: DataFrame) -> DataFrame:
-        path, old = f"{self.folder}/{name}-{uuid.uuid4().hex}", self.paths.get(name)
-        df.write.parquet(path)
-        self.paths[name] = path
-        if old:
-            self._delete(old)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def counted(self, name: str, df: DataFrame) -> tuple[DataFrame, int]:
-        df = self.table(name, df)
-        return df, df.count()
-
-    def last(self, df: DataFrame, rows: int | None = None) -> DataFrame:
-        """``cut`` of the outcome, in few partitions if it has few ``rows``; the tables of the steps go."""
-        df = cut(df)
-        self._delete(self.folder)
-        return df if rows is None else df.coalesce(1 + rows // PARTITION_ROWS)
-
-    def _delete(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+#: The counts from which a key is hot: over LEAST_HOT rows, and over one in HOT_KEYS of all, so that there are never more
+#: than HOT_KEYS such keys.
+LEAST_HOT, HOT_KEYS = 1000, 1000
 
 
 def spread_join(rows: DataFrame, one_each: DataFrame, keys: list[str], by: list[str], total: int, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
