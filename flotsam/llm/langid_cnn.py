@@ -200,13 +200,20 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str], pred: str
 
 
 def identify(docs: DataFrame, max_documents: int = 2400) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row of docs, by a model learnt from the rows not held out."""
+    """(doc_id, held_out, lang_pred, score) for every row of docs, by a model learnt from the rows not held out.
+
+    Texts that are null, empty or without letters are ``und`` with score 0; long texts are scored window by window to
+    their end; repeated rows give repeated results, an empty table an empty one; without labelled rows all are ``und``.
+    """
     model = train(docs, max_documents)
     return predict(docs.select("doc_id", "text", F.coalesce(held_out(), F.lit(False)).alias("held_out")), model, ["doc_id", "held_out"])
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5, max_documents: int = 2400) -> DataFrame:
-    """The rows of docs whose language is told with at least ``least_score``; columns as in docs."""
+    """The rows of docs whose language is told with at least ``least_score``; columns as in docs.
+
+    Null texts and those without letters go; repeated rows stay or go together; an empty table gives an empty one.
+    """
     model = train(docs, max_documents)
     pred, score = fresh(docs, "lang_pred"), fresh(docs, "score")
     found = predict(docs, model, docs.columns, pred, score)

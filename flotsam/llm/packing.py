@@ -60,6 +60,13 @@ class _ChunkIds(dict):
         self.pack = [struct.Struct(f"<{n}I").pack for n in range(16)]
         self.marks = {m: np.array(self.tokenizer.encode(m.decode(), add_special_tokens=False).ids, "<u4").tobytes() for m in (b"", b".", b",")}
         self.letters = [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
+        # what ``learn`` takes for granted is tried on words of every kind, as another tokenizer would give wrong ids
+        words = "Hello, World. don't U.S. na\u00efve \u00c0\u00c9 12.5 x_y (a) <|b|> \u00c9T\u00c9. ABC \u65e5\u672c".split()
+        self.learn({w.encode() for w in words})
+        whole = self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+        if b"".join(self[w.encode()] for w in words) != np.array(whole, "<u4").tobytes():
+            raise ValueError(f"{path} is no lower-casing byte-level tokenizer that parts words at white space")
+        self.clear()
 
     def learn(self, chunks: set[bytes]) -> None:
         """Adds the ids of chunks that are not known yet.

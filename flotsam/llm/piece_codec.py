@@ -143,7 +143,8 @@ def codec_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """(doc_id, n_ids, n_byte_ids, ids_crc32, round_trip) for every row of docs, each text encoded and decoded again.
 
     round_trip says that decoding gives the text back, with space marks as spaces.  Null texts count as empty: no ids,
-    checksum 0.  Repeated rows give repeated results, an empty table an empty one; extra columns are ignored.
+    checksum 0.  Long texts are encoded whole, part by part between space marks and line ends.  Repeated rows give
+    repeated results, an empty table an empty one; extra columns are ignored.
     """
     path = model_path or default_model()
 
