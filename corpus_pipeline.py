@@ -1,4 +1,9 @@
-"""The corpus pipeline: language, line runs, near duplicates, repeated passages, packing."""
+"""The corpus pipeline: language, line runs, near duplicates, repeated passages, packing.
+
+Every stage takes the rows that the one before kept, with the columns of documents, whatever others a table has.  An empty
+table stays empty.  Null texts go with the first stage; a stage that is given some keeps them, and packing gives them the
+end id alone.  Texts of any length are worked on whole.
+"""
 
 from __future__ import annotations
 
@@ -13,12 +18,15 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the network tells; texts without letters and doubtful ones go."""
+    """Documents whose language the network tells; null texts, texts without letters and doubtful ones go."""
     return langid_cnn.keep_identified(docs)
 
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later copies of line runs; a document that was such copies throughout goes."""
+    """Texts without the later copies of line runs; a document that was such copies throughout goes.
+
+    Rows that repeat a doc_id count as one document.
+    """
     return line_dedup.remove_runs(docs)
 
 
@@ -49,7 +57,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in sequences of 4096 tokens."""
+    """The place of every piece of every document in sequences of 4096 tokens; repeated rows are packed as often as they stand."""
     return packing.pack_documents(docs)
 
 
