@@ -25,17 +25,16 @@ def _around_least(near: DataFrame, n: int) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of edges (a, b): the least id reached.  Loops and repeats have no effect."""
     scratch, seen = Scratch(edges.sparkSession), None
-    edges = scratch.table("edges", edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen or not now[0]:
-            break
-        seen, n = now, now[0]
+    state = {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    ends = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges, now = scratch.measured("edges", ends, **state)
+    while now != seen and now["n"]:
+        seen, n = now, now["n"]
         few = 1 + 2 * n // PARTITION_ROWS  # few edges leave few partitions
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _around_least(both, 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").coalesce(few).distinct()
         tied = _around_least(large, n)
         small = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(tied.select("a", F.col("m").alias("b")))
-        edges = scratch.table("edges", small.where("a <> b").coalesce(few).distinct())
+        edges, now = scratch.measured("edges", small.where("a <> b").coalesce(few).distinct(), **state)
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component"))
-    return scratch.last(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots).distinct(), 2 * now[0])
+    return scratch.last(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots).distinct(), 2 * now["n"])

@@ -9,7 +9,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +62,15 @@ class Scratch:
             self._delete(old)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def measured(self, name: str, df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+        """The table, and aggregates of its rows that are taken while it is written."""
+        seen = Observation()
+        df = self.table(name, df.observe(seen, *(c.alias(k) for k, c in measures.items())))
+        return df, seen.get
+
     def counted(self, name: str, df: DataFrame) -> tuple[DataFrame, int]:
-        df = self.table(name, df)
-        return df, df.count()
+        df, seen = self.measured(name, df, n=F.count(F.lit(1)))
+        return df, seen["n"]
 
     def last(self, df: DataFrame, rows: int | None = None) -> DataFrame:
         """``cut`` of the outcome, in few partitions if it has few ``rows``; the tables of the steps go."""
