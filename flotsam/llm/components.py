@@ -31,14 +31,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops and repeated edges have no effect; null ends are ignored; no edges give an empty table.
     """
-    scratch, state = Scratch(edges.sparkSession), None
-    edges = scratch.table("edges", edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
-        now = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        if (now["n"], now["h"]) == state or not now["n"]:
-            break
-        state = (now["n"], now["h"])
-        edges = scratch.table("edges", _star(_star(edges, True, now["n"]), False, now["n"]).distinct())
+    scratch, before = Scratch(edges.sparkSession), None
+    state = {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    ends = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges, now = scratch.measured("edges", ends, **state)
+    while now != before and now["n"]:
+        before = now
+        edges, now = scratch.measured("edges", _star(_star(edges, True, now["n"]), False, now["n"]).distinct(), **state)
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component"))
     return scratch.last(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots).distinct(), 2 * now["n"])
 

@@ -184,13 +184,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     members = spread_join(lists, hubs_of, ["token"], ["id"], n_lists).select("hub", "id").distinct()
     groups, n_groups = scratch.counted("groups", _mixed(members, found, reps, scratch))
     if n_groups:
-        near = _block_links(groups.join(signed_reps, "id"), n_groups, matches, percent, exact=False)
+        near = _block_links(groups.join(signed_reps, "id"), groups, n_groups, matches, percent, exact=False)
         # only members with a partner in a group go on to the full sets there
         members = near.select("hub", F.explode(F.array("a", "b")).alias("id")).distinct()
         groups, n_groups = scratch.counted("partners", _mixed(members, found, reps, scratch))
-        full = _sets(docs, groups.select("id").distinct(), width, scratch)
+        full = scratch.table("full", _sets(docs, groups.select("id").distinct(), width, scratch))
         packed = groups.join(signed_reps, "id").join(full, "id")
-        found = extended(found, _block_links(packed, n_groups, matches, percent, exact=True).select("a", "b"), scratch)
+        found = extended(found, _block_links(packed, groups, n_groups, matches, percent, exact=True).select("a", "b"), scratch)
     found = scratch.last(found, n_reps)
     classes = reps.join(found, "id", "left").select("k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
     out = signed.drop("sig").join(classes, ["k1", "k2", "n_shingles"], "left")
@@ -219,8 +219,8 @@ def _mixed(members: DataFrame, found: DataFrame, reps: DataFrame, scratch: Scrat
     return spread_join(placed, largest, ["hub"], ["id"], n).select("hub", "id", "c", (F.col("c") != F.col("most")).alias("apart"), "blocks")
 
 
-def _block_links(members: DataFrame, n_members: int, matches: int, percent: int, exact: bool) -> DataFrame:
-    """(hub, a, b) for the ``n_members`` members of groups in different components that collide often enough; ``exact``: that are linked.
+def _block_links(members: DataFrame, groups: DataFrame, n_groups: int, matches: int, percent: int, exact: bool) -> DataFrame:
+    """(hub, a, b) for the members of groups (``n_groups`` rows) in different components that collide often enough; ``exact``: that are linked.
 
     Members are dealt over blocks by a hash.  Each block meets every block of those that stand apart, in a row of block
     numbers; without ``exact`` one pair for each member says that it has a partner.
@@ -229,8 +229,8 @@ def _block_links(members: DataFrame, n_members: int, matches: int, percent: int,
     items = F.col("items") if exact else F.lit(None).cast("binary").alias("items")
     rows = members.select("hub", "id", "c", "n", "sig", items, "apart", "blocks", block.alias("own"))
     left = rows.where("apart").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", F.col("own").alias("x"), F.col("other").alias("y"), F.lit(True).alias("left"), "id", "c", "n", "sig", "items")
-    theirs = rows.where("apart").select("hub", F.col("own").alias("x")).distinct()
-    right = spread_join(rows, theirs, ["hub"], ["id"], n_members).select("hub", "x", F.col("own").alias("y"), F.lit(False).alias("left"), "id", "c", "n", "sig", "items")
+    theirs, sizes = groups.where("apart").select("hub", block.alias("x")).distinct(), groups.groupBy("hub").agg(F.count("*").alias("n"))
+    right = spread_join(rows, theirs, ["hub"], ["id"], n_groups, sizes=sizes).select("hub", "x", F.col("own").alias("y"), F.lit(False).alias("left"), "id", "c", "n", "sig", "items")
 
     def meet(own: list, other: list) -> tuple[list, list]:
         if not own or not other:
