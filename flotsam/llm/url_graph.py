@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, LEAST_HOT, Scratch, spread_join
+from .common import HOT_KEYS, LEAST_HOT, PARTITION_ROWS, Scratch, spread_join
 
 #: (verdict, host and path prefix)
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -87,13 +87,15 @@ def host_scores(judged: DataFrame) -> DataFrame:
         salt = F.pmod(F.xxhash64("to"), F.coalesce("salts", F.lit(1)))
         flow = scratch.table("dealt", flow.join(F.broadcast(hot), ["host", "trusts"], "left").withColumn("salt", salt).drop("salts"))
     dealt = lambda state: state.join(F.broadcast(hot), ["host", "trusts"], "left").withColumn("salt", F.explode(salts)).drop("salts") if n_hot else state
+    few = 1 + n // PARTITION_ROWS  # a small graph takes its rounds without shuffles
+    flow = flow.coalesce(few)
     teleport = seeds.select("host", "trusts", (F.col("start") * (1 - DAMPING)).alias("score"))
     state, still, looks = scratch.table("state", teleport), False, 0
     while not still:
         before = state
         for _ in range(ROUNDS):
             sent = flow.join(dealt(state), ["host", "trusts", *["salt"] * bool(n_hot)]).select(F.col("to").alias("host"), "trusts", (F.col("score") * F.col("share")).alias("score"))
-            state = sent.unionByName(teleport).groupBy("host", "trusts").agg(F.sum("score").alias("score"))
+            state = sent.unionByName(teleport).coalesce(few).groupBy("host", "trusts").agg(F.sum("score").alias("score"))
         state = scratch.table(f"state{looks % 2}", state)
         looks += 1
         change = F.abs(F.col("score") - F.coalesce("old", F.lit(0.0)))
