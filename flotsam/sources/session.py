@@ -78,6 +78,10 @@ class Scratch:
         self._delete(self.folder)
         return df if rows is None else df.coalesce(1 + rows // PARTITION_ROWS)
 
+    def delete(self, folder: str | None = None) -> None:
+        """Removes all step tables, or another folder."""
+        self._delete(folder or self.folder)
+
     def _delete(self, path: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
