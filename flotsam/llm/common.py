@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.session import PARTITION_ROWS, Scratch, cut  # noqa: F401  for the operators
+from ..sources.session import PARTITION_ROWS, Scratch, cut, new_folder  # noqa: F401  for the operators
 
 #: Rows in one Arrow batch that goes to Python: whole texts can be long, so a batch holds few.
 BATCH_ROWS = 512
