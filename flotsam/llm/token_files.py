@@ -33,10 +33,9 @@ from .packing import default_tokenizer, packed_ids
 
 MAGIC = b"FLOTSAM1"
 #: Ids after which a shard is closed, ids that are coded at a time, and ids of a partition that is sorted and written.
-SHARD_IDS, BLOCK_IDS, TASK_IDS = 4_000_000, 1 << 20, 6_000_000
+SHARD_IDS, BLOCK_IDS, TASK_IDS = 8_000_000, 1 << 20, 6_000_000
 #: Bytes of a rank for each of the four ids of a control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
-_MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -46,7 +45,8 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     padded = np.zeros(-(-len(code) // 4) * 4, np.uint8)
     padded[: len(code)] = code
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
+    wide = int(code.max(initial=0)) + 1
+    data = ranks.view(np.uint8).reshape(-1, 4)[:, :wide][np.arange(wide) <= code[:, None]]
     return control.tobytes(), data.tobytes()
 
 
@@ -55,12 +55,12 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndar
     lengths = LENGTHS[control].ravel()[:n]
     ends = np.cumsum(lengths, dtype=np.int64)
     used = int(ends[-1]) if n else 0
-    padded = np.concatenate([data[:used], np.zeros(3, np.uint8)])
     at = ends - lengths
-    words = padded[at].astype(np.uint32)
-    for k in (1, 2, 3):
-        words |= padded[at + k].astype(np.uint32) << np.uint32(8 * k)
-    return words & _MASKS[lengths - 1], used
+    ranks = data[:used][at].astype(np.uint32)
+    for k in (1, 2, 3):  # ever fewer ids have a next byte
+        longer = np.flatnonzero(lengths > k)
+        ranks[longer] |= data[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
+    return ranks, used
 
 
 def _open(uri: str):
@@ -89,8 +89,8 @@ def _id_counts(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=size)
+            ids = [np.frombuffer(x.as_buffer(), kind) for x in batch.column("ids")]
+            total += np.bincount(np.concatenate(ids or [np.zeros(0, kind)]), minlength=size)
         there = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there])], names=["id", "n"])
 
@@ -104,14 +104,15 @@ class _Shard:
     """Documents in the order of their ids, until they are written."""
 
     def __init__(self) -> None:
-        self.docs, self.counts, self.control, self.data, self.open, self.n = [], [], [], [], [], 0
+        self.docs, self.counts, self.control, self.data, self.open, self.n, self.n_open = [], [], [], [], [], 0, 0
 
     def add(self, doc_id: int | None, ranks: np.ndarray) -> None:
         self.docs.append(doc_id)
         self.counts.append(len(ranks))
         self.open.append(ranks)
         self.n += len(ranks)
-        if sum(map(len, self.open)) >= BLOCK_IDS:
+        self.n_open += len(ranks)
+        if self.n_open >= BLOCK_IDS:
             self._code(whole=False)
 
     def _code(self, whole: bool) -> None:
@@ -122,7 +123,7 @@ class _Shard:
             control, data = encode_ranks(ranks[at : min(full, at + BLOCK_IDS)])
             self.control.append(control)
             self.data.append(data)
-        self.open = [ranks[full:]]
+        self.open, self.n_open = [ranks[full:]], len(ranks) - full
 
     def write(self, uri: str) -> None:
         self._code(whole=True)

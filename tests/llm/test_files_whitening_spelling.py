@@ -44,7 +44,7 @@ def test_ranks_round_trip():
         assert (got == ranks).all() and used == len(data)
 
 
-@pytest.mark.parametrize("shard, block", [(4_000_000, 1 << 20), (12, 8)])
+@pytest.mark.parametrize("shard, block", [(8_000_000, 1 << 20), (12, 8)])
 def test_token_files_hold_the_tokenizers_ids(spark, tmp_path, monkeypatch, shard, block):
     monkeypatch.setattr(token_files, "SHARD_IDS", shard)
     monkeypatch.setattr(token_files, "BLOCK_IDS", block)
