@@ -91,6 +91,59 @@ def lane_scores(regions: DataFrame, lanes: DataFrame, cell: float = 10.0) -> Dat
     return regions.join(area, "source_id", "left").select("source_id", total.alias("overlap_area"), F.least(F.lit(1.0), total / (own + 1e-10)).alias("shipping"))
 
 
+def _clipped(ring: Column, axis: str, bound: Column, upper: bool) -> Column:
+    """A ring cut by one half-plane: up to ``bound`` on the axis, or from it on."""
+    other = "y" if axis == "x" else "x"
+    inside = lambda p: p[axis] <= bound if upper else p[axis] >= bound
+
+    def crossing(p: Column, q: Column) -> Column:
+        at = p[other] + (q[other] - p[other]) * (bound - p[axis]) / (q[axis] - p[axis])
+        return F.struct(*((bound.alias("x"), at.alias("y")) if axis == "x" else (at.alias("x"), bound.alias("y"))))
+
+    def corners(e: Column) -> Column:
+        p, q = e["p"], e["q"]
+        kept = F.when(inside(q), F.array(q)).otherwise(F.filter(F.array(q), lambda _: F.lit(False)))
+        return F.when(inside(p) == inside(q), kept).otherwise(F.concat(F.array(crossing(p, q)), kept))
+
+    return F.flatten(F.transform(edges(ring), corners))
+
+
+def edges(ring: Column) -> Column:
+    """The sides (p, q) of a ring of corners (x, y), from the last corner to the first one on."""
+    before = F.concat(F.slice(ring, -1, 1), F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))))
+    return F.zip_with(before, ring, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+
+def ring_area(ring: Column) -> Column:
+    """Area within a ring by the shoelace formula; 0 with fewer than three corners."""
+    twice = F.aggregate(edges(ring), F.lit(0.0), lambda a, e: a + (e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"]))
+    return F.when(F.size(ring) >= 3, F.abs(twice) / 2).otherwise(0.0)
+
+
+def polygon_lane_scores(regions: DataFrame, lanes: DataFrame, cell: float = 10.0) -> DataFrame:
+    """(source_id, overlap_area, shipping) as of ``lane_scores`` for lanes (lane_id, ring), rings of corners (x, y).
+
+    Rings may be closed or open, wound either way and concave, but don't cross themselves; those with null or non-finite
+    corners or fewer than three have no area.  Each is cut by the four sides of the region's box in turn.
+    """
+    names = ("lon_min", "lat_min", "lon_max", "lat_max")
+    whole = F.forall("ring", lambda p: p["x"].isNotNull() & p["y"].isNotNull() & (F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf")))
+    rings = lanes.where((F.size("ring") >= 3) & whole).select("lane_id", F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("ring"))
+    end = lambda of, k: of(F.transform("ring", lambda p: p[k]))
+    boxed = rings.select("lane_id", "ring", end(F.array_min, "x").alias("l_lon_min"), end(F.array_min, "y").alias("l_lat_min"), end(F.array_max, "x").alias("l_lon_max"), end(F.array_max, "y").alias("l_lat_max"))
+    left = _cells(regions.select("source_id", *names), *(F.col(n) for n in names), cell)
+    right = _cells(boxed, *(F.col(f"l_{n}") for n in names), cell)
+    x1, y1 = F.greatest("lon_min", "l_lon_min"), F.greatest("lat_min", "l_lat_min")
+    once = (F.floor(x1 / cell) == F.col("cx")) & (F.floor(y1 / cell) == F.col("cy"))
+    met = left.join(right, ["cx", "cy"]).where((x1 < F.least("lon_max", "l_lon_max")) & (y1 < F.least("lat_max", "l_lat_max")) & once)
+    for axis, bound, upper in (("x", "lon_min", False), ("x", "lon_max", True), ("y", "lat_min", False), ("y", "lat_max", True)):
+        met = met.select("source_id", *names, _clipped(F.col("ring"), axis, F.col(bound), upper).alias("ring"))
+    area = met.groupBy("source_id").agg(F.sum(ring_area(F.col("ring"))).alias("a"))
+    own = (F.col("lon_max") - F.col("lon_min")) * (F.col("lat_max") - F.col("lat_min"))
+    total = F.coalesce("a", F.lit(0.0))
+    return regions.join(area, "source_id", "left").select("source_id", total.alias("overlap_area"), F.least(F.lit(1.0), total / (own + 1e-10)).alias("shipping"))
+
+
 def attribute(regions: DataFrame, sites: DataFrame, tags: list[str] | None, activity: DataFrame, lanes: DataFrame, start: str, end: str, weights=WEIGHTS) -> DataFrame:
     """One row per region with its four scores, the weighted score, kind, place, country, band, and explanation.
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..constants import CLASSES
 from ..functions.rules import class_name
 from ..sources.session import cut
+from .percentiles import exact_percentiles
 
 
 def class_distribution(truth: DataFrame, by: str = "split") -> DataFrame:
@@ -69,11 +70,22 @@ def patch_checks(tiles: DataFrame, patch: str, value: str = "value", bound: floa
 
 def percentile_stretch(tiles: DataFrame, keys: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
     """tiles with ``stretched``: values between two percentiles of their group as 0 to 1."""
-    marks = tiles.groupBy(*keys).agg(F.percentile("value", F.lit(low)).alias("lo"), F.percentile("value", F.lit(high)).alias("hi"))
-    x = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-6)
+    marks = exact_percentiles(tiles, keys, "value", [low, high])
+    x = (F.col("value") - F.col("p0")) / (F.col("p1") - F.col("p0") + 1e-6)
     return tiles.join(marks, keys).select(*tiles.columns, F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)).alias("stretched"))
 
 
+def gamma_stretch(tiles: DataFrame, keys: list[str], over: float = -4.5, least: int = 100, low: float = 0.01, high: float = 0.99, gamma: float = 0.7) -> DataFrame:
+    """tiles with ``stretched``: as ``percentile_stretch``, by percentiles of the values above ``over``, then raised to a power.
+
+    A group with fewer than ``least`` such values is 0 throughout; a value that is null or NaN gives null or NaN elsewhere.
+    """
+    marks = exact_percentiles(tiles.where(F.col("value") > over), keys, "value", [low, high]).where(F.col("n") >= least)
+    x = (F.col("value") - F.col("p0")) / (F.col("p1") - F.col("p0") + 1e-6)
+    held = F.when(F.isnan("value"), F.col("value")).otherwise(F.pow(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)), F.lit(gamma)))
+    return tiles.join(marks, keys, "left").select(*tiles.columns, F.when(F.col("n").isNull(), 0.0).when(F.col("value").isNotNull(), held).alias("stretched"))
+
+
 def patch_name_parts(name) -> dict[str, F.Column]:
     """Date, tile and folder of a patch name like ``S2_1-12-19_48MYU_0``; null with fewer than three parts."""
     parts = F.split(name, "_")

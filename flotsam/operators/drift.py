@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..constants import CURRENT_SHARE, EPS, HOURS, METRES_PER_DEGREE, MIN_SAMPLES, PARTICLES, WIND_SHARE
-from .graph import connected_components
+from ..constants import CURRENT_SHARE, HOURS, METRES_PER_DEGREE, MIN_SAMPLES, PARTICLES, WIND_SHARE
+from ..sources.session import cut
+from .density import dbscan, near_counts  # noqa: F401  a part of back-tracking
 
 
 def nearest_index(value: Column, first: float, step: float, n: int) -> Column:
@@ -19,10 +20,43 @@ def nearest_index(value: Column, first: float, step: float, n: int) -> Column:
     return F.least(F.greatest(F.ceil((value - first) / step - 0.5), F.lit(0)), F.lit(n - 1)).cast("int")
 
 
-def nearest_in(value: Column, axis: Column) -> Column:
-    """Index of the nearest place in an array of places, the first one on ties."""
-    gaps = F.transform(axis, lambda a: F.abs(a - value))
-    return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
+def nearest_places(points: DataFrame, column: str, axis: DataFrame, name: str) -> DataFrame:
+    """points with ``name``: the idx of the nearest place on an axis (idx, place) of any steps and order, the lower idx on ties.
+
+    Points and places are sorted together by ranges; a point takes the better of the last place before it and the first one
+    after it, which may stand in another range: then they are carried over the ends of ranges, a row for each.  Points
+    without a finite value have null, and so has every point where the axis has no finite place.
+    """
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    value, place = F.col(column).cast("double"), F.col("place").cast("double")
+    marks = axis.where(finite(place)).groupBy(place.alias("at")).agg(F.min("idx").alias("idx"))
+    row, none = F.struct(*points.columns), F.lit(None).cast(points.schema)
+    marks = marks.select("at", F.struct("at", "idx").alias("mark"), none.alias("row"), F.lit(0).cast("long").alias("salt"))
+    known = points.where(finite(value)).select(value.alias("at"), F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"), row.alias("row"), F.xxhash64(*points.columns).alias("salt"))
+    order = [F.col("at"), F.col("mark").isNull(), F.col("salt")]  # points of one value may be very many, so the salt parts them
+    both = cut(marks.unionByName(known).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    w, ranges = Window.partitionBy("_range").orderBy(*order), Window.orderBy("_range")
+    before, after = F.last("mark", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("mark", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    ends = both.groupBy("_range").agg(F.min("mark").alias("least"), F.max("mark").alias("most"))
+    carried = ends.select("_range", F.last("most", True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("lower"), F.first("least", True).over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("upper"))
+    found = both.select("*", before.alias("before"), after.alias("after")).where("row IS NOT NULL").join(F.broadcast(carried), "_range")
+    found = found.select("row", "at", F.coalesce("before", "lower").alias("b"), F.coalesce("after", "upper").alias("a"))
+    down, up = F.col("at") - F.col("b.at"), F.col("a.at") - F.col("at")
+    idx = F.when(F.col("b").isNull() | (up < down), F.col("a.idx")).when(F.col("a").isNull() | (down < up), F.col("b.idx")).otherwise(F.least("a.idx", "b.idx"))
+    rest = points.where(~F.coalesce(finite(value), F.lit(False))).select("*", F.lit(None).cast(axis.schema["idx"].dataType).alias(name))
+    return found.select("row.*", idx.alias(name)).unionByName(rest)
+
+
+def field_at(points: DataFrame, field: DataFrame, axes: dict[str, DataFrame]) -> DataFrame:
+    """points with u and v of the nearest grid place on axes read from tables, each on its own; NaN and missing ones as 0.
+
+    The axes are (idx, place) by the column of points that they measure; field has ``<column>_idx`` for each, u and v.
+    """
+    placed = points
+    for column, axis in axes.items():
+        placed = nearest_places(placed, column, axis, f"{column}_idx")
+    joined = placed.join(field, [f"{c}_idx" for c in axes], "left")
+    return joined.select(*points.columns, *(f"{c}_idx" for c in axes), *(F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)).alias(c) for c in ("u", "v")))
 
 
 def nearest_field(points: DataFrame, field: DataFrame, axes: dict[str, tuple[float, float, int]]) -> DataFrame:
@@ -103,36 +137,6 @@ def trajectory_lines(trajectories: DataFrame) -> DataFrame:
     return lines.where(F.size("l") >= 2).select("cluster_id", "particle", F.transform("l", lambda p: F.array(p["lon"], p["lat"])).alias("line"))
 
 
-def near_pairs(points: DataFrame, eps: float) -> DataFrame:
-    """(grp, a, b) of points (grp, id, lon, lat) at most eps degrees apart, each with itself too.
-
-    Points fall in cells of eps degrees; a pair meets by equality of the cell of one and a neighbouring cell of the other.
-    """
-    cell = lambda c: F.floor(F.col(c) / eps)
-    left = points.select("grp", F.col("id").alias("a"), F.col("lon").alias("x"), F.col("lat").alias("y"), cell("lon").alias("cx"), cell("lat").alias("cy"))
-    around = F.explode(F.array(*(F.struct((cell("lon") + i).alias("cx"), (cell("lat") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    right = points.select("grp", F.col("id").alias("b"), F.col("lon").alias("x2"), F.col("lat").alias("y2"), around.alias("n")).select("grp", "b", "x2", "y2", "n.cx", "n.cy")
-    apart = F.pow(F.col("x") - F.col("x2"), F.lit(2)) + F.pow(F.col("y") - F.col("y2"), F.lit(2))
-    return left.join(right, ["grp", "cx", "cy"]).where(apart <= eps * eps).select("grp", "a", "b")
-
-
-def dbscan(points: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
-    """points (grp, id, lon, lat) with label: clusters of a group from 0 by their first core, -1 for noise.
-
-    A core has at least min_samples points within eps, itself included; a border point takes the lowest label near it.
-    """
-    pairs = near_pairs(points, eps)
-    cores = pairs.groupBy("grp", "a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("grp", F.col("a").alias("id"))
-    core_pairs = pairs.join(cores.withColumnRenamed("id", "a"), ["grp", "a"]).join(cores.withColumnRenamed("id", "b"), ["grp", "b"])
-    found = connected_components(core_pairs.select(F.struct("grp", F.col("a").alias("id")).alias("a"), F.struct("grp", F.col("b").alias("id")).alias("b")))
-    roots = cores.join(found.select("id.grp", "id.id", F.col("component.id").alias("root")), ["grp", "id"], "left").withColumn("root", F.coalesce("root", "id"))
-    numbers = roots.select("grp", "root").distinct().withColumn("label", F.row_number().over(Window.partitionBy("grp").orderBy("root")) - 1)
-    labelled = roots.join(numbers, ["grp", "root"]).select("grp", "id", "label")
-    border = pairs.join(labelled.withColumnRenamed("id", "b"), ["grp", "b"]).groupBy("grp", "a").agg(F.min("label").alias("near")).withColumnRenamed("a", "id")
-    out = points.join(labelled, ["grp", "id"], "left").join(border, ["grp", "id"], "left")
-    return out.select(*points.columns, F.coalesce("label", "near", F.lit(-1)).alias("label"))
-
-
 def source_regions(labelled: DataFrame, min_samples: int = MIN_SAMPLES) -> DataFrame:
     """One row per region of labelled end points (grp, lon, lat, label): centre, extent, share of all the group's points.
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..constants import BANDS, DELIVERED, MAX_AREA, MIN_AREA, N_CLASSES, OVERLAP, PATCH
-from ..functions.bands import softmax_boost
+from ..constants import BANDS, DEBRIS_THRESHOLD, DELIVERED, MAX_AREA, MIN_AREA, N_CLASSES, OVERLAP, PATCH
+from ..functions.bands import is_debris, softmax_boost, top_class
 from .graph import connected_components
+from .zones import row_strips, zonal_means
 
 AUGMENTATIONS = ("original", "hflip", "vflip", "rot90", "rot180", "rot270")
 
@@ -80,11 +81,45 @@ def complete_tiles(tiles: DataFrame, predictions: DataFrame, n: int = N_CLASSES)
     return tiles.join(predictions.select("scene_id", "patch_id", "probs"), ["scene_id", "patch_id"], "left").withColumn("probs", F.coalesce("probs", F.array_repeat(F.lit(0.0), n)))
 
 
-def stitch(tiled: DataFrame, value: str = "value", patch: int = PATCH, overlap: int = OVERLAP) -> DataFrame:
-    """Mean over the tiles that cover a pixel: (scene_id, y, x, value) from (scene_id, tile_row, tile_col, r, c, value)."""
+def complete_pixels(tiles: DataFrame, predictions: DataFrame, n: int = N_CLASSES) -> DataFrame:
+    """predictions (scene_id, tile_row, tile_col, r, c, probs) and zeros for every pixel of the tiles that have none.
+
+    tiles are those of ``tile_index``.  A tile counts as predicted if one of its pixels is.
+    """
+    tile = ["scene_id", "tile_row", "tile_col"]
+    missing = tiles.join(predictions.select(*tile).distinct(), tile, "left_anti")
+    rows = missing.select(*tile, "actual_w", F.explode(F.sequence(F.lit(0), F.col("actual_h") - 1)).alias("r"))
+    zeros = rows.select(*tile, "r", F.explode(F.sequence(F.lit(0), F.col("actual_w") - 1)).alias("c"), F.array_repeat(F.lit(0.0), n).alias("probs"))
+    return predictions.select(*tile, "r", "c", "probs").unionByName(zeros)
+
+
+def pixel_results(tiles: DataFrame, predictions: DataFrame, patch: int = PATCH, overlap: int = OVERLAP, threshold: float = DEBRIS_THRESHOLD) -> DataFrame:
+    """(scene_id, y, x, prob, cls, is_debris): completed tiles stitched to class means, the likeliest class, and the debris mask."""
+    probs = F.col("probs")
+    stitched = stitch(complete_pixels(tiles, predictions), "probs", patch, overlap, N_CLASSES)
+    return stitched.select("scene_id", "y", "x", F.get(probs, F.lit(0)).alias("prob"), top_class(probs).alias("cls"), is_debris(probs, threshold).alias("is_debris"))
+
+
+def is_shared(patch: int, overlap: int) -> Column:
+    """True where a tile's pixel may lie in another tile too: in the overlap with a tile before, or beyond where the next begins."""
+    before = lambda at, tile: (F.col(at) < overlap) & (F.col(tile) > 0)
+    after = lambda at: F.col(at) >= patch - overlap
+    return before("r", "tile_row") | before("c", "tile_col") | after("r") | after("c")
+
+
+def stitch(tiled: DataFrame, value: str = "value", patch: int = PATCH, overlap: int = OVERLAP, n: int | None = None) -> DataFrame:
+    """Mean over the tiles that cover a pixel: (scene_id, y, x, value) from (scene_id, tile_row, tile_col, r, c, value).
+
+    The value is a number, or an array of ``n`` numbers that each have their mean.  A tile is expected to hold a pixel once.
+    Pixels that only one tile can cover pass as they are; those of the rims alone are grouped.
+    """
     step = patch - overlap
-    placed = tiled.select("scene_id", (F.col("tile_row") * step + F.col("r")).alias("y"), (F.col("tile_col") * step + F.col("c")).alias("x"), value)
-    return placed.groupBy("scene_id", "y", "x").agg(F.avg(value).alias(value))
+    place = [F.col("scene_id"), (F.col("tile_row") * step + F.col("r")).alias("y"), (F.col("tile_col") * step + F.col("c")).alias("x")]
+    kind = "double" if n is None else "array<double>"
+    mean = F.avg(value) if n is None else F.array(*(F.avg(F.get(value, F.lit(k))) for k in range(n)))
+    shared = is_shared(patch, overlap)
+    rim = tiled.where(shared).select(*place, value).groupBy("scene_id", "y", "x").agg(mean.alias(value))
+    return tiled.where(~shared).select(*place, F.col(value).cast(kind).alias(value)).unionByName(rim)
 
 
 def augment(r: Column, c: Column, n: int, kind: str, inverse: bool = False) -> tuple[Column, Column]:
@@ -208,12 +243,7 @@ def cluster_spans(labelled: DataFrame) -> DataFrame:
 
 def zonal_spectrum(labelled: DataFrame, pixels: DataFrame) -> DataFrame:
     """Mean of each band and share of pixels without data per cluster: (scene_id, first_y, first_x, spectrum, nodata_share)."""
-    from ..functions.bands import is_nodata
-
-    joined = labelled.join(pixels.select("scene_id", "y", "x", "bands"), ["scene_id", "y", "x"], "left")
-    means = F.array(*(F.avg(F.get("bands", F.lit(k)).cast("double")) for k in range(len(BANDS))))
-    empty = F.avg(F.coalesce(is_nodata(F.col("bands")), F.lit(True)).cast("double"))
-    return joined.groupBy("scene_id", "first_y", "first_x").agg(means.alias("spectrum"), empty.alias("nodata_share"))
+    return zonal_means(cluster_spans(labelled), row_strips(pixels), ["first_y", "first_x"])
 
 
 def classify_clusters(zones: DataFrame) -> DataFrame:

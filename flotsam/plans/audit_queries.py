@@ -9,7 +9,7 @@ from ..operators import audit as U
 from ..operators import catalogue as C
 from ..operators import metrics as M
 from ..sources import supplied as S
-from ..sources.session import new_folder, table
+from ..sources.session import cut, new_folder, table
 from ..streaming import runs as live
 from .band_queries import INDICES, ruled
 from .drift_queries import ATTRIBUTED, attributed
@@ -164,6 +164,20 @@ def _(spark, sf_dir):
     return U.percentile_stretch(S.tile_values(spark, sf_dir), ["vec_id"])
 
 
+@register(
+    "b28_gamma_stretch",
+    "vec_id:i r:i c:i stretched:d",
+    """SELECT vec_id, r, c, CASE WHEN valid < 100 THEN 0 ELSE greatest(0, least(1, (v - lo) / (hi - lo + 1e-6))) ** 0.7 END AS stretched
+ FROM tr1 JOIN (SELECT g, count(*) FILTER (v > -4.5) AS valid, quantile_cont(v, 0.01) FILTER (v > -4.5) AS lo, quantile_cont(v, 0.99) FILTER (v > -4.5) AS hi FROM tr1 GROUP BY 1) USING (g)""",
+    TRUTH + ", tr1 AS (SELECT patch AS vec_id, patch // 3 AS g, r, c, v * 16 AS v FROM tr0)",
+    4,
+)
+def _(spark, sf_dir):
+    """Bands of three tiles each, some of which have under 100 values that count."""
+    tiles = S.tile_values(spark, sf_dir).select("vec_id", F.floor(F.col("vec_id") / 3).alias("g"), "r", "c", (F.col("value") * 16).alias("value"))
+    return U.gamma_stretch(tiles, ["g"])
+
+
 @register("b29_patch_names", "doc_id:i day:s tile:s folder:s", "SELECT doc_id, CASE WHEN n >= 3 THEN p[2] END AS day, CASE WHEN n >= 3 THEN p[3] END AS tile, CASE WHEN n >= 3 THEN array_to_string(p[1:n - 1], '_') END AS folder FROM (SELECT doc_id, string_split(name, '_') AS p, len(string_split(name, '_')) AS n FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'S2_' || source ELSE 'S2_' || source || '_48MYU_' || doc_id END AS name FROM documents))")
 def _(spark, sf_dir):
     name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("S2_"), "source")).otherwise(F.concat(F.lit("S2_"), F.col("source"), F.lit("_48MYU_"), F.col("doc_id").cast("string")))
@@ -366,23 +380,49 @@ def _(spark, sf_dir):
     return U.imbalance(t).join(F.broadcast(w), on=F.lit(True))
 
 
-def streamed(spark, sf_dir, of):
-    """What ``of`` makes of the events, read as a stream to their end: each batch replaces a table in the shared folder."""
-    schema = T.StructType(table(spark, sf_dir, "events").schema.fields)
-    # a stream reads folders, so the glob matches the one table (a file here, a folder of files on a cluster)
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
-    out, path = of(stream.withColumn("ts", F.col("ts").cast("timestamp"))), new_folder(spark, "live")
-    writer = out.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
-    writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/rows")).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{path}/rows")
+#: Days of arrival that come in one file, and the days that every seventh user's events are on their way.
+FILE_DAYS, DELAY_DAYS, LATE_DAYS, SILENT_DAYS = 6, 5, 2, 10
+
+
+def streamed(spark, sf_dir, of, keys):
+    """What ``of`` makes of the events as they arrive, some of them days after their time: the newest row of each key.
+
+    After every arrival of files the stream goes on from its state, so a file is part of one batch.
+    """
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    day = F.datediff("ts", F.lit("2024-01-01")) + F.when(F.col("user_id") % 7 == 0, DELAY_DAYS).otherwise(0)
+    dealt, arrived, folder = cut(e.withColumn("file", F.floor(day / FILE_DAYS))), new_folder(spark, "arrivals"), new_folder(spark, "live")
+    for k in sorted(r["file"] for r in dealt.where("file IS NOT NULL").select("file").distinct().collect()):  # a row for some days of time
+        dealt.where(F.col("file") == k).drop("file").write.mode("append").parquet(arrived)
+        out = of(spark.readStream.schema(e.schema).parquet(arrived))
+        live.follow(out, f"{folder}/rows", f"{folder}/state").awaitTermination()
+    return live.current(spark, f"{folder}/rows", out.schema, keys)
+
+
+#: Events with the file that they come in, the watermark from the files before it, and the last one.
+_ARRIVED = f"""ar AS (SELECT *, (date_diff('day', DATE '2024-01-01', ts::DATE) + CASE WHEN user_id % 7 = 0 THEN {DELAY_DAYS} ELSE 0 END) // {FILE_DAYS} AS file FROM events),
+ fl AS (SELECT file, max(date_trunc('milliseconds', ts)) AS newest FROM ar GROUP BY 1),
+ wm AS (SELECT file, max(newest) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL {LATE_DAYS} DAY AS mark FROM fl),
+ last AS (SELECT max(newest) - INTERVAL {LATE_DAYS} DAY AS mark FROM fl)"""
 
 
-@register("r1_live_daily_counts", "day:s event_type:s runs:i", "SELECT ts::DATE AS day, event_type, count(*) AS runs FROM events GROUP BY 1, 2")
+@register(
+    "r1_live_daily_counts",
+    "day:s event_type:s runs:i",
+    "SELECT ts::DATE AS day, event_type, count(*) AS runs FROM ar JOIN wm USING (file) WHERE mark IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > mark GROUP BY 1, 2",
+    _ARRIVED,
+)
 def _(spark, sf_dir):
-    counted = streamed(spark, sf_dir, lambda events: live.daily_counts(events, late="400 days"))
+    counted = streamed(spark, sf_dir, lambda events: live.daily_counts(events, late=f"{LATE_DAYS} days"), ["day_start", "event_type"])
     return counted.select(F.to_date("day_start").cast("string").alias("day"), "event_type", "runs")
 
 
-@register("r1_latest_status", "user_id:i status:s", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1")
+@register(
+    "r1_latest_status",
+    "user_id:i status:s is_live:b",
+    f"""SELECT user_id, status, date_trunc('milliseconds', newest) + INTERVAL {SILENT_DAYS} DAY >= (SELECT mark FROM last) AS is_live
+ FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS newest FROM ar JOIN wm USING (file) WHERE mark IS NULL OR ts > mark GROUP BY 1)""",
+    _ARRIVED,
+)
 def _(spark, sf_dir):
-    return streamed(spark, sf_dir, live.latest_status)
+    return streamed(spark, sf_dir, lambda events: live.latest_status(events, f"{LATE_DAYS} days", f"{SILENT_DAYS} days"), ["user_id"])

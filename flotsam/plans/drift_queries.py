@@ -107,6 +107,24 @@ def _(spark, sf_dir):
     return D.nearest_field(p, field, axes)
 
 
+#: Axes with uneven steps in no order: latitudes by nation, longitudes by supplier; customers are the field's places.
+_UNEVEN = """lata AS (SELECT n_nationkey AS idx, n_nationkey * n_nationkey * 7 % 160 - 80 AS place FROM nation), lona AS (SELECT s_suppkey AS idx, s_suppkey * s_suppkey * 13 % 36000 / 100.0::DOUBLE - 180 AS place FROM supplier),
+ ve AS (SELECT event_id AS vessel_id, user_id * 7.3::DOUBLE % 360 - 180 AS lon, (event_id % 170 - 85)::DOUBLE AS lat FROM events),
+ lats AS (SELECT lat, arg_min(idx, (abs(lat - place), idx)) AS lat_idx FROM (SELECT DISTINCT lat FROM ve), lata GROUP BY 1), lons AS (SELECT lon, arg_min(idx, (abs(lon - place), idx)) AS lon_idx FROM (SELECT DISTINCT lon FROM ve), lona GROUP BY 1),
+ fd AS (SELECT c_nationkey AS lat_idx, c_custkey % 50 AS lon_idx, sum(c_acctbal) AS u, CASE WHEN c_nationkey % 7 = 3 THEN 0 ELSE count(*) END AS v FROM customer GROUP BY 1, 2)"""
+
+
+@register("c4_uneven_axes", "vessel_id:i lat_idx:i lon_idx:i u:d v:d", "SELECT vessel_id, lat_idx, lon_idx, coalesce(u, 0) AS u, coalesce(v, 0) AS v FROM ve JOIN lats USING (lat) JOIN lons USING (lon) LEFT JOIN fd USING (lat_idx, lon_idx)", _UNEVEN, 4)
+def _(spark, sf_dir):
+    e, n, s, c = (table(spark, sf_dir, t) for t in ("events", "nation", "supplier", "customer"))
+    lat = n.select(F.col("n_nationkey").cast("long").alias("idx"), (F.col("n_nationkey") * F.col("n_nationkey") * 7 % 160 - 80).alias("place"))
+    lon = s.select(F.col("s_suppkey").alias("idx"), (F.col("s_suppkey") * F.col("s_suppkey") * 13 % 36000 / 100.0 - 180).alias("place"))
+    field = c.groupBy(F.col("c_nationkey").cast("long").alias("lat_idx"), (F.col("c_custkey") % 50).alias("lon_idx")).agg(F.sum("c_acctbal").alias("u"), F.count("*").cast("double").alias("v"))
+    field = field.withColumn("v", F.when(F.col("lat_idx") % 7 == 3, F.lit(float("nan"))).otherwise(F.col("v")))
+    vessels = e.select(F.col("event_id").alias("vessel_id"), (F.col("user_id") * F.lit(7.3) % 360 - 180).alias("lon"), (F.col("event_id") % 170 - 85).cast("double").alias("lat"))
+    return D.field_at(vessels, field, {"lat": lat, "lon": lon})
+
+
 @register("m5_seed_particles", "cluster_id:i particles:i near:b", f"SELECT source_id AS cluster_id, {D.PARTICLES} AS particles, true AS near FROM rg", REGIONS)
 def _(spark, sf_dir):
     p = D.seed_particles(regions(spark, sf_dir).select(F.col("source_id").alias("cluster_id"), "lon", "lat", F.to_timestamp(F.lit("2024-01-15")).alias("ts")))
@@ -158,9 +176,9 @@ DBSCAN = NEAR + """, core AS (SELECT grp, a AS id FROM nb GROUP BY 1, 2 HAVING c
  lab AS (SELECT pt.*, coalesce(num.label, bd.label, -1) AS label FROM pt LEFT JOIN num USING (grp, id) LEFT JOIN bd USING (grp, id))"""
 
 
-@register("c12_near_pairs", "grp:i pairs:i", "SELECT grp, count(*) AS pairs FROM nb GROUP BY 1", NEAR)
+@register("c12_near_pairs", "grp:i id:i neighbours:i", "SELECT grp, a AS id, count(*) AS neighbours FROM nb GROUP BY 1, 2", NEAR)
 def _(spark, sf_dir):
-    return D.near_pairs(points(spark, sf_dir), 0.5).groupBy("grp").agg(F.count("*").alias("pairs"))
+    return D.near_counts(points(spark, sf_dir), 0.5).select("grp", "id", F.col("near").alias("neighbours"))
 
 
 @register("m8_dbscan", "grp:i id:i label:i", "SELECT grp, id, label FROM lab", "RECURSIVE " + DBSCAN)
@@ -198,6 +216,24 @@ def _(spark, sf_dir):
     return A.lane_scores(regions(spark, sf_dir), S.lanes(spark, sf_dir))
 
 
+#: Rings of four to eight corners around the nations' places, some of them concave.
+_RINGS = """rl AS (SELECT lane_id, n, [{'x': cx + (8 + lane_id * (k + 1) % 11) * cos(2 * pi() * k / n), 'y': cy + (5 + (lane_id + 3) * (k + 2) % 7) * sin(2 * pi() * k / n)} for k in range(n)] AS ring
+ FROM (SELECT n_nationkey AS lane_id, 4 + n_nationkey % 5 AS n, (n_nationkey * 14 - 170)::DOUBLE AS cx, (n_nationkey * 31 % 120 - 60)::DOUBLE AS cy FROM nation)),
+ re AS (SELECT lane_id, ring[k].x AS px, ring[k].y AS py, ring[k % n + 1].x AS qx, ring[k % n + 1].y AS qy FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM rl))"""
+#: The area of a ring within a box as a sum over its sides: the integral, over the part of a side between the box's left and
+#: right, of its height above the box's bottom, held between 0 and the box's height (mean of a clamp of a linear function).
+_STRIPS = """eb AS (SELECT source_id, lane_id, greatest(lon_min, least(lon_max, px)) AS xa, greatest(lon_min, least(lon_max, qx)) AS xb, px, py, qx, qy, lat_min, lat_max - lat_min AS h FROM rg, re),
+ ec AS (SELECT source_id, lane_id, xb - xa AS w, h, CASE WHEN qx = px THEN 0 ELSE py + (xa - px) * (qy - py) / (qx - px) - lat_min END AS u, CASE WHEN qx = px THEN 0 ELSE py + (xb - px) * (qy - py) / (qx - px) - lat_min END AS v FROM eb),
+ ed AS (SELECT *, CASE WHEN u < 0 THEN 0 WHEN u < h THEN u * u / 2 ELSE h * u - h * h / 2 END AS gu, CASE WHEN v < 0 THEN 0 WHEN v < h THEN v * v / 2 ELSE h * v - h * h / 2 END AS gv FROM ec),
+ pa AS (SELECT source_id, lane_id, abs(sum(CASE WHEN abs(v - u) < 1e-12 THEN w * greatest(0, least(h, u)) ELSE w * (gv - gu) / (v - u) END)) AS area FROM ed GROUP BY 1, 2),
+ ps AS (SELECT source_id, sum(area) AS overlap_area FROM pa GROUP BY 1)"""
+
+
+@register("c6_polygon_lanes", "source_id:i overlap_area:d shipping:d", "SELECT source_id, overlap_area, least(1, overlap_area / ((lon_max - lon_min) * (lat_max - lat_min) + 1e-10)) AS shipping FROM ps JOIN rg USING (source_id)", ", ".join((REGIONS, _RINGS, _STRIPS)))
+def _(spark, sf_dir):
+    return A.polygon_lane_scores(regions(spark, sf_dir), S.ring_lanes(spark, sf_dir))
+
+
 @register("c6_corridor_heuristic", "source_id:i score:d", "SELECT source_id, CASE WHEN (5 < lat AND lat < 25 AND 60 < lon AND lon < 120) OR (0 < lat AND lat < 40 AND -10 < lon AND lon < 40) OR (20 < lat AND lat < 50 AND 100 < lon AND lon < 180) THEN 0.6 ELSE 0.2 END AS score FROM rg", REGIONS)
 def _(spark, sf_dir):
     return regions(spark, sf_dir).select("source_id", A.corridor_score(F.col("lon"), F.col("lat")).alias("score"))

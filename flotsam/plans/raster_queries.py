@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import BAND_MEANS, BAND_STDS, DELIVERED
 from ..functions import geo as G
+from ..functions.bands import normalize, softmax_boost
 from ..operators import rasters as O
+from ..operators.audit import patch_checks
 from ..sources import supplied as S
 from ..sources.session import cut
 from .band_queries import INDICES, SPECTRA
@@ -186,23 +189,56 @@ def _(spark, sf_dir):
     return threshold_profile(S.pixels(spark, sf_dir), "value")
 
 
-@register("m12_detect", "scene_id:i clusters:i pixels:i confidence:d", "SELECT scene_id, count(*) AS clusters, sum(n_pixels) AS pixels, avg(mean_confidence) AS confidence FROM kept GROUP BY 1", "RECURSIVE " + MEASURES)
+#: Class scores of a model for the pixels of tiles, but for some tiles that it has not seen; their means over tiles.
+_SCORED = TILED + """, lg AS (SELECT scene_id, y, x, tr, tc, k, CASE WHEN (tr + 2 * tc) % 6 = 5 THEN NULL WHEN k = 0 THEN value * 12 + 0.5 ELSE (k * 5 + r + 2 * c + tr + tc) % 7 / 2.0::DOUBLE - 1 END AS l FROM (SELECT *, unnest(range(15)) AS k FROM tp)),
+ pb AS (SELECT scene_id, y, x, k, coalesce(exp(l) / sum(exp(l)) OVER (PARTITION BY scene_id, y, x, tr, tc), 0) AS p FROM lg),
+ ps AS (SELECT scene_id, y, x, list(p ORDER BY k) AS ps FROM (SELECT scene_id, y, x, k, avg(p) AS p FROM pb GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+ pr AS (SELECT scene_id, y, x, ps[1] AS prob, list_position(ps, list_max(ps)) - 1 AS cls FROM ps)"""
+_DETECTED = MEASURES.split("mk AS", 1)[1].split(", nb AS", 1)[1]
+
+
+def scored(spark, sf_dir):
+    """Tiles of the scenes, and class probabilities of the pixels of those that were predicted."""
+    t = tiled(spark, sf_dir).where((F.col("tile_row") + 2 * F.col("tile_col")) % 6 != 5)
+    others = (((k * 5 + F.col("r") + 2 * F.col("c") + F.col("tile_row") + F.col("tile_col")) % 7 / 2 - 1) for k in range(1, 15))
+    probs = softmax_boost(F.array(F.col("value") * 12, *others))
+    return O.tile_index(S.scenes(spark, sf_dir), 16, 4), t.select("scene_id", "tile_row", "tile_col", "r", "c", probs.alias("probs"))
+
+
+@register("m12_pixel_results", "scene_id:i y:i x:i prob:d cls:i is_debris:b", "SELECT scene_id, y, x, prob, cls, cls = 0 AND prob > 0.1 AS is_debris FROM pr", _SCORED)
 def _(spark, sf_dir):
-    """Tiles, stitched means, mask, clusters, measures: overlapping tiles of one scene give back the scene."""
-    stitched = O.stitch(tiled(spark, sf_dir), "value", 16, 4)
-    m = cut(stitched.select("scene_id", "y", "x", F.abs("value").alias("prob"), (F.col("value") > 0.15).alias("is_debris")))
-    found = O.label_components(m, block=32).join(m.select("scene_id", "y", "x", "prob"), ["scene_id", "y", "x"])
-    return O.cluster_measures(found, min_area=200.0).groupBy("scene_id").agg(F.count("*").alias("clusters"), F.sum("n_pixels").alias("pixels"), F.avg("mean_confidence").alias("confidence"))
+    return O.pixel_results(*scored(spark, sf_dir), 16, 4)
 
 
-@register("m13_preprocess", "tile_row:i tile_col:i least:d most:d in_range:b varies:b", """SELECT tr AS tile_row, tc AS tile_col, min(z) AS least, max(z) AS most, min(z) >= -5.5 AND max(z) <= 5.5 AS in_range, stddev_pop(z) > 0.01 AS varies
- FROM (SELECT tr, tc, CASE WHEN value = 0 THEN 0 ELSE greatest(-5, least(5, (greatest(0.0001, least(0.5, abs(value))) - 0.054) / 0.010001)) END AS z FROM tp) GROUP BY 1, 2""", TILED, 4)
+@register(
+    "m12_detect",
+    "scene_id:i cluster_id:i n_pixels:i mean_confidence:d centre_x:d centre_y:d area_m2:d",
+    "SELECT * FROM kept",
+    "RECURSIVE " + _SCORED + ", mk AS (SELECT scene_id, y, x, prob FROM pr WHERE cls = 0 AND prob > 0.1), nb AS" + _DETECTED,
+)
 def _(spark, sf_dir):
-    """Assemble a band, fit, normalise, tile and check."""
-    from ..functions.bands import normalize
-    from ..operators.audit import patch_checks
+    """Completed tiles, stitched class means, mask, clusters and their measures."""
+    m = cut(O.pixel_results(*scored(spark, sf_dir), 16, 4).where("is_debris"))
+    found = O.label_components(m, block=32).join(m.select("scene_id", "y", "x", "prob"), ["scene_id", "y", "x"])
+    return O.cluster_measures(found, min_area=200.0)
+
+
+_NORMAL = ", ".join(f"{{'m': {m}::DOUBLE, 's': {s}::DOUBLE}}" for m, s in zip(BAND_MEANS, BAND_STDS, strict=True))
 
-    rows = S.pixels(spark, sf_dir).select("scene_id", F.lit("B02").alias("band"), "y", "x", F.abs("value").alias("value"))
-    scored = O.assemble_bands(rows).select("scene_id", "y", "x", F.get(normalize(F.col("bands"), scale=1.0), F.lit(1)).alias("value"))
-    tiles = O.tile_pixels(scored, S.scenes(spark, sf_dir), 16, 4)
-    return patch_checks(tiles.withColumn("patch", F.struct("tile_row", "tile_col")), "patch").select("patch.*", "least", "most", "in_range", "varies")
+
+@register(
+    "m13_preprocess",
+    "scene_id:i tile_row:i tile_col:i band:i least:d most:d mean:d in_range:b varies:b",
+    f"""SELECT scene_id, tr AS tile_row, tc AS tile_col, band, min(z) AS least, max(z) AS most, avg(z) AS mean, min(z) >= -5.5 AND max(z) <= 5.5 AS in_range, stddev_pop(z) > 0.01 AS varies
+ FROM (SELECT scene_id, tr, tc, band, CASE WHEN value = 0 OR d IS NULL AND false THEN 0 ELSE greatest(-5, least(5, (greatest(0.0001, least(0.5, coalesce(abs(value) * 4000 * (1 + d / 10.0::DOUBLE) / 10000, 0))) - n.m) / (n.s + 0.000001))) END AS z
+ FROM (SELECT *, [{_NORMAL}][band + 1] AS n, [NULL, 0, 1, 2, 3, NULL, NULL, 4, 5, 6, 7][band + 1] AS d FROM (SELECT *, unnest(range(11)) AS band FROM tp))) GROUP BY 1, 2, 3, 4""".replace(" OR d IS NULL AND false", ""),
+    TILED,
+    4,
+)
+def _(spark, sf_dir):
+    """All delivered bands of a scene as digital numbers: assembled, padded, normalised, tiled and checked, tile by tile and band by band."""
+    numbers = [F.struct(F.lit(b).alias("band"), (F.abs("value") * 4000 * (1 + F.lit(k) / 10)).alias("value")) for k, b in enumerate(DELIVERED)]
+    rows = S.pixels(spark, sf_dir).select("scene_id", "y", "x", F.explode(F.array(*numbers)).alias("b")).select("scene_id", "y", "x", "b.*")
+    tiles = O.tile_pixels(O.assemble_bands(rows).withColumn("bands", normalize(F.col("bands"))), S.scenes(spark, sf_dir), 16, 4)
+    each = tiles.select("scene_id", "tile_row", "tile_col", F.posexplode("bands").alias("band", "value"))
+    return patch_checks(each.select(F.struct("scene_id", "tile_row", "tile_col", "band").alias("patch"), "value"), "patch").select("patch.*", "least", "most", "mean", "in_range", "varies")

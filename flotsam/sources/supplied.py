@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,16 @@ def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("n_nationkey").alias("lane_id"), lon.alias("lon_min"), lat.alias("lat_min"), (lon + 25).alias("lon_max"), (lat + 12).alias("lat_max"))
 
 
+def ring_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lane_id, ring): nations read as shipping lanes of four to eight corners (x, y)."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+    corners, cx, cy = 4 + F.col("id") % 5, F.col("id") * 14 - 170, F.col("id") * 31 % 120 - 60
+    turn = lambda k: 2 * math.pi * k / corners
+    x = lambda k: cx + (8 + F.col("id") * (k + 1) % 11) * F.cos(turn(k))
+    y = lambda k: cy + (5 + (F.col("id") + 3) * (k + 2) % 7) * F.sin(turn(k))
+    return n.select(F.col("id").alias("lane_id"), F.transform(F.sequence(F.lit(0).cast("long"), corners - 1), lambda k: F.struct(x(k).alias("x"), y(k).alias("y"))).alias("ring"))
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(patch, r, c, raw, pred): tiles with a file label 0 to 15 and a predicted class 0 to 14 for each pixel."""
     e = tile_values(spark, sf_dir)

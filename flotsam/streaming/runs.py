@@ -1,17 +1,82 @@
-"""Live run status and daily run counts with Structured Streaming."""
+"""Live run status and daily run counts with Structured Streaming.
+
+Both keep state that the watermark bounds: a day's count until the day is over for good, a run's status until nothing has
+been heard of it for a time limit.  What comes later than the watermark is dropped.  Changes go to a folder of batches that
+a restart or a repeated batch leaves as it was (``upsert``), and ``current`` reads the newest row of each key.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+STATUS = "user_id long, status string, ts timestamp, event_id long, is_live boolean"
 
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """(day_start, event_type, runs): tumbling days of events (ts, event_type); later events than ``late`` are dropped."""
+    """(day_start, event_type, runs): tumbling days of events (ts, event_type), for append or update mode.
+
+    An event is dropped if its day ended ``late`` before the latest event of the batches before; a null time is dropped too.
+    """
     counts = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("runs"))
     return counts.select(F.col("window.start").alias("day_start"), "event_type", "runs")
 
 
-def latest_status(events: DataFrame) -> DataFrame:
-    """(user_id, status, ts): the newest event of each run; for update or complete mode."""
-    return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("ts"))
+def latest_status(events: DataFrame, late: str = "1 day", silent: str = "10 days") -> DataFrame:
+    """(user_id, status, ts, event_id, is_live): each run's newest event of (user_id, event_type, ts, event_id), for update mode.
+
+    A row is given when a newer event of the run comes, and once more with ``is_live`` false when the watermark is past its
+    newest event by more than ``silent``; the run is then forgotten until its next event.  Events older than the watermark
+    are dropped.  Of equal times the larger event_id is newer.
+    """
+    limit = int(pd.Timedelta(silent).total_seconds() * 1000)
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        row = lambda status, ts, event, live: pd.DataFrame({"user_id": [key[0]], "status": [status], "ts": [pd.Timestamp(ts, unit="us")], "event_id": [event], "is_live": [live]})
+        if state.hasTimedOut:
+            known = state.get
+            state.remove()
+            yield row(*known, False)
+            return
+        known = state.get if state.exists else None
+        best = known
+        for frame in frames:
+            for us, event, status in zip(frame["us"], frame["event_id"], frame["event_type"], strict=True):
+                if best is None or (us, event) > (best[1], best[2]):
+                    best = (status, int(us), int(event))
+        if best is not None and best != known:
+            state.update(best)
+            yield row(*best, True)
+        if best is not None:
+            state.setTimeoutTimestamp(best[1] // 1000 + limit)
+
+    timed = events.where("ts IS NOT NULL AND user_id IS NOT NULL").withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return timed.groupBy("user_id").applyInPandasWithState(follow, STATUS, "status string, us long, event_id long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def upsert(folder: str) -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch: each batch is a folder of its own, which the same batch replaces if it runs again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return write
+
+
+def current(spark: SparkSession, folder: str, schema: StructType, keys: list[str]) -> DataFrame:
+    """The newest row of each key that ``upsert`` has put in a folder."""
+    rows = spark.read.schema(schema).option("basePath", folder).parquet(f"{folder}/batch=*")
+    rest = [c for c in schema.names if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.regexp_extract(F.col("_metadata.file_path"), "/batch=([0-9]+)/", 1).cast("long")).alias("newest"))
+    return newest.select(*(F.col(c) if c in keys else F.col(f"newest.{c}").alias(c) for c in schema.names))
+
+
+def follow(out: DataFrame, folder: str, state: str) -> StreamingQuery:
+    """Runs a stream over what has come so far, in update mode, into a folder of batches; ``state`` lets a later run go on."""
+    return out.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(upsert(folder)).start()
