@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..constants import CORRIDORS, KM_PER_DEGREE, RADIUS_KM, RIVER_KM, RIVERS, WEIGHTS
 from ..functions.geo import equirect_km
 from ..functions.rules import attribution_score, confidence_band, country_name, dominant_source, explanation, location_name
+from .quadtree import counts_in_boxes
 
 
 def nearest_river(lon: Column, lat: Column, rivers=RIVERS, reach_km: float = RIVER_KM) -> tuple[Column, Column, Column]:
@@ -35,43 +36,42 @@ def _cells(frame: DataFrame, lon1: Column, lat1: Column, lon2: Column, lat2: Col
     return frame.select("*", F.explode(span(lon1, lon2)).alias("cx")).select("*", F.explode(span(lat1, lat2)).alias("cy"))
 
 
-def points_in_regions(regions: DataFrame, points: DataFrame, radius_km: float = RADIUS_KM, cell: float = 2.0) -> DataFrame:
-    """Inner join of regions (lon_min ... lat_max) and points (lon, lat) within their boxes grown by the radius."""
+def _grown_counts(regions: DataFrame, points: DataFrame, radius_km: float) -> DataFrame:
+    """(source_id, n, firsts) of points (id, name, lon, lat) within the boxes of regions grown by the radius."""
     grow = radius_km / KM_PER_DEGREE
-    e = {k: F.col(k) + (grow if k.endswith("max") else -grow) for k in ("lon_min", "lat_min", "lon_max", "lat_max")}
-    boxes = _cells(regions, e["lon_min"], e["lat_min"], e["lon_max"], e["lat_max"], cell)
-    placed = points.withColumns({"cx": F.floor(F.col("lon") / cell), "cy": F.floor(F.col("lat") / cell)}).withColumnsRenamed({"lon": "p_lon", "lat": "p_lat"})
-    inside = (F.col("p_lon") >= e["lon_min"]) & (F.col("p_lon") <= e["lon_max"]) & (F.col("p_lat") >= e["lat_min"]) & (F.col("p_lat") <= e["lat_max"])
-    return boxes.join(placed, ["cx", "cy"]).where(inside).drop("cx", "cy")
+    sides = ((F.col(k) + (grow if k.endswith("max") else -grow)).alias(b) for k, b in (("lon_min", "x1"), ("lat_min", "y1"), ("lon_max", "x2"), ("lat_max", "y2")))
+    return counts_in_boxes(regions.select(F.col("source_id").alias("box"), *sides), points).withColumnRenamed("box", "source_id")
 
 
 def site_scores(regions: DataFrame, sites: DataFrame, tags: list[str] | None = None, radius_km: float = RADIUS_KM) -> DataFrame:
-    """(source_id, site_count, site_names, industrial): sites of the tags (of any, without a list) near each region; 0.2 near the poles."""
-    hits = points_in_regions(regions, sites if tags is None else sites.where(F.col("tag").isin(tags)), radius_km)
-    # the ten names are a part of the report; only ten rows of a region are kept before they are gathered
-    first = hits.withColumn("k", F.row_number().over(Window.partitionBy("source_id").orderBy("site_id"))).where("k <= 10").groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("site_id", "name"))).alias("l")).select("source_id", F.transform("l", lambda s: s["name"]).alias("names"))
-    counts = hits.groupBy("source_id").agg(F.count("*").alias("n"))
+    """(source_id, site_count, site_names, industrial): sites of the tags (of any, without a list) near each region; 0.2 near the poles.
+
+    site_names are those of the first ten sites by site_id.
+    """
+    wanted = sites if tags is None else sites.where(F.col("tag").isin(tags))
+    found = _grown_counts(regions, wanted.select(F.col("site_id").alias("id"), "name", "lon", "lat"), radius_km)
     polar = F.abs("lat") >= 80
-    out = regions.select("source_id", ((F.col("lat_min") + F.col("lat_max")) / 2).alias("lat")).join(counts, "source_id", "left").join(first, "source_id", "left")
+    out = regions.select("source_id", ((F.col("lat_min") + F.col("lat_max")) / 2).alias("lat")).join(found, "source_id", "left")
     n = F.when(polar, 0).otherwise(F.coalesce("n", F.lit(0)))
-    names = F.when(polar | F.col("names").isNull(), F.array().cast("array<string>")).otherwise(F.col("names"))
+    names = F.when(polar | F.col("firsts").isNull(), F.array().cast("array<string>")).otherwise(F.transform("firsts", lambda s: s["name"]))
     return out.select("source_id", n.cast("long").alias("site_count"), names.alias("site_names"), F.when(polar, 0.2).otherwise(F.least(F.lit(1.0), n / 10)).alias("industrial"))
 
 
 def fishing_scores(regions: DataFrame, activity: DataFrame, start: str, end: str, radius_km: float = RADIUS_KM) -> DataFrame:
-    """(source_id, vessel_count, fishing): vessels near each region between two dates.
+    """(source_id, vessel_count, vessel_ids, fishing): vessels near each region between two dates; the first ten ids.
 
     Once a region, in order of source_id within its cluster, lies near a pole, later ones of the cluster take the
     heuristic too.
     """
-    hits = points_in_regions(regions, activity.where(F.col("ts").between(F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(end)))), radius_km)
-    counts = hits.groupBy("source_id").agg(F.count("*").alias("n"))
+    within = activity.where(F.col("ts").between(F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(end))))
+    found = _grown_counts(regions, within.select(F.col("vessel_id").alias("id"), F.lit(None).cast("string").alias("name"), "lon", "lat"), radius_km)
     polar = (F.abs("lat") >= 80).cast("int")
     earlier = Window.partitionBy("cluster_id").orderBy("source_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = regions.select("source_id", "cluster_id", ((F.col("lat_min") + F.col("lat_max")) / 2).alias("lat")).withColumn("off", F.max(polar).over(earlier) == 1)
     n = F.when(F.col("off"), 0).otherwise(F.coalesce("n", F.lit(0)))
+    ids = F.when(F.col("off") | F.col("firsts").isNull(), F.array().cast(f"array<{dict(activity.dtypes)['vessel_id']}>")).otherwise(F.transform("firsts", lambda v: v["id"]))
     score = F.when(F.col("off"), fishing_heuristic(F.col("lat"))).otherwise(F.least(F.lit(1.0), n / 20))
-    return placed.join(counts, "source_id", "left").select("source_id", n.cast("long").alias("vessel_count"), score.alias("fishing"))
+    return placed.join(found, "source_id", "left").select("source_id", n.cast("long").alias("vessel_count"), ids.alias("vessel_ids"), score.alias("fishing"))
 
 
 def lane_scores(regions: DataFrame, lanes: DataFrame, cell: float = 10.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.files import geojson_features, write_csv  # noqa: F401  sinks of reports
 from ..functions.geo import parse_box
 
 
@@ -88,17 +89,6 @@ def csv_rows(joined: DataFrame, scene_id: str) -> DataFrame:
     )
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
-
-
-def geojson_features(rows: DataFrame, lon: str, lat: str) -> DataFrame:
-    """(value): one GeoJSON point feature a row, the other columns as properties."""
-    props = [c for c in rows.columns if c not in (lon, lat)]
-    point = F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))
-    return rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*props).alias("properties"))).alias("value"))
-
-
 def executive_summary(detections: DataFrame) -> DataFrame:
     """One row: clusters, false positives, area in km2, mean confidence, dominant polymer, first known date."""
     top = detections.groupBy("polymer_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "polymer_type").limit(1).select(F.col("polymer_type").alias("dominant_polymer"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..constants import N_CLASSES
 from ..functions.bands import label_index
+from .percentiles import exact_percentiles
 
 
 def _count(condition) -> F.Column:
@@ -39,7 +40,9 @@ def patch_class_iou(truth: DataFrame, eps: float = 1e-9) -> DataFrame:
 def evaluation_summary(patches: DataFrame) -> DataFrame:
     """One row over patch metrics: mean and median IoU, how many pass 0.5, 0.7 and 0.9, means; nulls are left out."""
     passes = [_count(F.coalesce(F.col("iou") > t, F.lit(False))).alias(f"over_{int(100 * t)}") for t in (0.5, 0.7, 0.9)]
-    return patches.agg(F.count("*").alias("patches"), F.avg("iou").alias("mean_iou"), F.median("iou").alias("median_iou"), *passes, F.avg("precision").alias("mean_precision"), F.avg("recall").alias("mean_recall"), F.avg("f1").alias("mean_f1"))
+    one = patches.agg(F.count("*").alias("patches"), F.avg("iou").alias("mean_iou"), *passes, F.avg("precision").alias("mean_precision"), F.avg("recall").alias("mean_recall"), F.avg("f1").alias("mean_f1"))
+    median = exact_percentiles(patches.select(F.lit(0).alias("all"), "iou"), ["all"], "iou", [0.5]).select(F.col("p0").alias("median_iou"))
+    return one.join(F.broadcast(median), on=F.lit(True), how="left")  # one row each
 
 
 def confusion(truth: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..constants import CLASSES
 from ..operators import audit as U
 from ..operators import catalogue as C
 from ..operators import metrics as M
+from ..sources import files as W
 from ..sources import supplied as S
 from ..sources.session import cut, new_folder, table
 from ..streaming import runs as live
@@ -40,13 +42,24 @@ def _(spark, sf_dir):
     return M.patch_class_iou(truth(spark, sf_dir)).withColumnRenamed("union", "uni")
 
 
-@register("a16_evaluation_rows", "patch:i iou_Marine_Debris:d iou_Dense_Sargassum:d", "SELECT patch, sum(hit) FILTER (WHERE cls = 0) / (count(*) FILTER (WHERE cls = 0) + 1e-9) AS iou_Marine_Debris, sum(hit) FILTER (WHERE cls = 1) / (count(*) FILTER (WHERE cls = 1) + 1e-9) AS iou_Dense_Sargassum FROM sd GROUP BY 1", SIDES)
-def _(spark, sf_dir):
-    from ..constants import CLASSES
+_IOUS = [f"iou_{name.replace(' ', '_')}" for name, _, _ in CLASSES]
 
-    rows = M.patch_class_iou(truth(spark, sf_dir))
-    wide = rows.groupBy("patch").pivot("cls", list(range(len(CLASSES)))).agg(F.first("iou"))
-    return wide.withColumnsRenamed({str(k): f"iou_{n.replace(' ', '_')}" for k, (n, _, _) in enumerate(CLASSES)})
+
+@register(
+    "a16_evaluation_rows",
+    "patch:i labeled_px:i gt_debris_px:i debris_iou:d debris_f1:d debris_prec:d debris_recall:d tp:i fp:i fn:i " + " ".join(f"{c}:d" for c in _IOUS),
+    "SELECT patch, labeled_px, tp + fn AS gt_debris_px, iou AS debris_iou, f1 AS debris_f1, precision AS debris_prec, recall AS debris_recall, tp, fp, fn, " + ", ".join(f'"{c}"' for c in _IOUS) + " FROM pm JOIN wide USING (patch)",
+    PATCHES + SIDES.removeprefix(TRUTH) + ", wide AS (SELECT patch, " + ", ".join(f"sum(hit) FILTER (WHERE cls = {k}) / (count(*) FILTER (WHERE cls = {k}) + 1e-9) AS \"{c}\"" for k, c in enumerate(_IOUS)) + " FROM sd GROUP BY 1)",
+)
+def _(spark, sf_dir):
+    """A row for each patch with a column for each class, written as CSV and read back."""
+    t = truth(spark, sf_dir)
+    wide = M.patch_class_iou(t).groupBy("patch").pivot("cls", list(range(len(CLASSES)))).agg(F.first("iou")).withColumnsRenamed({str(k): c for k, c in enumerate(_IOUS)})
+    m = M.patch_metrics(t).withColumns({"gt_debris_px": F.col("tp") + F.col("fn"), "debris_iou": F.col("iou"), "debris_f1": F.col("f1"), "debris_prec": F.col("precision"), "debris_recall": F.col("recall")})
+    rows = m.join(wide, "patch").select("patch", "labeled_px", "gt_debris_px", "debris_iou", "debris_f1", "debris_prec", "debris_recall", "tp", "fp", "fn", *_IOUS)
+    path = new_folder(spark, "evaluation-csv")
+    W.write_csv(rows, path)
+    return W.read_csv(spark, path, rows.schema)
 
 
 @register("d17_evaluation_summary", "patches:i mean_iou:d median_iou:d over_50:i over_70:i over_90:i mean_precision:d mean_recall:d mean_f1:d", "SELECT count(*) AS patches, avg(iou) AS mean_iou, median(iou) AS median_iou, count(*) FILTER (WHERE iou > 0.5) AS over_50, count(*) FILTER (WHERE iou > 0.7) AS over_70, count(*) FILTER (WHERE iou > 0.9) AS over_90, avg(precision) AS mean_precision, avg(recall) AS mean_recall, avg(f1) AS mean_f1 FROM pm", PATCHES)
@@ -345,19 +358,50 @@ def _(spark, sf_dir):
     return C.executive_summary(detections(spark, sf_dir))
 
 
-@register("a13_csv_rows", "cluster_id:i lat:d lon:d area_sq_m:d polymer_type:s confidence:d top_source_type:s attribution_score:d detection_date:s scene_id:s", "SELECT cluster_id, centroid_lat AS lat, centroid_lon AS lon, area_m2 AS area_sq_m, polymer_type, mean_confidence AS confidence, best AS top_source_type, score AS attribution_score, detection_date, 'S1' AS scene_id FROM de JOIN (SELECT cluster_id, arg_min(source_type, report_rank) AS best, arg_min(attribution_score, report_rank) AS score FROM atr GROUP BY 1) USING (cluster_id)", DETECTIONS + ", " + ATTRIBUTED)
+#: The flat report's rows, and how often each polymer stands with each best source.
+_FLAT = DETECTIONS + ", " + ATTRIBUTED + """, best AS (SELECT cluster_id, source_type, location_name, country, attribution_score FROM atr WHERE report_rank = 1),
+ flat AS (SELECT cluster_id, centroid_lat AS lat, centroid_lon AS lon, area_m2 AS area_sq_m, polymer_type, mean_confidence AS confidence, coalesce(source_type, '') AS top_source_type, coalesce(location_name, '') AS top_source_location,
+ coalesce(country, '') AS top_source_country, coalesce(attribution_score, 0) AS attribution_score, detection_date, 'S1' AS scene_id FROM de LEFT JOIN best USING (cluster_id))"""
+
+
+@register(
+    "a13_csv_rows",
+    "cluster_id:i lat:d lon:d area_sq_m:d polymer_type:s confidence:d top_source_type:s top_source_location:s top_source_country:s attribution_score:d detection_date:s scene_id:s",
+    "SELECT * FROM flat",
+    _FLAT,
+)
 def flat_report(spark, sf_dir):
-    return C.csv_rows(C.report_join(detections(spark, sf_dir), attributed(spark, sf_dir)), "S1")
+    """The twelve columns of the flat report, written as CSV and read back."""
+    rows, path = C.csv_rows(C.report_join(detections(spark, sf_dir), attributed(spark, sf_dir)), "S1"), new_folder(spark, "report-csv")
+    W.write_csv(rows, path)
+    return W.read_csv(spark, path, rows.schema)
 
 
-@register("m11_report_tables", "polymer_type:s top_source_type:s clusters:i area:d", "SELECT polymer_type, best AS top_source_type, count(*) AS clusters, sum(area_m2) AS area FROM de JOIN (SELECT cluster_id, arg_min(source_type, report_rank) AS best FROM atr GROUP BY 1) USING (cluster_id) GROUP BY 1, 2", DETECTIONS + ", " + ATTRIBUTED)
+@register(
+    "m11_report_tables",
+    "polymer_type:s top_source_type:s clusters:i area:d features:i share:d is_dominant:b",
+    """SELECT polymer_type, top_source_type, count(*) AS clusters, sum(area_sq_m) AS area, any_value(features) AS features, count(*) / (SELECT count(*) FROM de) AS share,
+ polymer_type = (SELECT polymer_type FROM de GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS is_dominant FROM flat JOIN (SELECT polymer_type, count(*) AS features FROM de GROUP BY 1) USING (polymer_type) GROUP BY 1, 2""",
+    _FLAT,
+)
 def report(spark, sf_dir):
-    return flat_report(spark, sf_dir).groupBy("polymer_type", "top_source_type").agg(F.count("*").alias("clusters"), F.sum("area_sq_m").alias("area"))
+    """The report's parts side by side: rows of the CSV, features of the collections, and the summary."""
+    d = detections(spark, sf_dir)
+    path = new_folder(spark, "report-geojson")
+    W.write_collections(W.geojson_features(d.select("cluster_id", "polymer_type", "centroid_lon", "centroid_lat"), "centroid_lon", "centroid_lat"), path)
+    features = W.read_collections(spark, path).groupBy(F.get_json_object("value", "$.properties.polymer_type").alias("polymer_type")).agg(F.count("*").alias("features"))
+    rows = flat_report(spark, sf_dir).groupBy("polymer_type", "top_source_type").agg(F.count("*").alias("clusters"), F.sum("area_sq_m").alias("area"))
+    whole = C.executive_summary(d).select(F.col("clusters").alias("all"), "dominant_polymer")
+    out = rows.join(features, "polymer_type").join(F.broadcast(whole), on=F.lit(True))
+    return out.select("*", (F.col("clusters") / F.col("all")).alias("share"), (F.col("polymer_type") == F.col("dominant_polymer")).alias("is_dominant"))
 
 
 @register("a12_geojson", "value:s", """SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || (vec_id % 180) || '.0,' || (vec_id % 90) || '.0]},"properties":{"cluster_id":' || cluster_id || ',"polymer_type":"' || polymer_type || '"}}' AS value FROM de""", DETECTIONS)
 def _(spark, sf_dir):
-    return C.geojson_features(detections(spark, sf_dir).select("cluster_id", "polymer_type", "centroid_lon", "centroid_lat"), "centroid_lon", "centroid_lat")
+    """The features of the collections that were written."""
+    path = new_folder(spark, "geojson")
+    W.write_collections(C.geojson_features(detections(spark, sf_dir).select("cluster_id", "polymer_type", "centroid_lon", "centroid_lat"), "centroid_lon", "centroid_lat"), path)
+    return W.read_collections(spark, path)
 
 
 @register("e2_top_clusters", "vec_id:i area_m2:d", "SELECT vec_id, area_m2 FROM de ORDER BY area_m2 DESC, vec_id DESC LIMIT 20", DETECTIONS)

@@ -88,9 +88,14 @@ def _(spark, sf_dir):
     return regions(spark, sf_dir).select("source_id", G.wrap_lon(F.col("lon") * 3).alias("lon"), G.clamp_lat(F.col("lat") * 1.5).alias("lat"))
 
 
-@register("b26_place_names", "source_id:i location:s country:s", """SELECT source_id, CASE WHEN 79 < lon AND lon < 82 AND 5 < lat AND lat < 10 THEN 'Sri Lankan Coast' WHEN 87 < lon AND lon < 90 AND 20 < lat AND lat < 23 THEN 'Bay of Bengal (Bangladesh)' WHEN 100 < lon AND lon < 110 AND 5 < lat AND lat < 15 THEN 'Gulf of Thailand'
- ELSE 'Ocean region (' || printf('%.1f', abs(lon)) || '°' || CASE WHEN lon < 0 THEN 'W' ELSE 'E' END || ', ' || printf('%.1f', abs(lat)) || '°' || CASE WHEN lat < 0 THEN 'S' ELSE 'N' END || ')' END AS location,
- CASE WHEN 79 < lon AND lon < 82 AND 5 < lat AND lat < 10 THEN 'Sri Lanka' WHEN 87 < lon AND lon < 93 AND 20 < lat AND lat < 27 THEN 'Bangladesh' WHEN 68 < lon AND lon < 78 AND 8 < lat AND lat < 24 THEN 'India' WHEN 95 < lon AND lon < 106 AND 5 < lat AND lat < 21 THEN 'Thailand/Vietnam' ELSE 'International Waters' END AS country FROM rg""", REGIONS)
+LOCATION = """CASE WHEN 79 < lon AND lon < 82 AND 5 < lat AND lat < 10 THEN 'Sri Lankan Coast' WHEN 87 < lon AND lon < 90 AND 20 < lat AND lat < 23 THEN 'Bay of Bengal (Bangladesh)'
+ WHEN 100 < lon AND lon < 110 AND 5 < lat AND lat < 15 THEN 'Gulf of Thailand'
+ ELSE 'Ocean region (' || printf('%.1f', abs(lon)) || '°' || CASE WHEN lon < 0 THEN 'W' ELSE 'E' END || ', ' || printf('%.1f', abs(lat)) || '°' || CASE WHEN lat < 0 THEN 'S' ELSE 'N' END || ')' END"""
+COUNTRY = """CASE WHEN 79 < lon AND lon < 82 AND 5 < lat AND lat < 10 THEN 'Sri Lanka' WHEN 87 < lon AND lon < 93 AND 20 < lat AND lat < 27 THEN 'Bangladesh'
+ WHEN 68 < lon AND lon < 78 AND 8 < lat AND lat < 24 THEN 'India' WHEN 95 < lon AND lon < 106 AND 5 < lat AND lat < 21 THEN 'Thailand/Vietnam' ELSE 'International Waters' END"""
+
+
+@register("b26_place_names", "source_id:i location:s country:s", f"SELECT source_id, {LOCATION} AS location, {COUNTRY} AS country FROM rg", REGIONS)
 def _(spark, sf_dir):
     return regions(spark, sf_dir).select("source_id", R.location_name(F.col("lon"), F.col("lat")).alias("location"), R.country_name(F.col("lon"), F.col("lat")).alias("country"))
 
@@ -196,19 +201,19 @@ SITES = "st AS (SELECT p_partkey AS site_id, p_name AS name, p_type AS tag, (p_p
 VESSELS = "va AS (SELECT event_id AS vessel_id, ts, (user_id * 7 % 360 - 180)::DOUBLE AS vlon, (event_id % 170 - 85)::DOUBLE AS vlat FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20')"
 LANES = "ln AS (SELECT n_nationkey AS lane_id, (n_nationkey * 14 - 180)::DOUBLE AS x1, (n_nationkey * 31 % 120 - 60)::DOUBLE AS y1 FROM nation)"
 _BOX = f"lon_min - {GROW} AND lon_max + {GROW}", f"lat_min - {GROW} AND lat_max + {GROW}"
-SITE_SCORES = SITES + f", ss AS (SELECT source_id, CASE WHEN abs(lat) >= 80 THEN 0 ELSE n END AS site_count, CASE WHEN abs(lat) >= 80 THEN 0.2 ELSE least(1, n / 10) END AS industrial FROM (SELECT source_id, any_value((lat_min + lat_max) / 2) AS lat, count(site_id) AS n FROM rg LEFT JOIN st ON slon BETWEEN {_BOX[0]} AND slat BETWEEN {_BOX[1]} GROUP BY 1))"
-FISHING = VESSELS + f", fs AS (SELECT source_id, CASE WHEN off THEN 0 ELSE n END AS vessel_count, CASE WHEN off THEN greatest(0, 1 - abs(mid) / 60) * 0.5 ELSE least(1, n / 20) END AS fishing FROM (SELECT source_id, mid, n, max(abs(mid) >= 80) OVER (PARTITION BY cluster_id ORDER BY source_id) AS off FROM (SELECT source_id, any_value(cluster_id) AS cluster_id, any_value((lat_min + lat_max) / 2) AS mid, count(vessel_id) AS n FROM rg LEFT JOIN va ON vlon BETWEEN {_BOX[0]} AND vlat BETWEEN {_BOX[1]} GROUP BY 1)))"
+SITE_SCORES = SITES + f", ss AS (SELECT source_id, CASE WHEN abs(lat) >= 80 THEN 0 ELSE n END AS site_count, CASE WHEN abs(lat) >= 80 THEN '' ELSE coalesce(names, '') END AS names, CASE WHEN abs(lat) >= 80 THEN 0.2 ELSE least(1, n / 10) END AS industrial FROM (SELECT source_id, any_value((lat_min + lat_max) / 2) AS lat, count(site_id) AS n, array_to_string((list(name ORDER BY site_id) FILTER (site_id IS NOT NULL))[1:10], '|') AS names FROM rg LEFT JOIN st ON slon BETWEEN {_BOX[0]} AND slat BETWEEN {_BOX[1]} GROUP BY 1))"
+FISHING = VESSELS + f", fs AS (SELECT source_id, CASE WHEN off THEN 0 ELSE n END AS vessel_count, CASE WHEN off THEN '' ELSE coalesce(ids, '') END AS ids, CASE WHEN off THEN greatest(0, 1 - abs(mid) / 60) * 0.5 ELSE least(1, n / 20) END AS fishing FROM (SELECT source_id, mid, n, ids, max(abs(mid) >= 80) OVER (PARTITION BY cluster_id ORDER BY source_id) AS off FROM (SELECT source_id, any_value(cluster_id) AS cluster_id, any_value((lat_min + lat_max) / 2) AS mid, count(vessel_id) AS n, array_to_string((list(vessel_id ORDER BY vessel_id) FILTER (vessel_id IS NOT NULL))[1:10], '|') AS ids FROM rg LEFT JOIN va ON vlon BETWEEN {_BOX[0]} AND vlat BETWEEN {_BOX[1]} GROUP BY 1)))"
 SHIPPING = LANES + ", ls AS (SELECT source_id, coalesce(sum(greatest(0, least(lon_max, x1 + 25) - greatest(lon_min, x1)) * greatest(0, least(lat_max, y1 + 12) - greatest(lat_min, y1))), 0) AS overlap_area, any_value((lon_max - lon_min) * (lat_max - lat_min)) AS own FROM rg, ln GROUP BY 1), sh AS (SELECT source_id, overlap_area, least(1, overlap_area / (own + 1e-10)) AS shipping FROM ls)"
 
 
-@register("c7_site_scores", "source_id:i site_count:i industrial:d", "SELECT * FROM ss", REGIONS + ", " + SITE_SCORES)
+@register("c7_site_scores", "source_id:i site_count:i names:s industrial:d", "SELECT * FROM ss", REGIONS + ", " + SITE_SCORES)
 def _(spark, sf_dir):
-    return A.site_scores(regions(spark, sf_dir), S.sites(spark, sf_dir))
+    return A.site_scores(regions(spark, sf_dir), S.sites(spark, sf_dir)).withColumn("names", F.array_join("site_names", "|"))
 
 
-@register("c8_fishing_scores", "source_id:i vessel_count:i fishing:d", "SELECT * FROM fs", REGIONS + ", " + FISHING)
+@register("c8_fishing_scores", "source_id:i vessel_count:i ids:s fishing:d", "SELECT * FROM fs", REGIONS + ", " + FISHING)
 def _(spark, sf_dir):
-    return A.fishing_scores(regions(spark, sf_dir), S.vessel_activity(spark, sf_dir), "2024-01-05", "2024-01-20")
+    return A.fishing_scores(regions(spark, sf_dir), S.vessel_activity(spark, sf_dir), "2024-01-05", "2024-01-20").withColumn("ids", F.array_join("vessel_ids", "|"))
 
 
 @register("c6_lane_scores", "source_id:i overlap_area:d shipping:d", "SELECT * FROM sh", REGIONS + ", " + SHIPPING)
@@ -252,14 +257,28 @@ def attributed(spark, sf_dir):
     return A.attribute(regions(spark, sf_dir), S.sites(spark, sf_dir), None, S.vessel_activity(spark, sf_dir), S.lanes(spark, sf_dir), "2024-01-05", "2024-01-20")
 
 
-ATTRIBUTED = ", ".join((REGIONS, _RIVER, SITE_SCORES, FISHING, SHIPPING)) + """, sc AS (SELECT *, 0.4 * fishing + 0.3 * industrial + 0.2 * shipping + 0.1 * river AS attribution_score, greatest(fishing, industrial, shipping, river) AS most
+_SPOT = "'(' || printf('%.2f', lon) || ', ' || printf('%.2f', lat) || ')'"
+_WHY = f"""CASE WHEN attribution_score > 0.6 THEN 'High' WHEN attribution_score > 0.3 THEN 'Moderate' ELSE 'Low' END || ' probability (' || printf('%.0f', attribution_score * 100) || '%): '
+ || CASE source_type WHEN 'fishing' THEN 'Fishing activity near ' || {_SPOT} || '. ' || vessel_count || ' vessel(s) detected in this area ~30 days before detection.'
+ WHEN 'industrial' THEN site_count || ' industrial/waste site(s)' || CASE WHEN names = '' THEN '' ELSE ' (' || array_to_string(string_split(names, '|')[1:3], ', ') || ')' END || ' within search radius of source region at ' || {_SPOT} || '.'
+ WHEN 'shipping' THEN 'Major shipping lane overlap near ' || {_SPOT} || '. Estimated 30 days drift time.'
+ ELSE 'River discharge from ' || nearest_river || ' (' || printf('%.0f', river_km) || ' km from source region). Estimated 30 days drift time.' END"""
+ATTRIBUTED = ", ".join((REGIONS, _RIVER, SITE_SCORES, FISHING, SHIPPING)) + f""", sc AS (SELECT *, 0.4 * fishing + 0.3 * industrial + 0.2 * shipping + 0.1 * river AS attribution_score, greatest(fishing, industrial, shipping, river) AS most,
+ {LOCATION} AS location_name, {COUNTRY} AS country
  FROM rg JOIN fs USING (source_id) JOIN ss USING (source_id) JOIN sh USING (source_id) JOIN nr USING (source_id)),
- at AS (SELECT *, CASE WHEN fishing = most THEN 'fishing' WHEN industrial = most THEN 'industrial' WHEN shipping = most THEN 'shipping' ELSE 'river' END AS source_type, row_number() OVER (PARTITION BY cluster_id ORDER BY source_id) AS source_rank, row_number() OVER (PARTITION BY cluster_id ORDER BY attribution_score DESC, source_id) AS report_rank FROM sc)""".replace(" at AS", " atr AS")
+ atk AS (SELECT *, CASE WHEN fishing = most THEN 'fishing' WHEN industrial = most THEN 'industrial' WHEN shipping = most THEN 'shipping' ELSE 'river' END AS source_type,
+ row_number() OVER (PARTITION BY cluster_id ORDER BY source_id) AS source_rank, row_number() OVER (PARTITION BY cluster_id ORDER BY attribution_score DESC, source_id) AS report_rank FROM sc),
+ atr AS (SELECT *, {_WHY} AS explanation, CASE WHEN attribution_score > 0.6 THEN 'high' WHEN attribution_score > 0.3 THEN 'moderate' ELSE 'low' END AS confidence FROM atk)"""
+_REPORT = (
+    "source_id:i cluster_id:i source_rank:i report_rank:i source_type:s location_name:s country:s attribution_score:d confidence:s explanation:s "
+    "lon:d lat:d lon_min:d lat_min:d lon_max:d lat_max:d fishing:d industrial:d shipping:d river:d ids:s"
+)
 
 
-@register("m10_attribution", "source_id:i cluster_id:i attribution_score:d source_type:s confidence:s source_rank:i report_rank:i", "SELECT *, CASE WHEN attribution_score > 0.6 THEN 'high' WHEN attribution_score > 0.3 THEN 'moderate' ELSE 'low' END AS confidence FROM atr", ATTRIBUTED)
+@register("m10_attribution", _REPORT, "SELECT * FROM atr", ATTRIBUTED)
 def _(spark, sf_dir):
-    return attributed(spark, sf_dir)
+    """Every field of a report's entry: ranks, kind, place, score, band, reason, centre, box, the four scores, vessels' ids."""
+    return attributed(spark, sf_dir).withColumn("ids", F.array_join("vessel_ids", "|"))
 
 
 @register("d29_dominant_source", "source_type:s sources:i score:d", "SELECT source_type, count(*) AS sources, avg(attribution_score) AS score FROM atr GROUP BY 1", ATTRIBUTED)
@@ -267,12 +286,12 @@ def _(spark, sf_dir):
     return attributed(spark, sf_dir).groupBy("source_type").agg(F.count("*").alias("sources"), F.avg("attribution_score").alias("score"))
 
 
-@register("b24_confidence_band", "confidence:s sources:i", "SELECT CASE WHEN attribution_score > 0.6 THEN 'high' WHEN attribution_score > 0.3 THEN 'moderate' ELSE 'low' END AS confidence, count(*) AS sources FROM atr GROUP BY 1", ATTRIBUTED)
+@register("b24_confidence_band", "confidence:s sources:i", "SELECT confidence, count(*) AS sources FROM atr GROUP BY 1", ATTRIBUTED)
 def _(spark, sf_dir):
     return attributed(spark, sf_dir).groupBy("confidence").agg(F.count("*").alias("sources"))
 
 
-@register("b25_explanation", "source_id:i explanation:s")
+@register("b25_explanation", "source_id:i explanation:s", "SELECT source_id, explanation FROM atr", ATTRIBUTED)
 def _(spark, sf_dir):
     return attributed(spark, sf_dir)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import BAND_MEANS, BAND_STDS, DELIVERED
 from ..functions import geo as G
 from ..functions.bands import normalize, softmax_boost
+from ..operators import outlines as L
 from ..operators import rasters as O
 from ..operators.audit import patch_checks
 from ..sources import supplied as S
@@ -134,6 +135,22 @@ def _(spark, sf_dir):
     return O.cluster_spans(labelled(spark, sf_dir))
 
 
+@register(
+    "d5_outlines",
+    "scene_id:i first_y:i first_x:i sides:i area_m2:d",
+    "SELECT scene_id, first_y, first_x, 4 * count(*) - coalesce(sum(k), 0) AS sides, 100.0 * count(*) AS area_m2 FROM lb LEFT JOIN (SELECT s AS scene_id, a // 100000 AS y, a % 100000 AS x, count(*) AS k FROM nb GROUP BY 1, 2, 3) USING (scene_id, y, x) GROUP BY 1, 2, 3 HAVING count(*) >= 2",
+    "RECURSIVE " + LABELS,
+)
+def _(spark, sf_dir):
+    """Clusters of two pixels and more by their rings: the length of all sides and the area, with holes taken off."""
+    found = L.rings(O.cluster_spans(labelled(spark, sf_dir)))
+    corners = F.concat("corners", F.slice("corners", 1, 1))
+    steps = F.zip_with(F.slice(corners, 1, F.size(corners) - 1), F.slice(corners, 2, F.size(corners) - 1), lambda p, q: F.abs(p["x"] - q["x"]) + F.abs(p["y"] - q["y"]))
+    length = F.aggregate(steps, F.lit(0).cast("long"), lambda a, n: a + n)
+    out = found.groupBy("scene_id", "first_y", "first_x").agg(F.sum(length).alias("sides"), (F.sum("area") * 100.0).alias("area_m2"))
+    return out.where(F.col("area_m2") >= 200.0)
+
+
 @register("e4_cluster_numbers", "scene_id:i clusters:i last_id:i", "SELECT scene_id, count(*) AS clusters, max(cluster_id) AS last_id FROM kept GROUP BY 1", "RECURSIVE " + MEASURES)
 def _(spark, sf_dir):
     return O.cluster_measures(labelled(spark, sf_dir), min_area=200.0).groupBy("scene_id").agg(F.count("*").alias("clusters"), F.max("cluster_id").alias("last_id"))

@@ -21,8 +21,8 @@ def shaped(df: DataFrame, columns: str, digits: int = 6) -> DataFrame:
 
 
 def shaped_sql(inner: str, columns: str, digits: int = 6, ctes: str = "") -> str:
-    kinds = {"i": "CAST({0} AS BIGINT)", "d": f"round(CAST({{0}} AS DOUBLE), {digits}) + 0.0", "s": "CAST({0} AS VARCHAR)", "b": "CAST({0} AS BOOLEAN)", "t": "{0}"}
-    cols = ", ".join(f'{kinds[k].format(n)} AS {n}' for n, k in (c.split(":") for c in columns.split()))
+    kinds = {"i": 'CAST("{0}" AS BIGINT)', "d": f'round(CAST("{{0}}" AS DOUBLE), {digits}) + 0.0', "s": 'CAST("{0}" AS VARCHAR)', "b": 'CAST("{0}" AS BOOLEAN)', "t": '"{0}"'}
+    cols = ", ".join(f'{kinds[k].format(n)} AS "{n}"' for n, k in (c.split(":") for c in columns.split()))
     return f"{'WITH ' + ctes if ctes else ''} SELECT {cols} FROM ({inner})"
 
 
