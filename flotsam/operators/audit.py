@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -146,10 +146,15 @@ def oversample(patches: DataFrame, ratio: float = 0.35) -> DataFrame:
     return patches.select(F.col("patch").cast("string").alias("name"), "has_debris").unionByName(copies.select(F.concat(F.col("patch").cast("string"), F.lit("_aug"), F.col("i").cast("string")).alias("name"), F.lit(True).alias("has_debris")))
 
 
+def uniform(draw: Column, seed: int) -> Column:
+    """A number from 0 to below 1 with 52 bits of the md5 of "<seed>:<draw>"."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), draw.cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / 2**52
+
+
 def weighted_sample(rows: DataFrame, key: str, weight: str, n: int, seed: int = 7) -> DataFrame:
     """(draw, key): n draws with replacement, each row with probability by its weight; weights that are null or not over 0 give none.
 
-    Rows take stretches of a line in the order of their keys, draws fall on it, and both are sorted together: a draw's row
+    A draw's place comes from the md5 of seed and draw, so it is the same wherever it is made.  Rows take stretches of a line in the order of their keys, draws fall on it, and both are sorted together: a draw's row
     is the last one that begins before it.  Sorting goes by ranges; only a row for each range is added up in one place.
     """
     ranged = lambda df, *by: cut(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
@@ -160,7 +165,7 @@ def weighted_sample(rows: DataFrame, key: str, weight: str, n: int, seed: int =
     own = F.sum("w").over(Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")
     line = spread.withColumn("own", own).join(F.broadcast(first), "_range").select((F.col("first") + F.col("own")).alias("at"), key, F.lit(None).cast("long").alias("draw"))
     whole = F.broadcast(sizes.agg(F.sum("size").alias("whole")))
-    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), F.rand(seed).alias("u")).join(whole, on=F.lit(True))
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), uniform(F.col("id"), seed).alias("u")).join(whole, on=F.lit(True))
     draws = draws.select((F.col("u") * F.col("whole")).alias("at"), F.lit(None).cast(rows.schema[key].dataType).alias(key), "draw")
     both = ranged(line.unionByName(draws), "at")
     order = [F.col("at"), F.col("draw").isNotNull(), F.col(key)]

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bands import spectral_indices
-from ..functions.rules import class_is_false_positive, class_name, class_polymer
+from ..functions.bands import spectral_indices, top_class
+from ..functions.rules import class_is_false_positive, class_name, class_polymer, classify_polymer, is_false_positive
+from ..sources.session import new_folder
 
 
 def load_signatures(rows: DataFrame, wanted: list[str], label: str = "label") -> DataFrame:
@@ -24,12 +25,72 @@ def train_forest(signatures: DataFrame, trees: int = 256, depth: int = 20, least
     return Pipeline(stages=[forest]).fit(rows)
 
 
-def score_forest(model: PipelineModel, spectra: DataFrame) -> DataFrame:
-    """spectra (bands) with class, polymer_type, is_false_positive, rf_confidence and the four indices."""
-    out = model.transform(spectra.withColumn("features", array_to_vector("bands")))
+def forest_nodes(model: PipelineModel) -> DataFrame:
+    """(tree, node, feature, threshold, left, right, shares): the nodes of a forest; leaves have -1 for their children.
+
+    shares are the classes' parts of the training weight at a node.  The table is as large as the forest.
+    """
+    spark = SparkSession.active()
+    path = new_folder(spark, "forest")
+    model.stages[-1].write().save(path)
+    at = lambda c: F.col(f"nodeData.{c}")
+    total = F.aggregate(at("impurityStats"), F.lit(0.0), lambda a, x: a + x)
+    split = (at("split.featureIndex").alias("feature"), F.get(at("split.leftCategoriesOrThreshold"), F.lit(0)).alias("threshold"))
+    return spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), at("id").alias("node"), *split, at("leftChild").alias("left"), at("rightChild").alias("right"), F.transform(at("impurityStats"), lambda x: x / total).alias("shares"))
+
+
+def forest_row(nodes: DataFrame) -> DataFrame:
+    """One row (forest): the trees of a node table, each an array of its nodes by number."""
+    trees = nodes.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("node", "feature", "threshold", "left", "right", "shares"))).alias("nodes"))
+    return trees.agg(F.sort_array(F.collect_list(F.struct("tree", "nodes"))).alias("forest"))
+
+
+def forest_votes(forest: Column, features: Column, depth: int) -> Column:
+    """Class probabilities of an array of features: the mean of the shares at the leaves, found from the roots in ``depth`` steps."""
+
+    def leaf(tree: Column) -> Column:
+        def step(n: Column, _: Column) -> Column:
+            node = F.get(tree["nodes"], n)
+            return F.when(node["left"] < 0, n).when(F.get(features, node["feature"]) <= node["threshold"], node["left"]).otherwise(node["right"])
+
+        return F.get(tree["nodes"], F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step))["shares"]
+
+    leaves = F.transform(forest, leaf)
+    empty = F.transform(F.get(F.get(forest, F.lit(0))["nodes"], F.lit(0))["shares"], lambda _: F.lit(0.0))
+    return F.aggregate(leaves, empty, lambda a, s: F.zip_with(a, s, lambda x, y: x + y), lambda a: F.transform(a, lambda x: x / F.size(forest)))
+
+
+def score_forest(model: PipelineModel | None, spectra: DataFrame) -> DataFrame:
+    """spectra (bands) with prediction, class, polymer_type, is_false_positive, rf_confidence and the four indices.
+
+    The forest's node table is read and its trees are walked by column expressions.  Without a model the rules give the
+    polymer, prediction and class are null, and the confidence is 0.
+    """
+    index = [c.alias(k) for k, c in spectral_indices(F.col("bands")).items()]
+    if model is None:
+        ruled = spectra.select("*", *index)
+        kind = (classify_polymer(*map(F.col, ("pi", "sr", "nsi", "fdi"))).alias("polymer_type"), is_false_positive(F.col("nsi")).alias("is_false_positive"), F.lit(0.0).alias("rf_confidence"))
+        return ruled.select(*spectra.columns, F.lit(None).cast("double").alias("prediction"), F.lit(None).cast("string").alias("class"), *kind, "pi", "sr", "nsi", "fdi")
+    depth = model.stages[-1].getMaxDepth()
+    voted = spectra.join(F.broadcast(forest_row(forest_nodes(model))), on=F.lit(True))  # one row, as large as the forest
+    voted = voted.select(*spectra.columns, forest_votes(F.col("forest"), F.transform("bands", lambda x: x.cast("double")), depth).alias("votes"))
+    out = voted.select(*spectra.columns, top_class(F.col("votes")).cast("double").alias("prediction"), F.array_max("votes").alias("rf_confidence"))
     name = class_name(F.col("prediction").cast("int"))
-    out = out.withColumns({"class": name, "polymer_type": class_polymer(name), "is_false_positive": class_is_false_positive(name), "rf_confidence": F.array_max(vector_to_array("probability"))})
-    return out.select(*spectra.columns, "prediction", "class", "polymer_type", "is_false_positive", "rf_confidence", *(c.alias(k) for k, c in spectral_indices(F.col("bands")).items()))
+    return out.select(*spectra.columns, "prediction", name.alias("class"), class_polymer(name).alias("polymer_type"), class_is_false_positive(name).alias("is_false_positive"), "rf_confidence", *index)
+
+
+def classify_zones(zones: DataFrame, model: PipelineModel | None = None) -> DataFrame:
+    """zones (spectrum, nodata_share) with indices, polymer_type, is_false_positive and rf_confidence, by the forest or else the rules.
+
+    Zones mostly without data are ``No Data Region`` and false positives; those without a spectrum are unknown, and no false
+    positives; both have indices and a confidence of 0.
+    """
+    empty = F.coalesce(F.col("nodata_share"), F.lit(1.0)) > 0.7
+    unknown = F.get("spectrum", F.lit(0)).isNull()
+    scored = score_forest(model, zones.withColumn("bands", F.col("spectrum")))
+    held = [F.when(empty | unknown, 0.0).otherwise(F.col(c)).alias(c) for c in ("pi", "sr", "nsi", "fdi", "rf_confidence")]
+    kind = F.when(empty, "No Data Region").when(unknown, "Unknown (insufficient spectral data)").otherwise(F.col("polymer_type"))
+    return scored.select(*zones.columns, *held, kind.alias("polymer_type"), F.when(empty, True).when(unknown, False).otherwise(F.col("is_false_positive")).alias("is_false_positive"))
 
 
 def fit_and_score(spectra: DataFrame, trees: int = 24, depth: int = 8) -> DataFrame:

@@ -238,13 +238,17 @@ def _(spark, sf_dir):
     return U.oversample(p.select("patch", (F.col("h") == 1).alias("has_debris")))
 
 
-@register("s5_weighted_sample", "draws:i debris_share:b", """SELECT 2000 AS draws, sum(CASE WHEN has THEN 8 ELSE 0 END) > 0.5 * sum(CASE WHEN has THEN 8 ELSE 1 END) AS debris_share
- FROM (SELECT patch, bool_or(raw = 1) AS has FROM tr GROUP BY 1)""", TRUTH)
+@register(
+    "s5_weighted_sample",
+    "draw:i patch:i",
+    """SELECT draw, arg_max(patch, first) AS patch FROM (SELECT i AS draw, ('0x' || substr(md5('7:' || i), 1, 13))::BIGINT / 2.0::DOUBLE ** 52 AS u FROM range((SELECT count(*) FROM wt)) t(i)) JOIN wt ON first <= u * whole GROUP BY 1""",
+    TRUTH + ", wt AS (SELECT patch, sum(w) OVER (ORDER BY patch) - w AS first, sum(w) OVER () AS whole FROM (SELECT patch, CASE WHEN bool_or(raw = 1) THEN 8.0 ELSE 1.0 END::DOUBLE AS w FROM tr GROUP BY 1))",
+)
 def _(spark, sf_dir):
+    """As many draws as patches, those with debris eight times as likely."""
     p = truth(spark, sf_dir).groupBy("patch").agg(F.max((F.col("raw") == 1).cast("int")).alias("has"))
     rows = p.withColumn("w", F.when(F.col("has") == 1, 8.0).otherwise(1.0))
-    s = U.weighted_sample(rows, "patch", "w", 2000).join(p, "patch")
-    return s.agg(F.count("*").alias("draws"), (F.avg("has") > 0.5).alias("debris_share"))
+    return U.weighted_sample(rows, "patch", "w", rows.count())
 
 
 @register("s2_label_universe", "label:s id:i", "SELECT o_orderpriority AS label, row_number() OVER (ORDER BY o_orderpriority) - 1 AS id FROM (SELECT DISTINCT o_orderpriority FROM orders)")

@@ -8,6 +8,7 @@ from ..constants import BAND_MEANS, BAND_STDS, CLASSES
 from ..functions import bands as B
 from ..functions import rules as R
 from ..operators import rasters
+from ..operators import signatures as G
 from ..sources import supplied as S
 from .registry import register
 
@@ -36,6 +37,16 @@ def spread(df, column, *keys):
     return df.select(*keys, F.posexplode(column).alias("pos", "value"))
 
 
+def forest(spark, sf_dir):
+    """A forest trained on the spectra with the polymers that the rules give, and those rows."""
+    kinds = (R.ORGANIC, R.PE_PP, R.PET, R.MIXED, R.UNIDENTIFIED, R.UNCLASSIFIED)
+    number = F.lit(0)
+    for k, kind in enumerate(kinds):
+        number = F.when(F.col("polymer_type") == kind, k).otherwise(number)
+    rows = ruled(spark, sf_dir).select("vec_id", "bands", number.alias("label"))
+    return G.train_forest(rows, trees=16, depth=6), rows
+
+
 @register("b8_spectral_indices", "vec_id:i pi:d sr:d nsi:d fdi:d", "SELECT * FROM ix", INDICES, 4)
 def _(spark, sf_dir):
     return indexed(spark, sf_dir)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..constants import BANDS
-from ..functions import rules as R
 from ..operators import audit as U
 from ..operators import catalogue as C
 from ..operators import drift as D
@@ -15,7 +14,7 @@ from ..operators import signatures as G
 from ..sources import supplied as S
 from ..sources.session import new_folder
 from .audit_queries import CATALOGUE, truth
-from .band_queries import ruled
+from .band_queries import forest
 from .drift_queries import ATTRIBUTED, attributed, regions
 from .raster_queries import PIXELS, TILES, mask
 from .registry import register
@@ -82,15 +81,6 @@ def _(spark, sf_dir):
     return U.imbalance(truth(spark, sf_dir))
 
 
-def forest(spark, sf_dir):
-    kinds = (R.ORGANIC, R.PE_PP, R.PET, R.MIXED, R.UNIDENTIFIED, R.UNCLASSIFIED)
-    number = F.lit(0)
-    for k, kind in enumerate(kinds):
-        number = F.when(F.col("polymer_type") == kind, k).otherwise(number)
-    rows = ruled(spark, sf_dir).select("vec_id", "bands", number.alias("label"))
-    return G.train_forest(rows, trees=16, depth=6), rows
-
-
 @register("m3_forest_scoring", "vec_id:i polymer_type:s is_false_positive:b rf_confidence:d")
 def _(spark, sf_dir):
     model, rows = forest(spark, sf_dir)

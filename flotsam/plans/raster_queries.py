@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import BAND_MEANS, BAND_STDS, DELIVERED
-from ..functions import geo as G
+from ..functions import bands as B
+from ..functions import geo as E
 from ..functions.bands import normalize, softmax_boost
 from ..operators import outlines as L
 from ..operators import rasters as O
+from ..operators import signatures as G
 from ..operators.audit import patch_checks
 from ..sources import supplied as S
 from ..sources.session import cut
-from .band_queries import INDICES, SPECTRA
+from .band_queries import INDICES, SPECTRA, forest
 from .registry import register
 
 PIXELS = """px AS (SELECT vec_id // 100 AS scene_id, ((vec_id % 100) // 20) * 8 + p // 8 AS y, (vec_id % 20) * 8 + p % 8 AS x, v AS value, vec_id, p // 8 AS r, p % 8 AS c
@@ -166,11 +168,15 @@ ZONES = LABELS + ", " + SPECTRA + """, zp AS (SELECT lb.scene_id, first_y, first
  zn AS (SELECT scene_id, first_y, first_x, avg(gone::INT) AS nodata_share, [""" + ",".join(f"avg(CASE WHEN gone THEN 0 ELSE b[{k}] END)" for k in range(1, 12)) + "] AS b FROM zp GROUP BY 1, 2, 3)"
 
 
-def zones(spark, sf_dir):
+def zones(spark, sf_dir, stored=False):
+    """Spectra of clusters; ``stored`` takes the scene through its normalised form, as a stage before this one keeps it."""
     k = F.col("vec_id") % 100
     at = S.tile_values(spark, sf_dir).select("vec_id", F.floor(F.col("vec_id") / 100).alias("scene_id"), (F.floor(k / 20) * 8 + F.col("r")).cast("int").alias("y"), (k % 20 * 8 + F.col("c")).cast("int").alias("x"))
     bands = F.when(F.col("vec_id") % 5 == 0, F.array_repeat(F.lit(0.0), 11)).otherwise(F.col("bands"))
     pixels = at.join(S.spectra(spark, sf_dir), "vec_id").select("scene_id", "y", "x", bands.alias("bands"))
+    if stored:
+        scores = cut(pixels.select("scene_id", "y", "x", B.normalize(F.col("bands"), scale=1.0).alias("scores"), B.is_nodata(F.col("bands")).alias("gone")))
+        pixels = cut(scores.select("scene_id", "y", "x", B.denormalize(F.col("scores"), F.col("gone")).alias("bands")))
     return O.zonal_spectrum(labelled(spark, sf_dir), pixels)
 
 
@@ -184,18 +190,37 @@ def _(spark, sf_dir):
     return zones(spark, sf_dir).groupBy("scene_id").agg(F.sum((F.col("nodata_share") > 0.7).cast("long")).alias("empty_zones"), F.avg("nodata_share").alias("share"))
 
 
+_NORMAL = ", ".join(f"{{'m': {m}::DOUBLE, 's': {s}::DOUBLE}}" for m, s in zip(BAND_MEANS, BAND_STDS, strict=True))
+#: Spectra of zones as they come back from the scores that scenes are kept in.
+_BACK = "list_transform(range(11), lambda k: CASE WHEN gone OR k IN (0, 5, 6) THEN 0 ELSE greatest(-5, least(5, (greatest(0.0001, least(0.5, b[k + 1])) - nm[k + 1].m) / (nm[k + 1].s + 0.000001))) * nm[k + 1].s + nm[k + 1].m END)"
+RESTORED = LABELS + ", " + SPECTRA + f""", zp AS (SELECT scene_id, first_y, first_x, gone, {_BACK} AS b FROM (SELECT lb.scene_id, first_y, first_x, vec_id % 5 = 0 AS gone, b, [{_NORMAL}] AS nm FROM lb JOIN px USING (scene_id, y, x) JOIN sp USING (vec_id))),
+ zn AS (SELECT scene_id, first_y, first_x, avg(gone::INT) AS nodata_share, [""" + ",".join(f"avg(b[{k}])" for k in range(1, 12)) + "] AS b FROM zp GROUP BY 1, 2, 3)"
 _ZONE_RULES = INDICES.split("ix AS", 1)[1].replace("SELECT vec_id, label,", "SELECT scene_id, first_y, first_x, nodata_share,").replace("FROM sp)", "FROM zn)")
 
 
-@register("m4_classify_clusters", "scene_id:i polymer_type:s clusters:i false_positives:i", """SELECT scene_id, CASE WHEN nodata_share > 0.7 THEN 'No Data Region' ELSE polymer_type END AS polymer_type, count(*) AS clusters, count(*) FILTER (WHERE nodata_share > 0.7 OR is_false_positive) AS false_positives FROM ruled GROUP BY 1, 2""", "RECURSIVE " + ZONES + ", ix AS" + _ZONE_RULES)
+@register(
+    "m4_classify_clusters",
+    "scene_id:i first_y:i first_x:i pi_value:d sr_value:d nsi_value:d fdi_value:d polymer_type:s is_false_positive:b rf_confidence:d",
+    """SELECT scene_id, first_y, first_x, CASE WHEN nodata_share > 0.7 THEN 0 ELSE pi END AS pi_value, CASE WHEN nodata_share > 0.7 THEN 0 ELSE sr END AS sr_value, CASE WHEN nodata_share > 0.7 THEN 0 ELSE nsi END AS nsi_value,
+ CASE WHEN nodata_share > 0.7 THEN 0 ELSE fdi END AS fdi_value, CASE WHEN nodata_share > 0.7 THEN 'No Data Region' ELSE polymer_type END AS polymer_type, nodata_share > 0.7 OR is_false_positive AS is_false_positive, 0 AS rf_confidence FROM ruled""",
+    "RECURSIVE " + RESTORED + ", ix AS" + _ZONE_RULES,
+    4,
+)
+def classified(spark, sf_dir, model=None):
+    """Clusters by their mean spectra, denormalised from the scores of the scene; by the rules, as there is no model."""
+    out = G.classify_zones(zones(spark, sf_dir, stored=True), model)
+    return out.withColumnsRenamed({k: f"{k}_value" for k in ("pi", "sr", "nsi", "fdi")})
+
+
+@register("m4_forest_clusters", "scene_id:i first_y:i first_x:i polymer_type:s is_false_positive:b rf_confidence:d")
 def _(spark, sf_dir):
-    out = O.classify_clusters(zones(spark, sf_dir))
-    return out.groupBy("scene_id", "polymer_type").agg(F.count("*").alias("clusters"), F.sum(F.col("is_false_positive").cast("long")).alias("false_positives"))
+    """The same by a forest that is trained on spectra with the rules' polymers."""
+    return classified(spark, sf_dir, forest(spark, sf_dir)[0])
 
 
 @register("b18_pixel_to_map", "scene_id:i y:i x:i east:d north:d", "SELECT scene_id, y, x, 10 * x + 5 AS east, -10 * y - 5 AS north FROM mk", MASK)
 def _(spark, sf_dir):
-    east, north = G.pixel_to_map(F.col("y") + 0.5, F.col("x") + 0.5)
+    east, north = E.pixel_to_map(F.col("y") + 0.5, F.col("x") + 0.5)
     return mask(spark, sf_dir).where("is_debris").select("scene_id", "y", "x", east.alias("east"), north.alias("north"))
 
 
@@ -240,9 +265,6 @@ def _(spark, sf_dir):
     return O.cluster_measures(found, min_area=200.0)
 
 
-_NORMAL = ", ".join(f"{{'m': {m}::DOUBLE, 's': {s}::DOUBLE}}" for m, s in zip(BAND_MEANS, BAND_STDS, strict=True))
-
-
 @register(
     "m13_preprocess",
     "scene_id:i tile_row:i tile_col:i band:i least:d most:d mean:d in_range:b varies:b",

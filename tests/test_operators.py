@@ -187,3 +187,25 @@ def test_weighted_draws_take_rows_by_their_weights(spark):
     assert set(got) == {1, 2, 3} and all(v[1] == 100 for v in got.values())
     assert all(abs(got[m][0] - 10000 * m) < 600 for m in got)
     assert weighted_sample(rows, "id", "w", 500).agg(F.count_distinct("draw")).first()[0] == 500
+
+
+def test_walked_trees_vote_as_the_model(spark):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from flotsam.operators import signatures as S
+
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(v) for v in rng.normal(0, 1, 11)]) for k in range(300)]
+    df = spark.createDataFrame([(k, b, int(b[1] > 0) + 2 * int(b[4] > 0.5)) for k, b in rows], "id int, bands array<double>, label int")
+    model = S.train_forest(df, trees=12, depth=7, least=2)
+    want = {r.id: (r.prediction, r.p) for r in model.transform(df.withColumn("features", array_to_vector("bands"))).select("id", "prediction", vector_to_array("probability").alias("p")).collect()}
+    got = S.score_forest(model, df)
+    assert {r.id: r.prediction for r in got.collect()} == {k: p for k, (p, _) in want.items()}
+    assert all(r.rf_confidence == pytest.approx(max(want[r.id][1])) for r in got.collect())
+    none = S.score_forest(None, df).collect()
+    assert {(r.prediction, r["class"], r.rf_confidence) for r in none} == {(None, None, 0.0)} and all(r.polymer_type for r in none)
+    zones = spark.createDataFrame([(1, None, 1.0), (2, [None] * 11, 0.1), (3, rows[0][1], 0.8), (4, rows[0][1], 0.2)], "zone int, spectrum array<double>, nodata_share double")
+    for m in (model, None):
+        kinds = {r.zone: (r.polymer_type, r.is_false_positive, r.rf_confidence > 0) for r in S.classify_zones(zones, m).collect()}
+        assert kinds[1] == kinds[3] == ("No Data Region", True, False) and kinds[2] == ("Unknown (insufficient spectral data)", False, False)
+        assert kinds[4][2] == (m is not None)
