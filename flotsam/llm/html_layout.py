@@ -30,6 +30,8 @@ ENDS_P = BLOCK - {"body", "html", "li", "dd", "dt", "option", "optgroup", "legen
 #: Elements that may stand in each other before deeper ones are taken as inline; columns up to which cells are padded, and
 #: the width from which a cell's line is not padded against.
 DEPTH, PAD, WIDE = 512, 400, 120
+#: Characters up to which lists and quotes within each other are indented; deeper ones stay at that indent.
+INDENT = 24
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _VALUE = re.compile(r"\s*([\"']?)")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?")
@@ -91,12 +93,13 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
             else:
                 yield "open", name, html[tag.end() : end - 1]
                 if name in RAW:
-                    close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, end)
-                    stop = close.start() if close else n
+                    close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, end)
+                    after = html.find(">", close.end()) + 1 if close else 0  # without one, no later name has one either
+                    stop = close.start() if after else n
                     if stop > end:
                         yield "text", html[end:stop], ""
                     yield "close", name, ""
-                    end = close.end() if close else n
+                    end = after or n
         at = text = end
     if text < n:
         yield "text", html[text:], ""
@@ -196,7 +199,7 @@ class _Flow:
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.run: list[str] = []
-        self.gap = 0
+        self.gap = self.indent = 0
 
     def text(self, s: str, keep: bool) -> None:
         if keep:
@@ -228,7 +231,23 @@ class _Flow:
             if self.gap and self.lines:
                 self.lines += [""] * self.gap
             self.gap = 0
-            self.lines += lines
+            if self.lines:
+                self.lines += lines
+            else:
+                self.lines = lines
+
+
+def _joined(reach: list[list]) -> list[list]:
+    """Neighbouring or overlapping stretches of columns as one, which keeps all cells and the first of their ends."""
+    out: list[list] = []
+    for x in sorted(reach, key=lambda x: x[0]):
+        if out and out[-1][1] >= x[0]:
+            few, many = sorted((out[-1][3], x[3]), key=len)
+            many += few
+            out[-1] = [out[-1][0], max(out[-1][1], x[1]), min(out[-1][2], x[2]), many]
+        else:
+            out.append(x)
+    return out
 
 
 def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
@@ -239,26 +258,25 @@ def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     begin after PAD characters, is followed by two spaces alone, so padding stays in proportion to the cells.
     """
     placed: list[list[tuple[int, list[str]]]] = []
-    below: list[list[int]] = []  # [first column, column after the last, rows left] of cells that reach down
+    reach: list[list] = []  # [first column, column after the last, row in which one of them ends, cells] of neighbours from above
     widths: dict[int, int] = {}
-    for row in rows:
+    for r, row in enumerate(rows):
+        if any(b[2] <= r for b in reach):
+            still = [[a, b, end, [(a, b, end)]] for x in reach if x[2] <= r for a, b, end in x[3] if end > r]
+            reach = _joined([x for x in reach if x[2] > r] + still)
         column, k, out, spans = 0, 0, [], []
         for lines, across, down in row:
-            while k < len(below) and below[k][0] <= column:
-                column = max(column, below[k][1])
+            while k < len(reach) and reach[k][0] <= column:
+                column = max(column, reach[k][1])
                 k += 1
             out.append((column, lines))
             width = max((len(line) for line in lines if len(line) < WIDE), default=0) if across == 1 else 0
             widths[column] = max(widths.get(column, 0), width)
             if down > 1:
-                spans.append([column, column + across, down])
+                spans.append([column, column + across, r + down, [(column, column + across, r + down)]])
             column += across
-        below, all_below = [], sorted([[a, b, n - 1] for a, b, n in below if n > 1] + [[a, b, n - 1] for a, b, n in spans])
-        for s in all_below:  # neighbours that end together are one
-            if below and below[-1][1] >= s[0] and below[-1][2] == s[2]:
-                below[-1][1] = max(s[1], below[-1][1])
-            else:
-                below.append(s)
+        if spans:
+            reach = _joined(reach + spans)
         placed.append(out)
     starts, at = {}, 0
     for column in sorted(widths):
@@ -289,7 +307,8 @@ def render(html: str | None) -> str:
     and options that are not selected where a list shows one.  Blocks start lines, paragraphs, headings, lists,
     tables and preformatted text stand a blank line apart; list items carry ``-`` or their number and are indented;
     cells are padded to their columns, spans included; ``pre`` keeps its white space; ``hr`` is a line of dashes.
-    Elements more than DEPTH deep are taken as inline.  The work grows with the page's length.
+    Elements more than DEPTH deep are taken as inline, indents end at INDENT characters.  The work grows with the page's
+    length, and so does the text: a line has at most INDENT characters of indent, and PAD of padding a table around it.
     """
     if not html:
         return ""
@@ -322,6 +341,7 @@ def render(html: str | None) -> str:
                 flow.block(["---"] if seen else [])
             elif tag in ("td", "th") and tables:
                 flows.append(_Flow())
+                flows[-1].indent = flow.indent
                 flows[-1].span = (_span(attributes, "colspan", 1000), _span(attributes, "rowspan", 65534))
             elif tag == "tr" and tables:
                 tables[-1]["rows"].append([])
@@ -338,10 +358,11 @@ def render(html: str | None) -> str:
                 if number is not None:
                     lists[-1] += 1
                 flows.append(_Flow())
-                flows[-1].mark, flows[-1].seen = mark, seen
+                flows[-1].mark, flows[-1].seen, flows[-1].indent = mark, seen, flow.indent + len(mark)
             elif tag in ("dd", "blockquote"):
                 flow.apart(tag in SPACED)
                 flows.append(_Flow())
+                flows[-1].indent = flow.indent + 2
             elif tag in BLOCK:
                 flow.apart(tag in SPACED and not (tag in ("ul", "ol", "menu") and lists))
                 if tag in ("ul", "menu"):
@@ -381,11 +402,15 @@ def render(html: str | None) -> str:
                 item = flows.pop()
                 item.end_line()
                 lines = item.lines or ([""] if item.seen else [])
-                flows[-1].block([(item.mark if k == 0 else " " * len(item.mark)) * bool(line or k == 0) + line for k, line in enumerate(lines)])
+                if item.indent <= INDENT:
+                    lines = [(item.mark if k == 0 else " " * len(item.mark)) * bool(line or k == 0) + line for k, line in enumerate(lines)]
+                elif lines:
+                    lines[0] = item.mark + lines[0]
+                flows[-1].block(lines)
             elif tag in ("dd", "blockquote"):
                 inner = flows.pop()
                 inner.end_line()
-                flows[-1].block([f"  {line}" if line else line for line in inner.lines])
+                flows[-1].block([f"  {line}" if line else line for line in inner.lines] if inner.indent <= INDENT else inner.lines)
                 flows[-1].apart(tag in SPACED)
             elif tag in BLOCK and tag != "hr":
                 if tag in ("ul", "ol", "menu") and lists:

@@ -113,6 +113,23 @@ def _word_powers() -> tuple[np.ndarray, np.ndarray]:
     return _powers(BLOCK)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column that tells documents apart, and its name: doc_id, if that is one row's own throughout.
+
+    Else it is a text of doc_id and the text's md5, so that rows which share a doc_id, or have none, are documents of their
+    own, and only rows that are equal in both have one key.
+    """
+    name = fresh(docs, "key")
+    shared = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1)
+    if shared.isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long")), name
+    return docs.withColumn(name, F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))), name
+
+
+def _id_kind(docs: DataFrame) -> tuple[str, pa.DataType]:
+    return ("string", pa.string()) if dict(docs.dtypes)["doc_id"] == "string" else ("long", pa.int64())
+
+
 def _scan(docs: DataFrame, length: int, gram: int, below_words: int | None = None, by_words: bool = False) -> DataFrame:
     """(key, content, doc_id, start, span, total, copies): the segments of every text, or of its word symbols.
 
@@ -171,7 +188,7 @@ def _scan(docs: DataFrame, length: int, gram: int, below_words: int | None = Non
                     [
                         pa.array(key[head].view(np.int64)),
                         pa.array(content[head].view(np.int64)),
-                        pa.array([p[0] for p in parts], pa.int64()).take(pa.array(owner[head])),
+                        pa.array([p[0] for p in parts], id_type).take(pa.array(owner[head])),
                         pa.array((first + place[owner])[head]),
                         pa.array((size * 4096 + anchor - first)[head]),
                         pa.array(last[tail] + length - first[head]),
@@ -181,17 +198,20 @@ def _scan(docs: DataFrame, length: int, gram: int, below_words: int | None = Non
                 )
 
     small_batches(docs.sparkSession)
-    schema = "key long, content long, doc_id long, start long, span long, total long, copies long"
+    kind, id_type = _id_kind(docs)
+    schema = f"key long, content long, doc_id {kind}, start long, span long, total long, copies long"
     least = 2 * (length // SYMBOL) - 1 if by_words else length
     return doc_bytes(docs).where(F.octet_length("data") >= least).mapInArrow(run, schema)
 
 
-_ROW = "key long, content long, doc_id long, start long, shared_from int, shared_to int, data binary"
+def _row(kind: str) -> str:
+    return f"key long, content long, doc_id {kind}, start long, shared_from int, shared_to int, data binary"
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, gram: int, by_words: bool = False) -> DataFrame:
     """The bytes of wanted segments (key, content, doc_id, start, span), one row each."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "content", "start", "span")).alias("parts"))
+    kind, id_type = _id_kind(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,13 +226,15 @@ def _fetch(docs: DataFrame, wanted: DataFrame, gram: int, by_words: bool = False
                     if len(part) == size:
                         for column, value in zip(rows, (p["key"], p["content"], doc_id, p["start"], at, at + gram, part), strict=True):
                             column.append(value)
-            yield _record(rows)
+            yield _record(rows, id_type)
 
-    return doc_bytes(docs).dropDuplicates(["doc_id"]).join(lists.hint("merge"), "doc_id").select("doc_id", "data", "parts").mapInArrow(run, _ROW)
+    # rows of one key have one text
+    texts = doc_bytes(docs) if kind == "long" else doc_bytes(docs).dropDuplicates(["doc_id"])
+    return texts.join(lists.hint("merge"), "doc_id").select("doc_id", "data", "parts").mapInArrow(run, _row(kind))
 
 
-def _record(rows: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+def _record(rows: list[list], id_type: pa.DataType) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), id_type, pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     names = ["key", "content", "doc_id", "start", "shared_from", "shared_to", "data"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
 
@@ -236,9 +258,10 @@ def _split(rows: DataFrame, length: int) -> DataFrame:
                     new_key = xxhash.xxh3_64_intdigest(data[new_lo:new_hi] + side, key & ((1 << 64) - 1))
                     for column, value in zip(out, (signed(new_key), signed(xxhash.xxh3_64_intdigest(part)), doc_id, start + a, new_lo - a, new_hi - a, part), strict=True):
                         column.append(value)
-            yield _record(out)
+            yield _record(out, id_type)
 
-    return rows.mapInArrow(run, _ROW)
+    kind, id_type = _id_kind(rows)
+    return rows.mapInArrow(run, _row(kind))
 
 
 def _shards(rows: DataFrame, length: int, shard_bytes: int) -> DataFrame:
@@ -261,7 +284,7 @@ def _shards(rows: DataFrame, length: int, shard_bytes: int) -> DataFrame:
         first, last = at[new], at[np.append(new[1:], len(at)) - 1] if len(at) else at
         owner = np.searchsorted(end, first)
         own_start = np.array(starts, np.int64)[owner] + first - (end[owner] - sizes[owner])
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(owner)), pa.array(own_start), pa.array(last - first + length)], names=["doc_id", "start", "total"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, id_type).take(pa.array(owner)), pa.array(own_start), pa.array(last - first + length)], names=["doc_id", "start", "total"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, starts, parts, size, last = [], [], [], 0, None
@@ -278,14 +301,16 @@ def _shards(rows: DataFrame, length: int, shard_bytes: int) -> DataFrame:
         if parts:
             yield mark(ids, starts, parts)
 
+    kind, id_type = _id_kind(rows)
     dealt = rows.select("key", "doc_id", "start", "data").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "doc_id long, start long, total long")
+    return dealt.mapInArrow(run, f"doc_id {kind}, start long, total long")
 
 
 def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 200, below_words: int | None = None, by_words: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, start, total): byte ranges whose union is every byte covered by a repeated string of ``length`` bytes.
 
-    ``below_words`` counts only strings with fewer whole words; ``by_words`` takes the texts' word symbols for their bytes.
+    doc_id is a long or a text, and rows that share it have one text.  ``below_words`` counts only strings with fewer whole
+    words; ``by_words`` takes the texts' word symbols for their bytes.
     """
     scratch = Scratch(docs.sparkSession)
     found, n = scratch.counted("found", _scan(docs, length, gram, below_words, by_words))
@@ -326,11 +351,15 @@ def _twice(found: DataFrame, n: int, contents: DataFrame) -> DataFrame:
     return spread_join(found, sizes.drop("n"), ["key", "content"], ["doc_id", "start"], n, sizes=sizes)
 
 
-def _merged(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+def _merged(docs: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     """docs with one more column: each document's ranges as one array, null where it has none."""
     name = fresh(docs, "ranges")
-    lists = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("start", "total")).alias(name))
-    return docs.join(lists.hint("merge"), "doc_id", "left").select(*docs.columns, name)  # ranges grow with the corpus
+    lists = ranges.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("start", "total")).alias(name))
+    return docs.join(lists.hint("merge"), key, "left").select(*docs.columns, name)  # ranges grow with the corpus
+
+
+def _texts(docs: DataFrame, key: str) -> DataFrame:
+    return docs.select(F.col(key).alias("doc_id"), "text")
 
 
 def kept_bytes(data: bytes, ranges: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
@@ -354,8 +383,8 @@ def repeat_digests(docs: DataFrame, length: int = 400, gram: int = 200) -> DataF
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in the same text or another;
     strings are judged on the input.  Null and empty texts, and those under ``length`` bytes, lose nothing.  A repeated
-    row is another document: with at least ``length`` bytes both lose all.  Rows that share a doc_id but not their text
-    lose what is repeated at these places in any of them.  Extra columns are ignored.
+    row is another document: with at least ``length`` bytes both lose all.  Rows that share a doc_id, or have none, are
+    documents of their own.  Extra columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,8 +399,9 @@ def repeat_digests(docs: DataFrame, length: int = 400, gram: int = 200) -> DataF
                 sha.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    ranges = repeated_ranges(docs, length, gram)
-    merged = _merged(doc_bytes(docs), ranges)
+    keyed, key = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    ranges = repeated_ranges(_texts(keyed, key), length, gram)
+    merged = _merged(keyed.select("doc_id", F.col("text").cast("binary").alias("text"), key), ranges, key).drop(key)
     return merged.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -394,8 +424,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200) -> DataF
             gone = pa.array([bool(r) and not t for r, t in zip(batch.column(len(columns)).to_pylist(), texts, strict=True)], pa.bool_())
             yield out.filter(pa.compute.invert(gone))
 
-    ranges = repeated_ranges(docs, length, gram)
-    merged = _merged(docs.withColumn("text", F.col("text").cast("binary")), ranges)
+    keyed, key = _keyed(docs)
+    ranges = repeated_ranges(_texts(keyed, key), length, gram)
+    merged = _merged(keyed.withColumn("text", F.col("text").cast("binary")), ranges, key).drop(key)
     return merged.mapInArrow(run, docs.schema)
 
 
@@ -433,7 +464,8 @@ def remove_passages(docs: DataFrame, words: int = 51, length: int = 400, gram: i
             arrays = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    by_words = repeated_ranges(docs, SYMBOL * words, WORD_GRAM, by_words=True, shard_bytes=PASSAGE_SHARD_BYTES)
-    by_bytes = repeated_ranges(docs, length, gram, below_words=words, shard_bytes=PASSAGE_SHARD_BYTES)
-    merged = _merged(docs.withColumn("text", F.col("text").cast("binary")), by_bytes)
-    return _merged(merged, by_words).mapInArrow(run, docs.schema)
+    keyed, key = _keyed(docs)
+    by_words = repeated_ranges(_texts(keyed, key), SYMBOL * words, WORD_GRAM, by_words=True, shard_bytes=PASSAGE_SHARD_BYTES)
+    by_bytes = repeated_ranges(_texts(keyed, key), length, gram, below_words=words, shard_bytes=PASSAGE_SHARD_BYTES)
+    merged = _merged(keyed.withColumn("text", F.col("text").cast("binary")), by_bytes, key)
+    return _merged(merged, by_words, key).drop(key).mapInArrow(run, docs.schema)
