@@ -36,7 +36,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     if again.isEmpty():
         return docs
     others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
-    least = docs.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0), *others)).alias("least"))
+    # which of them stays is told by their JSON, as maps have no order
+    rest = F.struct(F.lit(0).alias("_"), *others)
+    least = docs.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(rest, F.to_json(rest)).alias("least"))
     once = least.select(*(c if c in ("doc_id", "text") else F.col("least")[c].alias(c) for c in docs.columns))
     return docs.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
