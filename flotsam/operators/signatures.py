@@ -7,6 +7,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.bands import spectral_indices, top_class
 from ..functions.rules import class_is_false_positive, class_name, class_polymer, classify_polymer, is_false_positive
@@ -26,9 +27,10 @@ def train_forest(signatures: DataFrame, trees: int = 256, depth: int = 20, least
 
 
 def forest_nodes(model: PipelineModel) -> DataFrame:
-    """(tree, node, feature, threshold, left, right, shares): the nodes of a forest; leaves have -1 for their children.
+    """(tree, node, feature, threshold, left, right, shares, weight, gain): the nodes of a forest; leaves have -1 for their children.
 
-    shares are the classes' parts of the training weight at a node.  The table is as large as the forest.
+    shares are the classes' parts of the training weight at a node, gain is what its split takes off the impurity.  The
+    table is as large as the forest.
     """
     spark = SparkSession.active()
     path = new_folder(spark, "forest")
@@ -36,7 +38,7 @@ def forest_nodes(model: PipelineModel) -> DataFrame:
     at = lambda c: F.col(f"nodeData.{c}")
     total = F.aggregate(at("impurityStats"), F.lit(0.0), lambda a, x: a + x)
     split = (at("split.featureIndex").alias("feature"), F.get(at("split.leftCategoriesOrThreshold"), F.lit(0)).alias("threshold"))
-    return spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), at("id").alias("node"), *split, at("leftChild").alias("left"), at("rightChild").alias("right"), F.transform(at("impurityStats"), lambda x: x / total).alias("shares"))
+    return spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), at("id").alias("node"), *split, at("leftChild").alias("left"), at("rightChild").alias("right"), F.transform(at("impurityStats"), lambda x: x / total).alias("shares"), total.alias("weight"), at("gain").alias("gain"))
 
 
 def forest_row(nodes: DataFrame) -> DataFrame:
@@ -60,6 +62,22 @@ def forest_votes(forest: Column, features: Column, depth: int) -> Column:
     return F.aggregate(leaves, empty, lambda a, s: F.zip_with(a, s, lambda x, y: x + y), lambda a: F.transform(a, lambda x: x / F.size(forest)))
 
 
+def feature_importance(nodes: DataFrame) -> DataFrame:
+    """(feature, importance): each feature's part of the gain, by weight, of a tree's splits, averaged over the trees that split."""
+    inner = nodes.where("left >= 0").groupBy("tree", "feature").agg(F.sum(F.col("gain") * F.col("weight")).alias("gain"))
+    shares = inner.withColumn("share", F.col("gain") / F.sum("gain").over(Window.partitionBy("tree"))).groupBy("feature").agg(F.sum("share").alias("share"))
+    return shares.join(F.broadcast(shares.agg(F.sum("share").alias("all"))), on=F.lit(True)).select("feature", (F.col("share") / F.col("all")).alias("importance"))
+
+
+def vote(nodes: DataFrame, spectra: DataFrame, depth: int) -> DataFrame:
+    """spectra (bands) with votes, the class probabilities by the forest of a node table, whose trees are ``depth`` deep at most.
+
+    The forest goes to every task as one row, so the node table must be of a size that a worker holds.
+    """
+    row = F.broadcast(forest_row(nodes))
+    return spectra.join(row, on=F.lit(True)).select(*spectra.columns, forest_votes(F.col("forest"), F.transform("bands", lambda x: x.cast("double")), depth).alias("votes"))
+
+
 def score_forest(model: PipelineModel | None, spectra: DataFrame) -> DataFrame:
     """spectra (bands) with prediction, class, polymer_type, is_false_positive, rf_confidence and the four indices.
 
@@ -72,8 +90,7 @@ def score_forest(model: PipelineModel | None, spectra: DataFrame) -> DataFrame:
         kind = (classify_polymer(*map(F.col, ("pi", "sr", "nsi", "fdi"))).alias("polymer_type"), is_false_positive(F.col("nsi")).alias("is_false_positive"), F.lit(0.0).alias("rf_confidence"))
         return ruled.select(*spectra.columns, F.lit(None).cast("double").alias("prediction"), F.lit(None).cast("string").alias("class"), *kind, "pi", "sr", "nsi", "fdi")
     depth = model.stages[-1].getMaxDepth()
-    voted = spectra.join(F.broadcast(forest_row(forest_nodes(model))), on=F.lit(True))  # one row, as large as the forest
-    voted = voted.select(*spectra.columns, forest_votes(F.col("forest"), F.transform("bands", lambda x: x.cast("double")), depth).alias("votes"))
+    voted = vote(forest_nodes(model), spectra, depth)
     out = voted.select(*spectra.columns, top_class(F.col("votes")).cast("double").alias("prediction"), F.array_max("votes").alias("rf_confidence"))
     name = class_name(F.col("prediction").cast("int"))
     return out.select(*spectra.columns, "prediction", name.alias("class"), class_polymer(name).alias("polymer_type"), class_is_false_positive(name).alias("is_false_positive"), "rf_confidence", *index)

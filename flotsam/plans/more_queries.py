@@ -14,7 +14,7 @@ from ..operators import signatures as G
 from ..sources import supplied as S
 from ..sources.session import new_folder
 from .audit_queries import CATALOGUE, truth
-from .band_queries import forest
+from .band_queries import SPECTRA, forest
 from .drift_queries import ATTRIBUTED, attributed, regions
 from .raster_queries import PIXELS, TILES, mask
 from .registry import register
@@ -95,6 +95,53 @@ def _(spark, sf_dir):
     return named.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "band")))
 
 
+#: A forest whose nodes are suppliers: fifteen in a row are a tree of seven splits and eight leaves.
+_NODES = """nd0 AS (SELECT s_suppkey // 15 AS tree, s_suppkey % 15 AS node, s_suppkey * 7 % 11 AS feature, abs(s_acctbal) % 30 / 100 AS threshold, s_suppkey % 15 AS cls, (1 + s_nationkey)::DOUBLE AS weight, abs(s_acctbal) % 7 AS gain FROM supplier),
+ nd AS (SELECT * FROM nd0 WHERE tree IN (SELECT tree FROM nd0 GROUP BY 1 HAVING count(*) = 15))"""
+_WALK = """, r0 AS (SELECT vec_id, tree, node, b[feature + 1] <= threshold AS goes FROM sp, nd WHERE node < 7),
+ w1 AS (SELECT vec_id, tree, CASE WHEN goes THEN 1 ELSE 2 END AS node FROM r0 WHERE node = 0),
+ w2 AS (SELECT vec_id, tree, CASE WHEN goes THEN 2 * node + 1 ELSE 2 * node + 2 END AS node FROM w1 JOIN r0 USING (vec_id, tree, node)),
+ w3 AS (SELECT vec_id, tree, CASE WHEN goes THEN 2 * node + 1 ELSE 2 * node + 2 END AS node FROM w2 JOIN r0 USING (vec_id, tree, node)),
+ vt AS (SELECT vec_id, cls, count(*) * 0.625 AS v, sum(count(*)) OVER (PARTITION BY vec_id) AS trees FROM w3 JOIN nd USING (tree, node) GROUP BY 1, 2)"""
+
+
+def table_forest(spark, sf_dir):
+    s = S.table(spark, sf_dir, "supplier")
+    k, money = F.col("s_suppkey"), F.abs("s_acctbal")
+    node = k % 15
+    child = lambda side: F.when(node < 7, 2 * node + side).otherwise(-1).cast("int")
+    shares = F.transform(F.sequence(F.lit(0), F.lit(14)), lambda c: F.when(c == k % 15, 0.65).otherwise(0.025))
+    nodes = s.select(F.floor(k / 15).cast("int").alias("tree"), node.cast("int").alias("node"), (k * 7 % 11).cast("int").alias("feature"), (money % 30 / 100).alias("threshold"), child(1).alias("left"), child(2).alias("right"), shares.alias("shares"), (1 + F.col("s_nationkey")).cast("double").alias("weight"), (money % 7).alias("gain"))
+    return nodes.join(nodes.groupBy("tree").agg(F.count("*").alias("n")).where("n = 15").select("tree"), "tree")
+
+
+@register(
+    "m3_table_forest",
+    "vec_id:i prediction:i rf_confidence:d",
+    "SELECT vec_id, arg_min(cls, (-v, cls)) AS prediction, (max(v) + 0.025 * any_value(trees)) / any_value(trees) AS rf_confidence FROM vt GROUP BY 1",
+    SPECTRA + ", " + _NODES + _WALK,
+)
+def _(spark, sf_dir):
+    """Spectra by a forest that is read from a table of nodes."""
+    voted = G.vote(table_forest(spark, sf_dir), S.spectra(spark, sf_dir), 3).where("votes IS NOT NULL")  # as where there is no tree
+    # votes of trees are added up in their order, so equal votes of two classes are told apart by less than a rounding
+    votes = F.transform("votes", lambda v: F.round(v, 9))
+    return voted.select("vec_id", (F.array_position(votes, F.array_max(votes)) - 1).alias("prediction"), F.array_max("votes").alias("rf_confidence"))
+
+
+@register(
+    "e6_table_importance",
+    "feature:i rank:i importance:d",
+    """SELECT feature, row_number() OVER (ORDER BY round(importance, 9) DESC, feature) AS rank, importance FROM (SELECT feature, sum(share) / (SELECT count(DISTINCT tree) FROM nd) AS importance
+ FROM (SELECT tree, feature, sum(gain * weight) / sum(sum(gain * weight)) OVER (PARTITION BY tree) AS share FROM nd WHERE node < 7 GROUP BY 1, 2) GROUP BY 1)""",
+    _NODES,
+)
+def _(spark, sf_dir):
+    """Features of the forest in the order of their importance: a row for each of eleven bands."""
+    ranked = G.feature_importance(table_forest(spark, sf_dir))
+    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("importance", 9)), "feature")))
+
+
 @register("m7_fallback_velocity", "cluster_id:i step:i moved:b")
 def _(spark, sf_dir):
     seeds = regions(spark, sf_dir).where("abs(lat) < 80").select(F.col("source_id").alias("cluster_id"), F.lit(0).alias("particle"), "lon", "lat")

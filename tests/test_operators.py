@@ -209,3 +209,5 @@ def test_walked_trees_vote_as_the_model(spark):
         kinds = {r.zone: (r.polymer_type, r.is_false_positive, r.rf_confidence > 0) for r in S.classify_zones(zones, m).collect()}
         assert kinds[1] == kinds[3] == ("No Data Region", True, False) and kinds[2] == ("Unknown (insufficient spectral data)", False, False)
         assert kinds[4][2] == (m is not None)
+    weights = model.stages[0].featureImportances.toArray()
+    assert {r.feature: r.importance for r in S.feature_importance(S.forest_nodes(model)).collect()} == {k: pytest.approx(w) for k, w in enumerate(weights) if w}
