@@ -119,7 +119,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     Else it is a text of doc_id and the text's md5, so that rows which share a doc_id, or have none, are documents of their
     own, and only rows that are equal in both have one key.
     """
-    name = fresh(docs, "key")
+    name = fresh(docs, "document")
     shared = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1)
     if shared.isEmpty():
         return docs.withColumn(name, F.col("doc_id").cast("long")), name
