@@ -14,17 +14,15 @@ from .common import HOT_KEYS, LEAST_HOT, PARTITION_ROWS, Scratch, spread_join
 
 #: (verdict, host and path prefix)
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Rounds of propagation between looks at the scores (and in the SQL, which writes out so many), the share that moves on
-#: in each, the distrust share from which a host is blocked, and the labels of a domain below which no parent is taken.
-ROUNDS, DAMPING, THRESHOLD, LEAST_LABELS = 8, 0.85, 0.5, 2
+#: Rounds of propagation between looks at the scores, the share that moves on in each, the distrust share from which a host
+#: is blocked, and the labels of a domain below which no parent is taken.  The SQL writes out SQL_ROUNDS rounds.
+ROUNDS, DAMPING, THRESHOLD, LEAST_LABELS, SQL_ROUNDS = 8, 0.85, 0.5, 2, 64
 #: Scores stand still when a look finds no new host, their summed change under the first, and none changed by more than
 #: the second of itself.  A host's distrust must exceed its limit by LEAST_LEAD of the host's scores.
 TOLERANCE, OWN_TOLERANCE, LEAST_LEAD = 1e-9, 1e-6, 1e-9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"(?i)(?:href|src)\s*=\s*[\"']?[a-z][a-z0-9+.-]*://([^/?#\"'\s>]+)"
-
-#: As _LINK, and links without a scheme.
-_ANY_LINK = _LINK.replace("[a-z][a-z0-9+.-]*://", "(?:[a-z][a-z0-9+.-]*:)?//")
+#: The host of an absolute link, or of one without a scheme.
+_LINK = r"(?i)(?:href|src)\s*=\s*[\"']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -54,7 +52,7 @@ def judged_by_rules(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def host_edges(judged: DataFrame) -> DataFrame:
     """Distinct edges (src, dst) between different hosts: links, and host to parent domain and back."""
-    links = judged.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_ANY_LINK), 1)).alias("to"))
+    links = judged.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), 1)).alias("to"))
     links = links.select("src", F.translate("to", _UPPER, _LOWER).alias("dst")).distinct()
     hosts = judged.select(F.col("host").alias("h")).unionByName(links.select(F.col("dst").alias("h"))).where("h <> ''").distinct()
     labels = F.split("h", r"\.", -1)
@@ -146,9 +144,9 @@ def filter_sql(rules=RULES, threshold: float = THRESHOLD) -> str:
         f"""s0 AS MATERIALIZED (SELECT host, ruled = 'allow' AS trusts, {1 - DAMPING}::DOUBLE * n / sum(n) OVER (PARTITION BY ruled) AS score
  FROM (SELECT host, ruled, count(*) AS n FROM judged WHERE ruled IS NOT NULL AND host <> '' GROUP BY ALL))""",
     ]
-    for k in range(ROUNDS):
+    for k in range(SQL_ROUNDS):
         parts.append(f"s{k + 1} AS MATERIALIZED (SELECT host, trusts, sum(score) AS score FROM (SELECT f.dest AS host, f.trusts, s.score * f.share AS score FROM flow f JOIN s{k} s ON f.host = s.host AND f.trusts = s.trusts UNION ALL SELECT * FROM s0) GROUP BY ALL)")
     return "WITH " + ",\n".join(parts) + f""",
-scores AS (SELECT host, coalesce(sum(score) FILTER (WHERE trusts), 0) AS t, coalesce(sum(score) FILTER (WHERE NOT trusts), 0) AS d FROM s{ROUNDS} GROUP BY 1)
+scores AS (SELECT host, coalesce(sum(score) FILTER (WHERE trusts), 0) AS t, coalesce(sum(score) FILTER (WHERE NOT trusts), 0) AS d FROM s{SQL_ROUNDS} GROUP BY 1)
 SELECT page_id, judged.host, path, rule, coalesce(ruled, CASE WHEN round(d - {threshold}::DOUBLE * (t + d), 12) > 0 THEN 'block' WHEN t IS NOT NULL THEN 'allow' END, 'allow') AS verdict
 FROM judged LEFT JOIN scores ON scores.host = judged.host"""
