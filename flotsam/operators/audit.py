@@ -178,4 +178,4 @@ def weighted_sample(rows: DataFrame, key: str, weight: str, n: int, seed: int =
 
 def numbered_labels(labels: DataFrame, column: str) -> DataFrame:
     """(label, id): the distinct labels numbered from 0 in alphabetical order."""
-    return labels.select(F.col(column).alias("label")).where("label is not null").distinct().withColumn("id", F.row_number().over(Window.orderBy("label")) - 1)
+    return numbered(labels.select(F.col(column).alias("label")).where("label is not null").distinct(), "label", "id")

@@ -27,29 +27,20 @@ def _levels(frame: DataFrame, deepest: Column, *columns: str) -> DataFrame:
     return each.select(*columns, "fx", "fy", "level", up("fx").alias("cx"), up("fy").alias("cy"))
 
 
-def counts_in_boxes(boxes: DataFrame, points: DataFrame, first: int = 10) -> DataFrame:
-    """(box, n, firsts) for boxes (box, x1, y1, x2, y2) and points (id, name, lon, lat): how many points lie in each, ends included.
+def _descended(placed: DataFrame, front: DataFrame, first: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of the tree of points: whole cells in boxes, leaves that boxes cut, the first points of every cell, and points by leaf.
 
-    ``firsts`` has the ``first`` points of the least (id, name) as structs; boxes without points, or with a null side, have no
-    row.  Points without a finite place are in no box; repeated points count as often as they stand there.
+    ``front`` has the boxes by the largest cells that they touch.
     """
-    scratch, side = Scratch(points.sparkSession), SIDE / 2**LEVELS
-    finite = (F.abs("lon") < float("inf")) & (F.abs("lat") < float("inf")) & ~F.isnan("lon") & ~F.isnan("lat")
-    placed = points.where(finite).select("id", "name", "lon", "lat", F.floor(F.col("lon") / side).alias("fx"), F.floor(F.col("lat") / side).alias("fy"))
     finest = scratch.table("finest", placed.groupBy("fx", "fy").agg(F.count("*").alias("n")))
     is_split = (F.col("n") > LEAF) & (F.col("level") < LEVELS)
-    cells, seen = scratch.measured("cells", _levels(finest, F.lit(LEVELS), "n").groupBy(*CELL).agg(F.sum("n").alias("n")).withColumn("is_split", is_split), splits=F.coalesce(F.sum(is_split.cast("long")), F.lit(0)))
-    leafed = placed.withColumn("depth", F.lit(0))
-    if seen["splits"]:
-        # cells that hold a split cell are split, so a leaf's level is the number of split cells around it
-        depth = _levels(finest, F.lit(LEVELS)).join(cells.where("is_split"), CELL, "left_semi").groupBy("fx", "fy").agg(F.count("*").cast("int").alias("depth"))
-        leafed = scratch.table("leafed", placed.join(depth, ["fx", "fy"], "left").withColumn("depth", F.coalesce("depth", F.lit(0))))
-    # Spark keeps the first rows of each cell and box in a task before they meet
+    cells = scratch.table("cells", _levels(finest, F.lit(LEVELS), "n").groupBy(*CELL).agg(F.sum("n").alias("n")).withColumn("is_split", is_split))
+    # cells that hold a split cell are split, so a leaf's level is the number of split cells around it
+    depth = _levels(finest, F.lit(LEVELS)).join(cells.where("is_split"), CELL, "left_semi").groupBy("fx", "fy").agg(F.count("*").cast("int").alias("depth"))
+    leafed = scratch.table("leafed", placed.join(depth, ["fx", "fy"], "left").withColumn("depth", F.coalesce("depth", F.lit(0))))
+    # Spark keeps the first rows of each cell in a task before they meet
     own = _levels(leafed, F.col("depth"), "id", "name").withColumn("k", F.row_number().over(Window.partitionBy(*CELL).orderBy("id", "name"))).where(F.col("k") <= first)
     tops = own.select(*CELL, "id", "name")
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / SIDE), F.floor(F.col(b) / SIDE))
-    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(c) for c in BOX), (F.col("x1") <= F.col("x2")) & (F.col("y1") <= F.col("y2")))
-    front = boxes.where(known).select("box", *BOX, F.explode(span("x1", "x2")).alias("cx")).select("*", F.explode(span("y1", "y2")).alias("cy")).withColumn("level", F.lit(0))
     whole, rim, level = [], [], 0
     while True:
         size = SIDE / 2**level
@@ -71,8 +62,33 @@ def counts_in_boxes(boxes: DataFrame, points: DataFrame, first: int = 10) -> Dat
     whole, rim = (reduce(DataFrame.unionByName, parts) for parts in (whole, rim))
     at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), LEVELS - F.col("depth")))
     leaves = leafed.select("id", "name", "lon", "lat", F.col("depth").alias("level"), at("fx").alias("cx"), at("fy").alias("cy"))
+    return whole, rim, tops, leaves
+
+
+def counts_in_boxes(boxes: DataFrame, points: DataFrame, first: int = 10) -> DataFrame:
+    """(box, n, firsts) for boxes (box, x1, y1, x2, y2) and points (id, name, lon, lat): how many points lie in each, ends included.
+
+    ``firsts`` has the ``first`` points of the least (id, name) as structs; boxes without points, or with a null side, have no
+    row.  Points without a finite place are in no box; repeated points count as often as they stand there.
+    """
+    scratch, side = Scratch(points.sparkSession), SIDE / 2**LEVELS
+    finite = (F.abs("lon") < float("inf")) & (F.abs("lat") < float("inf")) & ~F.isnan("lon") & ~F.isnan("lat")
+    placed = points.where(finite).select("id", "name", "lon", "lat", F.floor(F.col("lon") / side).alias("fx"), F.floor(F.col("lat") / side).alias("fy"))
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / SIDE), F.floor(F.col(b) / SIDE))
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(c) for c in BOX), (F.col("x1") <= F.col("x2")) & (F.col("y1") <= F.col("y2")))
+    front = boxes.where(known).select("box", *BOX, F.explode(span("x1", "x2")).alias("cx")).select("*", F.explode(span("y1", "y2")).alias("cy")).withColumn("level", F.lit(0))
+    coarse = placed.groupBy((F.floor(F.col("lon") / SIDE)).alias("cx"), (F.floor(F.col("lat") / SIDE)).alias("cy")).agg(F.count("*").alias("n"))
+    if (coarse.agg(F.max("n")).first()[0] or 0) <= LEAF:  # no cell is split, so boxes look at the points of the largest cells
+        whole, tops = None, None
+        rim, leaves = front, placed.select("id", "name", "lon", "lat", F.lit(0).alias("level"), F.floor(F.col("lon") / SIDE).alias("cx"), F.floor(F.col("lat") / SIDE).alias("cy"))
+    else:
+        whole, rim, tops, leaves = _descended(placed, front, first, scratch)
     hits = scratch.table("hits", rim.join(leaves, CELL).where(F.col("lon").between(F.col("x1"), F.col("x2")) & F.col("lat").between(F.col("y1"), F.col("y2"))).select("box", "id", "name"))
-    n = whole.select("box", "n").unionByName(hits.groupBy("box").agg(F.count("*").alias("n"))).groupBy("box").agg(F.sum("n").alias("n"))
-    best = whole.join(tops, CELL).select("box", "id", "name").unionByName(hits).withColumn("k", F.row_number().over(Window.partitionBy("box").orderBy("id", "name"))).where(F.col("k") <= first)
+    counted, best = hits.groupBy("box").agg(F.count("*").alias("n")), hits
+    if whole is not None:
+        counted = counted.unionByName(whole.select("box", "n")).groupBy("box").agg(F.sum("n").alias("n"))
+        best = best.unionByName(whole.join(tops, CELL).select("box", "id", "name"))
+    # Spark keeps the first rows of each box in a task before they meet
+    best = best.withColumn("k", F.row_number().over(Window.partitionBy("box").orderBy("id", "name"))).where(F.col("k") <= first)
     firsts = best.groupBy("box").agg(F.array_sort(F.collect_list(F.struct("k", "id", "name"))).alias("f")).select("box", F.transform("f", lambda r: F.struct(r["id"].alias("id"), r["name"].alias("name"))).alias("firsts"))
-    return scratch.last(n.join(firsts, "box"))
+    return scratch.last(counted.join(firsts, "box"))

@@ -234,7 +234,7 @@ def _(spark, sf_dir):
 #: Class scores of a model for the pixels of tiles, but for some tiles that it has not seen; their means over tiles.
 _SCORED = TILED + """, lg AS (SELECT scene_id, y, x, tr, tc, k, CASE WHEN (tr + 2 * tc) % 6 = 5 THEN NULL WHEN k = 0 THEN value * 12 + 0.5 ELSE (k * 5 + r + 2 * c + tr + tc) % 7 / 2.0::DOUBLE - 1 END AS l FROM (SELECT *, unnest(range(15)) AS k FROM tp)),
  pb AS (SELECT scene_id, y, x, k, coalesce(exp(l) / sum(exp(l)) OVER (PARTITION BY scene_id, y, x, tr, tc), 0) AS p FROM lg),
- ps AS (SELECT scene_id, y, x, list(p ORDER BY k) AS ps FROM (SELECT scene_id, y, x, k, avg(p) AS p FROM pb GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+ ps AS (SELECT scene_id, y, x, list(p ORDER BY k) AS ps FROM (SELECT scene_id, y, x, k, round(avg(p), 12) AS p FROM pb GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
  pr AS (SELECT scene_id, y, x, ps[1] AS prob, list_position(ps, list_max(ps)) - 1 AS cls FROM ps)"""
 _DETECTED = MEASURES.split("mk AS", 1)[1].split(", nb AS", 1)[1]
 
