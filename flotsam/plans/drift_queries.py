@@ -9,6 +9,7 @@ from ..functions import geo as G
 from ..functions import rules as R
 from ..operators import attribution as A
 from ..operators import drift as D
+from ..operators import paths as P
 from ..sources import supplied as S
 from ..sources.session import table
 from .registry import register
@@ -152,6 +153,50 @@ def _(spark, sf_dir):
     return trajectories(spark, sf_dir)
 
 
+#: A field of the customers' making on 6 x 14 x 21 places; cells without a customer are still water.
+FLOW_AXES = {"t": (0.0, 6.3, 6), "lat": (-83.3, 12.9, 14), "lon": (-179.3, 17.7, 21)}
+FLOW_HOURS = 36
+_FLOW = """fd AS (SELECT c_custkey % 1764 AS cell, 0.97::DOUBLE * flow_u + 0.03::DOUBLE * wind_u AS u, 0.97::DOUBLE * v + 0.03::DOUBLE * wind_v AS v
+ FROM (SELECT c_custkey, c_acctbal::DOUBLE / 5000 AS flow_u, (c_nationkey - 12) / 10.0::DOUBLE AS v,
+  (c_custkey * 7 % 31 - 15)::DOUBLE AS wind_u, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE (c_custkey * 11 % 29 - 14)::DOUBLE END AS wind_v,
+  row_number() OVER (PARTITION BY c_custkey % 1764 ORDER BY c_custkey) AS k FROM customer) WHERE k = 1)"""
+
+
+def _way_sql() -> str:
+    """The steps as a recursive query: four looks at the nearest cell for each, every one from where the last one leads."""
+
+    def nearest(axis: str, value: str) -> str:
+        first, step, n = FLOW_AXES[axis]
+        return f"greatest(0, least({n - 1}, ceil(({value} - ({first}::DOUBLE)) / {step}::DOUBLE - 0.5)))::BIGINT"
+
+    def look(rows: str, name: str, lon: str, lat: str, back: str) -> str:
+        cell = f"({nearest('t', back)} * 14 + {nearest('lat', lat)}) * 21 + {nearest('lon', lon)}"
+        east = f"-coalesce(u, 0) / (111000 * cos(radians({lat})) + 1e-10) * 3600 AS {name}x"
+        return f"(SELECT s.*, {east}, -coalesce(v, 0) / 111000 * 3600 AS {name}y FROM {rows} s LEFT JOIN fd ON fd.cell = {cell})"
+
+    rows = look(f"(SELECT * FROM way WHERE step < {FLOW_HOURS})", "p1", "lon", "lat", "step")
+    rows = look(rows, "p2", "(lon + p1x * 0.5)", "(lat + p1y * 0.5)", "(step + 0.5)")
+    rows = look(rows, "p3", "(lon + p2x * 0.5)", "(lat + p2y * 0.5)", "(step + 0.5)")
+    rows = look(rows, "p4", "(lon + p3x)", "(lat + p3y)", "(step + 1)")
+    turned = "(lon + (p1x + 2 * p2x + 2 * p3x + p4x) / 6 + 180)"
+    wrapped = f"{turned} - 360 * floor({turned} / 360) - 180"
+    onward = f"SELECT cluster_id, step + 1, {wrapped}, greatest(-85, least(85, lat + (p1y + 2 * p2y + 2 * p3y + p4y) / 6)) FROM {rows}"
+    return f"way AS (SELECT source_id AS cluster_id, 0 AS step, lon, lat FROM rg UNION ALL {onward})"
+
+
+@register("m6_trace_field", "cluster_id:i step:i lon:d lat:d", "SELECT * FROM way", ", ".join(("RECURSIVE " + REGIONS, _FLOW, _way_sql())), 4)
+def _(spark, sf_dir):
+    """A day and a half back, from every region, through a field that changes by place and time."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    first = c.groupBy((key % 1764).alias("cell")).agg(F.min_by(F.struct("c_custkey", "c_nationkey", "c_acctbal"), key).alias("c")).select("cell", "c.*")
+    at = {"t_idx": F.floor(F.col("cell") / 294), "lat_idx": F.floor(F.col("cell") / 21) % 14, "lon_idx": F.col("cell") % 21}
+    wind_v = F.when(key % 5 == 0, F.lit(float("nan"))).otherwise((key * 11 % 29 - 14).cast("double"))
+    flow = {"u": F.col("c_acctbal").cast("double") / 5000, "v": (F.col("c_nationkey") - 12) / 10.0, "u_wind": (key * 7 % 31 - 15).cast("double"), "v_wind": wind_v}
+    field = first.select(*(v.cast("int").alias(k) for k, v in at.items()), *(v.alias(k) for k, v in flow.items()))
+    seeds = regions(spark, sf_dir).select(F.col("source_id").alias("cluster_id"), F.lit(0).alias("particle"), "lon", "lat")
+    return P.trace_paths(seeds, field, FLOW_AXES, hours=FLOW_HOURS)
+
+
 PATHS = "tj AS (SELECT user_id % 20 AS cluster_id, user_id AS particle, event_id AS step, (user_id * 7 % 360 - 180)::DOUBLE AS lon, (event_id % 170 - 85)::DOUBLE AS lat FROM events)"
 
 
