@@ -155,14 +155,13 @@ def _(spark, sf_dir):
 
 #: A field of the customers' making on 6 x 14 x 21 places; cells without a customer are still water.
 FLOW_AXES = {"t": (0.0, 6.3, 6), "lat": (-83.3, 12.9, 14), "lon": (-179.3, 17.7, 21)}
-FLOW_HOURS = 36
 _FLOW = """fd AS (SELECT c_custkey % 1764 AS cell, 0.97::DOUBLE * flow_u + 0.03::DOUBLE * wind_u AS u, 0.97::DOUBLE * v + 0.03::DOUBLE * wind_v AS v
  FROM (SELECT c_custkey, c_acctbal::DOUBLE / 5000 AS flow_u, (c_nationkey - 12) / 10.0::DOUBLE AS v,
   (c_custkey * 7 % 31 - 15)::DOUBLE AS wind_u, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE (c_custkey * 11 % 29 - 14)::DOUBLE END AS wind_v,
   row_number() OVER (PARTITION BY c_custkey % 1764 ORDER BY c_custkey) AS k FROM customer) WHERE k = 1)"""
 
 
-def _way_sql() -> str:
+def _way_sql(keys: str, start: str, hours: int) -> str:
     """The steps as a recursive query: four looks at the nearest cell for each, every one from where the last one leads."""
 
     def nearest(axis: str, value: str) -> str:
@@ -174,27 +173,34 @@ def _way_sql() -> str:
         east = f"-coalesce(u, 0) / (111000 * cos(radians({lat})) + 1e-10) * 3600 AS {name}x"
         return f"(SELECT s.*, {east}, -coalesce(v, 0) / 111000 * 3600 AS {name}y FROM {rows} s LEFT JOIN fd ON fd.cell = {cell})"
 
-    rows = look(f"(SELECT * FROM way WHERE step < {FLOW_HOURS})", "p1", "lon", "lat", "step")
+    rows = look(f"(SELECT * FROM way WHERE step < {hours})", "p1", "lon", "lat", "step")
     rows = look(rows, "p2", "(lon + p1x * 0.5)", "(lat + p1y * 0.5)", "(step + 0.5)")
     rows = look(rows, "p3", "(lon + p2x * 0.5)", "(lat + p2y * 0.5)", "(step + 0.5)")
     rows = look(rows, "p4", "(lon + p3x)", "(lat + p3y)", "(step + 1)")
     turned = "(lon + (p1x + 2 * p2x + 2 * p3x + p4x) / 6 + 180)"
     wrapped = f"{turned} - 360 * floor({turned} / 360) - 180"
-    onward = f"SELECT cluster_id, step + 1, {wrapped}, greatest(-85, least(85, lat + (p1y + 2 * p2y + 2 * p3y + p4y) / 6)) FROM {rows}"
-    return f"way AS (SELECT source_id AS cluster_id, 0 AS step, lon, lat FROM rg UNION ALL {onward})"
+    onward = f"SELECT {keys}, step + 1, {wrapped}, greatest(-85, least(85, lat + (p1y + 2 * p2y + 2 * p3y + p4y) / 6)) FROM {rows}"
+    return f"way AS ({start} UNION ALL {onward})"
 
 
-@register("m6_trace_field", "cluster_id:i step:i lon:d lat:d", "SELECT * FROM way", ", ".join(("RECURSIVE " + REGIONS, _FLOW, _way_sql())), 4)
-def _(spark, sf_dir):
-    """A day and a half back, from every region, through a field that changes by place and time."""
+def flow(spark, sf_dir):
+    """The field as a table; one component is NaN in places."""
     c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
     first = c.groupBy((key % 1764).alias("cell")).agg(F.min_by(F.struct("c_custkey", "c_nationkey", "c_acctbal"), key).alias("c")).select("cell", "c.*")
     at = {"t_idx": F.floor(F.col("cell") / 294), "lat_idx": F.floor(F.col("cell") / 21) % 14, "lon_idx": F.col("cell") % 21}
     wind_v = F.when(key % 5 == 0, F.lit(float("nan"))).otherwise((key * 11 % 29 - 14).cast("double"))
-    flow = {"u": F.col("c_acctbal").cast("double") / 5000, "v": (F.col("c_nationkey") - 12) / 10.0, "u_wind": (key * 7 % 31 - 15).cast("double"), "v_wind": wind_v}
-    field = first.select(*(v.cast("int").alias(k) for k, v in at.items()), *(v.alias(k) for k, v in flow.items()))
+    parts = {"u": F.col("c_acctbal").cast("double") / 5000, "v": (F.col("c_nationkey") - 12) / 10.0, "u_wind": (key * 7 % 31 - 15).cast("double"), "v_wind": wind_v}
+    return first.select(*(v.cast("int").alias(k) for k, v in at.items()), *(v.alias(k) for k, v in parts.items()))
+
+
+_FROM_REGIONS = _way_sql("cluster_id", "SELECT source_id AS cluster_id, 0 AS step, lon, lat FROM rg", 36)
+
+
+@register("m6_trace_field", "cluster_id:i step:i lon:d lat:d", "SELECT * FROM way", ", ".join(("RECURSIVE " + REGIONS, _FLOW, _FROM_REGIONS)), 4)
+def _(spark, sf_dir):
+    """A day and a half back, from every region, through a field that changes by place and time."""
     seeds = regions(spark, sf_dir).select(F.col("source_id").alias("cluster_id"), F.lit(0).alias("particle"), "lon", "lat")
-    return P.trace_paths(seeds, field, FLOW_AXES, hours=FLOW_HOURS)
+    return P.trace_paths(seeds, flow(spark, sf_dir), FLOW_AXES, hours=36)
 
 
 PATHS = "tj AS (SELECT user_id % 20 AS cluster_id, user_id AS particle, event_id AS step, (user_id * 7 % 360 - 180)::DOUBLE AS lon, (event_id % 170 - 85)::DOUBLE AS lat FROM events)"
@@ -236,12 +242,37 @@ def _(spark, sf_dir):
     return D.dbscan(points(spark, sf_dir))
 
 
-@register("d28_source_regions", "grp:i rank:i label:i lon:d lat:d n_particles:i source_probability:d", """SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY n DESC, label) AS rank, label, lon, lat, n AS n_particles, n / total AS source_probability
- FROM (SELECT grp, label, avg(lon) AS lon, avg(lat) AS lat, count(*) AS n, any_value(total) AS total FROM (SELECT grp, lon, lat, CASE WHEN count(*) OVER (PARTITION BY grp) < 5 THEN 0 ELSE label END AS label, count(*) OVER (PARTITION BY grp) AS total FROM lab) WHERE label >= 0 GROUP BY 1, 2)""", "RECURSIVE " + DBSCAN)
+#: Regions of labelled points.
+_SUMMED = """SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY n DESC, label) AS rank, label, lon, lat, n AS n_particles, n / total AS source_probability
+ FROM (SELECT grp, label, avg(lon) AS lon, avg(lat) AS lat, count(*) AS n, any_value(total) AS total FROM (SELECT grp, lon, lat, CASE WHEN count(*) OVER (PARTITION BY grp) < 5 THEN 0 ELSE label END AS label, count(*) OVER (PARTITION BY grp) AS total FROM lab) WHERE label >= 0 GROUP BY 1, 2)"""
+
+
+@register("d28_source_regions", "grp:i rank:i label:i lon:d lat:d n_particles:i source_probability:d", _SUMMED, "RECURSIVE " + DBSCAN)
 def _(spark, sf_dir):
     return D.source_regions(D.dbscan(points(spark, sf_dir)))
 
 
+#: Customers as particles, on steps that leave no two of them exactly the radius apart, which rounding would decide.
+_STARTS = "SELECT c_nationkey AS grp, c_custkey AS id, 0 AS step, (c_custkey * 7919 % 1000) * 0.0020137::DOUBLE + c_custkey % 3 * 4 AS lon, (c_custkey * 104729 % 1000) * 0.0020071::DOUBLE AS lat FROM customer"
+_ENDS = "pt AS (SELECT grp, id, lon, lat FROM way WHERE step = 24)"
+
+
+@register(
+    "m9_backtrack_field",
+    "grp:i rank:i label:i lon:d lat:d n_particles:i source_probability:d",
+    _SUMMED,
+    ", ".join(("RECURSIVE " + _FLOW, _way_sql("grp, id", _STARTS, 24), DBSCAN.replace(POINTS, _ENDS))),
+    4,
+)
+def _(spark, sf_dir):
+    """Back-tracking from end to end: customers as particles of their nation, a day back, end points clustered and summed up."""
+    key = F.col("c_custkey")
+    lon, lat = (key * 7919 % 1000) * F.lit(0.0020137) + key % 3 * 4, (key * 104729 % 1000) * F.lit(0.0020071)
+    seeds = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("cluster_id"), key.alias("particle"), lon.alias("lon"), lat.alias("lat"))
+    ends = D.endpoints(P.trace_paths(seeds, flow(spark, sf_dir), FLOW_AXES, hours=24))
+    return D.source_regions(D.dbscan(ends.select(F.col("cluster_id").alias("grp"), F.col("particle").alias("id"), "lon", "lat")))
+
+
 SITES = "st AS (SELECT p_partkey AS site_id, p_name AS name, p_type AS tag, (p_partkey * 11 % 360 - 180)::DOUBLE AS slon, (p_partkey * 29 % 170 - 85)::DOUBLE AS slat FROM part)"
 VESSELS = "va AS (SELECT event_id AS vessel_id, ts, (user_id * 7 % 360 - 180)::DOUBLE AS vlon, (event_id % 170 - 85)::DOUBLE AS vlat FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20')"
 LANES = "ln AS (SELECT n_nationkey AS lane_id, (n_nationkey * 14 - 180)::DOUBLE AS x1, (n_nationkey * 31 % 120 - 60)::DOUBLE AS y1 FROM nation)"
