@@ -32,14 +32,18 @@ def assemble_bands(band_pixels: DataFrame) -> DataFrame:
 def regrid(pixels: DataFrame, to_h: int, to_w: int) -> DataFrame:
     """Bilinear samples (scene_id, y, x, value) on a to_h by to_w grid whose corners are those of the input grid."""
     size = pixels.groupBy("scene_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    grid = size.select("*", F.explode(F.sequence(F.lit(0), F.lit(to_h - 1))).alias("ty")).select("*", F.explode(F.sequence(F.lit(0), F.lit(to_w - 1))).alias("tx"))
     place = lambda t, n, to: t * (n - 1) / (to - 1) if to > 1 else F.lit(0.0)
-    grid = grid.select("scene_id", "ty", "tx", "h", "w", place(F.col("ty"), F.col("h"), to_h).alias("sy"), place(F.col("tx"), F.col("w"), to_w).alias("sx"))
-    near = grid.select("*", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))).alias("n"))
-    fy, fx = F.col("sy") - F.floor("sy"), F.col("sx") - F.floor("sx")
-    weight = F.when(F.col("n.a") == 1, fy).otherwise(1 - fy) * F.when(F.col("n.b") == 1, fx).otherwise(1 - fx)
-    near = near.select("scene_id", "ty", "tx", F.least(F.floor("sy") + F.col("n.a"), F.col("h") - 1).cast("int").alias("y"), F.least(F.floor("sx") + F.col("n.b"), F.col("w") - 1).cast("int").alias("x"), weight.alias("weight"))
-    return near.where("weight > 0").join(pixels, ["scene_id", "y", "x"]).groupBy("scene_id", "ty", "tx").agg(F.sum(F.col("weight") * F.col("value")).alias("value")).withColumnsRenamed({"ty": "y", "tx": "x"})
+
+    def parts(n: str, to: int, at: str, t: str) -> DataFrame:
+        """(n, at, t, weight): which places of a side of each length that occurs have a part in which samples."""
+        sides = size.select(n).distinct().select(n, F.explode(F.sequence(F.lit(0), F.lit(to - 1))).alias(t)).withColumn("s", place(F.col(t), F.col(n), to))
+        two = sides.select(n, t, "s", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+        part = F.col("s") - F.floor("s")
+        return two.select(n, t, (F.floor("s") + F.col("k")).cast("int").alias(at), F.when(F.col("k") == 1, part).otherwise(1 - part).alias(f"{t}_weight")).where(f"{t}_weight > 0")
+
+    # pixels meet tables that are as small as the sides are few; a grid for each scene would be many times its pixels
+    met = pixels.join(size, "scene_id").join(parts("h", to_h, "y", "ty"), ["h", "y"]).join(parts("w", to_w, "x", "tx"), ["w", "x"])
+    return met.groupBy("scene_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.sum(F.col("ty_weight") * F.col("tx_weight") * F.col("value")).alias("value"))
 
 
 def _tiles_along(length: Column, patch: int, overlap: int) -> Column:
