@@ -35,8 +35,9 @@ def nearest_places(points: DataFrame, column: str, axis: DataFrame, name: str) -
     known = points.where(finite(value)).select(value.alias("at"), F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"), row.alias("row"), F.xxhash64(*points.columns).alias("salt"))
     order = [F.col("at"), F.col("mark").isNull(), F.col("salt")]  # points of one value may be very many, so the salt parts them
     both = cut(marks.unionByName(known).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    w, ranges = Window.partitionBy("_range").orderBy(*order), Window.orderBy("_range")
-    before, after = F.last("mark", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("mark", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    ranges, so_far = Window.orderBy("_range"), lambda *by: Window.partitionBy("_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    # the first mark after a row is the last one before it in the opposite order: frames that shrink would be quadratic in a range
+    before, after = F.last("mark", True).over(so_far(*order)), F.last("mark", True).over(so_far(*(o.desc() for o in order)))
     ends = both.groupBy("_range").agg(F.min("mark").alias("least"), F.max("mark").alias("most"))
     carried = ends.select("_range", F.last("most", True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("lower"), F.first("least", True).over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("upper"))
     found = both.select("*", before.alias("before"), after.alias("after")).where("row IS NOT NULL").join(F.broadcast(carried), "_range")

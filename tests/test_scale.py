@@ -1,11 +1,16 @@
 """Plans that keep to the size of their input, and results that don't hang on the order of a sum."""
 
+from flotsam.operators import drift as D
 from flotsam.operators import rasters as O
 from flotsam.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_regrid_makes_no_grid_for_each_scene(spark):
     df = QUERIES["b2_regrid"](spark, SMALL)
     joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
@@ -18,3 +23,11 @@ def test_regrid_of_sides_of_one_and_of_unequal_scenes(spark):
     got = O.regrid(spark.createDataFrame(rows, "scene_id int, y int, x int, value double"), 2, 5)
     values = {(r.scene_id, r.y, r.x): r.value for r in got.collect()}
     assert values == {(s, y, x): v for s, line in ((1, [5.0] * 5), (2, [0.0, 0.5, 1.0, 2.5, 4.0])) for y in (0, 1) for x, v in enumerate(line)}
+
+
+def test_nearest_places_look_forward_without_shrinking_frames(spark):
+    points, axis = spark.createDataFrame([(1, 0.2), (2, 7.5), (3, 9.9)], "id int, lon double"), spark.createDataFrame([(0, 5.0), (1, 10.0), (2, 0.0)], "idx long, place double")
+    found = D.nearest_places(points, "lon", axis, "lon_idx")
+    assert {r.id: r.lon_idx for r in found.collect()} == {1: 2, 2: 0, 3: 1}
+    window = [line for line in plan(found).splitlines() if "_range" in line and "mark" in line]
+    assert not any("currentrow$(), unboundedfollowing" in line for line in window)
