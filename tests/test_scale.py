@@ -1,5 +1,8 @@
 """Plans that keep to the size of their input, and results that don't hang on the order of a sum."""
 
+from pyspark.sql import functions as F
+
+from flotsam.constants import N_CLASSES
 from flotsam.operators import drift as D
 from flotsam.operators import rasters as O
 from flotsam.plans.queries import QUERIES
@@ -31,3 +34,12 @@ def test_nearest_places_look_forward_without_shrinking_frames(spark):
     assert {r.id: r.lon_idx for r in found.collect()} == {1: 2, 2: 0, 3: 1}
     window = [line for line in plan(found).splitlines() if "_range" in line and "mark" in line]
     assert not any("currentrow$(), unboundedfollowing" in line for line in window)
+
+
+def test_classes_with_equal_means_are_equal_in_whatever_order_they_are_added(spark):
+    parts = [(0.1, 0.3), (0.2, 0.2), (0.3, 0.1)]
+    rows = [(scene, tile // 2, tile % 2, 1 - tile // 2, 1 - tile % 2, [*(pair if scene else pair[::-1]), *[0.0] * (N_CLASSES - 2)]) for scene in (0, 1) for tile, pair in enumerate(parts)]
+    seen = spark.createDataFrame(rows, "scene_id int, tile_row int, tile_col int, r int, c int, probs array<double>").coalesce(1)
+    tiles = seen.select("scene_id", "tile_row", "tile_col", F.lit(2).alias("actual_h"), F.lit(2).alias("actual_w"))
+    got = O.pixel_results(tiles, seen, 2, 1).where("y = 1 AND x = 1").collect()
+    assert [r.cls for r in got] == [0, 0]
