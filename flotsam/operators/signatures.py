@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.bands import spectral_indices, top_class
@@ -41,27 +46,6 @@ def forest_nodes(model: PipelineModel) -> DataFrame:
     return spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), at("id").alias("node"), *split, at("leftChild").alias("left"), at("rightChild").alias("right"), F.transform(at("impurityStats"), lambda x: x / total).alias("shares"), total.alias("weight"), at("gain").alias("gain"))
 
 
-def forest_row(nodes: DataFrame) -> DataFrame:
-    """One row (forest): the trees of a node table, each an array of its nodes by number."""
-    trees = nodes.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("node", "feature", "threshold", "left", "right", "shares"))).alias("nodes"))
-    return trees.agg(F.sort_array(F.collect_list(F.struct("tree", "nodes"))).alias("forest"))
-
-
-def forest_votes(forest: Column, features: Column, depth: int) -> Column:
-    """Class probabilities of an array of features: the mean of the shares at the leaves, found from the roots in ``depth`` steps."""
-
-    def leaf(tree: Column) -> Column:
-        def step(n: Column, _: Column) -> Column:
-            node = F.get(tree["nodes"], n)
-            return F.when(node["left"] < 0, n).when(F.get(features, node["feature"]) <= node["threshold"], node["left"]).otherwise(node["right"])
-
-        return F.get(tree["nodes"], F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step))["shares"]
-
-    leaves = F.transform(forest, leaf)
-    empty = F.transform(F.get(F.get(forest, F.lit(0))["nodes"], F.lit(0))["shares"], lambda _: F.lit(0.0))
-    return F.aggregate(leaves, empty, lambda a, s: F.zip_with(a, s, lambda x, y: x + y), lambda a: F.transform(a, lambda x: x / F.size(forest)))
-
-
 def feature_importance(nodes: DataFrame) -> DataFrame:
     """(feature, importance): each feature's part of the gain, by weight, of a tree's splits, averaged over the trees that split."""
     inner = nodes.where("left >= 0").groupBy("tree", "feature").agg(F.sum(F.col("gain") * F.col("weight")).alias("gain"))
@@ -72,16 +56,67 @@ def feature_importance(nodes: DataFrame) -> DataFrame:
 def vote(nodes: DataFrame, spectra: DataFrame, depth: int) -> DataFrame:
     """spectra (bands) with votes, the class probabilities by the forest of a node table, whose trees are ``depth`` deep at most.
 
-    The forest goes to every task as one row, so the node table must be of a size that a worker holds.
+    Spectra are dealt over tasks and the forest goes to each, so the node table must be of a size that a worker holds.  Every
+    spectrum goes through every tree: a batch of them takes a step of a tree at once.  Null votes where there is no tree.
     """
-    row = F.broadcast(forest_row(nodes))
-    return spectra.join(row, on=F.lit(True)).select(*spectra.columns, forest_votes(F.col("forest"), F.transform("bands", lambda x: x.cast("double")), depth).alias("votes"))
+    context, out = spectra.sparkSession.sparkContext, T.StructType([*spectra.schema.fields, T.StructField("votes", T.ArrayType(T.DoubleType()))])
+    held = context.broadcast(_held_forest(nodes.select("tree", "node", "feature", F.col("threshold").cast("double"), "left", "right", "shares").orderBy("tree", "node").toArrow()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = _walked(_padded(batch.column(batch.schema.get_field_index("bands"))), held.value, depth)
+            kept = pa.nulls(batch.num_rows, pa.list_(pa.float64())) if votes is None else pa.ListArray.from_arrays(np.arange(0, votes.size + 1, votes.shape[1], dtype=np.int32), votes.ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns, kept], names=[*batch.schema.names, "votes"])
+
+    return spectra.repartition(3 * context.defaultParallelism).mapInArrow(run, out)
+
+
+def _held_forest(table: pa.Table) -> tuple[np.ndarray, ...] | None:
+    """(first, feature, threshold, left, right, shares): the first node of each tree, and the nodes by tree and number; leaves lead to themselves."""
+    if not table.num_rows:
+        return None
+    column = lambda c, kind, gap: table[c].combine_chunks().cast(kind).fill_null(gap).to_numpy(zero_copy_only=False)
+    tree, n = column("tree", pa.int64(), -1), np.arange(table.num_rows)
+    first = np.flatnonzero(np.append(True, tree[1:] != tree[:-1]))
+    base = np.repeat(first, np.diff(np.append(first, len(tree))))
+    ends = [column(c, pa.int64(), -1) for c in ("left", "right")]
+    left, right = (np.where(ends[0] < 0, n, base + e) for e in ends)
+    shares = table["shares"].combine_chunks()
+    shares = shares.flatten().to_numpy(zero_copy_only=False).reshape(len(tree), -1)
+    return first, column("feature", pa.int64(), -1), column("threshold", pa.float64(), np.nan), left, right, shares
+
+
+def _padded(bands: pa.Array) -> np.ndarray:
+    """Features by spectrum, as columns; NaN where there is none, and in one more column, which goes right at every split as NaN does."""
+    sizes = bands.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    out = np.full((int(sizes.max(initial=0)) + 1, len(bands)), np.nan)
+    values = bands.flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(bands)), sizes)
+    out[np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes), row] = values
+    return out
+
+
+def _walked(features: np.ndarray, forest: tuple[np.ndarray, ...] | None, depth: int) -> np.ndarray | None:
+    """The mean of the shares at the leaves, tree by tree in order."""
+    if forest is None:
+        return None
+    first, feature, threshold, left, right, shares = forest
+    n = features.shape[1]
+    place, flat = np.arange(n), features.ravel()
+    start = np.where((feature >= 0) & (feature < len(features) - 1), feature, len(features) - 1) * n
+    votes = np.zeros((n, shares.shape[1]))
+    for root in first.tolist():
+        at = np.full(n, root)
+        for _ in range(depth):
+            at = np.where(flat[start[at] + place] <= threshold[at], left[at], right[at])
+        votes += shares[at]
+    return votes / len(first)
 
 
 def score_forest(model: PipelineModel | None, spectra: DataFrame) -> DataFrame:
     """spectra (bands) with prediction, class, polymer_type, is_false_positive, rf_confidence and the four indices.
 
-    The forest's node table is read and its trees are walked by column expressions.  Without a model the rules give the
+    The forest's node table is read and its trees are walked by batches of spectra.  Without a model the rules give the
     polymer, prediction and class are null, and the confidence is 0.
     """
     index = [c.alias(k) for k, c in spectral_indices(F.col("bands")).items()]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from flotsam.constants import N_CLASSES
 from flotsam.operators import drift as D
 from flotsam.operators import rasters as O
+from flotsam.operators import signatures as G
 from flotsam.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -43,3 +44,15 @@ def test_classes_with_equal_means_are_equal_in_whatever_order_they_are_added(spa
     tiles = seen.select("scene_id", "tile_row", "tile_col", F.lit(2).alias("actual_h"), F.lit(2).alias("actual_w"))
     got = O.pixel_results(tiles, seen, 2, 1).where("y = 1 AND x = 1").collect()
     assert [r.cls for r in got] == [0, 0]
+
+
+def test_spectra_are_dealt_over_tasks_and_go_right_where_a_feature_lacks(spark):
+    nodes = [(t, 0, t, 0.5, 1, 2, None) for t in range(3)] + [(t, n, None, None, -1, -1, [float(n == 1), float(n == 2)]) for t in range(3) for n in (1, 2)]
+    nodes = [(*row[:6], row[6] or [0.5, 0.5]) for row in nodes]
+    forest = spark.createDataFrame(nodes, "tree int, node int, feature int, threshold double, left int, right int, shares array<double>")
+    rows = [(0, [0.1, 0.5, 0.6]), (1, [float("nan"), 0.2, None]), (2, [0.1]), (3, None), (4, [])]
+    spectra = spark.createDataFrame(rows, "id int, bands array<float>").coalesce(1)
+    got = G.vote(forest, spectra, 4)
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert {r.id: r.votes for r in got.collect()} == {0: [2 / 3, 1 / 3], 1: [1 / 3, 2 / 3], 2: [1 / 3, 2 / 3], 3: [0.0, 1.0], 4: [0.0, 1.0]}
+    assert {r.votes for r in G.vote(forest.where("tree > 9"), spectra, 4).collect()} == {None}
