@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from flotsam.constants import N_CLASSES
 from flotsam.operators import drift as D
+from flotsam.operators import quadtree as Q
 from flotsam.operators import rasters as O
 from flotsam.operators import signatures as G
 from flotsam.plans.queries import QUERIES
@@ -56,3 +57,15 @@ def test_spectra_are_dealt_over_tasks_and_go_right_where_a_feature_lacks(spark):
     assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert {r.id: r.votes for r in got.collect()} == {0: [2 / 3, 1 / 3], 1: [1 / 3, 2 / 3], 2: [1 / 3, 2 / 3], 3: [0.0, 1.0], 4: [0.0, 1.0]}
     assert {r.votes for r in G.vote(forest.where("tree > 9"), spectra, 4).collect()} == {None}
+
+
+def test_points_of_one_place_and_equal_boxes_are_not_met_pair_by_pair(spark, monkeypatch):
+    seen, plain = {}, Q.Scratch.table
+    monkeypatch.setattr(Q.Scratch, "table", lambda self, name, df: seen.setdefault(name, plain(self, name, df)))
+    held = {}
+    monkeypatch.setattr(Q.Scratch, "last", lambda self, df, rows=None: held.setdefault("hits", seen["hits"].count()) and df)
+    points = spark.range(900).selectExpr("id", "cast(id AS string) AS name", "1.5D AS lon", "IF(id < 890, 0.5D, 0.25D) AS lat")
+    boxes = spark.range(200).selectExpr("id AS box", "1.0D AS x1", "IF(id < 100, 0.4D, 0.0D) AS y1", "2.0D AS x2", "1.0D AS y2")
+    got = {r.box: (r.n, [f.id for f in r.firsts]) for r in Q.counts_in_boxes(boxes, points).collect()}
+    assert got == {k: (890 if k < 100 else 900, list(range(10))) for k in range(200)}
+    assert held["hits"] <= 40
