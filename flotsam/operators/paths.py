@@ -67,7 +67,7 @@ def trace_paths(
     particles give repeated rows.
 
     A field of up to ``held_cells`` cells (by its axes) is one row that is broadcast, and a way is a fold over its steps:
-    particles are not shuffled.  A larger one is joined by cell, four times a step, and every step is a table.
+    particles are shuffled once, to deal them over tasks.  A larger one is joined by cell, four times a step, and every step is a table.
     """
     steps, field = int(hours / dt), _drifts(field)
     finite = (F.abs(F.col("lon")) < float("inf")) & (F.abs(F.col("lat")) < float("inf"))
@@ -108,7 +108,9 @@ def _folded(seeds: DataFrame, field: DataFrame, axes: dict, cells: int, steps: i
 
     later = F.sequence(F.lit(1), F.lit(steps)) if steps else F.array().cast("array<int>")
     way = F.aggregate(later, F.array("at"), step)
-    return seeds.crossJoin(F.broadcast(row)).select("cluster_id", "particle", F.posexplode(way).alias("step", "at"))
+    # a table of one file is read by one task, and a way is much work for a row
+    dealt = seeds.repartition(3 * seeds.sparkSession.sparkContext.defaultParallelism)
+    return dealt.crossJoin(F.broadcast(row)).select("cluster_id", "particle", F.posexplode(way).alias("step", "at"))
 
 
 def _joined(seeds: DataFrame, field: DataFrame, axes: dict, steps: int, dt: float) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from flotsam.constants import N_CLASSES
 from flotsam.operators import drift as D
+from flotsam.operators import paths as P
 from flotsam.operators import quadtree as Q
 from flotsam.operators import rasters as O
 from flotsam.operators import signatures as G
@@ -69,3 +70,12 @@ def test_points_of_one_place_and_equal_boxes_are_not_met_pair_by_pair(spark, mon
     got = {r.box: (r.n, [f.id for f in r.firsts]) for r in Q.counts_in_boxes(boxes, points).collect()}
     assert got == {k: (890 if k < 100 else 900, list(range(10))) for k in range(200)}
     assert held["hits"] <= 40
+
+
+def test_particles_of_one_partition_are_dealt_over_tasks(spark):
+    seeds = spark.createDataFrame([(1, k, 10.0, 20.0) for k in range(40)], "cluster_id long, particle int, lon double, lat double").coalesce(1)
+    still = spark.createDataFrame([(0, 0, 0, 0.0, 0.0, 0.0, 0.0)], "t_idx int, lat_idx int, lon_idx int, u double, v double, u_wind double, v_wind double")
+    axes = {"t": (0.0, 1.0, 1), "lat": (0.0, 1.0, 1), "lon": (0.0, 1.0, 1)}
+    for ways in (P.trace_paths(seeds, still, axes, hours=1), D.trace_back(seeds, None, hours=1)):
+        assert ways.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert ways.count() == 80
