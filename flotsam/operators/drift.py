@@ -124,7 +124,9 @@ def trace_back(particles: DataFrame, field: dict | None, hours: int = HOURS, dt:
                 yield pd.DataFrame({"cluster_id": frame["cluster_id"], "particle": frame["particle"], "step": np.int32(step), "hours_back": step * dt, "lon": lon, "lat": lat})
 
     schema = f"cluster_id {particles.schema['cluster_id'].dataType.simpleString()}, particle int, step int, hours_back double, lon double, lat double"
-    return particles.select("cluster_id", "particle", "lon", "lat").mapInPandas(run, schema)
+    # a table of one file is read by one task, and every particle makes a row a step
+    dealt = particles.select("cluster_id", "particle", "lon", "lat").repartition(3 * particles.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInPandas(run, schema)
 
 
 def endpoints(trajectories: DataFrame) -> DataFrame:
