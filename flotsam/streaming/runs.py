@@ -7,6 +7,7 @@ a restart or a repeated batch leaves as it was (``upsert``), and ``current`` rea
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +17,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+#: Parts that runs are dealt over by a hash: a call of Python and a state for each part, as one for each run takes most of the time.
+PARTS = 256
 STATUS = "user_id long, status string, ts timestamp, event_id long, is_live boolean"
 
 
@@ -33,31 +36,37 @@ def latest_status(events: DataFrame, late: str = "1 day", silent: str = "10 days
 
     A row is given when a newer event of the run comes, and once more with ``is_live`` false when the watermark is past its
     newest event by more than ``silent``; the run is then forgotten until its next event.  Events older than the watermark
-    are dropped.  Of equal times the larger event_id is newer.
+    are dropped.  Of equal times the larger event_id is newer.  Runs are dealt over parts, whose state holds each run's newest
+    event; a part's time limit is that of its oldest.
     """
     limit = int(pd.Timedelta(silent).total_seconds() * 1000)
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        row = lambda status, ts, event, live: pd.DataFrame({"user_id": [key[0]], "status": [status], "ts": [pd.Timestamp(ts, unit="us")], "event_id": [event], "is_live": [live]})
-        if state.hasTimedOut:
-            known = state.get
+        known = {user: (status, us, event) for user, status, us, event in json.loads(state.get[0])} if state.exists else {}
+        came: dict[int, tuple] = {}
+        if not state.hasTimedOut:
+            for frame in frames:
+                newest = frame.sort_values(["us", "event_id"]).drop_duplicates("user_id", keep="last")
+                for user, status, us, event in zip(newest["user_id"].tolist(), newest["event_type"], newest["us"].tolist(), newest["event_id"].tolist(), strict=True):
+                    best = came.get(user, known.get(user))
+                    came[user] = (None if pd.isna(status) else status, us, event) if best is None or (us, event) > best[1:] else best
+        rows = [(user, *best, True) for user, best in came.items() if best != known.get(user)]
+        mark = state.getCurrentWatermarkMs()
+        silent_ones = [user for user, best in known.items() if user not in came and best[1] // 1000 + limit < mark]
+        rows += [(user, *known.pop(user), False) for user in silent_ones]
+        known |= came
+        if known:
+            state.update((json.dumps([(user, *best) for user, best in known.items()]),))
+            state.setTimeoutTimestamp(min(best[1] for best in known.values()) // 1000 + limit)
+        elif state.exists:
             state.remove()
-            yield row(*known, False)
-            return
-        known = state.get if state.exists else None
-        best = known
-        for frame in frames:
-            for us, event, status in zip(frame["us"], frame["event_id"], frame["event_type"], strict=True):
-                if best is None or (us, event) > (best[1], best[2]):
-                    best = (status, int(us), int(event))
-        if best is not None and best != known:
-            state.update(best)
-            yield row(*best, True)
-        if best is not None:
-            state.setTimeoutTimestamp(best[1] // 1000 + limit)
+        if rows:
+            out = pd.DataFrame(rows, columns=["user_id", "status", "ts", "event_id", "is_live"])
+            yield out.assign(ts=pd.to_datetime(out["ts"], unit="us"))
 
     timed = events.where("ts IS NOT NULL AND user_id IS NOT NULL").withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
-    return timed.groupBy("user_id").applyInPandasWithState(follow, STATUS, "status string, us long, event_id long", "update", GroupStateTimeout.EventTimeTimeout)
+    dealt = timed.withColumn("user_id", F.col("user_id").cast("long")).withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(PARTS)))
+    return dealt.groupBy("part").applyInPandasWithState(follow, STATUS, "known string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert(folder: str) -> Callable[[DataFrame, int], None]:

@@ -65,6 +65,20 @@ def test_status_falls_silent_and_late_rows_change_nothing(spark, tmp_path):
     assert statuses(run(spark, tmp_path, of, ["user_id"])) == want | {1: ("start", 10, True)}
 
 
+def test_runs_share_a_state_by_parts_and_fall_silent_while_others_of_their_part_go_on(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "PARTS", 1)
+    of = lambda events: live.latest_status(events, "1 day", "10 days")
+    put(spark, f"{tmp_path}/in", [(k, "2024-03-01 10:00", k, "start") for k in range(1, 9)])
+    run(spark, tmp_path, of, ["user_id"])
+    for day in (14, 25, 26):
+        put(spark, f"{tmp_path}/in", [(100 + day, f"2024-03-{day} 10:00", 8, None)])
+        query = live.follow(of(stream(spark, f"{tmp_path}/in")), f"{tmp_path}/rows", f"{tmp_path}/state")
+        query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+    found = {r.user_id: (r.status, r.is_live) for r in live.current(spark, f"{tmp_path}/rows", of(stream(spark, f"{tmp_path}/in")).schema, ["user_id"]).collect()}
+    assert found == {k: ("start", False) for k in range(1, 8)} | {8: (None, True)}
+
+
 def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k long, v string, n long")
     put = live.upsert(str(tmp_path))
