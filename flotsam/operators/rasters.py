@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..constants import BANDS, DEBRIS_THRESHOLD, DELIVERED, MAX_AREA, MIN_AREA, N_CLASSES, OVERLAP, PATCH
 from ..functions.bands import is_debris, softmax_boost, top_class
+from ..sources.session import Scratch
 from .graph import connected_components
 from .zones import row_strips, zonal_means
 
@@ -184,38 +186,77 @@ def adjacent_pixels(mask: DataFrame) -> DataFrame:
     return near[0].unionByName(near[1])
 
 
+def _least_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of 0 to n - 1 that each is linked with, over links (a, b)."""
+    least = np.arange(n)
+    while True:  # roots go under the least root that they are linked with, then all see their root
+        low, high = np.minimum(least[a], least[b]), np.maximum(least[a], least[b])
+        apart = low != high
+        if not apart.any():
+            return least
+        a, b = a[apart], b[apart]
+        np.minimum.at(least, high[apart], low[apart])
+        while True:
+            further = least[least]
+            if (further == least).all():
+                break
+            least = further
+
+
+def _first_of_blocks(block: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The row of the first pixel of each pixel's 4-connected cluster within its block, for rows in the order (block, y, x)."""
+    same = lambda k: block[k:] == block[: len(block) - k]
+    new = np.append(True, ~same(1) | (y[1:] != y[:-1]) | (x[1:] != x[:-1]))
+    row = np.flatnonzero(new)
+    block, y, x = block[row], y[row].astype(np.int64), x[row].astype(np.int64)
+    at = np.arange(len(row))
+    beside = at[1:][same(1) & (y[1:] == y[:-1]) & (x[1:] == x[:-1] + 1)]
+    # the pixel above is looked up by its number in an order of all places of these blocks
+    begin = np.flatnonzero(np.append(True, ~same(1)))
+    sizes = np.diff(np.append(begin, len(row)))
+    down, right = (v - np.repeat(np.minimum.reduceat(v, begin), sizes) for v in (y, x))
+    height, width = down.max() + 2, right.max() + 1
+    place = lambda dy: (np.repeat(np.arange(len(begin)), sizes) * height + down + 1 - dy) * width + right
+    here, above = place(0), place(1)
+    found = np.minimum(np.searchsorted(here, above), len(here) - 1)
+    under = at[here[found] == above]
+    least = _least_linked(len(row), np.concatenate((beside, under)), np.concatenate((beside - 1, found[under])))
+    return row[least][np.cumsum(new) - 1]
+
+
+def _labelled_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(scene_id, y, x, label_y, label_x) from (scene_id, y, x, k) where k counts each block's pixels from 1, in order; whole blocks at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def labelled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        scene, y, x, k = (c.combine_chunks() for c in rows.columns)
+        first = pa.array(_first_of_blocks(np.cumsum(k.to_numpy() == 1), y.to_numpy(), x.to_numpy()))
+        yield from pa.table([scene, y, x, y.take(first).cast(pa.int32()), x.take(first).cast(pa.int32())], names=["scene_id", "y", "x", "label_y", "label_x"]).to_batches()
+
+    for batch in batches:
+        begins = np.flatnonzero(batch.column(3).to_numpy() == 1)
+        if len(begins):
+            end = int(begins[-1])
+            done = pa.Table.from_batches([*held, batch.slice(0, end)])
+            if len(done):
+                yield from labelled(done)
+            held, batch = [], batch.slice(end)
+        held.append(batch)
+    if held and (rest := pa.Table.from_batches(held)).num_rows:
+        yield from labelled(rest)
+
+
 def label_components(mask: DataFrame, block: int = 256) -> DataFrame:
     """(scene_id, y, x, first_y, first_x): debris pixels with the first pixel, by rows, of their 4-connected cluster.
 
-    Pixels are first joined within blocks of a scene, each labelled on its own, so that the iterative part only sees one
-    edge for each pair of labels that meet at a block's rim.
+    Pixels are first joined within blocks of a scene, so that the iterative part only sees one edge for each pair of labels
+    that meet at a block's rim.  Blocks are labelled many at once, and only once: their labels are a table.
     """
+    scratch = Scratch(mask.sparkSession)
     here = mask.where("is_debris").select("scene_id", "y", "x")
-
-    def within(frame: pd.DataFrame) -> pd.DataFrame:
-        y, x = frame["y"].to_numpy(), frame["x"].to_numpy()
-        grid = np.full((block + 2, block + 2), np.iinfo(np.int64).max)
-        gy, gx = y % block + 1, x % block + 1
-        on = np.zeros_like(grid, bool)
-        on[gy, gx] = True
-        grid[gy, gx] = y.astype(np.int64) << 32 | x
-        far = np.iinfo(np.int64).max
-        while True:  # the least label spreads over the neighbours, then along the labels themselves
-            least = np.minimum.reduce([grid, np.roll(grid, 1, 0), np.roll(grid, -1, 0), np.roll(grid, 1, 1), np.roll(grid, -1, 1)])
-            least = np.where(on, least, far)
-            labels = least[gy, gx]
-            inside = ((labels >> 32) // block == y // block) & ((labels & 0xFFFFFFFF) // block == x // block)
-            jump = least[(labels >> 32) % block + 1, (labels & 0xFFFFFFFF) % block + 1]
-            least[gy, gx] = np.where(inside, np.minimum(labels, jump), labels)
-            if (least == grid).all():
-                break
-            grid = least
-        label = grid[gy, gx]
-        return pd.DataFrame({"scene_id": frame["scene_id"], "y": y, "x": x, "label_y": (label >> 32).astype("int32"), "label_x": (label & 0xFFFFFFFF).astype("int32")})
-
+    in_block = Window.partitionBy("scene_id", F.floor(F.col("y") / block), F.floor(F.col("x") / block)).orderBy("y", "x")
     schema = here.schema.add("label_y", "integer").add("label_x", "integer")
-    blocks = here.withColumns({"by": F.floor(F.col("y") / block), "bx": F.floor(F.col("x") / block)})
-    local = blocks.groupBy("scene_id", "by", "bx").applyInPandas(lambda key, frame: within(frame[["scene_id", "y", "x"]]), schema)
+    local = scratch.table("local", here.withColumn("k", F.row_number().over(in_block)).mapInArrow(_labelled_blocks, schema))
     label = F.struct("scene_id", F.col("label_y").alias("y"), F.col("label_x").alias("x")).alias("label")
     rim = []
     for axis, dy, dx in (("y", 1, 0), ("x", 0, 1)):
@@ -224,7 +265,7 @@ def label_components(mask: DataFrame, block: int = 256) -> DataFrame:
         rim.append(ends.join(starts, ["scene_id", "y", "x"]).select("a", "b"))
     joined = connected_components(rim[0].unionByName(rim[1]))
     out = local.select("scene_id", "y", "x", label).join(joined.withColumnRenamed("id", "label"), "label", "left").withColumn("first", F.coalesce("component", "label"))
-    return out.select("scene_id", "y", "x", F.col("first.y").alias("first_y"), F.col("first.x").alias("first_x"))
+    return scratch.last(out.select("scene_id", "y", "x", F.col("first.y").alias("first_y"), F.col("first.x").alias("first_x")))
 
 
 def cluster_measures(labelled: DataFrame, pixel_area: float = 100.0, min_area: float = MIN_AREA, max_area: float = MAX_AREA) -> DataFrame:

@@ -1,5 +1,7 @@
 """Plans that keep to the size of their input, and results that don't hang on the order of a sum."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from flotsam.constants import N_CLASSES
@@ -79,3 +81,31 @@ def test_particles_of_one_partition_are_dealt_over_tasks(spark):
     for ways in (P.trace_paths(seeds, still, axes, hours=1), D.trace_back(seeds, None, hours=1)):
         assert ways.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
         assert ways.count() == 80
+
+
+def test_blocks_are_labelled_once_and_many_at_once(spark):
+    rng, on = random.Random(5), []
+    for scene in range(3):
+        on += [(scene, y, x, True) for y in range(-9, 20) for x in range(-5, 24) if rng.random() < 0.6]
+    mask = spark.createDataFrame(on + on[::7], "scene_id int, y int, x int, is_debris boolean")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for rows in ("3", before):  # a block is taken whole from several batches, and a batch has several blocks
+            spark.conf.set(name, rows)
+            found = O.label_components(mask, 8)
+            got = sorted(map(tuple, found.collect()))
+            # what reads the labels again doesn't label again
+            assert not [step for step in ("InPandas", "InArrow") if step in plan(found)]
+            left, least = {r[:3] for r in on}, {}
+            while left:
+                todo = [first := min(left)]
+                left.remove(first)
+                while todo:
+                    least[at := todo.pop()] = first
+                    near = {(at[0], at[1] + i, at[2] + j) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))} & left
+                    left -= near
+                    todo += near
+            assert got == sorted((*r[:3], *least[r[:3]][1:]) for r in on + on[::7])
+    finally:
+        spark.conf.set(name, before)
