@@ -79,8 +79,9 @@ def features(spectrum: Column, names: list[str]) -> Column:
 def softmax_boost(logits: Column, boost: float = DEBRIS_BOOST, n: int = N_CLASSES) -> Column:
     """Class probabilities: the first logit is raised, all are held within 30 of zero."""
     parts = F.array(*(F.exp(_clip(_at(logits, k) + (boost if k == 0 else 0.0), -30.0, 30.0)) for k in range(n)))
-    # an array of one array binds the exponentials to a name, so they are computed once
-    shares = F.transform(F.array(parts), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))
+    # arrays of one entry bind the exponentials and their sum to names, so both are computed once
+    bound = F.transform(F.array(parts), lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, y: a + y).alias("total")))
+    shares = F.transform(bound, lambda b: F.transform(b["e"], lambda x: x / b["total"]))
     return F.get(shares, F.lit(0))
 
 

@@ -101,11 +101,12 @@ def complete_pixels(tiles: DataFrame, predictions: DataFrame, n: int = N_CLASSES
 
 def pixel_results(tiles: DataFrame, predictions: DataFrame, patch: int = PATCH, overlap: int = OVERLAP, threshold: float = DEBRIS_THRESHOLD) -> DataFrame:
     """(scene_id, y, x, prob, cls, is_debris): completed tiles stitched to class means, the likeliest class, and the debris mask."""
-    probs = F.col("probs")
     stitched = stitch(complete_pixels(tiles, predictions), "probs", patch, overlap, N_CLASSES)
     # means that differ by the order of a sum alone are the same, so equal classes stay equal
-    stitched = stitched.withColumn("probs", F.array(*(F.rint(F.get(probs, F.lit(k)) * 1e12) / 1e12 for k in range(N_CLASSES))))
-    return stitched.select("scene_id", "y", "x", F.get(probs, F.lit(0)).alias("prob"), top_class(probs).alias("cls"), is_debris(probs, threshold).alias("is_debris"))
+    means = F.transform(F.slice("probs", 1, N_CLASSES), lambda p: F.rint(p * 1e12) / 1e12)
+    # an array of one array binds the means to a name: Spark moves a filter on the mask below, with a copy of them for each use
+    found = F.transform(F.array(means), lambda p: F.struct(F.get(p, F.lit(0)).alias("prob"), top_class(p).alias("cls"), is_debris(p, threshold).alias("is_debris")))
+    return stitched.select("scene_id", "y", "x", F.get(found, F.lit(0)).alias("found")).select("scene_id", "y", "x", "found.*")
 
 
 def is_shared(patch: int, overlap: int) -> Column:

@@ -5,12 +5,15 @@ import random
 from pyspark.sql import functions as F
 
 from flotsam.constants import N_CLASSES
+from flotsam.functions.bands import softmax_boost
 from flotsam.operators import drift as D
 from flotsam.operators import paths as P
 from flotsam.operators import quadtree as Q
 from flotsam.operators import rasters as O
 from flotsam.operators import signatures as G
+from flotsam.plans import raster_queries as R
 from flotsam.plans.queries import QUERIES
+from flotsam.sources import supplied as S
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -109,3 +112,21 @@ def test_blocks_are_labelled_once_and_many_at_once(spark):
             assert got == sorted((*r[:3], *least[r[:3]][1:]) for r in on + on[::7])
     finally:
         spark.conf.set(name, before)
+
+
+def test_a_filter_on_the_mask_works_class_scores_out_once(spark):
+    found = O.pixel_results(*R.scored(spark, SMALL), 16, 4).where("is_debris")
+    filters = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line and "EXP(" in line]
+    assert filters and all(line.count("EXP(") == N_CLASSES for line in filters)
+
+
+def test_pixels_of_one_row_group_are_dealt_over_tasks(spark):
+    rows = S.pixels(spark, SMALL).groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) > 4 and max(r["count"] for r in rows) < sum(r["count"] for r in rows) / 4
+
+
+def test_class_scores_are_shares_of_one_sum(spark):
+    scores = spark.range(1).select(F.array(*(F.lit(k / 3) for k in range(N_CLASSES))).alias("logits")).select(softmax_boost(F.col("logits")).alias("p"))
+    steps = scores._jdf.queryExecution().analyzed().toString()
+    # the sum stands beside the exponentials, not within the step over them
+    assert "aggregate(" in steps and "/ aggregate(" not in steps and abs(sum(scores.first().p) - 1) < 1e-12
