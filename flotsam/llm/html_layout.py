@@ -242,9 +242,10 @@ def _joined(reach: list[list]) -> list[list]:
     out: list[list] = []
     for x in sorted(reach, key=lambda x: x[0]):
         if out and out[-1][1] >= x[0]:
-            few, many = sorted((out[-1][3], x[3]), key=len)
+            first, to, end, cells = out[-1]
+            few, many = (cells, x[3]) if len(cells) <= len(x[3]) else (x[3], cells)
             many += few
-            out[-1] = [out[-1][0], max(out[-1][1], x[1]), min(out[-1][2], x[2]), many]
+            out[-1] = [first, to if to >= x[1] else x[1], end if end <= x[2] else x[2], many]
         else:
             out.append(x)
     return out
@@ -270,8 +271,9 @@ def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
                 column = max(column, reach[k][1])
                 k += 1
             out.append((column, lines))
-            width = max((len(line) for line in lines if len(line) < WIDE), default=0) if across == 1 else 0
-            widths[column] = max(widths.get(column, 0), width)
+            width = max([len(line) for line in lines if len(line) < WIDE], default=0) if across == 1 else 0
+            if width >= widths.get(column, 0):
+                widths[column] = width
             if down > 1:
                 spans.append([column, column + across, r + down, [(column, column + across, r + down)]])
             column += across
