@@ -87,21 +87,30 @@ def complete_tiles(tiles: DataFrame, predictions: DataFrame, n: int = N_CLASSES)
     return tiles.join(predictions.select("scene_id", "patch_id", "probs"), ["scene_id", "patch_id"], "left").withColumn("probs", F.coalesce("probs", F.array_repeat(F.lit(0.0), n)))
 
 
-def complete_pixels(tiles: DataFrame, predictions: DataFrame, n: int = N_CLASSES) -> DataFrame:
+def complete_pixels(tiles: DataFrame, predictions: DataFrame, n: int = N_CLASSES, pixels: DataFrame | None = None) -> DataFrame:
     """predictions (scene_id, tile_row, tile_col, r, c, probs) and zeros for every pixel of the tiles that have none.
 
-    tiles are those of ``tile_index``.  A tile counts as predicted if one of its pixels is.
+    tiles are those of ``tile_index``.  A tile counts as predicted if one of its pixels is.  Where scenes may lack pixels,
+    ``pixels`` (scene_id, y, x) has those that there are, and no others get zeros.
     """
     tile = ["scene_id", "tile_row", "tile_col"]
     missing = tiles.join(predictions.select(*tile).distinct(), tile, "left_anti")
-    rows = missing.select(*tile, "actual_w", F.explode(F.sequence(F.lit(0), F.col("actual_h") - 1)).alias("r"))
-    zeros = rows.select(*tile, "r", F.explode(F.sequence(F.lit(0), F.col("actual_w") - 1)).alias("c"), F.array_repeat(F.lit(0.0), n).alias("probs"))
+    rows = missing.select("*", F.explode(F.sequence(F.lit(0), F.col("actual_h") - 1)).alias("r"))
+    zeros = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("actual_w") - 1)).alias("c"))
+    if pixels is not None:
+        zeros = zeros.withColumns({"y": F.col("row_start") + F.col("r"), "x": F.col("col_start") + F.col("c")})
+        place = ["scene_id", "y", "x"]
+        zeros = zeros.join(pixels.select(*place).hint("merge"), place, "left_semi")  # pixels are sized too low after an explode
+    zeros = zeros.select(*tile, "r", "c", F.array_repeat(F.lit(0.0), n).alias("probs"))
     return predictions.select(*tile, "r", "c", "probs").unionByName(zeros)
 
 
-def pixel_results(tiles: DataFrame, predictions: DataFrame, patch: int = PATCH, overlap: int = OVERLAP, threshold: float = DEBRIS_THRESHOLD) -> DataFrame:
-    """(scene_id, y, x, prob, cls, is_debris): completed tiles stitched to class means, the likeliest class, and the debris mask."""
-    stitched = stitch(complete_pixels(tiles, predictions), "probs", patch, overlap, N_CLASSES)
+def pixel_results(tiles: DataFrame, predictions: DataFrame, patch: int = PATCH, overlap: int = OVERLAP, threshold: float = DEBRIS_THRESHOLD, pixels: DataFrame | None = None) -> DataFrame:
+    """(scene_id, y, x, prob, cls, is_debris): completed tiles stitched to class means, the likeliest class, and the debris mask.
+
+    ``pixels`` as in ``complete_pixels``.
+    """
+    stitched = stitch(complete_pixels(tiles, predictions, pixels=pixels), "probs", patch, overlap, N_CLASSES)
     # means that differ by the order of a sum alone are the same, so equal classes stay equal
     means = F.transform(F.slice("probs", 1, N_CLASSES), lambda p: F.rint(p * 1e12) / 1e12)
     # an array of one array binds the means to a name: Spark moves a filter on the mask below, with a copy of them for each use

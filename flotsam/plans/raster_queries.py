@@ -249,7 +249,7 @@ def scored(spark, sf_dir):
 
 @register("m12_pixel_results", "scene_id:i y:i x:i prob:d cls:i is_debris:b", "SELECT scene_id, y, x, prob, cls, cls = 0 AND prob > 0.1 AS is_debris FROM pr", _SCORED)
 def _(spark, sf_dir):
-    return O.pixel_results(*scored(spark, sf_dir), 16, 4)
+    return O.pixel_results(*scored(spark, sf_dir), 16, 4, pixels=S.pixels(spark, sf_dir))  # the last scene may lack tiles
 
 
 @register(

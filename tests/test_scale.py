@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from flotsam.constants import N_CLASSES
@@ -12,7 +13,7 @@ from flotsam.operators import quadtree as Q
 from flotsam.operators import rasters as O
 from flotsam.operators import signatures as G
 from flotsam.plans import raster_queries as R
-from flotsam.plans.queries import QUERIES
+from flotsam.plans.queries import QUERIES, SQL
 from flotsam.sources import supplied as S
 
 SMALL = "/root/testdata/sf0.001"
@@ -130,3 +131,12 @@ def test_class_scores_are_shares_of_one_sum(spark):
     steps = scores._jdf.queryExecution().analyzed().toString()
     # the sum stands beside the exponentials, not within the step over them
     assert "aggregate(" in steps and "/ aggregate(" not in steps and abs(sum(scores.first().p) - 1) < 1e-12
+
+
+def test_scenes_that_lack_tiles_get_no_pixels_made_up(spark, tmp_path):
+    path = f"{tmp_path}/embeddings.parquet"
+    spark.read.parquet(f"{SMALL}/embeddings.parquet").where("vec_id < 56").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    want, got = con.execute(SQL["m12_pixel_results"]).fetchall(), QUERIES["m12_pixel_results"](spark, str(tmp_path)).collect()
+    assert len(got) == 56 * 64 and sorted((*map(tuple, got),)) == sorted(want)
