@@ -114,8 +114,9 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     """
     own = vocabulary.mapInArrow(_own, "key long, b long, near string, near_n long")
     around = vocabulary.select("id", "word").mapInArrow(_around, "key long, a long")
-    met = around.join(own, "key").where("a <> b").drop("key")
-    both = met.join(vocabulary.withColumnRenamed("id", "a"), "a").where(F.levenshtein("word", "near", 1) == 1)
+    # Spark sizes what a word gives as one row, and the words as their compressed file: neither may be broadcast by that
+    met = around.join(own.hint("merge"), "key").where("a <> b").drop("key")
+    both = met.join(vocabulary.withColumnRenamed("id", "a").hint("merge"), "a").where(F.levenshtein("word", "near", 1) == 1)
     # reduced words that are equal meet from both ends, and hashes of different ones may be equal
     once = both.groupBy(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).agg(F.min(F.struct("a", "word", "n", "b", "near", "near_n")).alias("r"))
     return once.select("r.*")

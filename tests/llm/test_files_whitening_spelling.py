@@ -240,3 +240,12 @@ def test_words_of_odd_documents(spark):
     assert {r["word"]: r["count"] for r in words.groupBy("word").count().collect()} == want
     assert {tuple(r[c] for c in COLUMNS) for r in spelling.variants(words).collect()} == plain_variants(want)
     assert spelling.variants(spelling.noisy_words(df.limit(0))).count() == 0
+
+
+def test_keys_around_words_are_not_broadcast(spark, tmp_path):
+    # a file has a size that Spark knows, unlike rows of the driver
+    spark.createDataFrame([(1, "colour", 9), (2, "color", 5), (3, "colors", 5)], "id long, word string, n long").write.parquet(f"{tmp_path}/words")
+    pairs = spelling.near_words(spark.read.parquet(f"{tmp_path}/words"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastExchange" not in plan
+    assert {frozenset((r.word, r.near)) for r in pairs.collect()} == {frozenset(p) for p in (("colour", "color"), ("color", "colors"))}
