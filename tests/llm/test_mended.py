@@ -3,10 +3,11 @@
 import random
 import time
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from flotsam.llm import html_layout, suffix_dedup
+from flotsam.llm import html_layout, suffix_array, suffix_dedup
 
 
 def letters(seed, n):
@@ -121,3 +122,37 @@ def test_pipeline_keeps_one_of_each_row_with_a_map(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, s string")
     got = corpus_pipeline.one_of_each(docs).collect()
     assert sorted((r.doc_id, r.text) for r in got) == [(1, "a"), (1, "b"), (2, "a")] and all(tuple(r) in [(d, t, m, s) for d, t, m, s in rows] for r in got)
+
+
+def test_rows_that_share_no_window_are_not_sorted():
+    rng, length, gram, dropped = random.Random(7), 24, b"GRAMGRAM", 0
+    for _ in range(300):
+        pool = ["".join(rng.choices("ab", k=20)).encode() for _ in range(3)]
+        cut = [(rng.choice(pool)[rng.randint(0, 20) :], rng.choice(pool)[: rng.randint(0, 20)]) for _ in range(5)]
+        rows = [(k, 0, len(a), len(a) + len(gram), a + gram + b) for k, (a, b) in enumerate(cut) if len(a + b) + len(gram) >= length]
+        windows = [{(lo - at, data[at : at + length]) for at in range(max(0, hi - length), min(lo, len(data) - length) + 1)} for _, _, lo, hi, data in rows]
+        shared = {k for k, own in enumerate(windows) if any(own & other for j, other in enumerate(windows) if j != k)}
+        kept = suffix_dedup._alike(rows, length)
+        assert shared <= {rows.index(r) for r in kept}
+        dropped += len(rows) - len(kept)
+    assert dropped > 300 and suffix_dedup._alike([(1, 0, 0, 24, b"x" * 24)], 24)
+
+
+def test_passages_are_looked_for_where_words_begin(spark):
+    texts = [b" ".join(letters(s + k, 7).replace(" ", "x").encode() for k in range(300)) for s in (0, 5000)] + [b"", b" ", b"one", b"w" * (suffix_dedup.BLOCK + 9) + b" end"]
+    assert suffix_dedup._symbols_of(texts) == [suffix_dedup.word_symbols(x) for x in texts]
+    docs = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts[:2])], "doc_id long, text string")
+    found = suffix_dedup._scan(docs, 4 * 51, 32, by_words=True).collect()
+    assert found and all(r.start % 4 == 0 and r.total % 4 == 0 and r.span % 4 == 0 for r in found)
+    # segments cover every window of words once
+    assert sum(r.total // 4 - 50 for r in found) == 2 * (300 - 50)
+
+
+def test_suffixes_of_few_and_many_symbols_with_long_repeats():
+    rng = random.Random(3)
+    for size in (1, 2, 30, 70_000) * 30:
+        text = [rng.randint(1, size) for _ in range(rng.randint(0, 60))] * rng.randint(1, 5) + [0]
+        assert suffix_array.suffix_array(np.array(text)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+    # names that repeat are ranked in few rounds of sorting, not one after another
+    names = np.array([*([2, 1] * 40), 0])
+    assert suffix_array._doubled(names).tolist() == sorted(range(len(names)), key=lambda i: names[i:].tolist())
